@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
-from newsloom.llm import q_line_rules
+from newsloom.llm import q_line_rules, q_packing, q_url_filter, q_warc
 
-MODULES = [q_line_rules]
+MODULES = [q_line_rules, q_packing, q_url_filter, q_warc]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQLS = {name: s for m in MODULES for name, s in m.SQLS.items()}
