@@ -113,16 +113,21 @@ def salt_of(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def join_by_hot_key(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+def join_by_hot_key(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for a ``left`` where a key may hold a large share of the rows; ``right`` has each key once.
 
     Rows of hot keys are dealt to :data:`SALTS` parts by the columns ``spread``, and the matching rows of
     ``right`` are repeated for each part. Hot keys number at most ``1 / HOT_SHARE``, so the list of them is broadcast.
+    ``sizes``: the keys with ``size``, the number of their rows in ``left``, where that is known; keys of a row may be missing.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_total"))
-    hot = counts.join(F.broadcast(total)).where((F.col("_n") >= 1000) & (F.col("_n") >= F.col("_total") * HOT_SHARE)).select(*keys, F.lit(True).alias("_hot"))
-    hot = F.broadcast(stored(hot.coalesce(1)))
+    if sizes is None:
+        sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.agg(F.sum("size").alias("_total"))
+    hot = sizes.join(F.broadcast(total)).where((F.col("size") >= 1000) & (F.col("size") >= F.col("_total") * HOT_SHARE)).select(*keys).distinct()
+    found = hot.limit(int(1 / HOT_SHARE) + 1).collect()
+    if not found:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema).withColumn("_hot", F.lit(True)))
     salted = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt_of(*spread)).otherwise(0)).drop("_hot")
     spreads = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(spreads)).drop("_hot")
