@@ -1,4 +1,487 @@
-"""Queries over the driver tables, by name, and the DuckDB SQL with the same rows."""
+"""Queries over the driver's tables, by name, and DuckDB SQL with the same rows.
+
+The SQL is written apart from the DataFrame code. Real numbers are rounded to six places on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.functions import html, stats, text, times
+from newsloom.operators import fundamentals, ingest, market, news, signals
+from newsloom.plans import views
+from newsloom.sources import feeds
+from newsloom.streaming import events as live
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+REL = 0.5
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def r6(*names: str):
+    return [F.round(c, 6).alias(c) for c in names]
+
+
+def day(c: str):
+    return F.to_date(c).alias(c)
+
+
+def stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+# --- the same views in DuckDB ------------------------------------------------------------------------------------------
+NEWS = """n0 AS (SELECT doc_id AS id, 'https://news.example/' || doc_id AS url, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 160) AS headline, substr(split_part(coalesce(text, ''), chr(10), 2), 1, 240) AS summary,
+ text AS body, CASE source WHEN 'src0' THEN 'reuters' WHEN 'src1' THEN 'bloomberg' WHEN 'src2' THEN 'CNBC' WHEN 'src3' THEN 'benzinga' WHEN 'src4' THEN 'mock' WHEN 'src5' THEN NULL ELSE source END AS source,
+ lang, TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 7919) % 43200 AS BIGINT)) AS published_at FROM documents),
+news AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(headline, '\\s*[-–|]\\s*[A-Za-z][\\p{L}\\p{N}_\\s\\.&]{1,40}$', ''))), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS story,
+ coalesce(map_extract(MAP {'reuters': 1.25::DOUBLE, 'bloomberg': 1.25, 'cnbc': 1.1, 'benzinga': 0.95, 'mock': 0.1}, lower(source))[1], 1.0::DOUBLE) AS weight FROM n0)"""  # noqa: RUF001
+TAGS = "tags AS (SELECT DISTINCT id AS article_id, unnest(list_filter([upper(lang), CASE WHEN id % 2 = 0 THEN 'EN' END, CASE WHEN id % 3 = 0 THEN 'DE' END, CASE WHEN id % 5 = 0 THEN 'FR' END, CASE WHEN id % 7 = 0 THEN 'ES' END], lambda x: x IS NOT NULL)) AS ticker FROM news), symbols AS (SELECT article_id, list_sort(list(ticker)) AS symbols FROM tags GROUP BY ALL)"
+_LEX = lambda words: " + ".join(f"CAST(contains(lower(headline || '. ' || summary), '{w}') AS INT)" for w in words)
+SCORES = f"""s0 AS (SELECT id, {_LEX(views.POS)} AS p, {_LEX(views.NEG)} AS n, published_at + to_minutes(CAST(id % 180 AS BIGINT)) AS scored_at FROM news),
+s1 AS (SELECT id, CAST(p - n AS DOUBLE) / CAST(greatest(p + n, 1) AS DOUBLE) AS c, scored_at FROM s0),
+scores AS (SELECT article_id, ticker, CAST(c AS DECIMAL(6,4)) AS compound, CASE WHEN c > 0.05 THEN 'POSITIVE' WHEN c < -0.05 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label, scored_at FROM tags JOIN s1 ON id = article_id)"""
+_D = "CAST({} AS DOUBLE)".format
+REL_SQL = f"""greatest({_D(0)}, least({_D(1)}, CASE WHEN list_contains(symbols, ticker) THEN {_D(0.45)} ELSE {_D(0)} END + CASE WHEN contains(lower(headline), lower(ticker)) THEN {_D(0.35)} ELSE {_D(0)} END
+ + CASE WHEN contains(lower(summary), lower(ticker)) THEN {_D(0.15)} ELSE {_D(0)} END - CASE WHEN len(symbols) > 0 THEN least({_D(0.25)}, {_D(0.04)} * CAST(len(symbols) - 1 AS DOUBLE)) ELSE {_D(0)} END
+ + CASE WHEN contains(lower(headline), lower(ticker)) OR contains(lower(summary), lower(ticker)) THEN {_D(0.05)} ELSE {_D(0)} END))"""
+ASOF = f"TIMESTAMP '{views.AS_OF}'"
+
+
+def stories(time: str, days: int, scored: bool = True) -> str:
+    """CTE ``st``: one row a ticker and story, relevant ones only."""
+    join = "scores s JOIN news ON s.article_id = id" if scored else "tags s JOIN news ON s.article_id = id"
+    extra = "CAST(compound AS DOUBLE) * weight AS w, label, scored_at," if scored else ""
+    return f"""st0 AS (SELECT s.ticker, id, headline, summary, source, published_at, {extra} row_number() OVER (PARTITION BY s.ticker, story ORDER BY {time}, id) AS rn FROM {join}
+ WHERE {time} >= {ASOF} - INTERVAL {days} DAY AND (source IS NULL OR source <> 'mock')),
+st AS (SELECT st0.* FROM st0 JOIN symbols y ON y.article_id = st0.id WHERE rn = 1 AND {REL_SQL} >= {REL})"""
+
+
+FOLD = "list_reduce(list({v} ORDER BY {o}), lambda acc, v: CAST(0.3 AS DOUBLE) * v + CAST(0.7 AS DOUBLE) * acc)"
+BARS = "bars AS (SELECT l_returnflag AS ticker, CAST(l_shipdate AS DATE) AS bar_day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS close, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem GROUP BY ALL)"
+BENCH = "bench AS (SELECT CAST(l_shipdate AS DATE) AS bar_day, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS close FROM lineitem GROUP BY ALL)"
+INDICATORS = """ch AS (SELECT *, close - lag(close) OVER w AS d, close / lag(close, 5) OVER w - 1 AS momentum_5d, count(*) OVER w20 AS k, avg(close) OVER w20 AS m, stddev_samp(close) OVER w20 AS sd, avg(volume) OVER w20 AS v20
+ FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_day), w20 AS (PARTITION BY ticker ORDER BY bar_day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ga AS (SELECT *, count(d) OVER w14 AS kd, avg(CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0 END) OVER w14 AS g, avg(CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0 END) OVER w14 AS l
+ FROM ch WINDOW w14 AS (PARTITION BY ticker ORDER BY bar_day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+ind AS (SELECT ticker, bar_day, close, CASE WHEN kd = 14 THEN 100 - 100 / (1 + g / CASE WHEN l = 0 THEN 1e-9 ELSE l END) END AS rsi_14,
+ CASE WHEN k < 20 THEN NULL WHEN sd = 0 THEN 0 ELSE least(1, greatest(0, (close - (m - 2 * sd)) / ((m + 2 * sd) - (m - 2 * sd)))) END AS bb_position, momentum_5d,
+ CASE WHEN k = 20 THEN volume / CASE WHEN v20 = 0 THEN 1e-9 ELSE v20 END END AS volume_ratio FROM ga)"""
+TICKS = "ticks AS (SELECT upper(event_type) AS ticker, event_id AS article_id, ts AS scored_at, CAST(value % 2.0 - 1 AS DECIMAL(6,4)) AS compound FROM events)"
+DAILY = f"""daily AS (SELECT ticker, CAST(scored_at AS DATE) AS news_day, {FOLD.format(v='CAST(compound AS DOUBLE)', o='scored_at, article_id')} AS ewma_sentiment_1d, avg(CAST(compound AS DOUBLE)) AS daily_mean, coalesce(stddev_samp(CAST(compound AS DOUBLE)), 0) AS sentiment_volatility, CAST(count(*) AS DOUBLE) AS article_volume_24h FROM ticks GROUP BY ALL)"""
+WEEK = """wk AS (SELECT a.ticker, a.news_day, sum(b.daily_mean * pow(0.75, a.i - b.i)) / sum(pow(0.75, a.i - b.i)) AS ewma_sentiment_7d
+ FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY news_day) AS i FROM daily) a JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY news_day) AS i FROM daily) b ON a.ticker = b.ticker AND b.i <= a.i GROUP BY ALL)"""
+HISTORY = "h AS (SELECT 'C' || o_custkey AS ticker, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, 'Customer ' || o_custkey AS name, o_custkey, o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS acc, CASE o_orderpriority WHEN '1-URGENT' THEN '8-K' WHEN '2-HIGH' THEN '10-K' WHEN '3-MEDIUM' THEN '10-Q' WHEN '4-NOT SPECIFIED' THEN '4' WHEN '5-LOW' THEN 'SC 13G' END AS form, CAST(o_orderdate AS DATE) AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), f AS (SELECT *, substr(acc, 1, 10) || '-' || substr(acc, 11, 2) || '-' || substr(acc, 13) AS accession_number FROM h WHERE o_custkey % 2 = 1 OR i < n)"
+
+
+# --- text --------------------------------------------------------------------------------------------------------------
+@query(f"WITH {NEWS} SELECT id, story AS dedup_key FROM news")
+def dedup_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return views.news(spark, sf).select("id", text.dedup_key(F.col("headline")).alias("dedup_key"))
+
+
+@query(f"WITH {NEWS}, {TAGS} SELECT id, ticker, round({REL_SQL}, 6) AS relevance FROM tags JOIN news ON id = article_id JOIN symbols USING (article_id)")
+def relevance_scores(spark: SparkSession, sf: str) -> DataFrame:
+    n = views.news(spark, sf)
+    t = views.tags(n)
+    return news.with_relevance(news._tagged(n, t, None), t).select("id", "ticker", *r6("relevance"))
+
+
+@query(f"WITH {NEWS} SELECT id, source, weight FROM news")
+def source_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return views.news(spark, sf).select("id", "source", text.source_weight(F.col("source")).alias("weight"))
+
+
+@query(f"WITH {NEWS}, {TAGS}, {SCORES} SELECT id, round(c, 6) AS compound, round(greatest(0, c), 6) AS score_positive, round(greatest(0, -c), 6) AS score_negative, round(greatest(0, 1 - abs(c)), 6) AS score_neutral, CASE WHEN c > 0.05 THEN 'POSITIVE' WHEN c < -0.05 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM s1")
+def lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    x = views.news(spark, sf).select("id", text.lexicon_compound(F.concat("headline", F.lit(". "), "summary"), views.POS, views.NEG).alias("compound"))
+    x = x.withColumns(text.sentiment_parts(F.col("compound"))).withColumn("label", text.sentiment_label(F.col("compound")))
+    return x.select("id", *r6("compound", "score_positive", "score_negative", "score_neutral"), "label")
+
+
+@query(f"WITH {NEWS} SELECT id, contains(lower(headline || ' ' || summary), lower(lang)) OR contains(lower(headline || ' ' || summary), 'tion') AS signal FROM news")
+def text_signal(spark: SparkSession, sf: str) -> DataFrame:
+    return views.news(spark, sf).select("id", text.has_text_signal(F.col("headline"), F.col("summary"), F.col("lang"), F.lit("TION")).alias("signal"))
+
+
+@query("SELECT DISTINCT event_type, CASE event_type WHEN 'purchase' THEN 'RISE' WHEN 'refund' THEN 'FALL' WHEN 'view' THEN 'STABLE' ELSE upper(event_type) END AS signal FROM events")
+def signal_labels(spark: SparkSession, sf: str) -> DataFrame:
+    named = F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "refund", "Sell").when(F.col("event_type") == "view", "HOLD").otherwise(F.col("event_type"))
+    return views.read(spark, sf, "events").select("event_type", text.signal_label(named).alias("signal")).distinct()
+
+
+@query("SELECT s_suppkey, '(S' || s_suppkey || ' OR ' || s_name || ') stock' AS q0, '(S' || s_suppkey || ' OR ' || s_name || ') site:a.example' AS q1 FROM supplier")
+def search_queries(spark: SparkSession, sf: str) -> DataFrame:
+    q = text.search_queries(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.col("s_name"), ["a.example"])
+    return views.read(spark, sf, "supplier").select("s_suppkey", q[0].alias("q0"), q[1].alias("q1"))
+
+
+# --- feed --------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {NEWS}, {TAGS}, {SCORES}, page AS (SELECT news.*, t.ticker, s.label, CAST(s.compound AS DOUBLE) AS compound FROM news JOIN tags t ON t.article_id = id LEFT JOIN scores s ON s.article_id = id AND s.ticker = 'DE'
+ WHERE t.ticker = 'DE' AND (source IS NULL OR source <> 'mock') AND published_at >= {ASOF} - INTERVAL 30 DAY ORDER BY published_at DESC, id LIMIT 400), f AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, id) AS rn FROM page)
+SELECT id, url, headline, source, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, array_to_string(symbols, ',') AS symbols, round({REL_SQL}, 4) AS relevance, label, round(compound, 4) AS compound FROM f JOIN symbols ON article_id = id WHERE rn = 1 AND {REL_SQL} >= {REL} ORDER BY f.published_at DESC, id LIMIT 50""")
+def articles_feed(spark: SparkSession, sf: str) -> DataFrame:
+    out = news.articles_feed(*views.feed(spark, sf), "de", views.as_of(), limit=50, days=30, min_relevance=REL)
+    return out.select("id", "url", "headline", "source", stamp("published_at"), F.array_join("symbols", ",").alias("symbols"), "relevance", "label", "compound")
+
+
+@query(f"""WITH {NEWS}, {TAGS}, {SCORES}, {stories('scored_at', 30)}
+SELECT ticker, count(*) AS article_count, round(avg(w), 6) AS mean_compound, round(coalesce(stddev_samp(w), 0), 6) AS std_compound, round({FOLD.format(v='w', o='scored_at, id')}, 6) AS ewma_compound,
+ count(*) FILTER (label = 'POSITIVE') AS positive, count(*) FILTER (label = 'NEUTRAL') AS neutral, count(*) FILTER (label = 'NEGATIVE') AS negative FROM st GROUP BY ticker""")
+def sentiment_summary(spark: SparkSession, sf: str) -> DataFrame:
+    out = news.sentiment_summary(*views.feed(spark, sf), views.as_of(), days=30, min_relevance=REL)
+    return out.select("ticker", "article_count", *r6("mean_compound", "std_compound", "ewma_compound"), "positive", "neutral", "negative")
+
+
+@query(f"WITH {NEWS}, {TAGS}, {SCORES}, {stories('published_at', 30)} SELECT ticker, CAST(published_at AS DATE) AS news_day, CAST(sum(CAST(w AS DECIMAL(20,10))) AS DOUBLE) / count(*) AS mean_compound, count(*) AS article_count FROM st GROUP BY ALL")
+def sentiment_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return news.sentiment_trend(*views.feed(spark, sf), views.as_of(), hours=720, min_relevance=REL).select("ticker", "news_day", "mean_compound", "article_count")
+
+
+@query(f"WITH {NEWS}, {TAGS}, {stories('published_at', 30, False)} SELECT ticker, coalesce(source, 'unknown') AS source, count(*) AS article_count FROM st GROUP BY ALL")
+def source_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    n, t, _ = views.feed(spark, sf)
+    return news.source_breakdown(n, t, views.as_of(), days=30, min_relevance=REL)
+
+
+@query(f"WITH {NEWS}, {TAGS}, {SCORES}, {stories('scored_at', 30)} SELECT ticker, label, count(st.ticker) AS n FROM (SELECT DISTINCT ticker FROM st) t CROSS JOIN (VALUES ('POSITIVE'), ('NEUTRAL'), ('NEGATIVE')) l(label) LEFT JOIN st USING (ticker, label) GROUP BY ALL")
+def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    since = views.as_of() - F.make_interval(days=F.lit(30))
+    return news.label_distribution(news.scored_stories(*views.feed(spark, sf), None, "scored_at", since, REL, False))
+
+
+@query(f"WITH {NEWS}, {TAGS} SELECT article_id, array_to_string(symbols, ',') AS symbols FROM symbols")
+def symbol_map(spark: SparkSession, sf: str) -> DataFrame:
+    return news.symbol_map(views.tags(views.news(spark, sf))).select("article_id", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query(f"WITH {NEWS}, {TAGS} SELECT DISTINCT ticker FROM tags")
+def distinct_tickers(spark: SparkSession, sf: str) -> DataFrame:
+    return news.distinct_tickers(views.tags(views.news(spark, sf)))
+
+
+@query(f"WITH {NEWS}, {TAGS}, {SCORES} SELECT ticker, count(*) AS article_volume FROM scores WHERE scored_at >= {ASOF} - INTERVAL 24 HOUR GROUP BY ALL")
+def trailing_volume_24h(spark: SparkSession, sf: str) -> DataFrame:
+    return news.trailing_volume(views.feed(spark, sf)[2], views.as_of())
+
+
+@query(f"WITH {NEWS}, {TAGS}, {SCORES} SELECT ticker, round(coalesce(stddev_samp(CAST(compound AS DOUBLE)), 0), 6) AS volatility FROM scores WHERE scored_at >= {ASOF} - INTERVAL 7 DAY GROUP BY ALL")
+def trailing_volatility_7d(spark: SparkSession, sf: str) -> DataFrame:
+    return news.trailing_volatility(views.feed(spark, sf)[2], views.as_of()).select("ticker", *r6("volatility"))
+
+
+@query(f"WITH {NEWS}, {TAGS}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker, source ORDER BY published_at DESC, id) AS i FROM news JOIN tags ON article_id = id), b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, id) AS j FROM a WHERE i <= 8) SELECT ticker, id, source FROM b WHERE j <= 50")
+def source_diversity_cap(spark: SparkSession, sf: str) -> DataFrame:
+    n, t, _ = views.feed(spark, sf)
+    return news.diversity_cap(news._tagged(n, t, None), 50, ("ticker",)).select("ticker", "id", "source")
+
+
+@query(f"WITH {NEWS}, u AS (SELECT id, headline, story, published_at, 0 AS priority, lang AS ticker FROM news WHERE id % 2 = 0 UNION ALL SELECT id, headline, story, published_at, 1, lang FROM news WHERE id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, story ORDER BY priority, published_at DESC, id) AS rn FROM u) SELECT ticker, id, priority FROM r WHERE rn = 1")
+def multi_source_union(spark: SparkSession, sf: str) -> DataFrame:
+    n = views.news(spark, sf).withColumn("ticker", F.col("lang"))
+    return news.union_sources(n.where("id % 2 = 0"), n.where("id % 3 <> 0").drop("summary")).select("ticker", "id", "priority")
+
+
+@query(f"WITH {NEWS}, {TAGS}, p AS (SELECT id, headline FROM news JOIN tags ON article_id = id WHERE ticker = 'EN' ORDER BY published_at DESC, id LIMIT 20) SELECT id, headline FROM p WHERE id > 300")
+def incremental_feed(spark: SparkSession, sf: str) -> DataFrame:
+    n, t, _ = views.feed(spark, sf)
+    return news.incremental_feed(n, t, "EN", 300).select("id", "headline")
+
+
+@query(f"WITH {NEWS} SELECT id, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM news ORDER BY news.published_at DESC, id LIMIT 100")
+def merged_pages(spark: SparkSession, sf: str) -> DataFrame:
+    n = views.news(spark, sf)
+    return news.merge_pages(n, n.where("id % 2 = 0")).select("id", stamp("published_at"))
+
+
+@query("WITH w AS (SELECT user_id, list_sort(list_distinct(list(upper(event_type)))) AS s FROM events GROUP BY ALL) SELECT user_id, len(CASE WHEN list_contains(s, 'CLICK') THEN list_filter(s, lambda x: x <> 'CLICK') ELSE list_append(s, 'CLICK') END) AS n, list_contains(s, 'CLICK') AS had FROM w")
+def watchlist_toggle(spark: SparkSession, sf: str) -> DataFrame:
+    w = views.read(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.upper("event_type")).alias("s"))
+    return w.select("user_id", F.size(news.watchlist_toggle(F.col("s"), F.lit("click"))).cast("long").alias("n"), F.array_contains("s", "CLICK").alias("had"))
+
+
+# --- ticks -------------------------------------------------------------------------------------------------------------
+@query(f"WITH {TICKS} SELECT ticker, round({FOLD.format(v='CAST(compound AS DOUBLE)', o='scored_at, article_id')}, 6) AS ewma FROM ticks GROUP BY ALL")
+def ewma_by_ticker(spark: SparkSession, sf: str) -> DataFrame:
+    ordered = stats.in_time_order(F.col("compound").cast("double"), F.col("scored_at"), F.col("article_id"))
+    return views.ticks(spark, sf).groupBy("ticker").agg(F.round(stats.ewma(ordered), 6).alias("ewma"))
+
+
+@query(f"WITH {TICKS}, {DAILY} SELECT ticker, news_day, round(ewma_sentiment_1d, 6) AS ewma_sentiment_1d, round(daily_mean, 6) AS daily_mean, round(sentiment_volatility, 6) AS sentiment_volatility, article_volume_24h FROM daily")
+def daily_features(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.daily_features(views.ticks(spark, sf)).select("ticker", "news_day", *r6("ewma_sentiment_1d", "daily_mean", "sentiment_volatility"), "article_volume_24h")
+
+
+@query(f"WITH {TICKS}, {DAILY}, {WEEK} SELECT ticker, news_day, round(ewma_sentiment_7d, 6) AS ewma_sentiment_7d FROM wk")
+def ewm_span7_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.with_week_average(signals.daily_features(views.ticks(spark, sf))).select("ticker", "news_day", *r6("ewma_sentiment_7d"))
+
+
+@query(f"WITH {TICKS}, {DAILY} SELECT ticker, news_day, CASE WHEN ewma_sentiment_1d > 0.15 THEN 'RISE' WHEN ewma_sentiment_1d < -0.15 THEN 'FALL' ELSE 'STABLE' END AS recommendation, round(least(0.85, 0.52 + 0.35 * abs(ewma_sentiment_1d)), 6) AS confidence FROM daily")
+def rule_prediction(spark: SparkSession, sf: str) -> DataFrame:
+    label, confidence = signals.rule_signal(F.col("ewma_sentiment_1d"))
+    return signals.daily_features(views.ticks(spark, sf)).select("ticker", "news_day", label.alias("recommendation"), F.round(confidence, 6).alias("confidence"))
+
+
+@query("SELECT upper(event_type) AS ticker, CAST(ts AS DATE) AS day_start, count(*) AS n, round(avg(CAST(CAST(value % 2.0 - 1 AS DECIMAL(6,4)) AS DOUBLE)), 6) AS mean_compound FROM events GROUP BY ALL")
+def stream_daily_window(spark: SparkSession, sf: str) -> DataFrame:
+    x = live.daily_counts(views.ticks(spark, sf).withColumn("published_at", F.col("scored_at")))
+    return x.select("ticker", day("day_start"), "n", *r6("mean_compound"))
+
+
+@query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(max(CASE WHEN k = greatest(CAST(floor(n * CAST(0.99 AS DOUBLE)) AS BIGINT), 1) THEN value END), 6) AS p99 FROM e GROUP BY ALL")
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.latency_percentiles(views.read(spark, sf, "events"), "value", ("event_type",)).select("event_type", *r6("p50", "p99"))
+
+
+# --- bars --------------------------------------------------------------------------------------------------------------
+def _indicator(name: str):
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return market.with_indicators(views.bars(spark, sf), "bar_day").select("ticker", "bar_day", *r6(name))
+
+    f.__name__ = {"rsi_14": "rsi_14", "bb_position": "bollinger_position", "momentum_5d": "momentum_5d", "volume_ratio": "volume_ratio"}[name]
+    return query(f"WITH {BARS}, {INDICATORS} SELECT ticker, bar_day, round({name}, 6) AS {name} FROM ind")(f)
+
+
+rsi_14, bollinger_position, momentum_5d, volume_ratio = map(_indicator, ("rsi_14", "bb_position", "momentum_5d", "volume_ratio"))
+
+
+@query(f"WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar_day DESC) AS i FROM bars) SELECT ticker, bar_day, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, volume FROM r WHERE i <= 365")
+def price_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return market.last_bars(views.bars(spark, sf), 365, "bar_day").select("ticker", "bar_day", *r6("close", "high", "low"), "volume")
+
+
+@query(f"WITH {BARS}, {INDICATORS} SELECT ticker, round(coalesce(CASE WHEN count(*) >= 30 THEN arg_max_null(rsi_14, bar_day) END, 50), 6) AS rsi_14, round(coalesce(CASE WHEN count(*) >= 30 THEN arg_max_null(momentum_5d, bar_day) END, 0), 6) AS momentum_5d, round(coalesce(CASE WHEN count(*) >= 30 THEN arg_max_null(bb_position, bar_day) END, 0.5), 6) AS bb_position, round(coalesce(CASE WHEN count(*) >= 30 THEN arg_max_null(volume_ratio, bar_day) END, 1), 6) AS volume_ratio FROM ind GROUP BY ALL")
+def price_features(spark: SparkSession, sf: str) -> DataFrame:
+    return market.price_features(views.bars(spark, sf), "bar_day").select("ticker", *r6(*market.DEFAULTS))
+
+
+@query(f"WITH {BARS} SELECT ticker, bar_day, round(max(close) OVER w, 6) AS running_max, round(close / max(close) OVER w - 1, 6) AS drawdown FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def drawdown(spark: SparkSession, sf: str) -> DataFrame:
+    return market.with_drawdown(views.bars(spark, sf), "bar_day").select("ticker", "bar_day", *r6("running_max", "drawdown"))
+
+
+@query(f"""WITH {BARS}, {BENCH}, a AS (SELECT *, close / lag(close) OVER w - 1 AS ret, close / max(close) OVER (PARTITION BY ticker ORDER BY bar_day ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_day)),
+b AS (SELECT bar_day, close / lag(close) OVER (ORDER BY bar_day) - 1 AS br FROM bench), j AS (SELECT ticker, stddev_samp(ret) * sqrt(252) AS vol, covar_samp(ret, br) / var_samp(br) AS beta FROM a JOIN b USING (bar_day) WHERE ret IS NOT NULL AND br IS NOT NULL GROUP BY ALL),
+t AS (SELECT ticker, min(dd) AS dd, max(close) AS hwm, arg_max(close, bar_day) / arg_min(close, bar_day) - 1 AS cum FROM a GROUP BY ALL)
+SELECT ticker, round(vol, 6) AS annualized_volatility, round(beta, 6) AS beta_to_benchmark, round(dd, 6) AS max_drawdown, round(hwm, 6) AS high_water_mark, round(cum, 6) AS cumulative_return FROM t JOIN j USING (ticker)""")
+def risk_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    out = market.risk_metrics(views.bars(spark, sf), views.benchmark_bars(spark, sf), "bar_day")
+    return out.select("ticker", *r6("annualized_volatility", "beta_to_benchmark", "max_drawdown", "high_water_mark", "cumulative_return"))
+
+
+LABELS = "lab AS (SELECT ticker, bar_day, close, (lead(close, 5) OVER w - close) / close AS fr FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_day)), labels5 AS (SELECT *, CASE WHEN fr > 0.02 THEN 'RISE' WHEN fr < -0.02 THEN 'FALL' ELSE 'STABLE' END AS label FROM lab)"
+
+
+@query(f"WITH {BARS}, {LABELS} SELECT ticker, bar_day, round(fr, 6) AS forward_return, label FROM labels5")
+def forward_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return market.forward_labels(views.bars(spark, sf), "bar_day").select("ticker", "bar_day", *r6("forward_return"), "label")
+
+
+@query(f"""WITH {BARS}, {LABELS}, old AS (SELECT ticker, bar_day AS date, CAST(round(close, 2) + 1 AS DECIMAL(12,4)) AS close_price, 'old' AS label FROM labels5 WHERE day(bar_day) % 2 = 0), new AS (SELECT ticker, bar_day AS date, CAST(round(close, 2) AS DECIMAL(12,4)) AS close_price, CAST(fr AS DECIMAL(10,6)) AS fr, label FROM labels5 WHERE day(bar_day) % 3 = 0)
+SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(o.date, n.date) AS date, CAST(CASE WHEN o.date IS NOT NULL THEN o.close_price ELSE n.close_price END AS DOUBLE) AS close_price, CAST(n.fr AS DOUBLE) AS forward_return_5d, coalesce(n.label, o.label) AS label FROM old o FULL JOIN new n ON o.ticker = n.ticker AND o.date = n.date""")
+def label_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    x = market.forward_labels(views.bars(spark, sf), "bar_day").withColumnRenamed("bar_day", "date").withColumn("fetched_at", views.as_of()).withColumn("close", F.round(F.col("close") * 100) / 100)
+    old = x.where("day(date) % 2 = 0").select("ticker", "date", (F.col("close") + 1).cast("decimal(12,4)").alias("close_price"), F.lit(None).cast("decimal(10,6)").alias("forward_return_5d"), F.lit("old").alias("label"), "fetched_at")
+    new = x.where("day(date) % 3 = 0").select("ticker", "date", F.col("close").cast("decimal(12,4)").alias("close_price"), F.col("forward_return").cast("decimal(10,6)").alias("forward_return_5d"), "label", "fetched_at")
+    return ingest.upsert_labels(old, new).select("ticker", "date", F.col("close_price").cast("double").alias("close_price"), F.col("forward_return_5d").cast("double").alias("forward_return_5d"), "label")
+
+
+def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks and bars with common tickers and days: a bar's ticker becomes an event type, its day one of January 2024."""
+    names = F.when(F.col("ticker") == "A", "CLICK").when(F.col("ticker") == "N", "VIEW").otherwise("PURCHASE")
+    b = views.bars(spark, sf).where("year(bar_day) = 1995").select(names.alias("ticker"), F.date_add("bar_day", 10592).alias("bar_day"), "close", "volume")
+    return views.ticks(spark, sf), b
+
+
+TRAIN = f"""tb AS ({BARS[len('bars AS ('):-1]}), bars AS (SELECT CASE ticker WHEN 'A' THEN 'CLICK' WHEN 'N' THEN 'VIEW' ELSE 'PURCHASE' END AS ticker, bar_day + 10592 AS bar_day, close, volume FROM tb WHERE year(bar_day) = 1995), {INDICATORS}, {LABELS},
+big AS (SELECT ticker FROM bars GROUP BY ALL HAVING count(*) >= 40), {TICKS}, {DAILY}, {WEEK},
+train AS (SELECT d.ticker, d.news_day, ewma_sentiment_1d, ewma_sentiment_7d, sentiment_volatility, article_volume_24h, rsi_14, momentum_5d, bb_position, volume_ratio, label AS target FROM daily d JOIN wk USING (ticker, news_day) JOIN ind ON ind.ticker = d.ticker AND ind.bar_day = d.news_day JOIN labels5 l ON l.ticker = d.ticker AND l.bar_day = d.news_day JOIN big ON big.ticker = d.ticker
+ WHERE d.ticker IN (SELECT ticker FROM ticks GROUP BY ALL HAVING count(*) >= 40) AND rsi_14 IS NOT NULL AND momentum_5d IS NOT NULL AND bb_position IS NOT NULL AND volume_ratio IS NOT NULL)"""
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in signals.FEATURES)
+
+
+@query(f"WITH {TRAIN} SELECT ticker, news_day, {_ROUNDED}, target FROM train")
+def training_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    t, b = _training(spark, sf)
+    return signals.training_dataset(t, b, time="bar_day").select("ticker", "news_day", *r6(*signals.FEATURES), "target")
+
+
+@query("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, event_id, CASE WHEN n < 50 THEN 'all' WHEN k <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS part FROM r")
+def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
+    return signals.with_split(views.read(spark, sf, "events").select("event_type", "event_id"), "event_id", partition=("event_type",))
+
+
+@query("""WITH p AS (SELECT quality AS y, CAST((doc_id * 37) % 100 AS DOUBLE) / 100 AS p1, lang FROM labels JOIN documents USING (doc_id)), q AS (SELECT lang, y, p1, 1 - p1 AS p0, greatest(p1, 1 - p1) AS c, CASE WHEN p1 > 1 - p1 THEN 1 ELSE 0 END AS z FROM p),
+e AS (SELECT lang, (z = y)::INT AS ok, c, (pow((y = 0)::INT - p0, 2) + pow((y = 1)::INT - p1, 2)) / 2 AS b, (SELECT min(k) FROM range(10) t(k) WHERE c > CAST(k AS DOUBLE) / 10 AND c <= CAST(k + 1 AS DOUBLE) / 10) AS bin FROM q),
+g AS (SELECT lang, bin, count(*) AS n, sum(ok) AS oks, sum(c) AS cs, sum(b) AS bs FROM e GROUP BY ALL) SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(oks) / sum(n), 6) AS accuracy, round(sum(bs) / sum(n), 6) AS brier, round(sum(abs(oks - cs)) / sum(n), 6) AS ece FROM g GROUP BY lang""")
+def calibration_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    x = views.read(spark, sf, "labels").join(views.read(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    x = x.withColumn("p1", F.pmod(F.col("doc_id") * 37, F.lit(100)).cast("double") / 100)
+    out = signals.calibration_metrics(x, F.col("quality").cast("string"), {"0": 1 - F.col("p1"), "1": F.col("p1")}, ("lang",))
+    return out.select("lang", "n", *r6("accuracy", "brier", "ece"))
+
+
+@query(f"""WITH {NEWS}, {TAGS}, {SCORES}, {stories('scored_at', 1).replace('st0', 'd0').replace('st AS', 'd1 AS')}, {stories('scored_at', 7).replace('st0', 'w0').replace('st AS', 'w1 AS')},
+a AS (SELECT ticker, {FOLD.format(v='w', o='scored_at, id')} AS x FROM d1 GROUP BY ALL), b AS (SELECT ticker, {FOLD.format(v='w', o='scored_at, id')} AS x FROM w1 GROUP BY ALL),
+v AS (SELECT ticker, coalesce(stddev_samp(CAST(compound AS DOUBLE)), 0) AS x FROM scores WHERE scored_at >= {ASOF} - INTERVAL 7 DAY GROUP BY ALL), c AS (SELECT ticker, CAST(count(*) AS DOUBLE) AS x FROM scores WHERE scored_at >= {ASOF} - INTERVAL 24 HOUR GROUP BY ALL)
+SELECT t.ticker, round(coalesce(a.x, 0), 6) AS ewma_sentiment_1d, round(coalesce(b.x, 0), 6) AS ewma_sentiment_7d, round(coalesce(v.x, 0), 6) AS sentiment_volatility, coalesce(c.x, 0) AS article_volume_24h, CAST(50 AS DOUBLE) AS rsi_14, CAST(0 AS DOUBLE) AS momentum_5d, CAST(0.5 AS DOUBLE) AS bb_position, CAST(1 AS DOUBLE) AS volume_ratio
+FROM (SELECT DISTINCT ticker FROM scores) t LEFT JOIN a USING (ticker) LEFT JOIN b USING (ticker) LEFT JOIN v USING (ticker) LEFT JOIN c USING (ticker)""")
+def inference_features(spark: SparkSession, sf: str) -> DataFrame:
+    out = signals.inference_features(*views.feed(spark, sf), views.bars(spark, sf), views.as_of(), "bar_day", min_relevance=REL)
+    return out.select("ticker", *r6(*signals.FEATURES))
+
+
+@query(f"WITH {BARS}, {NEWS}, {TAGS}, {SCORES}, {stories('published_at', 30)}, b2 AS (SELECT CASE ticker WHEN 'A' THEN 'EN' WHEN 'N' THEN 'DE' ELSE 'XX' END AS ticker, bar_day + 10592 AS bar_day, close FROM bars WHERE year(bar_day) >= 1995), tr AS (SELECT ticker, CAST(published_at AS DATE) AS bar_day, avg(w) AS mc FROM st GROUP BY ALL), f AS (SELECT ticker, min(bar_day) AS d FROM tr GROUP BY ALL) SELECT b2.ticker, b2.bar_day, round(close, 2) AS price, round(mc, 3) AS sentiment FROM b2 LEFT JOIN f USING (ticker) LEFT JOIN tr ON tr.ticker = b2.ticker AND tr.bar_day = b2.bar_day WHERE d IS NULL OR b2.bar_day >= d")
+def price_sentiment_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("ticker") == "A", "EN").when(F.col("ticker") == "N", "DE").otherwise("XX")
+    b = views.bars(spark, sf).where("year(bar_day) >= 1995").select(name.alias("ticker"), F.date_add("bar_day", 10592).alias("bar_day"), "close")
+    return market.overlay(b, news.sentiment_trend(*views.feed(spark, sf), views.as_of(), hours=720, min_relevance=REL))
+
+
+# --- earnings and filings ----------------------------------------------------------------------------------------------
+REPORTS = "e AS (SELECT *, CAST(user_id AS VARCHAR) AS ticker FROM events), rep AS (SELECT DISTINCT ticker, CAST(ts AS DATE)::TIMESTAMP AS rd FROM e WHERE event_type = 'purchase' AND value >= 150)"
+
+
+@query(f"WITH {REPORTS}, p AS (SELECT event_id AS id, e.ticker, rd, abs(CAST(floor((epoch(ts) - epoch(rd)) / 86400) AS BIGINT)) AS distance FROM e JOIN rep USING (ticker) WHERE event_type <> 'purchase' AND ts >= rd - INTERVAL 3 DAY AND ts < rd + INTERVAL 4 DAY), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, id ORDER BY distance, rd) AS rn FROM p) SELECT id, ticker, CAST(rd AS DATE) AS report_date, distance FROM r WHERE rn = 1")
+def near_earnings(spark: SparkSession, sf: str) -> DataFrame:
+    return fundamentals.near_earnings(*views.reports(spark, sf)).select("id", "ticker", day("report_date"), "distance")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_discount <> 0 THEN (l_tax - l_discount) / abs(l_discount) * 100 END, 6) AS surprise FROM lineitem")
+def earnings_surprise(spark: SparkSession, sf: str) -> DataFrame:
+    return views.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(fundamentals.surprise_pct(F.col("l_discount"), F.col("l_tax")), 6).alias("surprise"))
+
+
+EPS = "x AS (SELECT o_orderkey, 'C' || o_custkey AS ticker, CAST(o_totalprice AS DECIMAL(12,4)) AS est, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice + 1 AS DECIMAL(12,4)) END AS act FROM orders)"
+
+
+@query(f"""WITH {EPS}, o AS (SELECT o_orderkey AS k, ticker, est, CASE WHEN o_orderkey % 6 = 0 THEN act END AS act FROM x WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey AS k, ticker, est, act FROM x WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(o.k, n.k) AS k, CAST(CASE WHEN o.k IS NOT NULL THEN o.est ELSE n.est END AS DOUBLE) AS estimated_eps, CAST(CASE WHEN o.k IS NOT NULL AND (n.act IS NULL OR o.act IS NOT NULL) THEN o.act ELSE n.act END AS DOUBLE) AS actual_eps,
+ CAST(CASE WHEN o.k IS NOT NULL AND (n.act IS NULL OR o.act IS NOT NULL) THEN NULL ELSE CAST((CAST(n.act AS DOUBLE) - CAST(n.est AS DOUBLE)) / abs(CAST(n.est AS DOUBLE)) * 100 AS DECIMAL(10,4)) END AS DOUBLE) AS surprise_pct FROM o FULL JOIN n ON o.k = n.k""")
+def earnings_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    x = views.read(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string")).alias("ticker"), F.to_timestamp("o_orderdate").alias("report_date"), F.lit(None).cast("string").alias("fiscal_date_ending"), F.col("o_totalprice").cast("decimal(12,4)").alias("estimated_eps"), F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_totalprice") + 1).cast("decimal(12,4)")).alias("actual_eps"))
+    old = x.where("o_orderkey % 2 = 0").withColumn("actual_eps", F.when(F.col("o_orderkey") % 6 == 0, F.col("actual_eps"))).withColumn("surprise_pct", F.lit(None).cast("decimal(10,4)")).drop("o_orderkey")
+    old = old.withColumn("actual_eps", F.col("actual_eps").cast("decimal(12,4)"))
+    out = ingest.upsert_earnings(old, x.where("o_orderkey % 5 <> 0").drop("o_orderkey"))
+    return out.select(F.split_part("ticker", F.lit("/"), F.lit(2)).cast("long").alias("k"), *[F.col(c).cast("double").alias(c) for c in ("estimated_eps", "actual_eps", "surprise_pct")])
+
+
+FILED = "'https://www.sec.gov/Archives/edgar/data/' || CAST(cik AS BIGINT) || '/' || acc || '/' || accession_number || '-index.htm'"
+
+
+@query(f"WITH {HISTORY} SELECT ticker, cik, accession_number, form AS form_type, d AS filed_at, {FILED} AS filing_url, 'SEC ' || form || ': ' || name AS headline, name || ' filed a ' || form || ' with the SEC on ' || strftime(d, '%Y-%m-%d') || '.' AS summary FROM f WHERE d >= DATE '1995-01-01'")
+def filings_unnest(spark: SparkSession, sf: str) -> DataFrame:
+    x = fundamentals.unnest_filings(views.filing_history(spark, sf))
+    return fundamentals.filing_articles(x, F.lit("1995-01-01").cast("timestamp")).withColumn("filed_at", F.to_date("filed_at"))
+
+
+@query(f"WITH {HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC, accession_number) AS k FROM f WHERE form = '8-K' AND o_orderkey % 4 <> 0) SELECT ticker, accession_number, d AS filed_at FROM r WHERE k <= 3")
+def filings_by_form(spark: SparkSession, sf: str) -> DataFrame:
+    x = fundamentals.unnest_filings(views.filing_history(spark, sf))
+    x = fundamentals.filing_articles(x, F.lit("1900-01-01").cast("timestamp"), ("8-K",))
+    known = x.where(F.regexp_replace("accession_number", "-", "").cast("long") % 4 == 0)
+    return fundamentals.new_filings(x, known, 3).select("ticker", "accession_number", day("filed_at"))
+
+
+# --- ingest ------------------------------------------------------------------------------------------------------------
+@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def url_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.read(spark, sf, "pages").select("page_id", "url")
+    return ingest.url_anti_join(p, p.where("page_id % 3 = 0")).select("page_id", "url")
+
+
+@query(f"WITH {NEWS} SELECT id FROM news WHERE id % 2 = 1 AND story NOT IN (SELECT story FROM news WHERE id % 2 = 0 AND published_at >= {ASOF} - INTERVAL 20 DAY)")
+def signature_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    n = views.news(spark, sf)
+    return ingest.signature_anti_join(n.where("id % 2 = 1"), n.where("id % 2 = 0"), views.as_of(), 20).select("id")
+
+
+@query(f"WITH {NEWS}, b AS (SELECT * FROM news WHERE id % 2 = 1 AND headline <> '' AND contains(lower(headline || ' ' || summary), 'th')), r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, id) AS rn FROM b) SELECT id FROM r WHERE rn = 1 AND story NOT IN (SELECT story FROM news WHERE id % 2 = 0)")
+def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    n = views.news(spark, sf)
+    return ingest.insert_new(n.where("id % 2 = 1"), n.where("id % 2 = 0"), views.as_of(), F.lit("TH")).select("id")
+
+
+_KEEP = f"{NEWS}, {TAGS}, {SCORES}, kp AS (SELECT id, row_number() OVER (PARTITION BY story ORDER BY 3 * length(coalesce(body, '')) + length(summary) DESC, published_at, id) AS rn FROM news), k AS (SELECT id FROM kp WHERE rn = 1)"
+
+
+@query(f"WITH {_KEEP} SELECT 'article' AS kind, id, NULL AS ticker FROM k UNION ALL SELECT 'tag', article_id, ticker FROM tags WHERE article_id IN (SELECT id FROM k) UNION ALL SELECT 'score', article_id, ticker FROM scores WHERE article_id IN (SELECT id FROM k) UNION ALL SELECT 'filing', k.id, 'F' || (n.id % 50) FROM news n LEFT JOIN k ON k.id = n.id WHERE n.id % 20 = 0")
+def duplicate_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    n, t, s = views.feed(spark, sf)
+    filings = n.where("id % 20 = 0").select(F.col("id").alias("article_id"), F.concat(F.lit("F"), (F.col("id") % 50).cast("string")).alias("ticker"))
+    out = ingest.clean_duplicates(n.withColumn("ingested_at", F.col("published_at")), t, s, filings)
+    row = lambda kind, df, c, ticker: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), ticker.alias("ticker"))
+    parts = [row("article", out["articles"], "id", F.lit(None).cast("string"))] + [row(k, out[name], "article_id", F.col("ticker")) for k, name in (("tag", "article_tickers"), ("score", "sentiment_scores"), ("filing", "sec_filings"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {NEWS} SELECT story, count(*) AS n FROM news GROUP BY ALL HAVING count(*) > 1")
+def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.duplicate_groups(views.news(spark, sf))
+
+
+LIVE = "lv AS (SELECT event_id, 'https://live.example/' || CAST(floor(event_id / 2) AS BIGINT) AS url, CASE WHEN event_id % 5 = 0 THEN ['UNKNOWN'] ELSE [upper(event_type), 'U' || (user_id % 3)] END AS symbols, CASE WHEN value > 100 THEN 1.0 WHEN value < 20 THEN -1.0 ELSE 0.0 END AS compound, ts FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)"
+
+
+@query(f"WITH {LIVE} SELECT CAST(event_id AS VARCHAR) AS external_id, url, 'wire' AS source, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at, unnest(symbols) AS ticker, CAST(compound AS DOUBLE) AS compound FROM lv")
+def json_event_parse(spark: SparkSession, sf: str) -> DataFrame:
+    x = live.score(live.parse_events(views.raw_events(spark, sf), views.as_of()))
+    return x.select("external_id", "url", "source", stamp("published_at"), "ticker", F.col("compound").cast("double").alias("compound"))
+
+
+@query("SELECT event_id, strftime(CASE WHEN event_id % 7 = 0 THEN TIMESTAMP '2024-01-31' ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS iso, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS rfc, strftime(CAST(ts AS DATE), '%Y-%m-%d %H:%M:%S') AS day_only, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS epoch_s FROM events")
+def timestamp_parse(spark: SparkSession, sf: str) -> DataFrame:
+    e, ts = views.read(spark, sf, "events"), F.col("ts").cast("timestamp")
+    iso = F.when(F.col("event_id") % 7 == 0, "not a time").otherwise(times.rfc3339(ts))
+    out = {"iso": times.parse_iso(iso, views.as_of()), "rfc": times.parse_rfc822(F.concat(F.lit("Mon, "), F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), views.as_of()), "day_only": times.parse_day(F.date_format(ts, "yyyy-MM-dd")), "epoch_s": times.parse_epoch_or_iso(F.unix_timestamp(ts).cast("string"), views.as_of())}
+    return e.select("event_id", *[F.date_format(v, "yyyy-MM-dd HH:mm:ss").alias(k) for k, v in out.items()])
+
+
+@query(f"WITH d AS (SELECT event_id, CAST(floor((epoch({ASOF}) - floor(epoch(ts))) / 60) AS BIGINT) AS m FROM events) SELECT event_id, CASE WHEN m < 60 THEN m || 'm ago' WHEN m // 60 < 24 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago FROM d WHERE m >= 0")
+def relative_time(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).where(F.unix_timestamp("ts") <= F.unix_timestamp(views.as_of()))
+    return e.select("event_id", times.relative_time(F.col("ts"), views.as_of()).alias("ago"))
+
+
+_STRIP = "coalesce(html, '')"
+for _tag in html.DROPPED:
+    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'g')"
+_STRIP = f"regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _STRIP = f"replace({_STRIP}, '{_name}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_STRIP}, '\\s+', ' ', 'g')) AS plain FROM pages")
+def html_plain_text(spark: SparkSession, sf: str) -> DataFrame:
+    return views.read(spark, sf, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
+
+
+@query()
+def html_body(spark: SparkSession, sf: str) -> DataFrame:
+    return views.read(spark, sf, "pages").select("page_id", html.body_text(F.col("html")).alias("body"))
+
+
+@query("SELECT symbol, name, search_rank FROM (SELECT s_name AS symbol, 'Supplier ' || s_suppkey || ' of nation ' || s_nationkey AS name, CASE WHEN upper(s_name) = 'NATION 1' THEN 0 WHEN contains(upper('Supplier ' || s_suppkey || ' of nation ' || s_nationkey), 'NATION') AND contains('SUPPLIER ' || s_suppkey || ' OF NATION ' || s_nationkey, '1') THEN 3 END AS search_rank FROM supplier) WHERE search_rank IS NOT NULL ORDER BY search_rank, symbol LIMIT 8")
+def ticker_search(spark: SparkSession, sf: str) -> DataFrame:
+    s = views.read(spark, sf, "supplier").select(F.col("s_name").alias("symbol"), F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"), F.lit(" of nation "), F.col("s_nationkey").cast("string")).alias("name"))
+    return signals.ticker_search(s, "nation 1")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS id, sum(l_quantity) AS qty, sum(l_discount) AS disc, -sum(l_tax) AS tax, count(*)::DOUBLE AS rows, max(l_linenumber)::DOUBLE AS lines, min(l_quantity) AS least FROM lineitem GROUP BY ALL),
+u AS (SELECT id, unnest(['qty', 'disc', 'tax', 'rows', 'lines', 'least']) AS feature, round(unnest([qty, disc, tax, rows, lines, least]), 6) AS value FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feature) AS feature_rank, greatest(max(abs(value)) OVER (PARTITION BY id), 1e-9) AS top FROM u) SELECT id, feature, value, CAST(feature_rank AS INT) AS feature_rank, CAST(round(abs(value) / top * 100) AS BIGINT) AS percent FROM r WHERE feature_rank <= 5""")
+def top_features(spark: SparkSession, sf: str) -> DataFrame:
+    g = views.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("qty"), F.sum("l_discount").alias("disc"), (-F.sum("l_tax")).alias("tax"), F.count(F.lit(1)).cast("double").alias("rows"), F.max("l_linenumber").cast("double").alias("lines"), F.min("l_quantity").alias("least"))
+    entries = [x for c in ("qty", "disc", "tax", "rows", "lines", "least") for x in (F.lit(c), F.round(c, 6))] + [F.lit("__model"), F.lit(9999.0)]
+    return signals.top_features(g.select("id", F.create_map(*entries).alias("feature_importances"))).select("id", "feature", "value", "feature_rank", "percent")
