@@ -31,11 +31,12 @@ def rfc3339(x: Column) -> Column:
 
 
 def relative_time(then: Column, now: Column) -> Column:
-    """Minutes below an hour, hours below a day, else days."""
+    """``just now`` below a minute, minutes below an hour, hours below a day, else days."""
     minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
     hours = F.floor(minutes / 60)
     return (
-        F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
+        F.when(minutes < 1, "just now")
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
         .when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago")))
         .otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d ago")))
     )

@@ -449,7 +449,7 @@ def timestamp_parse(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", *[F.date_format(v, "yyyy-MM-dd HH:mm:ss").alias(k) for k, v in out.items()])
 
 
-@query(f"WITH d AS (SELECT event_id, CAST(floor((epoch({ASOF}) - floor(epoch(ts))) / 60) AS BIGINT) AS m FROM events) SELECT event_id, CASE WHEN m < 60 THEN m || 'm ago' WHEN m // 60 < 24 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago FROM d WHERE m >= 0")
+@query(f"WITH d AS (SELECT event_id, CAST(floor((epoch({ASOF}) - floor(epoch(ts))) / 60) AS BIGINT) AS m FROM events) SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m // 60 < 24 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago FROM d WHERE m >= 0")
 def relative_time(spark: SparkSession, sf: str) -> DataFrame:
     e = views.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).where(F.unix_timestamp("ts") <= F.unix_timestamp(views.as_of()))
     return e.select("event_id", times.relative_time(F.col("ts"), views.as_of()).alias("ago"))
