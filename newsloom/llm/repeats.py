@@ -75,9 +75,10 @@ def segments(values: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def keyed_documents(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """id, text (null: empty) and ``key``, by which a row is joined again."""
-    out = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+def keyed_documents(docs: DataFrame, id_column: str, text: str, carry: bool = False) -> DataFrame:
+    """id, text (null: empty) and ``key``, by which a row is joined again; with ``carry`` the whole row as well."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    out = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"), *row)
     twice = not out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     key = F.xxhash64("id", "text") if twice else F.coalesce("id", F.lit(-(2**63)))
     return out.withColumn("key", key)

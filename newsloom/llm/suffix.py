@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from newsloom.llm.common import batch_map
 from newsloom.llm.hashing import BASE, byte_values, powers, prefix_sums, window_hashes
@@ -135,21 +136,47 @@ def _cut(raw: bytes, places: None, a: int, b: int) -> bytes:
     return raw[a:b]
 
 
-def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """id, n_bytes, n_removed, kept (the remaining bytes) and removed (pairs of first byte and number of bytes)."""
-    keyed = keyed_documents(docs, id_column, text)
+def whole_characters(raw: bytes, gone: np.ndarray) -> str:
+    """The text that is left if only characters of which all bytes are gone go."""
+    data = np.frombuffer(raw, np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    left = np.add.reduceat((~gone).astype(np.int64), first) > 0
+    return data[np.repeat(left, np.diff(np.append(first, len(data))))].tobytes().decode()
+
+
+def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, carry: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, kept (the remaining bytes) and removed (pairs of first byte and number of bytes).
+
+    With ``carry``: the whole input row as ``row``, n_removed, and ``kept_text``, the text without the characters of which all bytes went.
+    """
+    keyed = keyed_documents(docs, id_column, text, carry)
     runs = repeated_windows(keyed, Tokens(_values, _cut, length, min(SEED, length)), sort_engine(length))
 
+    def cut(t: str, spans: list[int] | None) -> tuple[bytes, np.ndarray]:
+        raw = t.encode()
+        return raw, covered(spans, len(raw), length) if spans else np.zeros(len(raw), bool)
+
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "kept", "removed")}
         for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw = t.encode()
-            gone = covered(spans, len(raw), length)
+            raw, gone = cut(t, spans)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(edges) else raw
             for c, v in zip(out, (len(raw), int(gone.sum()), kept, [[int(a), int(b - a)] for a, b in edges.reshape(-1, 2)]), strict=True):
                 out[c].append(v)
         return {"id": batch.column("id")} | out
 
+    def run_carried(batch: pa.RecordBatch) -> dict:
+        n, kept = [], []
+        for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            raw, gone = cut(t, spans)
+            n.append(int(gone.sum()))
+            kept.append(whole_characters(raw, gone) if n[-1] else t)
+        return {"row": batch.column("row"), "n_removed": n, "kept_text": kept}
+
+    joined = with_runs(keyed, runs)
+    if carry:
+        fields = [joined.schema["row"], T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+        return batch_map(joined, ["row", "text", "spans"], run_carried, T.StructType(fields))
     schema = "id long, n_bytes long, n_removed long, kept binary, removed array<array<long>>"
-    return batch_map(with_runs(keyed, runs), ["id", "text", "spans"], run, schema).withColumnRenamed("id", id_column)
+    return batch_map(joined, ["id", "text", "spans"], run, schema).withColumnRenamed("id", id_column)
