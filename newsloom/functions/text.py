@@ -112,7 +112,7 @@ def signal_label(label: Column) -> Column:
 
 def csv_list(x: Column, upper: bool = False) -> Column:
     """Items of a comma-separated setting, trimmed, without empty ones."""
-    items = F.filter(F.transform(F.split(x, ","), F.trim), lambda v: v != "")
+    items = F.filter(F.transform(F.split(x, ","), lambda v: F.trim(v)), lambda v: v != "")
     return F.transform(items, F.upper) if upper else items
 
 
