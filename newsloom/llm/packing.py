@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,11 @@ QUANTUM = 8
 END_ID = 2
 BUCKET_ROWS = 50_000
 #: Words whose ids a Python worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 1_000_000, 48
 SLICE = 2_000_000
 _SPACE = re.compile(rb"[ \t-\r]")
+#: Where a run of ASCII marks (no apostrophe, which can open a contraction) closes a word.
+_MARKS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~]+(?:[ \t-\r]|\Z))")
 _known: dict[str, tuple] = {}
 
 
@@ -58,43 +61,52 @@ def _slices(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def _ends_a_word(stem: bytes) -> bool:
-    last = stem.decode()[-1:]
-    return last.isalpha() or last in "0123456789"
+def _learn(words: set[bytes], tokenizer, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
+    """Ids of words that aren't known yet; they are remembered unless they are long."""
+    order = [w for w in words if w not in known]
+    if len(known) + len(order) > REMEMBERED:
+        known.clear()
+        order = list(words)
+    encoded = tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
+    found = {w: _pack(e.ids) for w, e in zip(order, encoded, strict=True)}
+    known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+    return {w: x for w, x in found.items() if len(w) > LONGEST}
+
+
+def _pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, without special tokens.
 
-    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its words in
-    turn. The ids of usual words are remembered; a closing full stop or comma is always a piece of its own.
+    The tokenizer lower-cases, drops white space and never joins across it, nor a letter or digit with a mark after it, so
+    a text's ids are those of its words and closing marks in turn. The ids of usual words are remembered.
     """
     tokenizer, known = _encoder(path)
+    held: list[list[list[bytes]]] = []
+    size = 0
 
-    def learn(words: set[bytes]) -> dict[bytes, bytes]:
-        stems = {w: w[:-1] if len(w) > 1 and w[-1:] in b".," and _ends_a_word(w[:-1]) else w for w in words}
-        marks = {s for s in (*stems.values(), b".", b",") if s not in known}
-        order = list(marks)
-        ids = {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(order, tokenizer.encode_batch([s.decode() for s in order], add_special_tokens=False), strict=True)}
-        get = lambda s: ids.get(s) if s in ids else known[s]
-        found = ids | {w: get(s) if s == w else get(s) + get(w[-1:]) for w, s in stems.items()}
-        if len(known) + len(found) > REMEMBERED:
-            known.clear()
-        known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        return found
+    def flush() -> Iterator[bytes]:
+        long = _learn({w for parts in held for words in parts for w in words}, tokenizer, known)
+        for parts in held:
+            if long:
+                yield b"".join(known[w] if w in known else long[w] for words in parts for w in words)
+            else:
+                yield b"".join(b"".join(map(known.__getitem__, words)) for words in parts)
 
     for text in texts:
-        parts = []
-        for part in _slices(text.encode().lower()):
-            words = part.split()
-            try:
-                parts.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                new = {w for w in words if w not in known}
-                have = {w: known[w] for w in set(words) - new}
-                have |= learn(new)
-                parts.append(b"".join(map(have.__getitem__, words)))
-        yield b"".join(parts)
+        if "<|" in text:  # a special token's string, perhaps: it may have marks inside
+            yield from flush()
+            held, size = [], 0
+            yield _pack(tokenizer.encode(text, add_special_tokens=False).ids)
+            continue
+        held.append([_MARKS.sub(b" ", part).split() for part in _slices(text.encode().lower())])
+        size += len(text)
+        if size > SLICE:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_column: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
