@@ -2,7 +2,7 @@
 
 Writing: every payload becomes an HTTP response whose body has chunked transfer framing. A response block longer than
 ``segment_chars`` is cut at character borders into segments: a ``response`` record (segment 1) and ``continuation`` records that
-name the first by ``WARC-Segment-Origin-ID``; the last gives ``WARC-Segment-Total-Length``. Spark's text writer writes the records:
+name the first by ``WARC-Segment-Origin-ID``; the last gives ``WARC-Segment-Total-Length``. Spark's text writer writes the records, compressed by gzip:
 each file has at most ``records_per_file`` of them and so is of bounded size. Of equal payloads of at least ``revisit_bytes``, that with
 the largest id is written whole; the others are ``revisit`` records that refer to it.
 
@@ -18,6 +18,7 @@ is decoded, and length and SHA-1 are taken from the payload that was decoded; fo
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,7 +101,7 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
 
     planned = plan_records(pages, revisit_bytes).withColumn("rid", record_id(F.col("id"))).withColumn("refers", F.when(F.col("refers_to").isNotNull(), record_id(F.col("refers_to"))))
     lines = batch_map(planned, ["rid", "url", "payload", "digest", "refers"], records, "value string")
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,7 +127,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         names = {"record_id": "warc-record-id", "record_type": "warc-type", "url": "warc-target-uri", "digest": "warc-payload-digest", "refers_to": "warc-refers-to", "origin": "warc-segment-origin-id", "number": "warc-segment-number", "total": "warc-segment-total-length"}
         for raw in batch.column("content"):
-            found = list(parse_warc(raw.as_py()))
+            found = list(parse_warc(gzip.decompress(raw.as_py())))
             out = {k: [f.get(v) for f, _ in found] for k, v in names.items()}
             yield out | {k: [int(x) if x else None for x in out[k]] for k in ("number", "total")} | {"block": [b for _, b in found]}
 
