@@ -159,10 +159,10 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = batch_map(grouped, ["origin", "lead.record_type", "lead.url", "lead.refers_to", "parts"], join, schema)
 
     @F.pandas_udf("binary")
-    def body(blocks: pd.Series) -> pd.Series:
-        return blocks.map(lambda b: unframe(b.partition(b"\r\n\r\n")[2]))
+    def body(kinds: pd.Series, blocks: pd.Series) -> pd.Series:
+        return pd.Series([unframe(b.partition(b"\r\n\r\n")[2]) if k == "response" else None for k, b in zip(kinds, blocks, strict=True)], dtype=object)
 
-    payload = F.when(F.col("record_type") == "response", body("block"))
+    payload = body("record_type", "block")
     return whole.unionByName(joined).select("record_id", "record_type", "url", "refers_to", payload.alias("payload"))
 
 
