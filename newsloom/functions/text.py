@@ -121,3 +121,21 @@ def search_queries(ticker: Column, company: Column, sources: Sequence[str]) -> C
     terms = F.array_distinct(F.filter(F.array(ticker, company), lambda v: v.isNotNull() & (v != "")))
     base = F.concat(F.lit("("), F.array_join(terms, " OR "), F.lit(")"))
     return F.array(F.concat(base, F.lit(" stock")), *[F.concat(base, F.lit(f" site:{s}")) for s in sources])
+
+
+def _lexicon_engine(headline: Column, summary: Column) -> Column:
+    return lexicon_compound(F.concat(F.coalesce(headline, F.lit("")), F.lit(". "), F.coalesce(summary, F.lit(""))))
+
+
+#: Sentiment engines by name: functions of headline and summary that give a compound score as a column.
+ENGINES: dict = {"lexicon": _lexicon_engine}
+
+
+def register_engine(name: str, score) -> None:
+    """Makes ``score(headline, summary) -> Column`` (built-in functions, or a pandas UDF for a model) known by a name."""
+    ENGINES[name.lower()] = score
+
+
+def engine(name: str):
+    """The engine of that name; the lexicon where there is none."""
+    return ENGINES.get((name or "").lower(), _lexicon_engine)

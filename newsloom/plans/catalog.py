@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import html, stats, text, times
 from newsloom.operators import fundamentals, ingest, market, news, signals
 from newsloom.plans import views
-from newsloom.sources import feeds
+from newsloom.sources import tables
 from newsloom.streaming import events as live
 
 QUERIES: dict = {}
@@ -441,6 +441,15 @@ def json_event_parse(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("external_id", "url", "source", stamp("published_at"), "ticker", F.col("compound").cast("double").alias("compound"))
 
 
+@query(f"WITH {LIVE} SELECT DISTINCT url, 'wire' AS source FROM lv")
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream that is read until its end: one article for each address."""
+    root = tables.work_dir(spark)
+    live.publish(views.raw_events(spark, sf), f"{root}/in")
+    live.start_ingest(live.read_events(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", views.as_of()).awaitTermination()
+    return spark.read.parquet(f"{root}/out/articles").select("url", "source")
+
+
 @query("SELECT event_id, strftime(CASE WHEN event_id % 7 = 0 THEN TIMESTAMP '2024-01-31' ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS iso, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS rfc, strftime(CAST(ts AS DATE), '%Y-%m-%d %H:%M:%S') AS day_only, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS epoch_s FROM events")
 def timestamp_parse(spark: SparkSession, sf: str) -> DataFrame:
     e, ts = views.read(spark, sf, "events"), F.col("ts").cast("timestamp")

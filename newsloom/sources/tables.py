@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,13 @@ def _conformed(df: DataFrame, name: str) -> DataFrame:
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as a JSON object."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a temporary one if that is unset and Spark runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="newsloom-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"

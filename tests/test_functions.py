@@ -148,3 +148,8 @@ def test_watchlist(spark):
 
 def test_return_label(spark):
     assert [one(spark, market.return_label(F.lit(x).cast("double"))) for x in (0.02, 0.021, -0.02, -0.021, None)] == ["STABLE", "RISE", "STABLE", "FALL", "STABLE"]
+
+
+def test_engines(spark):
+    text.register_engine("Shout", lambda h, s: F.when(h == F.upper(h), 1.0).otherwise(0.0))
+    assert [one(spark, text.engine(n)(F.lit("UP"), F.lit("weak"))) for n in ("shout", "lexicon", "none")] == [1.0, -1.0, -1.0]
