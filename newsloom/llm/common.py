@@ -17,17 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: A hot key is one with at least this share of all rows, so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.002
+#: At most so many keys are treated as hot, and only those with so many rows.
+HOT_KEYS, HOT_ROWS = 500, 1000
 #: Into so many parts a hot key is split.
 SALTS = 32
 
 
+#: Rows of an Arrow batch, unless the cluster sets it: texts are long, and buffers of batches count many times over.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+_created: list[str] = []
+
+
 def reach_workers(spark: SparkSession) -> None:
-    """Lets Python workers started on this machine import the package.
+    """Lets Python workers started on this machine import the package, and keeps batches small.
 
     On a cluster the package comes with ``--py-files`` or is installed there.
     """
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -51,7 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="newsloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/newsloom-{uuid.uuid4().hex}"
+    _created.append(path := f"{base.rstrip('/')}/newsloom-{uuid.uuid4().hex}")
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -74,9 +85,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Maximal runs of characters other than space and U+0009 to U+000D, as UTF-8; ``bytes.split`` divides at just these."""
-    return [] if text is None else text.encode().split()
+def drop_all_stored(spark: SparkSession) -> None:
+    """Deletes all that this process has written to the shared folder. Results that haven't been written or collected yet are lost."""
+    while _created:
+        delete_path(spark, _created.pop())
 
 
 def batch_map(df: DataFrame, columns: Sequence[str | Column], fn: Callable[[pa.RecordBatch], Iterable[dict] | dict], schema: str | T.StructType) -> DataFrame:
@@ -116,17 +128,18 @@ def salt_of(*columns: str) -> Column:
 def join_by_hot_key(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` for a ``left`` where a key may hold a large share of the rows; ``right`` has each key once.
 
-    Rows of hot keys are dealt to :data:`SALTS` parts by the columns ``spread``, and the matching rows of
-    ``right`` are repeated for each part. Hot keys number at most ``1 / HOT_SHARE``, so the list of them is broadcast.
+    The :data:`HOT_KEYS` keys with most rows, if they have :data:`HOT_ROWS` or more, are hot: any key with a share above
+    ``1 / HOT_KEYS`` is among them, and the list that is broadcast has no more. Their rows are dealt to :data:`SALTS`
+    parts by the columns ``spread``, and the matching rows of ``right`` are repeated for each part.
     ``sizes``: the keys with ``size``, the number of their rows in ``left``, where that is known; keys of a row may be missing.
     """
     if sizes is None:
         sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.agg(F.sum("size").alias("_total"))
-    hot = sizes.join(F.broadcast(total)).where((F.col("size") >= 1000) & (F.col("size") >= F.col("_total") * HOT_SHARE)).select(*keys).distinct()
-    found = hot.limit(int(1 / HOT_SHARE) + 1).collect()
+    hot = sizes.where(F.col("size") >= HOT_ROWS)
+    found = [r[:-1] for r in hot.select(*keys, "size").orderBy(F.desc("size")).limit(HOT_KEYS).collect()]
     if not found:
         return left.join(right, keys, how)
+    hot = hot.select(*keys)
     hot = F.broadcast(left.sparkSession.createDataFrame(found, hot.schema).withColumn("_hot", F.lit(True)))
     salted = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt_of(*spread)).otherwise(0)).drop("_hot")
     spreads = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
