@@ -34,6 +34,10 @@ MAX_GAP = 4
 MIN_SHARE = 0.7
 BLOCK_SEEDS = 500_000
 _STRIP = re.compile(r"^\W+|\W+$")
+#: A multiplier for each place of each mask.
+_ODD = mixed(np.arange(1, 1 + len(MASKS) * max(map(len, MASKS)), dtype=np.uint64)).reshape(len(MASKS), -1) | np.uint64(1)
+#: Of a hash, so many leading bits are looked up in a table before the hash itself is.
+_FIRST_BITS = 22
 _words: dict[str, int] = {}
 
 
@@ -58,16 +62,16 @@ def word_hashes(text: str | None) -> np.ndarray:
     return x[x != 0]
 
 
-def seeds(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[np.ndarray, int]]:
+def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """For each mask, the hash of what it sees at each start."""
-    for k, mask in enumerate(masks):
+    for k, mask in enumerate(MASKS):
         n = len(words) - len(mask) + 1
         if n < 1:
             continue
         h = np.full(n, k + 1, np.uint64)
         for j, c in enumerate(mask):
             if c == "1":
-                h = mixed(h + words[j : j + n] * np.uint64(0x9E3779B97F4A7C15))
+                h += words[j : j + n] * _ODD[k, j]
         yield h, k
 
 
@@ -90,10 +94,11 @@ def overlaps(words: np.ndarray, block: dict, min_match: int, max_gap: int, min_s
     """item_id, start, end (in normalised words), equal words of each overlap with the block's items."""
     found, seen = [], set()
     for h, _ in seeds(words):
-        at = np.searchsorted(block["hash"], h)
+        likely = np.flatnonzero(block["first"][(h >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)])
+        at = np.searchsorted(block["hash"], h[likely])
         at[at == len(block["hash"])] = 0
-        for i in np.flatnonzero(block["hash"][at] == h):
-            k = int(at[i])
+        hit = block["hash"][at] == h[likely]
+        for i, k in zip(likely[hit].tolist(), at[hit].tolist(), strict=True):
             while k < len(block["hash"]) and block["hash"][k] == h[i]:
                 item, j = int(block["item"][k]), int(block["place"][k])
                 k += 1
@@ -132,8 +137,10 @@ def _blocks(benchmark: DataFrame, id_column: str, text: str) -> Iterator[dict]:
         parts = [(h, np.full(len(h), k), np.arange(len(h))) for k, w in enumerate(words) for h, _ in seeds(w)]
         hashes, item, place = (np.concatenate(x) if parts else np.zeros(0, np.uint64) for x in (zip(*parts, strict=True) if parts else ((),) * 3))
         order = np.argsort(hashes, kind="stable")
+        first = np.zeros(1 << _FIRST_BITS, bool)
+        first[(hashes >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)] = True
         short = [k for k, w in enumerate(words) if 0 < len(w) < min(map(len, MASKS))]
-        return {"hash": hashes[order], "item": item[order].astype(np.int64), "place": place[order].astype(np.int64), "words": words, "id": [i for i, _ in rows], "short": short}
+        return {"first": first, "hash": hashes[order], "item": item[order].astype(np.int64), "place": place[order].astype(np.int64), "words": words, "id": [i for i, _ in rows], "short": short}
 
     for r in benchmark.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).toLocalIterator():
         w = word_hashes(r["t"])
