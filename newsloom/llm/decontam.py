@@ -5,7 +5,8 @@ looks at some places and ignores the others, so one or more changed words need n
 seeds are broadcast in blocks of at most :data:`BLOCK_SEEDS` with the words of the items they come from, and each document is
 held against a block in one pass: hits by hash, then around each hit the words are compared place by place. A run with at least
 ``min_match`` equal words, at most ``max_gap`` changed ones between two equal ones and at least ``min_share`` of equal words overall is
-an overlap. Items shorter than ``min_match`` words are found if they occur whole.
+an overlap. Of a stretch that has a hit, the run with most equal words is reported, then those beside it, so further equal words never
+hide a run. Items shorter than ``min_match`` words are found if they occur whole.
 
 Documents are never shuffled nor grouped, so nothing is hot; more benchmark items mean more passes, not a larger broadcast.
 
@@ -75,19 +76,34 @@ def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         yield h, k
 
 
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int, max_gap: int) -> tuple[int, int, int]:
-    """Start and end in ``a`` of the overlap with ``b`` through places i and j on one diagonal, and how many words are equal."""
+def extend(a: np.ndarray, b: np.ndarray, i: int, j: int, max_gap: int) -> np.ndarray:
+    """Places in ``a`` of the words equal to those of ``b`` on one diagonal, around places i and j as far as gaps allow."""
     back = min(i, j)
     n = min(len(a) - i, len(b) - j)
-    same = a[i - back : i + n] == b[j - back : j + n]
-    at = np.flatnonzero(same)
+    at = np.flatnonzero(a[i - back : i + n] == b[j - back : j + n])
     k = int(np.searchsorted(at, back))
     breaks = np.flatnonzero(np.diff(at) > max_gap + 1)
     lo = breaks[breaks < k]
     hi = breaks[breaks >= k]
-    first = at[lo[-1] + 1] if len(lo) else at[0]
-    last = at[hi[0]] if len(hi) else at[-1]
-    return i - back + int(first), i - back + int(last) + 1, int(same[first : last + 1].sum())
+    return i - back + at[int(lo[-1]) + 1 if len(lo) else 0 : int(hi[0]) + 1 if len(hi) else len(at)]
+
+
+def runs(at: np.ndarray, least: int, min_share: float) -> Iterator[tuple[int, int, int]]:
+    """Start, end and number of equal words of runs with ``least`` of them and their share: the one with most, then those beside it."""
+    todo = [at]
+    while todo:
+        at = todo.pop()
+        if len(at) < max(least, 1):
+            continue
+        k = np.arange(len(at))
+        # from p to q, q - p + 1 >= min_share * (at[q] - at[p] + 1); for each q, the first p that fulfils this
+        need = np.minimum.accumulate(k - min_share * at)
+        p = np.searchsorted(-need, -(k + 1 - min_share * (at + 1) + 1e-9))
+        q = int((k - p).argmax())
+        same = q - int(p[q]) + 1
+        if same >= least:
+            yield int(at[p[q]]), int(at[q]) + 1, same
+            todo += [at[: p[q]], at[q + 1 :]]
 
 
 def overlaps(words: np.ndarray, block: dict, min_match: int, max_gap: int, min_share: float) -> list[tuple]:
@@ -107,10 +123,9 @@ def overlaps(words: np.ndarray, block: dict, min_match: int, max_gap: int, min_s
                 own = block["words"][item]
                 if words[i] != own[j]:  # a mask begins with a place that it looks at: this was a collision
                     continue
-                start, end, same = extend(words, own, int(i), j, max_gap)
-                seen.add(((item, int(i) - j), start, end))
-                if same >= min(min_match, len(own)) and same >= min_share * (end - start):
-                    found.append((block["id"][item], start, end, same))
+                equal = extend(words, own, int(i), j, max_gap)
+                seen.add(((item, int(i) - j), int(equal[0]), int(equal[-1]) + 1))
+                found += [(block["id"][item], *run) for run in runs(equal, min(min_match, len(own)), min_share)]
     return found
 
 

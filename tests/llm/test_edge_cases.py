@@ -236,6 +236,30 @@ def test_decontamination(spark, docs, crowded, none):
     assert decontam.find_overlaps(docs, items.limit(0)).isEmpty() and decontam.find_overlaps(none, items).isEmpty()
 
 
+def test_decontamination_of_a_core_beside_sparse_words(spark):
+    """Single equal words after, or before and after, passages taken over word by word don't hide them."""
+    item, other = sentence(40, 120).split(), sentence(41, 120).split()
+    tail = [*item[:20], *[item[k] if k % 5 == 4 else other[k] for k in range(20, 35)], *other[35:]]
+    middle = [*item[:20], *[item[k] if k % 5 == 4 else other[k] for k in range(20, 95)], *item[95:115], *other[115:]]
+    df = spark.createDataFrame([(1, " ".join(tail), None, None, 0), (2, " ".join(middle), None, None, 0)], SCHEMA)
+    rows = decontam.find_overlaps(df, spark.createDataFrame([(7, " ".join(item))], "item_id LONG, text STRING")).collect()
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["n_equal"]) for r in rows)
+    assert [x[0] for x in got] == [1, 2, 2] and all(n >= 20 and n >= 0.7 * (e - s) for _, s, e, n in got)
+    assert got[0][1] == 0 and got[0][2] >= 20 and got[1][1] == 0 and got[1][2] >= 20 and got[2][1] <= 95 and got[2][2] == 115
+
+
+def test_runs_are_found_wherever_there_is_one():
+    rng = np.random.default_rng(8)
+    for share in (0.5, 0.7, 0.8, 1.0):
+        for _ in range(60):
+            at = np.cumsum(rng.choice([1, 1, 1, 2, 4, 5], rng.integers(1, 60)))
+            fits = [(q - p + 1, p, q) for q in range(len(at)) for p in range(q + 1) if q - p + 1 >= 13 and q - p + 1 >= share * (at[q] - at[p] + 1) - 1e-9]
+            got = list(decontam.runs(at, 13, share))
+            assert max((n for *_, n in got), default=0) == max((n for n, *_ in fits), default=0)
+            assert all(n == ((at >= s) & (at < e)).sum() >= share * (e - s) - 1e-9 for s, e, n in got)
+            assert all(any(s <= at[q] and at[p] < e for s, e, _ in got) for _, p, q in fits)
+
+
 def test_decontamination_in_blocks(docs, spark, monkeypatch):
     items = spark.createDataFrame([(k, sentence(k)) for k in range(1, 5)], "item_id LONG, text STRING")
     want = sorted(decontam.find_overlaps(docs, items).collect(), key=str)
