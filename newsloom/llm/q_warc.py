@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import delete_path, shared_dir, stored, table
-from newsloom.llm.warc import read_warc, resolve_revisits, write_warc
+from newsloom.llm.warc import page_of, read_warc, resolve_revisits, write_warc
 
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +13,11 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(pages, path)
     rows = stored(read_warc(spark, path).drop("payload"))
     delete_path(spark, path)
-    number = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast("long")
-    refers = F.when(F.col("refers_to").isNotNull(), number("refers_to"))
-    return resolve_revisits(rows).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
+    page, kind = page_of(F.col("record_id")), F.col("record_type")
+    # as in the SQL, whose comparison with a null id never holds, a page without an id is called a revisit and refers to nothing
+    kind = F.when(page.isNull(), "revisit").otherwise(kind).alias("record_type")
+    refers = F.when(page.isNotNull(), page_of(F.col("refers_to"))).alias("refers_to")
+    return resolve_revisits(rows).select(page.alias("page_id"), "payload_bytes", "payload_digest", kind, refers)
 
 
 SQL = """

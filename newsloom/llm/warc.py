@@ -10,8 +10,9 @@ Reading: files are parsed by ``Content-Length``, and records with a segment numb
 and joined; numbers must be gapless from 1 and the total length must be right, else the reader fails. Then the chunked framing
 is decoded, and length and SHA-1 are taken from the payload that was decoded; for a revisit they are taken from what it refers to.
 
-* A null payload is written as an empty one; null ids are not allowed in ``id`` and make the writer fail.
-* Equal rows with one id make two records of one identity, which the reader's check of segments refuses: ids must be unique.
+* A null payload is written as an empty one.
+* Repeated and null ids: each row has a record id of its own (:func:`numbered`), so each makes one response or revisit. Rows with
+  the largest id of equal payloads are all written whole; null ids count as less than all others.
 * Very long payloads become many segments, in any number of files. An empty table gives no records and an empty table.
 * Only the columns ``id``, ``url`` and ``payload`` are read; others don't matter.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_map, join_by_hot_key
+from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, stored
 
 #: Payloads at least this long (in bytes) are written once.
 REVISIT_BYTES = 1000
@@ -38,10 +39,14 @@ HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-En
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record_id(page_id: Column, segment: Column | None = None) -> Column:
-    """A URN made from the id, and from the segment's number for a continuation."""
-    text = F.concat_ws(":", F.lit("urn:page"), page_id.cast("string"), *([segment.cast("string")] if segment is not None else []))
-    return F.concat(F.lit("<"), text, F.lit(">"))
+def record_id(page_id: Column, row: Column | None = None) -> Column:
+    """A URN made from the id, empty if null, and from the row's number where ids don't tell rows apart."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), *([F.lit(":row:"), row.cast("string")] if row is not None else []), F.lit(">"))
+
+
+def page_of(record: Column) -> Column:
+    """The id that :func:`record_id` was made from, as a number."""
+    return F.regexp_extract(record, "^<urn:page:(.*?)(:row:[0-9]+)?>$", 1).try_cast("long")
 
 
 def _frame(text: str) -> str:
@@ -71,14 +76,24 @@ def _header(kind: str, rid: str, url: str, digest: str, length: int, **more: str
     return "\r\n".join([*lines, f"Content-Type: {'application/http; msgtype=response' if kind != 'continuation' else 'application/octet-stream'}", f"Content-Length: {length}"]) + END
 
 
-def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """id, url, payload, digest, and ``refers_to``: the largest id with an equal payload where that isn't the row's own, else null."""
+def numbered(pages: DataFrame) -> DataFrame:
+    """id, url, payload and ``rid``, a record id for each row.
+
+    If any id is null or repeated, rows are numbered. Numbers are given once and so are stored, since rows are read twice.
+    """
     full = pages.select("id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("payload", F.lit("")).alias("payload"))
-    full = full.withColumn("digest", F.sha1(F.encode("payload", "utf-8"))).withColumn("n", F.octet_length("payload"))
-    slim = full.where(F.col("n") >= revisit_bytes).select("digest", "n", "id")
-    first = slim.groupBy("digest", "n").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    revisits = join_by_hot_key(slim, first, ["digest", "n"], ["id"]).where("id <> first").select("id", F.col("first").alias("refers_to"))
-    return full.join(revisits, "id", "left")
+    if pages.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1").isEmpty():
+        return full.withColumn("rid", record_id(F.col("id")))
+    return stored(full.withColumn("rid", record_id(F.col("id"), F.monotonically_increasing_id())))
+
+
+def plan_records(rows: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """``rows`` with ``digest``, and ``refers``: a record that has an equal payload and the largest id, where that isn't the row's own id, else null."""
+    full = rows.withColumn("digest", F.sha1(F.encode("payload", "utf-8"))).withColumn("n", F.octet_length("payload"))
+    slim = full.where(F.col("n") >= revisit_bytes).select("digest", "n", "id", "rid")
+    first = slim.groupBy("digest", "n").agg(F.max(F.struct("id", "rid")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    revisits = join_by_hot_key(slim, first, ["digest", "n"], ["rid"]).where("NOT id <=> first.id").select("rid", F.col("first.rid").alias("refers"))
+    return full.join(revisits, "rid", "left")
 
 
 def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, segment_chars: int = SEGMENT_CHARS, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -99,9 +114,11 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
                 more |= {"WARC_Segment_Total_Length": str(total)} if k == len(parts) > 1 else {}
                 yield {"value": [_header("response" if k == 1 else "continuation", rid if k == 1 else f"{rid[:-1]}:{k}>", url, digest if k == 1 else "", len(part.encode()), **more) + part]}
 
-    planned = plan_records(pages, revisit_bytes).withColumn("rid", record_id(F.col("id"))).withColumn("refers", F.when(F.col("refers_to").isNotNull(), record_id(F.col("refers_to"))))
-    lines = batch_map(planned, ["rid", "url", "payload", "digest", "refers"], records, "value string")
+    rows = numbered(pages)
+    lines = batch_map(plan_records(rows, revisit_bytes), ["rid", "url", "payload", "digest", "refers"], records, "value string")
     lines.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    if hasattr(rows, "stored_path"):
+        drop_stored(rows)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

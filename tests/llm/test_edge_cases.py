@@ -289,6 +289,29 @@ def test_warc(spark):
     assert warc.read_warc(spark, empty).isEmpty()
 
 
+def test_warc_of_repeated_and_null_ids(spark, tmp_path):
+    import duckdb
+    from conftest import same_rows
+
+    from newsloom.llm import q_warc
+
+    long, other, copy = "".join(f"{k} é\r\n\r\n" for k in range(9_000)), "w" * 40_000, "c" * 2_000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", long), (2, "u", copy), (2, "u", copy), (9, "u", copy), (3, "u", other), (3, "u", "short"), (0, "u", other)]
+    rows += [(None, "u", other), (None, None, None), (None, "u", "n" * 30_000), (None, "u", "n" * 30_000), (4, "u", None), (4, "u", None), (-5, "u", "m")]
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
+    path = shared_dir(spark)
+    warc.write_warc(pages.select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload")), path)
+    read = warc.resolve_revisits(warc.read_warc(spark, path)).collect()
+    sizes = {r["record_id"]: r["payload_bytes"] for r in read}
+    assert len(sizes) == len(rows) and all(sizes[r["refers_to"]] == r["payload_bytes"] for r in read if r["record_type"] == "revisit")
+    assert sorted(sizes.values()) == sorted(len((p or "").encode()) for *_, p in rows)
+    assert sum(r["record_type"] == "revisit" for r in read) == 4
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(q_warc.op9_warc_segments(spark, str(tmp_path)), con, q_warc.SQL)
+
+
 def test_stages(spark, docs, crowded, none, tmp_path):
     import shutil
 
