@@ -11,9 +11,11 @@ signatures agree at a register with the probability Jaccard similarity of the do
    the texts, is ``threshold`` or more.
 3. Links make groups (connected components: least labels spread along links, and labels of labels are followed).
 4. In buckets that still hold several groups, members are compared with the member that has most links (the original of a family of
-   copies, where the least id is but one of them). After that, members outside a bucket's least group are compared with those of other
-   groups if enough of one bit of each register agree (:data:`AGREE`). In buckets of over :data:`LARGE` members, only those that
-   share a second band as well are compared. Nothing is capped or left out.
+   copies, where the least id is but one of them). After that, all members of a bucket that are still of different groups are compared, at
+   every size of a bucket. So every pair that shares a bucket is either compared or of one group already; none is left out.
+
+Which pairs share a bucket is chance: at a probability Jaccard similarity of 0.8 nearly all do, but a pair whose shingle sets alone
+are similar may share none and is then not linked.
 
 Rows of a hot bucket or of a hot least id are dealt to many tasks. Tables that are read again are written to the shared folder.
 
@@ -40,9 +42,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
-#: Bits that must agree: at the threshold it is nine in ten, with a deviation of 0.023, so this is nearly four deviations below.
-AGREE = 0.81
-LARGE = 500
 #: So often, at most, members of a bucket with several groups are compared with its best linked member before pairs are tried.
 HUB_ROUNDS = 2
 #: Texts are signed in groups of so many characters, and points drawn so many at once, so that arrays stay in a core's cache.
@@ -149,13 +148,6 @@ def band_keys(owners: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def agreement_bits(owners: np.ndarray) -> np.ndarray:
-    """One bit of each register of each signature, in 64-bit numbers: registers that agree have equal bits, others by even chance."""
-    bits = np.zeros((len(owners), -(-REGISTERS // 64) * 64), np.uint8)
-    bits[:, :REGISTERS] = (mixed(owners) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     """``texts`` in groups of some :data:`CHARACTERS`."""
     held, size = [], 0
@@ -169,30 +161,29 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def signed_texts(texts: list[str]) -> dict[str, tuple]:
-    """Bands and bits of each text; None twice without shingles."""
-    out: dict[str, tuple] = {}
+def signed_texts(texts: list[str]) -> dict[str, np.ndarray | None]:
+    """Bands of each text; None without shingles."""
+    out: dict[str, np.ndarray | None] = {}
     for group in _groups(list(dict.fromkeys(texts))):
         elements, weights, owner = shingle_groups(group)
         owners = prob_minhashes(elements, weights, owner, len(group))
         some = np.bincount(owner, minlength=len(group)) > 0
-        bands, bits = band_keys(owners), agreement_bits(owners)
-        out |= {t: (bands[k], bits[k]) if some[k] else (None, None) for k, t in enumerate(group)}
+        bands = band_keys(owners)
+        out |= {t: bands[k] if some[k] else None for k, t in enumerate(group)}
     return out
 
 
 def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, copy (a digest of the text), bands and bits (null without shingles) of each row whose text isn't null."""
+    """id, copy (a digest of the text) and bands (null without shingles) of each row whose text isn't null."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
         known = signed_texts(texts)
-        out = [known[t] for t in texts]
-        return {"id": batch.column("id"), "copy": batch.column("copy"), "bands": [b for b, _ in out], "bits": [b for _, b in out]}
+        return {"id": batch.column("id"), "copy": batch.column("copy"), "bands": [known[t] for t in texts]}
 
     t = F.col(text)
     columns = [F.col(id_column).cast("long").alias("id"), t.alias("text"), F.unhex(F.md5(F.encode(t, "utf-8"))).alias("copy")]
-    return batch_map(docs.where(t.isNotNull()), columns, run, "id long, copy binary, bands array<long>, bits array<long>")
+    return batch_map(docs.where(t.isNotNull()), columns, run, "id long, copy binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -244,8 +235,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """id and class_id, the least id of the row's group, for each row of ``docs``."""
     usable = F.col(id_column).isNotNull() & F.col(text).isNotNull()
     signed = stored(signatures(docs.where(usable), id_column, text))
-    ones = signed.groupBy("copy").agg(F.min(F.struct("id", "bands", "bits")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    ones = stored(ones.select("copy", "copies", "m.id", "m.bands", "m.bits"))
+    ones = signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    ones = stored(ones.select("copy", "copies", "m.id", "m.bands"))
     members = ones.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     buckets = stored(members.groupBy("bucket").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     placed = stored(join_by_hot_key(members, buckets, ["bucket"], ["id"], sizes=buckets))
@@ -258,10 +249,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         rows = _open_buckets(placed, groups)
         if rows.isEmpty():
             break
-        more = stored(_hub_pairs(rows, links, pairs) if k < HUB_ROUNDS else _agreeing_pairs(rows, ones, pairs))
+        more = stored(_hub_pairs(rows, links, pairs) if k < HUB_ROUNDS else _pairs_apart(rows, pairs))
         if more.isEmpty():
             if k < HUB_ROUNDS:
-                more = stored(_agreeing_pairs(rows, ones, pairs))
+                more = stored(_pairs_apart(rows, pairs))
             k = HUB_ROUNDS
         found = stored(_verified(more, texts, threshold))
         pairs = pairs.union(more)
@@ -298,19 +289,15 @@ def _hub_pairs(rows: DataFrame, links: DataFrame, tried: DataFrame) -> DataFrame
     return _untried(pairs, tried)
 
 
-def _agreeing_pairs(rows: DataFrame, ones: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of different groups in one bucket whose signatures agree enough: members outside the bucket's least group with all others."""
-    main = rows.groupBy("bucket").agg(F.min("group").alias("main"), F.first("size").alias("size"))
-    main = stored(main)
-    signed = join_by_hot_key(rows.drop("size"), main, ["bucket"], ["id"], sizes=main.select("bucket", "size")).join(ones.select("id", "bands", "bits"), "id")
-    keyed = signed.withColumn("key", F.explode(F.when(F.col("size") > LARGE, F.col("bands")).otherwise(F.array(F.lit(0).cast("long"))))).drop("bands")
-    keyed = stored(keyed.where((F.col("size") <= LARGE) | (F.col("key") != F.col("bucket"))))
-    x = keyed.where("group <> main").select("bucket", "key", F.col("id").alias("a"), F.col("group").alias("ga"), F.col("main").alias("main_a"), F.col("bits").alias("sa"))
-    y = keyed.select("bucket", "key", F.col("id").alias("b"), F.col("group").alias("gb"), F.col("bits").alias("sb"))
-    differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(-(-REGISTERS // 64))), F.lit(0))
-    agree = REGISTERS - differ >= AGREE * REGISTERS
+def _pairs_apart(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of different groups in one bucket: members outside the bucket's least group with all others."""
+    main = stored(rows.groupBy("bucket").agg(F.min("group").alias("main"), F.first("size").alias("size")))
+    sizes = main.select("bucket", "size")
+    keyed = stored(join_by_hot_key(rows.drop("size"), main.drop("size"), ["bucket"], ["id"], sizes=sizes))
+    x = keyed.where("group <> main").select("bucket", F.col("id").alias("a"), F.col("group").alias("ga"), F.col("main").alias("main_a"))
+    y = keyed.select("bucket", F.col("id").alias("b"), F.col("group").alias("gb"))
     once = (F.col("gb") == F.col("main_a")) | (F.col("a") < F.col("b"))
-    found = x.join(y, (x["bucket"] == y["bucket"]) & (x["key"] == y["key"]) & (F.col("ga") != F.col("gb")) & once & agree)
+    found = join_by_hot_key(x, y, ["bucket"], ["a"], sizes=sizes).where((F.col("ga") != F.col("gb")) & once)
     return _untried(found.select("a", "b").distinct(), tried)
 
 

@@ -135,6 +135,21 @@ def test_family_of_copies(spark):
     assert {v[0] for v in out.values()} == {0}
 
 
+@pytest.mark.parametrize("seed", [73, 182, 376])
+def test_pairs_of_one_band_are_compared(spark, monkeypatch, seed):
+    """Texts 1 and 2 have similar shingle sets and share one band, in a bucket whose least id is like neither; its size must not matter."""
+    monkeypatch.setattr(minhash, "LARGE", 2, raising=False)
+    rng = np.random.default_rng(seed)
+    part = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(30))
+    base = [part() for _ in range(6)]
+    text = lambda parts: " ".join(" ".join([p] * int(rng.choice([1, 2, 5]))) for p in parts)
+    texts = [text([*base[:4], part(), part()]), text(base), text(base)]
+    bands = [set(minhash.band_keys(minhash.prob_minhash(*minhash.shingles(t))[None])[0].tolist()) for t in texts]
+    assert bands[0] & bands[1] & bands[2] and len(bands[1] & bands[2]) == 1
+    out = by_id(minhash.near_duplicates(spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)), "class_id")
+    assert out == {0: [0], 1: [1], 2: [1]}
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 103), (7, 200)]
     got = {r["node"]: r["label"] for r in minhash.components(spark.createDataFrame(pairs, "a LONG, b LONG")).collect()}
