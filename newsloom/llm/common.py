@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -24,12 +25,12 @@ HOT_KEYS, HOT_ROWS = 500, 1000
 SALTS = 32
 
 
-#: Rows of an Arrow batch, unless the cluster sets it: texts are long, and buffers of batches count many times over.
-BATCH_ROWS = 1000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch, unless the cluster sets them: texts are long, and buffers of batches count many times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 _created: list[str] = []
+_kept: set[str] = set()
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -37,14 +38,20 @@ def reach_workers(spark: SparkSession) -> None:
 
     On a cluster the package comes with ``--py-files`` or is installed there.
     """
-    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
-        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    for name, value in BATCHES.items():
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, value)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def quoted(column: str) -> str:
+    """The name so that dots and backticks in it are part of it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,16 +73,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    if keep:
+        _kept.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that was written to the shared folder within it, but for what is kept.
+
+    If nothing that is kept was written within it, results are still to be computed, and nothing is deleted.
+    """
+    before = len(_created)
+    yield
+    if _kept.intersection(_created[before:]):
+        for path in [p for p in _created[before:] if p not in _kept]:
+            _created.remove(path)
+            delete_path(spark, path)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes what :func:`stored` wrote, once nothing reads it any more."""
     delete_path(df.sparkSession, df.stored_path)
@@ -96,15 +119,18 @@ def batch_map(df: DataFrame, columns: Sequence[str | Column], fn: Callable[[pa.R
     """``mapInArrow`` over the named columns; ``fn`` turns a batch into a dict of columns, or several."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = schema.names
+    taken = df.select(*columns)
+    given = taken.columns
+    plain = taken.toDF(*[f"c{k}" for k in range(len(given))])  # mapInArrow can't take names with dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            found = fn(batch)
+            found = fn(batch.rename_columns(given))
             for out in [found] if isinstance(found, dict) else found:
                 yield pa.RecordBatch.from_arrays([_arrow(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def packed_texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -114,7 +140,7 @@ def packed_texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         return {"id": batch.column("id"), "packed": [pack.compress(t.encode()) for t in batch.column("text").to_pylist()]}
 
-    return batch_map(docs.where(F.col(text).isNotNull()), [F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")], run, "id long, packed binary")
+    return batch_map(docs.where(F.col(quoted(text)).isNotNull()), [F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(text)).alias("text")], run, "id long, packed binary")
 
 
 def _arrow(values, kind: pa.DataType) -> pa.Array:

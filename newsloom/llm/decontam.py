@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_map, mixed
+from newsloom.llm.common import batch_map, mixed, quoted
 
 #: Fixed masks (1 looks, 0 ignores): the first is solid, the others let substitutions pass at different places.
 MASKS = ("11111111", "110110110110110", "111010010101110", "101011100110111", "11100011100111")
@@ -191,5 +191,5 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that overlap with the benchmark; rows with a null id stay."""
-    dirty = find_overlaps(docs, benchmark, id_column, **options).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs[id_column] == F.col("_dirty"), "left_anti")
+    dirty = find_overlaps(docs, benchmark, id_column, **options).select(F.col("doc_id").alias(id_column)).distinct()
+    return docs.join(dirty, id_column, "left_anti").select(*map(quoted, docs.columns))

@@ -1,55 +1,86 @@
-"""Polynomial hashes of byte strings and words, by numpy."""
+"""Polynomial hashes of byte strings and words modulo a prime, by numpy.
+
+A hash is two polynomials modulo 2 ** 31 - 1, 62 bits together. With a base that was drawn at random after the texts were written
+(:meth:`Keys.drawn`), no text can be made to collide with another on purpose. Hashes only route and order; what counts as
+equal is compared by bytes or by 128 bits of a cryptographic digest.
+"""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
-from newsloom.llm.common import mixed
-
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
-#: Bytes (or words) that are worked on at once; longer texts go in parts.
+P = np.uint64(2**31 - 1)
+#: Bytes that are worked on at once; longer texts go in parts.
 PART = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _powers: dict[int, np.ndarray] = {}
 
 
+@dataclass(frozen=True)
+class Keys:
+    """The bases of both polynomials."""
+
+    bases: tuple[int, int] = (1_103_515_245, 1_566_083_941)
+
+    @staticmethod
+    def drawn() -> Keys:
+        return Keys(tuple(1000 + secrets.randbelow(int(P) - 2000) for _ in range(2)))
+
+
+def rest(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    return x - (x // P) * P
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** k`` modulo 2 ** 64 for k below n."""
+    """``base ** k`` modulo the prime for k below n."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 12 if have is None else 2 * len(have))
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.cumprod(have, dtype=np.uint64)
+        if have is None and len(_powers) >= 8:
+            _powers.clear()
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) < n:
+            have = np.concatenate([have, rest(have * np.uint64(pow(base, len(have), int(P))))])
+        _powers[base] = have
     return have[:n]
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """S with S[0] = 0 and S[k + 1] = S[k] + values[k] * BASE ** -k, modulo 2 ** 64."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(INVERSE, len(values)), out=out[1:])
-    return out
+class Sums:
+    """Prefix sums of values below 2 ** 31 (an array for each polynomial), from which the hash of any span follows."""
 
+    def __init__(self, values: tuple[np.ndarray, np.ndarray], keys: Keys):
+        self.size, self.sums, self.scale = len(values[0]), [], []
+        for v, base in zip(values, keys.bases, strict=True):
+            s = np.zeros(self.size + 1, np.uint64)
+            np.cumsum(rest(v * powers(pow(base, -1, int(P)), self.size)), out=s[1:])
+            self.sums.append(rest(s))
+            self.scale.append(powers(base, self.size + 1))
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the values in each span, the same wherever it lies; its length goes in as well."""
-    h = (sums[ends] - sums[starts]) * powers(BASE, len(sums))[starts]
-    return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    def parts(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both polynomials of the values in each span, the same wherever it lies."""
+        return tuple(rest((s[ends] + P - s[starts]) * p[starts]) for s, p in zip(self.sums, self.scale, strict=True))
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, b = self.parts(starts, ends)
+        return a << np.uint64(31) | b
 
-def window_hashes(sums: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k values."""
-    n = len(sums) - k
-    return mixed((sums[k:] - sums[:-k]) * powers(BASE, n)) if n > 0 else np.zeros(0, np.uint64)
+    def windows(self, k: int) -> np.ndarray:
+        """A hash of each run of k values."""
+        n = self.size - k + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        a, b = (rest((s[k:] + P - s[:n]) * p[:n]) for s, p in zip(self.sums, self.scale, strict=True))
+        return a << np.uint64(31) | b
 
 
-def byte_values(raw: bytes) -> np.ndarray:
-    return _LETTERS[np.frombuffer(raw, np.uint8)]
+def byte_values(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    v = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+    return v, v
 
 
 def _parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -64,7 +95,7 @@ def _parts(raw: bytes) -> Iterator[tuple[int, bytes]]:
     yield at, raw[at:]
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: bytes, keys: Keys = Keys()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word (a maximal run of bytes other than 9 to 13 and 32)."""
     found = []
     for at, part in _parts(raw):
@@ -72,5 +103,5 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside[1:-1] = ~_SPACE[np.frombuffer(part, np.uint8)]
         edges = np.diff(inside)
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        found.append((span_hashes(prefix_sums(byte_values(part)), starts, ends), starts + at, ends + at))
+        found.append((Sums(byte_values(part), keys).spans(starts, ends), starts + at, ends + at))
     return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))

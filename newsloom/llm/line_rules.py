@@ -24,8 +24,9 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from newsloom.llm.common import batch_map
+from newsloom.llm.common import batch_map, quoted
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -99,16 +100,15 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, n_words_removed long, clean_text string"
 
 
-def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with the counts, the verdict and the text without the lines that failed."""
-    from pyspark.sql import types as T
-
+def quality_rules(docs: DataFrame, text: str = "text", carry_text: bool = True) -> DataFrame:
+    """Every row of ``docs``, with or without its text, with the counts, the verdict and the text without the lines that failed."""
     taken = {c.lower() for c in COLUMNS}
-    carried = [c for c in docs.columns if c.lower() not in taken or c == text]
+    carried = [c for c in docs.columns if (c.lower() not in taken and c != text) or (c == text and carry_text)]
     schema = T.StructType([docs.schema[c] for c in carried] + T._parse_datatype_string(SCHEMA).fields)
+    place = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = list(zip(*map(judge, batch.column(text).to_pylist()), strict=True)) or [()] * len(COLUMNS)
+        found = list(zip(*(judge(t.as_py()) for t in batch.column(place)), strict=True)) or [()] * len(COLUMNS)
         return {c: batch.column(c) for c in carried} | dict(zip(COLUMNS, found, strict=True))
 
-    return batch_map(docs, carried, run, schema)
+    return batch_map(docs, [quoted(c) for c in docs.columns], run, schema)

@@ -6,13 +6,15 @@ next point would come later than what every register already holds; a register k
 signatures agree at a register with the probability Jaccard similarity of the documents.
 
 1. Equal texts are one class each; only the least id of each goes on, so a text with millions of copies is one row.
-2. Bands of :data:`ROWS` registers make buckets. Each member of a bucket is compared with the bucket's least id only, not with all
-   others. A pair is linked if its shingle sets' Jaccard similarity, or its probability Jaccard similarity, both taken exactly from
-   the texts, is ``threshold`` or more.
+2. Bands of :data:`ROWS` registers make buckets. The weight of a document is the size of all its buckets; the original of a family of
+   copies has most. The member of a bucket with the greatest weight (the least id of those) is its center, so the buckets of a family
+   mostly have one center. Each document is compared with the weightiest of its centers, then with the other ones if those are of another
+   group. A pair is linked if its shingle sets' Jaccard similarity, or its probability Jaccard similarity, both taken exactly from
+   the texts, is ``threshold`` or more. Shingles are hashed anew for this, with a base drawn in each call.
 3. Links make groups (connected components: least labels spread along links, and labels of labels are followed).
-4. In buckets that still hold several groups, members are compared with the member that has most links (the original of a family of
-   copies, where the least id is but one of them). After that, all members of a bucket that are still of different groups are compared, at
-   every size of a bucket. So every pair that shares a bucket is either compared or of one group already; none is left out.
+4. In buckets that still hold several groups, members are compared with the member that has most links, and after that, all members that are
+   still of different groups with each other, at every size of a bucket. So every pair that shares a bucket is either compared or
+   of one group already; none is left out.
 
 Which pairs share a bucket is chance: at a probability Jaccard similarity of 0.8 nearly all do, but a pair whose shingle sets alone
 are similar may share none and is then not linked.
@@ -35,30 +37,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, packed_texts, stored
-from newsloom.llm.hashing import BASE, word_spans
+from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, packed_texts, quoted, stored
+from newsloom.llm.hashing import Keys, word_spans
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
-#: So often, at most, members of a bucket with several groups are compared with its best linked member before pairs are tried.
-HUB_ROUNDS = 2
 #: Texts are signed in groups of so many characters, and points drawn so many at once, so that arrays stay in a core's cache.
 CHARACTERS, POINTS = 200_000, 4096
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def _runs_of_words(words: np.ndarray, size: int, keys: Keys) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    odd = mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(keys.bases[0] << 31 | keys.bases[1])) | np.uint64(1)
+    h = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for j in range(size):
+        h += words[j : j + len(h)] * odd[j]
+    return mixed(h)
+
+
+def shingles(text: str | None, size: int = SHINGLE, keys: Keys = Keys()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's distinct shingles, sorted, and how often each occurs."""
-    words = word_spans((text or "").encode())[0]
+    words = word_spans((text or "").encode(), keys)[0]
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    k = min(size, len(words))
-    h = np.full(len(words) - k + 1, k, np.uint64)
-    for j in range(k):
-        h *= np.uint64(BASE)
-        h += words[j : j + len(h)]
-    return np.unique(mixed(h), return_counts=True)
+    return np.unique(_runs_of_words(words, min(size, len(words)), keys), return_counts=True)
 
 
 def shingle_groups(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,11 +70,7 @@ def shingle_groups(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     raw = [t.encode() for t in texts]
     words, starts, _ = word_spans(b" ".join(raw))
     edges = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)])).tolist()
-    h = np.full(max(0, len(words) - size + 1), size, np.uint64)
-    for j in range(size):
-        h *= np.uint64(BASE)
-        h += words[j : j + len(h)]
-    h, parts = mixed(h), []
+    h, parts = _runs_of_words(words, size, Keys()), []
     for t, a, b in zip(texts, edges, edges[1:], strict=False):
         if b - a < size:
             parts.append(shingles(t, size)[0])
@@ -144,7 +144,7 @@ def band_keys(owners: np.ndarray) -> np.ndarray:
     rows = owners.reshape(-1, BANDS, ROWS)
     h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
     for j in range(ROWS):
-        h = mixed(h * np.uint64(BASE) + rows[:, :, j])
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, j])
     return h.view(np.int64)
 
 
@@ -188,25 +188,28 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar; ``docs`` has id and packed text. b may be hot."""
-    mine = pairs.groupBy("a").agg(F.collect_set("b").alias("bs"))
-    left = docs.join(mine, docs["id"] == mine["a"]).select("a", F.col("packed").alias("x"), F.explode("bs").alias("b"))
-    wanted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
-    right = docs.join(wanted, docs["id"] == wanted["b"]).select("b", F.col("packed").alias("y"))
+    keys = Keys.drawn()
+    left = pairs.join(docs.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
+    wanted = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
+    right = wanted.drop("size").join(docs.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
     both = join_by_hot_key(left, right, ["b"], ["a"], sizes=wanted)
 
     def run(batch: pa.RecordBatch) -> dict:
         unpack = zstandard.ZstdDecompressor()
         last: dict[int, tuple] = {}
         keep = []
-        for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "b", "y")), strict=True):
+        read = lambda packed: shingles(unpack.decompress(packed.as_py()).decode(), keys=keys)
+        for x, b, y in zip(batch.column("x"), batch.column("b").to_pylist(), batch.column("y"), strict=True):
             if b not in last:
-                if len(last) > 64:
+                if len(last) > 16:
                     last.clear()
-                last[b] = shingles(unpack.decompress(y).decode())
-            keep.append(similarity(shingles(unpack.decompress(x).decode()), last[b]) >= threshold)
+                last[b] = read(y)
+            keep.append(similarity(read(x), last[b]) >= threshold)
         return {c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}
 
-    return batch_map(both, ["a", "x", "b", "y"], run, "a long, b long")
+    found = stored(batch_map(both, ["a", "x", "b", "y"], run, "a long, b long"))
+    drop_stored(wanted)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,88 +222,112 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         step = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         if labels is None:
-            labels = step.select(F.col("a").alias("node"), F.col("to").alias("label"))
+            labels = stored(step.select(F.col("a").alias("node"), F.col("to").alias("label")))
         else:
-            moved = labels.join(step, labels["label"] == step["a"], "left").select("node", F.coalesce("to", "label").alias("label"))
+            before = labels
+            moved = before.join(step, before["label"] == step["a"], "left").select("node", F.coalesce("to", "label").alias("label"))
             labels = stored(moved)
+            drop_stored(before)
         mine, other = step.withColumnRenamed("to", "x"), step.select(F.col("a").alias("b"), F.col("to").alias("y"))
         new = stored(edges.join(mine, "a").join(other, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         drop_stored(edges)
+        drop_stored(step)
         edges = new
         if edges.isEmpty():
+            drop_stored(edges)
             return labels
 
 
+def _placed(ones: DataFrame) -> DataFrame:
+    """bucket, size, id and center of the members of buckets with several members, and the center's weight."""
+    members = ones.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
+    buckets = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = stored(join_by_hot_key(members, buckets, ["bucket"], ["id"], sizes=buckets))
+    weighed = stored(shared.join(shared.groupBy("id").agg(F.sum("size").alias("weight")), "id"))
+    drop_stored(shared)
+    top = F.max(F.struct("weight", (-F.col("id")).alias("k"))).alias("top")
+    centers = weighed.groupBy("bucket").agg(top).select("bucket", (-F.col("top.k")).alias("center"), F.col("top.weight").alias("center_weight"))
+    placed = stored(join_by_hot_key(weighed.drop("weight"), centers, ["bucket"], ["id"], sizes=buckets))
+    drop_stored(weighed)
+    drop_stored(buckets)
+    return placed
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id and class_id, the least id of the row's group, for each row of ``docs``."""
-    usable = F.col(id_column).isNotNull() & F.col(text).isNotNull()
+    usable = F.col(quoted(id_column)).isNotNull() & F.col(quoted(text)).isNotNull()
     signed = stored(signatures(docs.where(usable), id_column, text))
     ones = signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("m"), F.count(F.lit(1)).alias("copies"))
     ones = stored(ones.select("copy", "copies", "m.id", "m.bands"))
-    members = ones.where("bands IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
-    buckets = stored(members.groupBy("bucket").agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    placed = stored(join_by_hot_key(members, buckets, ["bucket"], ["id"], sizes=buckets))
-    pairs = stored(placed.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct())
-    chosen = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = stored(packed_texts(docs.where(usable), id_column, text).join(chosen, "id", "left_semi").dropDuplicates(["id"]))
-    links = stored(_verified(pairs, texts, threshold))
+    placed = _placed(ones)
+    texts = packed_texts(docs.where(usable), id_column, text).join(placed.select("id").distinct(), "id", "left_semi")
+    texts = stored(texts.dropDuplicates(["id"]))
+    best = F.max(F.struct("center_weight", (-F.col("center")).alias("k"))).alias("best")
+    pairs = placed.where("id <> center").groupBy("id").agg(best).select(F.col("id").alias("a"), (-F.col("best.k")).alias("b"))
+    tried = stored(pairs)
+    links = _verified(tried, texts, threshold)
     groups = components(links)
-    for k in range(HUB_ROUNDS + 1):
+    for step in (_other_centers, _hub_pairs, _pairs_apart):
         rows = _open_buckets(placed, groups)
-        if rows.isEmpty():
-            break
-        more = stored(_hub_pairs(rows, links, pairs) if k < HUB_ROUNDS else _pairs_apart(rows, pairs))
+        more = stored(_untried(step(rows, links), tried))
+        drop_stored(rows)
         if more.isEmpty():
-            if k < HUB_ROUNDS:
-                more = stored(_pairs_apart(rows, pairs))
-            k = HUB_ROUNDS
-        found = stored(_verified(more, texts, threshold))
-        pairs = pairs.union(more)
+            continue
+        found = _verified(more, texts, threshold)
+        tried = tried.union(more)
         if not found.isEmpty():
+            drop_stored(groups)
             links = links.union(found)
             groups = components(links)
-        if k == HUB_ROUNDS:
-            break
+    drop_stored(placed)
+    drop_stored(texts)
     class_of = ones.join(groups, ones["id"] == groups["node"], "left").select("copy", "copies", F.coalesce("label", "id").alias("class_id"))
     class_of = stored(class_of)
+    drop_stored(ones)
+    drop_stored(groups)
     several = class_of.where("copies > 1")
     out = join_by_hot_key(signed.select("id", "copy"), class_of.drop("copies"), ["copy"], ["id"], sizes=several.select("copy", F.col("copies").alias("size")))
-    nulls = docs.where(~usable).select(F.col(id_column).cast("long").alias("id"))
-    for t in (buckets, placed, texts):
-        drop_stored(t)
+    nulls = docs.where(~usable).select(F.col(quoted(id_column)).cast("long").alias("id"))
     return out.select("id", "class_id").union(nulls.select("id", F.col("id").alias("class_id"))).withColumnRenamed("id", id_column)
 
 
 def _open_buckets(placed: DataFrame, groups: DataFrame) -> DataFrame:
-    """bucket, size, id and group of the members of buckets that have several groups."""
-    rows = stored(placed.join(groups, placed["id"] == groups["node"], "left").select("bucket", "size", "id", F.coalesce("label", "id").alias("group")))
-    several = rows.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.first("size").alias("size")).where("lo < hi")
-    several = stored(several.select("bucket", "size"))
-    return stored(join_by_hot_key(rows.drop("size"), several, ["bucket"], ["id"], sizes=several))
-
-
-def _hub_pairs(rows: DataFrame, links: DataFrame, tried: DataFrame) -> DataFrame:
-    """Members and the member of their bucket that has most links, where it is of another group and they haven't been compared."""
+    """bucket, size, id, center, group and main (a group) of the members of buckets that have several groups."""
+    label = groups.select(F.col("node").alias("id"), "label")
+    rows = stored(placed.drop("center_weight").join(label, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label"))
+    several = rows.groupBy("bucket").agg(F.min("group").alias("main"), F.max("group").alias("most"), F.first("size").alias("size")).where("main < most")
+    several = stored(several.drop("most"))
+    found = stored(join_by_hot_key(rows.drop("size"), several, ["bucket"], ["id"], sizes=several.drop("main")))
+    drop_stored(rows)
+    drop_stored(several)
+    return found
+
+
+def _other_centers(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Members and the center of their bucket, where it is of another group."""
+    centers = rows.where("id = center").select("bucket", F.col("group").alias("g"))
+    sizes = rows.where("id = center").select("bucket", "size")
+    return join_by_hot_key(rows.drop("size"), centers, ["bucket"], ["id"], sizes=sizes).where("group <> g").select(F.col("id").alias("a"), F.col("center").alias("b"))
+
+
+def _hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Members and the member of their bucket that has most links, where it is of another group."""
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     known = rows.join(degree, rows["id"] == degree["a"])
     hub = F.max(F.struct("degree", (-F.col("id")).alias("k"), F.col("group").alias("g")))
     hubs = stored(known.groupBy("bucket").agg(hub.alias("hub"), F.first("size").alias("size")).select("bucket", "size", (-F.col("hub.k")).alias("b"), F.col("hub.g").alias("g")))
-    pairs = join_by_hot_key(rows.drop("size"), hubs.drop("size"), ["bucket"], ["id"], sizes=hubs.select("bucket", "size")).where("group <> g").select(F.col("id").alias("a"), "b").distinct()
-    return _untried(pairs, tried)
+    return join_by_hot_key(rows.drop("size"), hubs.drop("size"), ["bucket"], ["id"], sizes=hubs.select("bucket", "size")).where("group <> g").select(F.col("id").alias("a"), "b")
 
 
-def _pairs_apart(rows: DataFrame, tried: DataFrame) -> DataFrame:
+def _pairs_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of different groups in one bucket: members outside the bucket's least group with all others."""
-    main = stored(rows.groupBy("bucket").agg(F.min("group").alias("main"), F.first("size").alias("size")))
-    sizes = main.select("bucket", "size")
-    keyed = stored(join_by_hot_key(rows.drop("size"), main.drop("size"), ["bucket"], ["id"], sizes=sizes))
-    x = keyed.where("group <> main").select("bucket", F.col("id").alias("a"), F.col("group").alias("ga"), F.col("main").alias("main_a"))
-    y = keyed.select("bucket", F.col("id").alias("b"), F.col("group").alias("gb"))
-    once = (F.col("gb") == F.col("main_a")) | (F.col("a") < F.col("b"))
-    found = join_by_hot_key(x, y, ["bucket"], ["a"], sizes=sizes).where((F.col("ga") != F.col("gb")) & once)
-    return _untried(found.select("a", "b").distinct(), tried)
+    sizes = rows.groupBy("bucket").agg(F.first("size").alias("size"))
+    x = rows.where("group <> main").select("bucket", F.col("id").alias("a"), F.col("group").alias("ga"))
+    y = rows.select("bucket", F.col("id").alias("b"), F.col("group").alias("gb"), F.col("main").alias("m"))
+    once = (F.col("gb") == F.col("m")) | (F.col("a") < F.col("b"))
+    return join_by_hot_key(x, y, ["bucket"], ["a"], sizes=sizes).where((F.col("ga") != F.col("gb")) & once).select("a", "b")
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     both = tried.select("a", "b").union(tried.select("b", "a"))
-    return pairs.join(both, ["a", "b"], "left_anti")
+    return pairs.distinct().join(both, ["a", "b"], "left_anti")

@@ -3,197 +3,278 @@
 A window is ``length`` consecutive tokens (bytes or words) of one document. Its anchor is the run of ``seed`` tokens in it with the
 least hash, the first of equal ones. Equal windows have equal anchors at equal places, so whatever repeats can be found among
 windows with one anchor. Consecutive windows with the same anchor make a segment; there are about two segments to
-``length - seed`` tokens, and only their hashes go through the first shuffles:
+``length - seed`` tokens.
 
 1. Anchors that occur once are dropped: none of their windows repeats.
-2. Segments with equal anchor and hash are one class. All windows of a class with two or more members repeat.
-3. What is left are anchors with several classes (edges of passages, near copies). One member of each class is fetched with its text, and
-   all that have an anchor meet in one task, where ``engine`` finds which windows they share. A task works on some
-   :data:`BLOCK` bytes at a time. An anchor with over :data:`LARGE` classes is not gathered: the prefix by which its windows are
-   dealt is lengthened to whole windows, by two independent 64-bit hashes, which are counted.
-
-Rows of hot keys are dealt to many tasks; counts are combined before they are shuffled. Documents are joined by their id;
-if ids aren't unique, by a hash of id and text instead, so that equal rows count as repeats of each other.
+2. Segments with equal anchor and equal 128-bit digest of their bytes are one class. Two members of each class (the one, if there is but
+   one) are fetched with their text.
+3. The suffixes that begin with windows of the segments of one anchor are a group, and groups that fit in memory (:data:`GROUP` segments)
+   go to ``engine``, which finds the windows that occur twice, some :data:`BLOCK` bytes of groups at a time. All members of a class share
+   what is found.
+4. A group that is larger is split by a longer prefix: windows where the anchor stands in the first half of its possible places, and
+   those where it stands in the second. All windows of a half have more tokens around the anchor in common, and these are the
+   new prefix by which they are dealt. Halving ends at the latest when the whole window is the prefix: all suffixes of such a group begin
+   with the same window, and as one class it has two members at most. So every group gets small, however often a passage occurs.
+
+Hashes only route. Their bases are drawn anew in each call, so no text can be made to collide. Rows of hot keys are dealt to many
+tasks; counts are combined before they are shuffled. Documents are joined by their id; if ids are null or repeated, rows are stored
+once more with a number each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, stored
-from newsloom.llm.hashing import PART, prefix_sums, span_hashes, window_hashes
+from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, quoted, stored
+from newsloom.llm.hashing import Keys, Sums
 
-LARGE = 1000
-BLOCK = 4_000_000
-FLUSH = 200_000
-_PLACE = np.uint64((1 << 20) - 1)
+#: Most segments of a group, bytes of groups that the engine gets at once, rows of a batch, and tokens that are hashed at once.
+GROUP, BLOCK, FLUSH, TOKENS = 1000, 1_000_000, 50_000, 1 << 17
+_PLACE = np.uint64((1 << 18) - 1)
+CLASS = ["anchor", "d1", "d2"]
 
 
-@dataclass(frozen=True)
-class Tokens:
-    """How a text is read: ``values`` gives a 64-bit value for each token; ``cut`` the bytes of a span of tokens."""
+class Tokens(Protocol):
+    """How a text is read; ``read`` gives a document from which tokens are counted, cut as bytes, and turned into values for a hash.
+
+    ``read_cut`` does so for what ``cut`` gave.
+    """
 
-    values: Callable[[bytes], tuple[np.ndarray, object]]
-    cut: Callable[[bytes, object, int, int], bytes]
     length: int
     seed: int
 
+    def read(self, raw: bytes) -> object: ...
+    def read_cut(self, raw: bytes) -> object: ...
+    def count(self, doc: object) -> int: ...
+    def cut(self, doc: object, first: int, end: int) -> bytes: ...
+    def values(self, doc: object, first: int, end: int, keys: Keys) -> tuple[np.ndarray, np.ndarray]: ...
+
 
 @dataclass(frozen=True)
 class Group:
-    """Segments that meet in a task: their bytes, windows, and which anchor each has (numbered, in order)."""
+    """Segments that meet in a task: their bytes, how many windows each has, and its anchor (numbered, in order)."""
 
     texts: list[bytes]
     windows: np.ndarray
     anchors: np.ndarray
 
 
-def segments(values: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, segment hash, first window and number of windows of each segment."""
-    found = []
-    for at in range(0, max(0, len(values) - length + 1), PART):
-        own = values[at : at + PART + length - 1]
-        sums, w = prefix_sums(own), length - seed + 1
-        h = window_hashes(sums, seed)
+Engine = Callable[[Group], list[list[tuple[int, int]]]]
+
+
+def segments(tokens: Tokens, doc: object, keys: Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window, place of the anchor in it, and number of windows of each segment."""
+    found, total = [], tokens.count(doc)
+    w = tokens.length - tokens.seed + 1
+    for at in range(0, max(0, total - tokens.length + 1), TOKENS):
+        own = tokens.values(doc, at, min(total, at + TOKENS + tokens.length - 1), keys)
+        h = mixed(Sums(own, keys).windows(tokens.seed))
         keyed = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         padded = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
         padded[: len(h)] = keyed
         rows = padded.reshape(-1, w)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(own) - length + 1
-        place = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & _PLACE
+        n = len(own[0]) - tokens.length + 1
+        place = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & _PLACE).astype(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        counts = np.diff(np.append(starts, n))
-        found.append((h[place[starts].astype(np.int64)], span_hashes(sums, starts, starts + counts + length - 1), starts + at, counts))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found.append((h[place[starts]].view(np.int64), starts + at, place[starts] - starts, np.diff(np.append(starts, n))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def digests(texts: list[bytes]) -> np.ndarray:
+    """128 bits of a cryptographic digest of each, as two numbers."""
+    return np.frombuffer(b"".join([blake2b(t, digest_size=16).digest() for t in texts]), "<i8").reshape(-1, 2)
+
+
+def span_of(start: np.ndarray, place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return start << 24 | place << 12 | n
 
 
 def keyed_documents(docs: DataFrame, id_column: str, text: str, carry: bool = False) -> DataFrame:
-    """id, text (null: empty) and ``key``, by which a row is joined again; with ``carry`` the whole row as well."""
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    out = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"), *row)
-    twice = not out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    key = F.xxhash64("id", "text") if twice else F.coalesce("id", F.lit(-(2**63)))
-    return out.withColumn("key", key)
+    """id, text (null: empty) and ``key``, which no two rows share; with ``carry`` also all columns but the text as ``row``."""
+    row = [F.struct(*[F.col(quoted(c)) for c in docs.columns if c != text] or [F.lit(0)]).alias("row")] if carry else []
+    ids = F.col(quoted(id_column)).cast("long")
+    out = docs.select(ids.alias("id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), *row)
+    if out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        return out.withColumn("key", F.col("id"))
+    return stored(out.withColumn("key", F.monotonically_increasing_id()))
 
 
-def _segment_rows(docs: DataFrame, tokens: Tokens) -> DataFrame:
+def _segment_rows(docs: DataFrame, tokens: Tokens, keys: Keys) -> DataFrame:
+    """key, anchor, digest (d1, d2) and span (first window, place of the anchor, number of windows) of each segment."""
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        keys, parts, size = [], [], 0
+        held, parts, made, size = [], [], [], 0
 
         def rows() -> dict:
-            a, s, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return {"key": np.repeat(np.array(keys, np.int64), [len(p[0]) for p in parts]), "anchor": a.view(np.int64), "segment": s.view(np.int64), "span": start << 16 | n}
+            anchor, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+            d = np.concatenate(made)
+            return {"key": np.repeat(np.array(held, np.int64), [len(p[0]) for p in parts]), "anchor": anchor, "d1": d[:, 0], "d2": d[:, 1], "span": span}
 
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-            found = segments(tokens.values(text.as_py().encode())[0], tokens.length, tokens.seed)
-            if len(found[0]):
-                keys.append(key)
-                parts.append(found)
-                size += len(found[0])
-            if size > FLUSH:
-                yield rows()
-                keys, parts, size = [], [], 0
+            doc = tokens.read(text.as_py().encode())
+            anchor, start, place, n = segments(tokens, doc, keys)
+            for k in range(0, len(anchor), FLUSH):
+                a, s, p, m = (x[k : k + FLUSH] for x in (anchor, start, place, n))
+                held.append(key)
+                parts.append((a, span_of(s, p, m)))
+                made.append(digests([tokens.cut(doc, x, y) for x, y in zip(s.tolist(), (s + m + tokens.length - 1).tolist(), strict=True)]))
+                size += len(a)
+                if size > FLUSH:
+                    yield rows()
+                    held, parts, made, size = [], [], [], 0
         if parts:
             yield rows()
 
-    return batch_map(docs, ["key", "text"], run, "key long, anchor long, segment long, span long")
+    return batch_map(docs, ["key", "text"], run, "key long, anchor long, d1 long, d2 long, span long")
+
 
+SEGMENTS = "anchor long, d1 long, d2 long, lo int, hi int, span long, first boolean, copies long, bytes binary"
 
-def _fetched(docs: DataFrame, wanted: DataFrame, tokens: Tokens) -> DataFrame:
-    """The wanted segments' bytes; for those of large anchors a row for each window instead, with two hashes of it."""
-    per_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "span", "lone", "large")).alias("wanted"))
+
+def _fetched(docs: DataFrame, classes: DataFrame, tokens: Tokens) -> DataFrame:
+    """One or two members of each class with their bytes; the anchor can stand from ``lo`` to ``hi``."""
+
+    def place(which: str) -> DataFrame:
+        w = F.struct(*CLASS, F.col(f"{which}_span").alias("span"), F.lit(which == "one").alias("first"))
+        return (classes if which == "one" else classes.where("size > 1")).select(F.col(which).alias("key"), w.alias("w"))
+
+    per_doc = place("one").union(place("two")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for key, text, asked in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
-            out: dict[str, list] = {c: [] for c in ("key", "anchor", "span", "lone", "second", "bytes")}
-            raw = text.as_py().encode()
-            values, places = tokens.values(raw)
-            for x in asked.as_py():
-                start, n = x["span"] >> 16, x["span"] & 0xFFFF
-                if not x["large"]:
-                    for c, v in zip(out, (key, x["anchor"], x["span"], x["lone"], None, tokens.cut(raw, places, start, start + n + tokens.length - 1)), strict=True):
-                        out[c].append(v)
-                    continue
-                own = values[start : start + n + tokens.length - 1]
-                sums = [window_hashes(prefix_sums(v), tokens.length).view(np.int64) for v in (own, mixed(own))]
-                for k in range(n):
-                    for c, v in zip(out, (key, int(sums[0][k]), (start + k) << 16 | 1, x["lone"], int(sums[1][k]), None), strict=True):
-                        out[c].append(v)
-            yield out
-
-    return batch_map(docs.select("key", "text").join(per_doc, "key"), ["key", "text", "wanted"], run, "key long, anchor long, span long, lone boolean, second long, bytes binary")
-
-
-def _compared(rows: DataFrame, engine: Callable[[Group], list[list[tuple[int, int]]]]) -> DataFrame:
-    """Runs of repeated windows (key, span) in the segments of ``rows`` that are the only ones of their class."""
+        for text, asked in zip(batch.column("text"), batch.column("wanted"), strict=True):
+            doc, found = tokens.read(text.as_py().encode()), asked.values
+            for k in range(0, len(found), 4096):
+                part = found.slice(k, 4096)
+                out = {c: part.field(c) for c in (*CLASS, "span", "first")}
+                spans = out["span"].to_numpy()
+                start = spans >> 24
+                end = start + (spans & 0xFFF) + tokens.length - 1
+                cut = [tokens.cut(doc, x, y) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                lo, hi = np.zeros(len(part), np.int32), np.full(len(part), tokens.length - tokens.seed, np.int32)
+                yield out | {"lo": lo, "hi": hi, "span": spans & 0xFFFFFF, "copies": np.ones(len(part), np.int64), "bytes": cut}
+
+    return batch_map(docs.select("key", "text").join(per_doc, "key"), ["text", "wanted"], run, SEGMENTS)
+
+
+def _searched(texts: DataFrame, engine: Engine) -> DataFrame:
+    """``runs`` (first window << 12 | number of windows) of repeated windows in each class of ``texts``."""
 
     def flush(rows: list[tuple]) -> dict:
-        anchors = np.unique([r[1] for r in rows], return_inverse=True)[1]
-        found = engine(Group([r[4] for r in rows], np.array([r[2] & 0xFFFF for r in rows]), anchors))
-        out = [(key, ((span >> 16) + at) << 16 | n) for (key, _, span, lone, _), runs in zip(rows, found, strict=True) if lone for at, n in runs]
-        return {"key": [k for k, _ in out], "span": [s for _, s in out]}
+        rows = [r for r in rows for _ in range(r[5])]
+        anchors = np.unique([r[0] for r in rows], return_inverse=True)[1]
+        found = engine(Group([r[6] for r in rows], np.array([r[3] & 0xFFF for r in rows]), anchors))
+        out = {r[:3]: [at << 12 | n for at, n in runs] for r, runs in zip(rows, found, strict=True) if r[4] and runs}
+        return {c: [k[j] for k in out] for j, c in enumerate(CLASS)} | {"runs": list(out.values())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "anchor", "span", "lone", "bytes")), strict=True):
-                if size > BLOCK and r[1] != held[-1][1]:
+            for r in zip(*(batch.column(c).to_pylist() for c in (*CLASS, "span", "first", "copies", "bytes")), strict=True):
+                if size > BLOCK and r[0] != held[-1][0]:
                     yield pa.RecordBatch.from_pydict(flush(held), schema=schema)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += r[5] * len(r[6])
         if held:
             yield pa.RecordBatch.from_pydict(flush(held), schema=schema)
 
-    schema = pa.schema([("key", pa.int64()), ("span", pa.int64())])
-    dealt = rows.select("key", "anchor", "span", "lone", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "key long, span long")
-
-
-def repeated_windows(docs: DataFrame, tokens: Tokens, engine: Callable[[Group], list[list[tuple[int, int]]]]) -> DataFrame:
-    """key and span (first window << 16 | number of windows) of runs of repeated windows; ``docs`` has key and text."""
-    rows = stored(_segment_rows(docs, tokens))
-    again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    often = stored(again)
-    rows_again = stored(join_by_hot_key(rows, often, ["anchor"], ["key", "span"], sizes=often).drop("size"))
+    schema = pa.schema([*((c, pa.int64()) for c in CLASS), ("runs", pa.list_(pa.int64()))])
+    dealt = texts.drop("lo", "hi").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, "anchor long, d1 long, d2 long, runs array<long>")
+
+
+def _halves(tops: DataFrame, tokens: Tokens) -> DataFrame:
+    """Segments with their windows dealt by the half in which the anchor stands, and by a longer prefix.
+
+    ``up_...``: the class of the segment; ``shift``: the first window of the part in the segment.
+    """
+    names = ("up_anchor", "up_d1", "up_d2", "shift", *CLASS, "lo", "hi", "span", "copies", "bytes")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows = []
+        for *up, lo, hi, span, copies, raw in zip(*(batch.column(c).to_pylist() for c in (*CLASS, "lo", "hi", "span", "copies", "bytes")), strict=True):
+            place, n, doc, mid = span >> 12, span & 0xFFF, tokens.read_cut(raw), (lo + hi) // 2
+            for a, b in ((lo, mid), (mid + 1, hi)):
+                first, last = max(0, place - b), min(n - 1, place - a)
+                if first <= last:
+                    prefix = b"%d %d " % (a, b) + tokens.cut(doc, place - a, place - b + tokens.length)
+                    part = tokens.cut(doc, first, last + tokens.length)
+                    (g, _), d = digests([prefix, part]).tolist()
+                    rows.append((*up, first, g, *d, a, b, (place - first) << 12 | (last - first + 1), copies, part))
+        return dict(zip(names, zip(*rows, strict=True) if rows else ([],) * len(names), strict=True))
+
+    schema = "up_anchor long, up_d1 long, up_d2 long, shift long, anchor long, d1 long, d2 long, lo int, hi int, span long, copies long, bytes binary"
+    return batch_map(tops, [*CLASS, "lo", "hi", "span", "copies", "bytes"], run, schema)
+
+
+def _found(texts: DataFrame, tokens: Tokens, engine: Engine) -> DataFrame:
+    """``runs`` of the classes in ``texts``; groups over :data:`GROUP` are halved until none is left."""
+    large = stored(texts.groupBy("anchor").agg(F.sum("copies").alias("size")).where(F.col("size") > GROUP))
+    if large.isEmpty():
+        return _searched(texts, engine)
+    marked = join_by_hot_key(texts, large, ["anchor"], ["d1", "first"], how="left", sizes=large)
+    found = _searched(marked.where("size IS NULL").drop("size"), engine)
+    same = [F.first(c).alias(c) for c in ("lo", "hi", "span", "bytes")]
+    copies = F.least(F.sum("copies"), F.lit(2)).alias("copies")
+    tops = marked.where("size IS NOT NULL").groupBy(*CLASS).agg(*same, copies)
+    parts = stored(_halves(tops, tokens))
+    below = _found(stored(parts.groupBy(*CLASS).agg(*same, copies).withColumn("first", F.lit(True))), tokens, engine)
+    runs = F.transform("runs", lambda r: r + F.shiftleft("shift", 12))
+    up = join_by_hot_key(parts.drop("bytes"), below, CLASS, ["up_d1"])
+    return found.union(up.select(*(F.col(f"up_{c}").alias(c) for c in CLASS), runs.alias("runs")))
+
+
+def repeated_windows(docs: DataFrame, tokens: Tokens, engine: Engine) -> DataFrame:
+    """key and span (first window << 12 | number of windows) of runs of repeated windows; ``docs`` has key and text."""
+    rows = stored(_segment_rows(docs, tokens, Keys.drawn()))
+    often = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    again = stored(join_by_hot_key(rows, often, ["anchor"], ["key", "span"], sizes=often).drop("size"))
     drop_stored(rows)
     drop_stored(often)
-    one = F.min(F.struct("key", "span")).alias("one")
-    classes = stored(rows_again.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("size"), one))
-    whole = classes.where("size > 1").select("anchor", "segment", "size")
-    found = join_by_hot_key(rows_again, whole.drop("size"), ["anchor", "segment"], ["key", "span"], sizes=whole).select("key", "span")
-    kinds = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    open_classes = join_by_hot_key(classes.withColumn("lone", F.col("size") == 1).drop("size"), kinds, ["anchor"], ["segment"], sizes=kinds)
-    wanted = open_classes.select("one.key", "anchor", "one.span", "lone", (F.col("size") > LARGE).alias("large"))
-    texts = stored(_fetched(docs, wanted, tokens))
-    found = found.union(_compared(texts.where("bytes IS NOT NULL"), engine))
-    counted = texts.where("bytes IS NULL").groupBy("anchor", "second").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    if not kinds.where(F.col("size") > LARGE).isEmpty():
-        counted = stored(counted)
-        singles = texts.where("bytes IS NULL AND lone").select("key", "span", "anchor", "second")
-        found = found.union(join_by_hot_key(singles, counted.drop("size"), ["anchor", "second"], ["key", "span"], sizes=counted).select("key", "span"))
-    return found
+    places = [f(c).alias(n + s) for f, n in ((F.first, "one"), (F.last, "two")) for c, s in (("key", ""), ("span", "_span"))]
+    classes = stored(again.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("size"), *places))
+    texts = stored(_fetched(docs, classes, tokens))
+    found = stored(_found(texts, tokens, engine))
+    drop_stored(texts)
+    sizes = classes.where("size > 1").select(*CLASS, "size")
+    out = join_by_hot_key(again, found, CLASS, ["key", "span"], sizes=sizes).select("key", F.col("span").alias("at"), F.explode("runs").alias("run"))
+    return out.select("key", (F.shiftleft(F.shiftright("at", 24), 12) + F.col("run")).alias("span"))
 
 
 def covered(spans: list[int] | None, n: int, length: int) -> np.ndarray:
     """Which of n tokens lie in a window of the runs in ``spans``."""
     change = np.zeros(n + 1, np.int64)
     for span in spans or ():
-        start, windows = span >> 16, span & 0xFFFF
+        start, windows = span >> 12, span & 0xFFF
         change[start] += 1
         change[start + windows + length - 1] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
+def runs_of(repeated: np.ndarray, owner: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
+    """For each segment, the runs (first, number) of its windows that are marked; ``owner`` says whose each window is, in order."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    base = np.searchsorted(owner, np.arange(n))
+    at = np.flatnonzero(repeated)
+    if len(at):
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(owner[at]) > 0)]))
+        whose = owner[at[starts]]
+        for o, first, size in zip(whose.tolist(), (at[starts] - base[whose]).tolist(), np.diff(np.append(starts, len(at))).tolist(), strict=True):
+            out[o].append((first, size))
+    return out
+
+
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``docs`` with ``spans``, the list of its runs or null; a document's runs are no more than its tokens."""
     return docs.join(runs.groupBy("key").agg(F.collect_list("span").alias("spans")), "key", "left")

@@ -1,54 +1,95 @@
 """Substring removal by suffix trees over groups of suffixes.
 
-Suffixes are the word sequences that start at the windows of :mod:`newsloom.llm.repeats`. Spark deals them to groups by the prefix that
-they have from their anchor on, which is lengthened to the whole window where a group would be too large for memory.
-In a group, the suffixes' tree is built from their sorted order and the lengths of common prefixes of neighbours; all leaves below an internal
-node as deep as a window start a repeated window. Words that no repeated window covers are kept.
+Suffixes are the word sequences that start at the windows of :mod:`newsloom.llm.repeats` and end with their segment. Spark deals them to
+groups by a prefix of variable length: the words of their anchor, and where a group would be too large for memory, as many words around
+it as make it small enough. In a group, the suffix array comes from prefix doubling over numbered words (exact, without hashes), the
+lengths of common prefixes of neighbours from the same ranks, and the tree's internal nodes are the intervals of that array. Below a
+node as deep as a window, suffixes start with a maximal repeat. Words that no repeated window covers are kept.
 
 * Null text counts as empty: no words, nothing removed. Texts shorter than a window keep all words.
 * Very long texts are worked on in overlapping parts, without loss. Equal rows repeat each other and lose all covered words.
+* Words of over 64 bytes are compared by their SHA-256, so the memory that a group takes doesn't depend on them.
 * A text that repeats itself loses both places. An empty table gives an empty table. Other columns don't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from newsloom.llm.common import batch_map
-from newsloom.llm.hashing import word_spans
-from newsloom.llm.repeats import Group, Tokens, covered, keyed_documents, repeated_windows, with_runs
+from newsloom.llm.hashing import Keys, Sums, byte_values
+from newsloom.llm.repeats import Group, covered, keyed_documents, repeated_windows, runs_of, with_runs
 
 LENGTH = 35
 SEED = 6
+LONG_WORD = 64
+
+
+def _short(word: bytes) -> bytes:
+    return b"\0" + hashlib.sha256(word).hexdigest().encode() if len(word) > LONG_WORD or word.startswith(b"\0") else word
+
+
+@dataclass(frozen=True)
+class Words:
+    """Texts as words that one space separates."""
+
+    length: int = LENGTH
+    seed: int = SEED
+
+    def read(self, raw: bytes) -> tuple[bytes, np.ndarray]:
+        words = raw.split()
+        if b"\0" in raw or (words and max(map(len, words)) > LONG_WORD):
+            words = [_short(w) for w in words]
+        return self.read_cut(b" ".join(words))
 
+    def read_cut(self, raw: bytes) -> tuple[bytes, np.ndarray]:
+        ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), len(raw)) if raw else np.zeros(0, np.int64)
+        return raw, np.concatenate([[0], ends + 1])
 
-def _values(raw: bytes) -> tuple[np.ndarray, tuple]:
-    h, starts, ends = word_spans(raw)
-    return h, (starts, ends)
+    def count(self, doc: tuple[bytes, np.ndarray]) -> int:
+        return len(doc[1]) - 1
 
+    def cut(self, doc: tuple[bytes, np.ndarray], first: int, end: int) -> bytes:
+        return doc[0][doc[1][first] : doc[1][end] - 1]
 
-def _cut(raw: bytes, places: tuple, a: int, b: int) -> bytes:
-    return b" ".join(raw[places[0][a] : places[1][b - 1]].split())
+    def values(self, doc: tuple[bytes, np.ndarray], first: int, end: int, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+        edges = doc[1][first : end + 1] - doc[1][first]
+        return Sums(byte_values(self.cut(doc, first, end)), keys).parts(edges[:-1], edges[1:] - 1)
 
 
-def suffix_tree(rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of the rows (suffixes of equal length, a number a word) and the tree's internal nodes: depth, first and last place in that order."""
-    width = rows.shape[1]
-    order = np.argsort(np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * width}").ravel(), kind="stable")
-    ordered = rows[order]
-    same = ordered[1:] == ordered[:-1]
-    depth = np.where(same.all(1), width, np.argmin(same, axis=1)) if len(same) else np.zeros(0, np.int64)
-    nodes, stack = [], []
-    for k, d in enumerate([*depth.tolist(), 0]):
-        first = k
-        while stack and stack[-1][0] > d:
-            deep, first = stack.pop()
-            nodes.append((deep, first, k))
-        if d and (not stack or stack[-1][0] < d):
-            stack.append((d, first))
-    return order, nodes
+def suffix_ranks(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """The rank of each place by the 1, 2, 4 ... words from there, up to ``most`` of them; what is past the end ranks least."""
+    ranks, width = [np.unique(words, return_inverse=True)[1] + 1], 1
+    while width < most:
+        after = np.concatenate([ranks[-1][width:], np.zeros(min(width, len(words)), np.int64)])
+        ranks.append(np.unique(ranks[-1] * (len(words) + 1) + after, return_inverse=True)[1] + 1)
+        width *= 2
+    return ranks
+
+
+def suffix_tree(words: np.ndarray, starts: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Suffixes at ``starts`` in order, the length of each one's longest repeat, and the top internal nodes as deep as ``least``.
+
+    A node is its depth and its first and last leaf in that order. No suffix has more than ``most`` words in common with another.
+    """
+    ranks = suffix_ranks(words, most)
+    order = starts[np.argsort(ranks[-1][starts], kind="stable")]
+    a, b, depth = order[:-1].copy(), order[1:].copy(), np.zeros(max(len(order) - 1, 0), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        inside = (a < len(words)) & (b < len(words))
+        same = np.zeros(len(a), bool)
+        same[inside] = ranks[k][a[inside]] == ranks[k][b[inside]]
+        depth += same * (1 << k)
+        a, b = a + same * (1 << k), b + same * (1 << k)
+    longest = np.maximum(np.concatenate([[0], depth]), np.concatenate([depth, [0]]))
+    deep = np.concatenate([[0], (depth >= least).view(np.int8), [0]])
+    edges = np.flatnonzero(np.diff(deep)).reshape(-1, 2)
+    return order, longest, [(int(depth[x:y].min()), int(x), int(y)) for x, y in edges]
 
 
 def tree_engine(length: int):
@@ -56,51 +97,27 @@ def tree_engine(length: int):
 
     def find(group: Group) -> list[list[tuple[int, int]]]:
         number: dict[bytes, int] = {}
-        words = [number.setdefault(w, len(number) + 1) for t in group.texts for w in t.split()]
-        tokens = np.array(words, np.uint32)
-        sizes = group.windows + length - 1
-        first = np.repeat(np.cumsum(sizes) - sizes, group.windows) + np.concatenate([np.arange(n) for n in group.windows])
-        owner = np.repeat(np.arange(len(group.texts)), group.windows)
-        repeated = np.zeros(len(first), bool)
-        shared, counts = np.unique(tokens[first].astype(np.int64) << 32 | tokens[first + length - 1], return_counts=True)
-        key = tokens[first].astype(np.int64) << 32 | tokens[first + length - 1]
-        maybe = np.flatnonzero(np.isin(key, shared[counts > 1]))  # a suffix that shares its first and last word with none is a leaf
-        for part in _by_prefix(key[maybe], maybe):
-            order, nodes = suffix_tree(tokens[first[part][:, None] + np.arange(length)])
-            for depth, a, b in nodes:
-                if depth >= length:
-                    repeated[part[order[a : b + 1]]] = True
-        return runs_of(repeated, owner, len(group.texts))
+        words, sizes = [], []
+        for k, t in enumerate(group.texts):
+            own = t.split(b" ")
+            sizes.append(len(own) + 1)
+            words += [number.setdefault(w, len(number)) for w in own]
+            words.append(-1 - k)  # no common prefix goes beyond the end of a segment
+        base = np.cumsum(sizes) - sizes
+        starts = np.repeat(base, group.windows) + np.concatenate([np.arange(n) for n in group.windows])
+        order, longest, nodes = suffix_tree(np.array(words), starts, length, max(sizes))
+        repeated = np.zeros(len(words), bool)
+        for _, a, b in nodes:
+            repeated[order[a : b + 1]] = True
+        return runs_of(repeated[starts], np.repeat(np.arange(len(sizes)), group.windows), len(sizes))
 
     return find
 
 
-def _by_prefix(keys: np.ndarray, items: np.ndarray, most: int = 50_000) -> list[np.ndarray]:
-    """``items`` in parts of about ``most``, those with equal keys together."""
-    order = np.argsort(keys, kind="stable")
-    k, edges, at = keys[order], [0], 0
-    while len(k) - at > most:
-        at = int(np.searchsorted(k, k[at + most], side="right"))
-        edges.append(at)
-    return [items[order[a:b]] for a, b in zip(edges, [*edges[1:], len(k)], strict=True) if b > a]
-
-
-def runs_of(repeated: np.ndarray, owner: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
-    """For each segment, the runs (first, number) of its windows that are marked."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    base = np.searchsorted(owner, np.arange(n))
-    at = np.flatnonzero(repeated)
-    if len(at):
-        starts = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(owner[at]) > 0)]))
-        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
-            out[owner[at[a]]].append((int(at[a] - base[owner[at[a]]]), int(b - a)))
-    return out
-
-
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_words, n_removed, kept_text (the kept words joined by a space) and removed (pairs of first word and number of words)."""
     keyed = keyed_documents(docs, id_column, text)
-    runs = repeated_windows(keyed, Tokens(_values, _cut, length, min(SEED, length)), tree_engine(length))
+    runs = repeated_windows(keyed, Words(length, min(SEED, length)), tree_engine(length))
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_text", "removed")}
