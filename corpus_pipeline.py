@@ -2,7 +2,12 @@
 
 A stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``, and returns a DataFrame; all but the last
 return the columns they got, in that order, whatever further columns there are. Results are written as Parquet and read
-again between stages. Rows with a null doc_id go through every stage, but are never anyone's near copy nor removed as contaminated.
+again between stages, and what a stage has stored on the way is deleted before the next begins.
+
+* Rows with a null doc_id go through every stage, but are never anyone's near copy nor removed as contaminated.
+* Null, empty and blank texts fail the quality rules and go. Very long texts are worked on whole in every stage.
+* Repeated rows and ties: of near copies the least doc_id stays, and one row of those that are equal in doc_id and text.
+* An empty table gives an empty table. Columns may have any names, those of results and names with dots included.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stored, table
+from newsloom.llm.common import quoted, scratch, stored, table
 from newsloom.llm.decontam import decontaminate
 from newsloom.llm.line_rules import quality_rules
 from newsloom.llm.minhash import near_duplicates
@@ -21,16 +26,21 @@ from newsloom.llm.packing import pack
 from newsloom.llm.suffix import remove_repeated_bytes
 
 
-def _with_text(docs: DataFrame, row: str, text: Column) -> list[Column]:
+def _others(docs: DataFrame) -> Column:
+    """All columns of ``docs`` but the text, as the struct ``row``, so that a row holds its text once."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("row")
+
+
+def _with_text(docs: DataFrame, text: Column) -> list[Column]:
     """The columns of ``docs`` out of the struct ``row``, with another text and its length in n_chars."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return [new.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns]
+    return [new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns]
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule go, and documents that fail the base limits or lost too much. Null and empty texts go."""
-    judged = quality_rules(docs.select(F.struct(*docs.columns).alias("row"), "text")).where("kept")
-    return judged.select(*_with_text(docs, "row", F.col("clean_text")))
+    judged = quality_rules(docs.select(_others(docs), "text"), carry_text=False).where("kept")
+    return judged.select(*_with_text(docs, F.col("clean_text")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +50,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(first, "doc_id", "left_semi")
     if not kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return kept.select(*map(quoted, docs.columns)).union(docs.where("doc_id IS NULL"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings go; a character stays unless all its bytes go. Documents of which no word is left go."""
-    cut = remove_repeated_bytes(docs, carry=True)
-    text = F.col("kept_text")
-    return cut.where("n_removed = 0 OR kept_text RLIKE '[^ \\\\t-\\\\r]'").select(*_with_text(docs, "row", F.when(F.col("row.text").isNotNull(), text)))
+    cut = remove_repeated_bytes(docs, carry=True).where("n_removed = 0 OR kept_text RLIKE '[^ \\t-\\r]'")
+    return cut.select(*_with_text(docs, F.col("kept_text")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,6 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES, 1):
-        out = stage(spark, docs, sf_dir)
-        docs = stored(out) if k < len(STAGES) else out
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            docs = stored(out, keep=True) if k < len(STAGES) else out
     return docs
