@@ -12,9 +12,10 @@ signatures agree at a register with the probability Jaccard similarity of the do
    group. A pair is linked if its shingle sets' Jaccard similarity, or its probability Jaccard similarity, both taken exactly from
    the texts, is ``threshold`` or more. Shingles are hashed anew for this, with a base drawn in each call.
 3. Links make groups (connected components: least labels spread along links, and labels of labels are followed).
-4. In buckets that still hold several groups, members are compared with the member that has most links, and after that, all members that are
-   still of different groups with each other, at every size of a bucket. So every pair that shares a bucket is either compared or
-   of one group already; none is left out.
+4. In buckets that still hold several groups, members are compared with the member that has most links. After that, members that are
+   still of different groups are compared with each other if they share a shingle that their center lacks, or if what they share with
+   the center is enough for the threshold (:func:`_pairs_apart`), at every size of a bucket. So every pair that shares a bucket is compared, of one group already,
+   or known not to be similar; none is left out.
 
 Which pairs share a bucket is chance: at a probability Jaccard similarity of 0.8 nearly all do, but a pair whose shingle sets alone
 are similar may share none and is then not linked.
@@ -29,13 +30,14 @@ Rows of a hot bucket or of a hot least id are dealt to many tasks. Tables that a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, packed_texts, quoted, stored
 from newsloom.llm.hashing import Keys, word_spans
@@ -46,6 +48,8 @@ BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
 #: Texts are signed in groups of so many characters, and points drawn so many at once, so that arrays stay in a core's cache.
 CHARACTERS, POINTS = 200_000, 4096
+#: So many shingles of texts that are compared again are kept at hand.
+KNOWN = 200_000
 
 
 def _runs_of_words(words: np.ndarray, size: int, keys: Keys) -> np.ndarray:
@@ -120,8 +124,11 @@ def prob_minhashes(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray,
     return winner.reshape(texts, registers)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the Jaccard similarity of two shingle sets and the probability Jaccard similarity of the multisets."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> float:
+    """The larger of the Jaccard similarity of two shingle sets and the probability Jaccard similarity of the multisets.
+
+    The second is not computed where it must be below ``least``: it is at most what the distributions have in common.
+    """
     if not len(a[0]) or not len(b[0]):
         return 0.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -129,13 +136,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     plain = len(i) / union
     if not len(i) or (a[1].max() == 1 and b[1].max() == 1):
         return plain
+    if np.minimum(a[1][i] / a[1].sum(), b[1][j] / b[1].sum()).sum() < least - 1e-9:
+        return plain
     x = np.concatenate([a[1][i], np.delete(a[1], i), np.zeros(len(b[1]) - len(j), np.int64)])
     y = np.concatenate([b[1][j], np.zeros(len(a[1]) - len(i), np.int64), np.delete(b[1], j)])
-    pairs, n = np.unique(np.stack([x, y]), axis=1, return_counts=True)
-    both = (pairs > 0).all(0)
+    width = int(y.max()) + 1
+    pairs, n = np.unique(x * width + y, return_counts=True)
+    x, y = pairs // width, pairs % width
     total = 0.0
-    for (u, v), times in zip(pairs[:, both].T, n[both], strict=True):
-        total += times / (n * np.maximum(pairs[0] / u, pairs[1] / v)).sum()
+    for k in np.flatnonzero((x > 0) & (y > 0)):
+        total += n[k] / (n * np.maximum(x / x[k], y / y[k])).sum()
     return max(plain, float(total))
 
 
@@ -181,35 +191,50 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
         known = signed_texts(texts)
         return {"id": batch.column("id"), "copy": batch.column("copy"), "bands": [known[t] for t in texts]}
 
-    t = F.col(text)
-    columns = [F.col(id_column).cast("long").alias("id"), t.alias("text"), F.unhex(F.md5(F.encode(t, "utf-8"))).alias("copy")]
+    t = F.col(quoted(text))
+    columns = [F.col(quoted(id_column)).cast("long").alias("id"), t.alias("text"), F.unhex(F.md5(F.encode(t, "utf-8"))).alias("copy")]
     return batch_map(docs.where(t.isNotNull()), columns, run, "id long, copy binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar; ``docs`` has id and packed text. b may be hot."""
+def _compared(pairs: DataFrame, docs: DataFrame, judge: Callable[[tuple, tuple], tuple | None], schema: str) -> DataFrame:
+    """What ``judge`` gives for the shingles of both texts of each pair (a, b), where that isn't None; ``docs`` has id and packed text. b may be hot."""
     keys = Keys.drawn()
     left = pairs.join(docs.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
     wanted = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
     right = wanted.drop("size").join(docs.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
     both = join_by_hot_key(left, right, ["b"], ["a"], sizes=wanted)
+    names = T._parse_datatype_string(schema).names
 
     def run(batch: pa.RecordBatch) -> dict:
-        unpack = zstandard.ZstdDecompressor()
-        last: dict[int, tuple] = {}
-        keep = []
-        read = lambda packed: shingles(unpack.decompress(packed.as_py()).decode(), keys=keys)
-        for x, b, y in zip(batch.column("x"), batch.column("b").to_pylist(), batch.column("y"), strict=True):
-            if b not in last:
-                if len(last) > 16:
-                    last.clear()
-                last[b] = read(y)
-            keep.append(similarity(read(x), last[b]) >= threshold)
-        return {c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}
-
-    found = stored(batch_map(both, ["a", "x", "b", "y"], run, "a long, b long"))
+        unpack, known, rows = zstandard.ZstdDecompressor(), {}, []
+
+        def read(i: int, packed: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            if i not in known:
+                if sum(len(k) for k, _ in known.values()) > KNOWN:
+                    known.clear()
+                known[i] = shingles(unpack.decompress(packed.as_py()).decode(), keys=keys)
+            return known[i]
+
+        for a, x, b, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("b").to_pylist(), batch.column("y"), strict=True):
+            if (found := judge(read(a, x), read(b, y))) is not None:
+                rows.append((a, b, *found))
+        return dict(zip(names, zip(*rows, strict=True) if rows else ([],) * len(names), strict=True))
+
+    out = stored(batch_map(both, ["a", "x", "b", "y"], run, schema))
     drop_stored(wanted)
-    return found
+    return out
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` that are similar."""
+    return _compared(pairs, docs, lambda x, y: () if similarity(x, y, threshold) >= threshold else None, "a long, b long")
+
+
+def beside(x: tuple[np.ndarray, np.ndarray], center: tuple[np.ndarray, np.ndarray]) -> tuple[int, float, int, bool, list[dict]]:
+    """How many shingles x has in common with the center, the share of x's weight on them, how many x has, whether none occurs twice, and the other shingles with their shares."""
+    common, share = np.isin(x[0], center[0], assume_unique=True), x[1] / x[1].sum()
+    rest = [{"s": s, "w": w} for s, w in zip(x[0][~common].view(np.int64).tolist(), share[~common].tolist(), strict=True)]
+    return int(common.sum()), float(share[common].sum()), len(common), bool(x[1].max() < 2), rest
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     usable = F.col(quoted(id_column)).isNotNull() & F.col(quoted(text)).isNotNull()
     signed = stored(signatures(docs.where(usable), id_column, text))
     ones = signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    ones = stored(ones.select("copy", "copies", "m.id", "m.bands"))
+    ones = stored(ones.select("copy", "copies", "m.*"))
     placed = _placed(ones)
     texts = packed_texts(docs.where(usable), id_column, text).join(placed.select("id").distinct(), "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id"]))
@@ -267,9 +292,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     tried = stored(pairs)
     links = _verified(tried, texts, threshold)
     groups = components(links)
-    for step in (_other_centers, _hub_pairs, _pairs_apart):
+    steps = (_other_centers, lambda rows: _hub_pairs(rows, links), lambda rows: _pairs_apart(rows, texts, threshold))
+    for step in steps:
         rows = _open_buckets(placed, groups)
-        more = stored(_untried(step(rows, links), tried))
+        more = stored(_untried(step(rows), tried))
         drop_stored(rows)
         if more.isEmpty():
             continue
@@ -303,7 +329,7 @@ def _open_buckets(placed: DataFrame, groups: DataFrame) -> DataFrame:
     return found
 
 
-def _other_centers(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _other_centers(rows: DataFrame) -> DataFrame:
     """Members and the center of their bucket, where it is of another group."""
     centers = rows.where("id = center").select("bucket", F.col("group").alias("g"))
     sizes = rows.where("id = center").select("bucket", "size")
@@ -319,13 +345,42 @@ def _hub_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     return join_by_hot_key(rows.drop("size"), hubs.drop("size"), ["bucket"], ["id"], sizes=hubs.select("bucket", "size")).where("group <> g").select(F.col("id").alias("a"), "b")
 
 
-def _pairs_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of different groups in one bucket: members outside the bucket's least group with all others."""
-    sizes = rows.groupBy("bucket").agg(F.first("size").alias("size"))
-    x = rows.where("group <> main").select("bucket", F.col("id").alias("a"), F.col("group").alias("ga"))
-    y = rows.select("bucket", F.col("id").alias("b"), F.col("group").alias("gb"), F.col("main").alias("m"))
-    once = (F.col("gb") == F.col("m")) | (F.col("a") < F.col("b"))
-    return join_by_hot_key(x, y, ["bucket"], ["a"], sizes=sizes).where((F.col("ga") != F.col("gb")) & once).select("a", "b")
+def _pairs_apart(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different groups in one bucket that can be similar at all, by what each member has in common with their center.
+
+    Two members have at most as many shingles in common as the one with fewer of the center's shingles has of those, and the ones that both have and
+    the center lacks, which are joined and counted. Likewise their probability Jaccard similarity is at most the smaller of their weights on the
+    center's shingles and the lesser weight of each other shingle that both have (two couplings agree no more often than their distributions
+    overlap). A pair is left out only if both bounds are below what the threshold needs.
+    """
+    of = rows.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    near = _compared(of, texts, beside, "a long, b long, common long, share double, n long, plain boolean, rest array<struct<s: long, w: double>>")
+    facts = ["group", "common", "share", "n", "plain"]
+    known = stored(near.join(rows.select(F.col("id").alias("a"), "group").distinct(), "a"))
+    drop_stored(near)
+    other = lambda df: df.select(*[F.col(c).alias(f"{c}_2") if c in ("a", "w", *facts) else F.col(c) for c in df.columns])
+
+    def can(same: Column, weight: Column) -> Column:
+        plain = F.least("common", "common_2") + same >= threshold / (1 + threshold) * (F.col("n") + F.col("n_2")) - 1e-6
+        weighed = F.least("share", "share_2") + weight >= threshold - 1e-6
+        return plain | (weighed & ~(F.col("plain") & F.col("plain_2")))
+
+    spread = stored(known.select("a", "b", *facts, F.explode("rest").alias("r")).select("a", "b", *facts, "r.s", "r.w"))
+    several = spread.groupBy("b", "s").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("b", "s", "size")
+    several = stored(several)
+    x = stored(join_by_hot_key(spread, several.drop("size"), ["b", "s"], ["a"], sizes=several))
+    drop_stored(spread)
+    both = join_by_hot_key(x, other(x), ["b", "s"], ["a"], sizes=several).where("a < a_2 AND group <> group_2")
+    once = [F.first(c).alias(c) for f in facts[1:] for c in (f, f"{f}_2")]
+    sharing = both.groupBy("a", "a_2", "b").agg(*once, F.count(F.lit(1)).alias("same"), F.sum(F.least("w", "w_2")).alias("weight"))
+    sharing = sharing.where(can(F.col("same"), F.col("weight")))
+
+    placed = stored(rows.where("id <> center").select("bucket", F.col("id").alias("a"), F.col("center").alias("b"), "size").join(known.drop("rest"), ["a", "b"]))
+    bucket = stored(placed.groupBy("bucket").agg(F.min("n").alias("n_2"), F.max("common").alias("common_2"), F.max("share").alias("share_2"), F.min("plain").alias("plain_2"), F.first("size").alias("size")))
+    some = join_by_hot_key(placed.drop("size"), bucket.drop("size"), ["bucket"], ["a"], sizes=bucket.select("bucket", "size")).where(can(F.lit(0), F.lit(0.0)))
+    some = stored(some.drop("n_2", "common_2", "share_2", "plain_2", "b"))
+    light = join_by_hot_key(some, other(some), ["bucket"], ["a"], sizes=bucket.select("bucket", "size")).where(F.expr("a < a_2 AND group <> group_2") & can(F.lit(0), F.lit(0.0)))
+    return sharing.select("a", F.col("a_2").alias("b")).union(light.select("a", F.col("a_2").alias("b")))
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:

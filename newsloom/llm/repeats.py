@@ -30,7 +30,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, quoted, stored
@@ -138,14 +138,14 @@ def _segment_rows(docs: DataFrame, tokens: Tokens, keys: Keys) -> DataFrame:
     return batch_map(docs, ["key", "text"], run, "key long, anchor long, d1 long, d2 long, span long")
 
 
-SEGMENTS = "anchor long, d1 long, d2 long, lo int, hi int, span long, first boolean, copies long, bytes binary"
+SEGMENTS = "anchor long, d1 long, d2 long, large boolean, lo int, hi int, span long, first boolean, copies long, bytes binary"
 
 
 def _fetched(docs: DataFrame, classes: DataFrame, tokens: Tokens) -> DataFrame:
     """One or two members of each class with their bytes; the anchor can stand from ``lo`` to ``hi``."""
 
     def place(which: str) -> DataFrame:
-        w = F.struct(*CLASS, F.col(f"{which}_span").alias("span"), F.lit(which == "one").alias("first"))
+        w = F.struct(*CLASS, "large", F.col(f"{which}_span").alias("span"), F.lit(which == "one").alias("first"))
         return (classes if which == "one" else classes.where("size > 1")).select(F.col(which).alias("key"), w.alias("w"))
 
     per_doc = place("one").union(place("two")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
@@ -155,7 +155,7 @@ def _fetched(docs: DataFrame, classes: DataFrame, tokens: Tokens) -> DataFrame:
             doc, found = tokens.read(text.as_py().encode()), asked.values
             for k in range(0, len(found), 4096):
                 part = found.slice(k, 4096)
-                out = {c: part.field(c) for c in (*CLASS, "span", "first")}
+                out = {c: part.field(c) for c in (*CLASS, "large", "span", "first")}
                 spans = out["span"].to_numpy()
                 start = spans >> 24
                 end = start + (spans & 0xFFF) + tokens.length - 1
@@ -190,7 +190,7 @@ def _searched(texts: DataFrame, engine: Engine) -> DataFrame:
             yield pa.RecordBatch.from_pydict(flush(held), schema=schema)
 
     schema = pa.schema([*((c, pa.int64()) for c in CLASS), ("runs", pa.list_(pa.int64()))])
-    dealt = texts.drop("lo", "hi").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = texts.drop("large", "lo", "hi").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(run, "anchor long, d1 long, d2 long, runs array<long>")
 
 
@@ -218,18 +218,24 @@ def _halves(tops: DataFrame, tokens: Tokens) -> DataFrame:
     return batch_map(tops, [*CLASS, "lo", "hi", "span", "copies", "bytes"], run, schema)
 
 
+def _marked(classes: DataFrame, copies: Column) -> DataFrame:
+    """``classes`` with ``large``: whether their group has over :data:`GROUP` segments."""
+    sizes = stored(classes.groupBy("anchor").agg(F.sum(copies).alias("total")).where(F.col("total") > GROUP))
+    hot = sizes.withColumnRenamed("total", "size")
+    return join_by_hot_key(classes, sizes, ["anchor"], ["d1"], how="left", sizes=hot).withColumn("large", F.col("total").isNotNull()).drop("total")
+
+
 def _found(texts: DataFrame, tokens: Tokens, engine: Engine) -> DataFrame:
-    """``runs`` of the classes in ``texts``; groups over :data:`GROUP` are halved until none is left."""
-    large = stored(texts.groupBy("anchor").agg(F.sum("copies").alias("size")).where(F.col("size") > GROUP))
+    """``runs`` of the classes in ``texts``; large groups are halved until none is left."""
+    found = _searched(texts.where("NOT large"), engine)
+    large = texts.where("large")
     if large.isEmpty():
-        return _searched(texts, engine)
-    marked = join_by_hot_key(texts, large, ["anchor"], ["d1", "first"], how="left", sizes=large)
-    found = _searched(marked.where("size IS NULL").drop("size"), engine)
+        return found
     same = [F.first(c).alias(c) for c in ("lo", "hi", "span", "bytes")]
     copies = F.least(F.sum("copies"), F.lit(2)).alias("copies")
-    tops = marked.where("size IS NOT NULL").groupBy(*CLASS).agg(*same, copies)
-    parts = stored(_halves(tops, tokens))
-    below = _found(stored(parts.groupBy(*CLASS).agg(*same, copies).withColumn("first", F.lit(True))), tokens, engine)
+    parts = stored(_halves(large.groupBy(*CLASS).agg(*same, copies), tokens))
+    merged = stored(parts.groupBy(*CLASS).agg(*same, copies).withColumn("first", F.lit(True)))
+    below = _found(stored(_marked(merged, F.col("copies"))), tokens, engine)
     runs = F.transform("runs", lambda r: r + F.shiftleft("shift", 12))
     up = join_by_hot_key(parts.drop("bytes"), below, CLASS, ["up_d1"])
     return found.union(up.select(*(F.col(f"up_{c}").alias(c) for c in CLASS), runs.alias("runs")))
@@ -244,7 +250,8 @@ def repeated_windows(docs: DataFrame, tokens: Tokens, engine: Engine) -> DataFra
     drop_stored(often)
     places = [f(c).alias(n + s) for f, n in ((F.first, "one"), (F.last, "two")) for c, s in (("key", ""), ("span", "_span"))]
     classes = stored(again.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("size"), *places))
-    texts = stored(_fetched(docs, classes, tokens))
+    marked = _marked(classes, F.least("size", F.lit(2)))
+    texts = stored(_fetched(docs, marked, tokens))
     found = stored(_found(texts, tokens, engine))
     drop_stored(texts)
     sizes = classes.where("size > 1").select(*CLASS, "size")
