@@ -94,9 +94,10 @@ def sentiment_summary(articles: DataFrame, tickers: DataFrame, scores: DataFrame
 
 def label_distribution(stories: DataFrame, seeds: tuple[str, ...] = ("POSITIVE", "NEUTRAL", "NEGATIVE")) -> DataFrame:
     """ticker, label, n: labels that a ticker hasn't got are there with 0, unknown labels with their count."""
-    known = F.array(*map(F.lit, seeds))
-    zeros = stories.select("ticker").distinct().select("ticker", F.explode(known).alias("label"), F.lit(0).cast("long").alias("n"))
-    return stories.groupBy("ticker", "label").agg(F.count(F.lit(1)).alias("n")).union(zeros).groupBy("ticker", "label").agg(F.sum("n").alias("n"))
+    counted = stories.groupBy("ticker", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("ticker").agg(F.collect_list(F.struct("label", "n")).alias("have"))
+    missing = F.array_except(F.array(*map(F.lit, seeds)), F.transform("have", lambda x: x["label"]))
+    rows = F.concat("have", F.transform(missing, lambda x: F.struct(x.alias("label"), F.lit(0).cast("long").alias("n"))))
+    return counted.select("ticker", F.explode(rows).alias("r")).select("ticker", "r.*")
 
 
 def sentiment_trend(articles: DataFrame, tickers: DataFrame, scores: DataFrame, as_of: Column, ticker: str | None = None, hours: int = 72, min_relevance: float = MIN_RELEVANCE, include_mock: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.stats import ewm_adjusted, ewma, in_time_order, std0
+from newsloom.functions.stats import ewm_adjusted, ewma_by
 from newsloom.operators.market import forward_labels, price_features, with_indicators
 from newsloom.operators.news import sentiment_summary, trailing_volatility, trailing_volume
 
@@ -25,10 +25,11 @@ MIN_SCORES, MIN_BARS, MIN_LABELS, SPLIT_FROM, SPAN, BINS = 40, 40, 30, 50, 7, 10
 
 def daily_features(scores: DataFrame) -> DataFrame:
     """EWMA, mean, deviation and number of each ticker's scores by day of scoring."""
-    x = F.col("compound").cast("double")
-    return scores.groupBy("ticker", F.to_date("scored_at").alias("news_day")).agg(
-        ewma(in_time_order(x, F.col("scored_at"), F.col("article_id"))).alias("ewma_sentiment_1d"), F.avg(x).alias("daily_mean"), std0(x).alias("sentiment_volatility"), F.count(F.lit(1)).cast("double").alias("article_volume_24h")
-    )
+    x = ewma_by(scores, ["ticker", F.to_date("scored_at").alias("news_day")], F.col("compound").cast("double"), F.col("scored_at"), F.col("article_id"))
+    mean = F.col("total") / F.col("n")
+    spread = F.greatest(F.col("squares") - F.col("total") * mean, F.lit(0.0))
+    deviation = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1))).otherwise(0.0)
+    return x.select("ticker", "news_day", F.col("ewma").alias("ewma_sentiment_1d"), mean.alias("daily_mean"), deviation.alias("sentiment_volatility"), F.col("n").cast("double").alias("article_volume_24h"))
 
 
 def with_week_average(daily: DataFrame) -> DataFrame:

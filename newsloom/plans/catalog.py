@@ -42,7 +42,7 @@ def stamp(c: str):
 
 
 # --- the same views in DuckDB ------------------------------------------------------------------------------------------
-NEWS = """n0 AS (SELECT doc_id AS id, 'https://news.example/' || doc_id AS url, substr(split_part(coalesce(text, ''), chr(10), 1), 1, 160) AS headline, substr(split_part(coalesce(text, ''), chr(10), 2), 1, 240) AS summary,
+NEWS = """n0 AS (SELECT doc_id AS id, 'https://news.example/' || doc_id AS url, split_part(coalesce(text, ''), chr(10), 1) AS headline, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS summary,
  text AS body, CASE source WHEN 'src0' THEN 'reuters' WHEN 'src1' THEN 'bloomberg' WHEN 'src2' THEN 'CNBC' WHEN 'src3' THEN 'benzinga' WHEN 'src4' THEN 'mock' WHEN 'src5' THEN NULL ELSE source END AS source,
  lang, TIMESTAMP '2024-01-01' + to_minutes(CAST((doc_id * 7919) % 43200 AS BIGINT)) AS published_at FROM documents),
 news AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(headline, '\\s*[-–|]\\s*[A-Za-z][\\p{L}\\p{N}_\\s\\.&]{1,40}$', ''))), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS story,
@@ -214,8 +214,8 @@ def watchlist_toggle(spark: SparkSession, sf: str) -> DataFrame:
 # --- ticks -------------------------------------------------------------------------------------------------------------
 @query(f"WITH {TICKS} SELECT ticker, round({FOLD.format(v='CAST(compound AS DOUBLE)', o='scored_at, article_id')}, 6) AS ewma FROM ticks GROUP BY ALL")
 def ewma_by_ticker(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = stats.in_time_order(F.col("compound").cast("double"), F.col("scored_at"), F.col("article_id"))
-    return views.ticks(spark, sf).groupBy("ticker").agg(F.round(stats.ewma(ordered), 6).alias("ewma"))
+    found = stats.ewma_by(views.ticks(spark, sf), ["ticker"], F.col("compound").cast("double"), F.col("scored_at"), F.col("article_id"))
+    return found.select("ticker", *r6("ewma"))
 
 
 @query(f"WITH {TICKS}, {DAILY} SELECT ticker, news_day, round(ewma_sentiment_1d, 6) AS ewma_sentiment_1d, round(daily_mean, 6) AS daily_mean, round(sentiment_volatility, 6) AS sentiment_volatility, article_volume_24h FROM daily")
@@ -441,13 +441,20 @@ def json_event_parse(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("external_id", "url", "source", stamp("published_at"), "ticker", F.col("compound").cast("double").alias("compound"))
 
 
-@query(f"WITH {LIVE} SELECT DISTINCT url, 'wire' AS source FROM lv")
+@query("""WITH lv AS (SELECT 'https://live.example/' || event_id AS url, CASE WHEN event_id % 5 = 0 THEN ['UNKNOWN'] ELSE [upper(event_type), 'U' || (user_id % 3)] END AS symbols,
+ CASE WHEN value > 100 THEN 'record growth' WHEN value < 20 THEN 'weak loss' ELSE 'steady' END AS headline, CASE WHEN value > 100 THEN 1.0 WHEN value < 20 THEN -1.0 ELSE 0.0 END AS compound, ts FROM events WHERE event_id % 11 <> 0)
+SELECT url, 'wire' AS source, headline, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at, unnest(symbols) AS ticker, CAST(compound AS DOUBLE) AS compound, CASE WHEN compound > 0 THEN 'POSITIVE' WHEN compound < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM lv""")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream that is read until its end: one article for each address."""
+    """All events as a stream in several micro-batches, read until its end, each event sent twice: the articles with tags and scores."""
     root = tables.work_dir(spark)
-    live.publish(views.raw_events(spark, sf), f"{root}/in")
-    live.start_ingest(live.read_events(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", views.as_of()).awaitTermination()
-    return spark.read.parquet(f"{root}/out/articles").select("url", "source")
+    sent = views.raw_events(spark, sf, twice=False)
+    for _ in range(2):
+        live.publish(sent, f"{root}/in")
+    stream = live.read_events(spark, f"{root}/in", max_files=1)
+    live.start_ingest(stream, f"{root}/out", f"{root}/checkpoint", views.as_of()).awaitTermination()
+    articles, tags, scores = (spark.read.parquet(f"{root}/out/{t}").drop("batch") for t in ("articles", "article_tickers", "sentiment_scores"))
+    found = articles.join(tags, articles["id"] == tags["article_id"]).drop("article_id").join(scores, (F.col("id") == scores["article_id"]) & (tags["ticker"] == scores["ticker"]))
+    return found.select("url", "source", "headline", stamp("published_at"), tags["ticker"], F.col("compound").cast("double").alias("compound"), "label")
 
 
 @query("SELECT event_id, strftime(CASE WHEN event_id % 7 = 0 THEN TIMESTAMP '2024-01-31' ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS iso, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS rfc, strftime(CAST(ts AS DATE), '%Y-%m-%d %H:%M:%S') AS day_only, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS epoch_s FROM events")

@@ -22,14 +22,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    line = lambda k, n: F.substring(F.split_part(text, F.lit("\n"), F.lit(k)), 1, n)
+    headline = F.split_part(text, F.lit("\n"), F.lit(1))
+    summary = F.substring(text, F.length(headline) + 2, F.length(text))
     names = {"src0": "reuters", "src1": "bloomberg", "src2": "CNBC", "src3": "benzinga", "src4": "mock"}
     source = F.when(F.col("source") == "src5", F.lit(None))
     for k, v in names.items():
         source = source.when(F.col("source") == k, v)
     minutes = F.pmod(F.col("doc_id") * 7919, F.lit(43200))
     return read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("https://news.example/"), F.col("doc_id").cast("string")).alias("url"), line(1, 160).alias("headline"), line(2, 240).alias("summary"),
+        F.col("doc_id").alias("id"), F.concat(F.lit("https://news.example/"), F.col("doc_id").cast("string")).alias("url"), headline.alias("headline"), summary.alias("summary"),
         F.col("text").alias("body"), source.otherwise(F.col("source")).alias("source"), "lang", F.timestamp_seconds(F.lit(1704067200) + minutes * 60).alias("published_at"), F.lit(None).cast("string").alias("raw_payload"),
     )
 
@@ -89,11 +90,13 @@ def filing_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"), F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("name"), pick("acc").alias("accessionNumber"), pick("form").alias("form"), pick("day").alias("filingDate"), short.alias("primaryDocument"))
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON payloads: some of another type, some without an address, some addresses twice."""
+def raw_events(spark: SparkSession, sf_dir: str, twice: bool = True) -> DataFrame:
+    """Events as JSON payloads, some of another type; with ``twice``, some without an address, and some addresses twice."""
     e = read(spark, sf_dir, "events")
     kind = F.when(F.col("event_id") % 11 == 0, "q").otherwise("n")
     url = F.when(F.col("event_id") % 13 == 0, "").otherwise(F.concat(F.lit("https://live.example/"), (F.floor(F.col("event_id") / 2)).cast("string")))
+    if not twice:
+        url = F.concat(F.lit("https://live.example/"), F.col("event_id").cast("string"))
     symbols = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string"))))
     text = F.when(F.col("value") > 100, "record growth").when(F.col("value") < 20, "weak loss").otherwise("steady")
     fields = [kind.alias("T"), F.col("event_id").cast("string").alias("id"), url.alias("url"), symbols.alias("symbols"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.lit(" Wire ").alias("source")]

@@ -78,7 +78,13 @@ def filing_history(spark: SparkSession, path: str, ticker: str, cik: str) -> Dat
     return x.select(F.lit(ticker.upper()).alias("ticker"), F.lit(cik).alias("cik"), "name", "filings.recent.*")
 
 
-def event_filter(payload: Column) -> Column:
-    """News events: type ``n`` or ``news``, or with a headline; what isn't an object is none."""
-    kind = F.get_json_object(payload, "$.T")
-    return F.coalesce(kind.isin("n", "news"), F.lit(False)) | F.coalesce(F.array_contains(F.json_object_keys(payload), "headline"), F.lit(False))
+def event_filter(payload: Column, event: Column | None = None) -> Column:
+    """News events: type ``n`` or ``news``, or with a headline; what isn't an object is none.
+
+    ``event``: the payload as a struct, where it has been parsed; then only events that say neither are looked at for a headline that is null.
+    """
+    kind = F.get_json_object(payload, "$.T") if event is None else event["T"]
+    said = F.coalesce(kind.isin("n", "news"), F.lit(False))
+    if event is not None:
+        said = said | event["headline"].isNotNull()
+    return said | (payload.contains('"headline"') & F.coalesce(F.array_contains(F.json_object_keys(payload), "headline"), F.lit(False)))

@@ -1,7 +1,8 @@
 """The live path: events from a stream become articles, tags and scores.
 
 One query with one checkpoint. Each micro-batch is written under its number, so a replay after a crash rewrites the same
-rows and nothing is counted twice; articles are new if neither the batch before nor the table has their address.
+rows and nothing is counted twice. The addresses seen so far are the state of the stream, which is kept in the checkpoint, split by address
+and read only where a batch needs it; there is no watermark, so an article is taken however late it comes.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from newsloom.operators.ingest import explode_symbols
 from newsloom.schemas import NEWS_EVENT
 from newsloom.sources.feeds import event_filter
 
-BATCH, SECONDS, RETENTION = 100, 5, 100_000
+BATCH, SECONDS = 100, 5
 
 
 def parse_events(events: DataFrame, as_of: Column) -> DataFrame:
     """``payload`` JSON rows as articles with symbols; those without an address go. Works on batches and streams."""
-    e = events.where(event_filter(F.col("payload"))).withColumn("e", F.from_json("payload", NEWS_EVENT)).where("e.url IS NOT NULL AND e.url <> ''")
+    e = events.withColumn("e", F.from_json("payload", NEWS_EVENT)).where("e.url IS NOT NULL AND e.url <> ''").where(event_filter(F.col("payload"), F.col("e")))
     when = parse_iso(F.coalesce("e.created_at", "e.published_at"), as_of)
     return e.select(
         "e.url", F.col("e.id").alias("external_id"), F.coalesce("e.headline", F.lit("")).alias("headline"), F.col("e.summary").alias("summary"),
@@ -38,7 +39,7 @@ def score(articles: DataFrame, positive=POSITIVE, negative=NEGATIVE) -> DataFram
 
 
 def watched(articles: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Articles of which a symbol is in the table of subscriptions, which is read anew for each micro-batch."""
+    """Articles of which a symbol is in the table of subscriptions."""
     wanted = explode_symbols(articles).join(subscriptions.select(F.upper("ticker").alias("ticker")), "ticker", "left_semi").select("url").distinct()
     return articles.join(wanted, "url", "left_semi")
 
@@ -48,15 +49,16 @@ def read_events(spark, path: str, max_files: int = BATCH) -> DataFrame:
     return spark.readStream.schema("value STRING").option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "payload")
 
 
-def start_ingest(stream: DataFrame, root: str, checkpoint: str, as_of: Column, watermark: str = "60 days", once: bool = True, **lexicon) -> StreamingQuery:
-    """Starts the query; it writes to ``root``/articles, article_tickers and sentiment_scores, a folder for each batch."""
-    spark = stream.sparkSession
-    parsed = parse_events(stream, as_of).withWatermark("published_at", watermark).dropDuplicatesWithinWatermark(["url"])
+def start_ingest(stream: DataFrame, root: str, checkpoint: str, as_of: Column, subscriptions: str | None = None, once: bool = True, **lexicon) -> StreamingQuery:
+    """Starts the query; it writes to ``root``/articles, article_tickers and sentiment_scores, a folder for each batch.
+
+    ``subscriptions``: the folder of a Parquet table of tickers, read anew for each batch; articles that have none of them when they come are dropped.
+    """
+    parsed = parse_events(stream, as_of).dropDuplicates(["url"])
 
     def write(batch: DataFrame, number: int) -> None:
-        known = _before(spark, f"{root}/articles", number)
-        fresh = batch.dropDuplicates(["url"])
-        fresh = (fresh if known is None else fresh.join(known.select("url"), "url", "left_anti")).persist()
+        fresh = batch if subscriptions is None else watched(batch, batch.sparkSession.read.parquet(subscriptions))
+        fresh = fresh.persist()
         scored = score(fresh, **lexicon)
         for name, df in (
             ("articles", fresh.drop("symbols").withColumn("ingested_at", as_of)),
@@ -70,14 +72,6 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, as_of: Column, w
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{SECONDS} seconds")).start()
 
 
-def _before(spark, path: str, number: int) -> DataFrame | None:
-    """The rows of earlier batches."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.parquet(path).where(F.col("batch") < number)
-
-
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Mean score and number by ticker and day (``published_at``, ``compound``), for a batch or, in update mode, a stream."""
     x = stream.withWatermark("published_at", late) if stream.isStreaming else stream

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas
+from newsloom.functions import stats
 from newsloom.operators import fundamentals, ingest, market, news, signals
 from newsloom.sources import feeds, tables
 from newsloom.streaming import events as live
@@ -200,6 +201,29 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert sorted(seen) == ["u1", "u2"] and live.push_feed(got, top, seen.append) == top
 
 
+def test_stream_takes_late_articles_and_only_watched_ones(spark, tmp_path):
+    src, root = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    spark.createDataFrame([("b",)], "ticker STRING").write.parquet(str(tmp_path / "subscriptions"))
+    for k, (url, when) in enumerate((("u1", "2024-01-30T00:00:00Z"), ("u2", "2023-09-20T00:00:00Z"), ("u1", "2023-09-20T00:00:00Z"), ("u3", "2024-01-31T00:00:00Z"))):
+        (src / f"{k}.txt").write_text(payload(url=url, headline="h", symbols=["a"] if url == "u3" else ["B"], created_at=when))
+        live.start_ingest(live.read_events(spark, str(src)), str(root), str(tmp_path / "cp"), now(), str(tmp_path / "subscriptions")).awaitTermination()
+    assert sorted(r["url"] for r in spark.read.parquet(f"{root}/articles").collect()) == ["u1", "u2"]
+
+
+def test_ewma_by_hours_is_the_fold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(k % 3), T0 + timedelta(minutes=int(m)), k, float(v)) for k, (m, v) in enumerate(zip(rng.integers(0, 900, 200), rng.normal(0, 1, 200), strict=True))]
+    df = spark.createDataFrame(rows, "ticker STRING, t TIMESTAMP, id LONG, v DOUBLE")
+    got = {r["ticker"]: r for r in stats.ewma_by(df, ["ticker"], F.col("v"), F.col("t"), F.col("id")).collect()}
+    for ticker, r in got.items():
+        own = sorted((t, i, v) for k, t, i, v in rows if k == ticker)
+        acc = own[0][2]
+        for _, _, v in own[1:]:
+            acc = stats.ALPHA * v + (1 - stats.ALPHA) * acc
+        assert r["ewma"] == pytest.approx(acc, abs=1e-12) and r["n"] == len(own) and r["total"] == pytest.approx(sum(x[2] for x in own))
+
+
 def test_streaming_daily_counts(spark, tmp_path):
     rows = spark.createDataFrame([("A", T0, 0.5), ("A", T0 + timedelta(hours=5), 1.0), ("B", T0 + timedelta(days=1), 0.0)], "ticker STRING, published_at TIMESTAMP, compound DOUBLE")
     rows.write.parquet(str(tmp_path / "in"))
