@@ -6,11 +6,13 @@ of them and the model that scoring looks up is of bounded size, while what is co
 partition, the partial counts are shuffled by n-gram, and lower orders come from counting kinds of n-grams, shard by shard. A document's
 n-grams are never shuffled: with one row for each, they would take several times the space of the text.
 
-A document is kept if its perplexity is at most the ``quantile`` of trusted documents in its language, times ``slack`` and an
-allowance that shrinks with the root of the text's length. Quantiles come from all trusted documents by a mergeable sketch. A language without trusted documents, or a null one, has the quantile of all.
+One trusted document in :data:`HELD_OUT` (by a hash of its id) is not trained on; thresholds come from those. A document is kept if its perplexity
+is between the lower and the upper quantile of them in its language, widened by ``slack`` and an allowance that shrinks with the root of
+the text's length. Text that is far too easy to tell, such as one symbol class over and over, is no better than noise. Quantiles come from a
+mergeable sketch. A language with under :data:`MIN_HELD` held-out documents, or a null one, has the quantiles of all; if those are fewer, all trusted documents serve.
 
 * Null text, or one without any symbol but white space: perplexity null, not kept.
-* Without trusted text nothing can be told apart: every n-gram is equally likely, the threshold is null, and documents with text are kept.
+* Without trusted text nothing can be told apart: every n-gram is equally likely, thresholds are null, and documents with text are kept.
 * Very long texts are scored whole. Repeated rows count as often as they occur. An empty table gives an empty table.
 * Extra columns don't matter; only id, text, language and the trusted ids are read. A null id is never trusted.
 """
@@ -32,7 +34,10 @@ from newsloom.llm.common import batch_map, join_by_hot_key, packed_texts, stored
 ORDER = 4
 SYMBOLS = 32
 OTHER_LETTER, DIGIT, SENTENCE, MARK, CAPITALS = 27, 28, 29, 30, 31
-QUANTILE, SLACK = 0.995, 1.15
+QUANTILE, SLACK = 0.99, 1.08
+HELD_OUT = 5
+#: So many held-out documents a language needs for quantiles of its own.
+MIN_HELD = 100
 #: Short texts vary more: the threshold is this over the root of the number of symbols higher, as a share.
 ALLOWANCE = 3.0
 #: Thresholds of so many languages are broadcast; if there are more, they are joined.
@@ -155,22 +160,31 @@ def perplexities(docs: DataFrame, model: np.ndarray, id_column: str = "doc_id",
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """id, perplexity, threshold and kept of each row; ``trusted_ids`` has the ids of trusted documents."""
+    """id, perplexity, least, threshold and kept of each row; ``trusted_ids`` has the ids of trusted documents."""
     ids = trusted_ids.select(F.col(id_column).cast("long").alias("id")).distinct()
+    held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
     # labels grow with the documents, so they are joined in one way at every size, and texts are packed for it
-    trusted = packed_texts(docs, id_column, text).hint("merge").join(ids, "id", "left_semi")
+    trusted = packed_texts(docs, id_column, text).hint("merge").join(ids.where(~held), "id", "left_semi")
     scored = stored(perplexities(docs, train(trusted), id_column, text, language))
     known = scored.where("perplexity IS NOT NULL").join(ids, "id", "left_semi")
-    sketch = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
-    own = known.where("lang IS NOT NULL").groupBy("lang").agg(sketch.alias("own"))
-    rest = known.agg(sketch.alias("all")).first()["all"]
-    out = _with_own(scored, own).withColumn("threshold", F.coalesce("own", F.lit(rest).cast("double")) * (1 + F.lit(ALLOWANCE) / F.sqrt(F.greatest("n_symbols", F.lit(1)))))
-    kept = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
-    return out.select(F.col("id").alias(id_column), "perplexity", "threshold", kept.alias("kept"))
+    tested = known.where(held)
+    bounds = (F.percentile_approx("perplexity", F.lit(1 - quantile), F.lit(10_000)) / slack**2, F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack)
+    named = lambda lo, hi: [b.alias(n) for b, n in zip(bounds, (lo, hi), strict=True)]
+    count = F.count(F.lit(1)).alias("n")
+    own = tested.where("lang IS NOT NULL").groupBy("lang").agg(*named("own_least", "own"), count).where(F.col("n") >= MIN_HELD).drop("n")
+    rest = tested.agg(*named("lo", "hi"), count).first()
+    if rest["n"] < MIN_HELD:
+        rest = known.agg(*named("lo", "hi")).first()
+    room = 1 + F.lit(ALLOWANCE) / F.sqrt(F.greatest("n_symbols", F.lit(1)))
+    out = _with_own(scored, own).withColumn("threshold", F.coalesce("own", F.lit(rest["hi"]).cast("double")) * room)
+    out = out.withColumn("least", F.coalesce("own_least", F.lit(rest["lo"]).cast("double")) / room)
+    p = F.col("perplexity")
+    kept = F.coalesce(p.isNotNull() & F.coalesce(p <= F.col("threshold"), F.lit(True)) & F.coalesce(p >= F.col("least"), F.lit(True)), F.lit(False))
+    return out.select(F.col("id").alias(id_column), "perplexity", "least", "threshold", kept.alias("kept"))
 
 
 def _with_own(scored: DataFrame, own: DataFrame) -> DataFrame:
-    """``scored`` with the threshold of its language, or null."""
+    """``scored`` with the thresholds of its language, or null."""
     rows = own.limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         return join_by_hot_key(scored, own, ["lang"], ["id"], how="left")
