@@ -26,23 +26,25 @@ def ewma(values: Column, alpha: float = ALPHA) -> Column:
     return F.when(F.size(values) > 0, fold).otherwise(F.lit(0.0))
 
 
-def ewma_by(df: DataFrame, keys: Sequence[str | Column], value: Column, time: Column, tie: Column, alpha: float = ALPHA) -> DataFrame:
+def ewma_by(df: DataFrame, keys: Sequence[str | Column], value: Column, time: Column, tie: Column, alpha: float = ALPHA, bucket: str = "day") -> DataFrame:
     """keys, ``ewma``, ``n``, ``total`` and ``squares`` of each group, its values ordered by time and ``tie``.
 
-    The fold is linear in what it begins with: n values scale that by (1 - alpha) ** n and add their own sum. So each hour of a group is folded
-    alone, and then the hours in order; no array holds more than an hour's values or a group's hours.
+    The fold is linear in what it begins with: n values scale that by (1 - alpha) ** n and add their own sum. So each day (or other
+    ``bucket`` of time) of a group is folded alone, and then the days in order; no array holds more than a day's values or a group's days.
     """
     k = [c if isinstance(c, Column) else F.col(c) for c in keys]
-    rows = df.select(*k, F.date_trunc("hour", time).alias("_hour"), F.struct(time.alias("t"), tie.alias("i"), value.alias("v")).alias("_r"))
-    names = [c for c in rows.columns if c not in ("_hour", "_r")]
-    hours = rows.groupBy(*names, "_hour").agg(F.sort_array(F.collect_list("_r")).alias("_rs"))
-    fold = F.aggregate("_rs", F.lit(0.0), lambda acc, r: F.lit(alpha) * r["v"] + F.lit(1 - alpha) * acc)
+    rows = df.select(*k, F.date_trunc(bucket, time).alias("_bucket"), F.struct(time.alias("t"), tie.alias("i"), value.alias("v")).alias("_r"))
+    names = [c for c in rows.columns if c not in ("_bucket", "_r")]
+    buckets = rows.groupBy(*names, "_bucket").agg(F.sort_array(F.collect_list("_r")).alias("_rs"))
+    fold = lambda rows, start: F.aggregate(rows, start, lambda acc, r: F.lit(alpha) * r["v"] + F.lit(1 - alpha) * acc)
+    begun = fold(F.slice("_rs", 2, F.greatest(F.size("_rs") - 1, F.lit(0))), F.element_at("_rs", 1)["v"])
     total = lambda f: F.aggregate("_rs", F.lit(0.0), lambda acc, r: acc + f(r["v"]))
     size = F.size("_rs")
-    part = F.struct("_hour", F.element_at("_rs", 1)["v"].alias("first"), F.pow(F.lit(1 - alpha), size).alias("scale"), fold.alias("own"))
-    folded = hours.select(*names, part.alias("_p"), size.alias("_n"), total(lambda v: v).alias("_t"), total(lambda v: v * v).alias("_s"))
+    part = F.struct("_bucket", begun.alias("begun"), F.pow(F.lit(1 - alpha), size).alias("scale"), fold("_rs", F.lit(0.0)).alias("own"))
+    folded = buckets.select(*names, part.alias("_p"), size.alias("_n"), total(lambda v: v).alias("_t"), total(lambda v: v * v).alias("_s"))
     groups = folded.groupBy(*names).agg(F.sort_array(F.collect_list("_p")).alias("_ps"), F.sum("_n").alias("n"), F.sum("_t").alias("total"), F.sum("_s").alias("squares"))
-    whole = F.aggregate("_ps", F.element_at("_ps", 1)["first"], lambda acc, p: acc * p["scale"] + p["own"])
+    later = F.slice("_ps", 2, F.greatest(F.size("_ps") - 1, F.lit(0)))
+    whole = F.aggregate(later, F.element_at("_ps", 1)["begun"], lambda acc, p: acc * p["scale"] + p["own"])
     return groups.select(*names, whole.alias("ewma"), "n", "total", "squares")
 
 

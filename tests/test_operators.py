@@ -211,11 +211,11 @@ def test_stream_takes_late_articles_and_only_watched_ones(spark, tmp_path):
     assert sorted(r["url"] for r in spark.read.parquet(f"{root}/articles").collect()) == ["u1", "u2"]
 
 
-def test_ewma_by_hours_is_the_fold(spark):
+def test_ewma_by_buckets_is_the_fold(spark):
     rng = np.random.default_rng(4)
     rows = [(str(k % 3), T0 + timedelta(minutes=int(m)), k, float(v)) for k, (m, v) in enumerate(zip(rng.integers(0, 900, 200), rng.normal(0, 1, 200), strict=True))]
     df = spark.createDataFrame(rows, "ticker STRING, t TIMESTAMP, id LONG, v DOUBLE")
-    got = {r["ticker"]: r for r in stats.ewma_by(df, ["ticker"], F.col("v"), F.col("t"), F.col("id")).collect()}
+    got = {r["ticker"]: r for r in stats.ewma_by(df, ["ticker"], F.col("v"), F.col("t"), F.col("id"), bucket="hour").collect()}
     for ticker, r in got.items():
         own = sorted((t, i, v) for k, t, i, v in rows if k == ticker)
         acc = own[0][2]
