@@ -39,6 +39,8 @@ _STRIP = re.compile(r"^\W+|\W+$")
 _ODD = mixed(np.arange(1, 1 + len(MASKS) * max(map(len, MASKS)), dtype=np.uint64)).reshape(len(MASKS), -1) | np.uint64(1)
 #: Of a hash, so many leading bits are looked up in a table before the hash itself is.
 _FIRST_BITS = 22
+#: So many words are remembered with their hash in a worker.
+MEMORY = 100_000
 _words: dict[str, int] = {}
 
 
@@ -50,7 +52,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each normalised word; words of punctuation alone are left out."""
     if not text:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > MEMORY:
         _words.clear()
     out = []
     for w in text.lower().split():

@@ -41,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** k`` modulo the prime for k below n."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        if have is None and len(_powers) >= 8:
+        if have is None and len(_powers) >= 4:
             _powers.clear()
         have = np.ones(1, np.uint64) if have is None else have
         while len(have) < n:

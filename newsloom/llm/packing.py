@@ -34,7 +34,7 @@ QUANTUM = 8
 END_ID = 2
 BUCKET_ROWS = 50_000
 #: Words whose ids a Python worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 1_000_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 SLICE = 2_000_000
 _SPACE = re.compile(rb"[ \t-\r]")
 #: Where a run of ASCII marks (no apostrophe, which can open a contraction) closes a word.
@@ -210,7 +210,7 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW, quantum: int = QUANTUM
     dealt = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*keys, (F.sum("_n").over(Window.partitionBy("_bin").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "start")) - 1)
+    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "start", "length", "ids_crc32")) - 1)
     ranked = numbered.join(before, keys).withColumn("_rank", F.col("_before") + F.col("_k"))
     places = spark.createDataFrame(slots, "_bin int, _from long, _to long, _first long, _slot int")  # as small as the plan
     placed = ranked.join(F.broadcast(places), "_bin").where("_rank >= _from AND _rank < _to").withColumn("sequence_id", F.col("_first") + F.col("_rank") - F.col("_from"))

@@ -37,7 +37,7 @@ from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed,
 from newsloom.llm.hashing import Keys, Sums
 
 #: Most segments of a group, bytes of groups that the engine gets at once, rows of a batch, and tokens that are hashed at once.
-GROUP, BLOCK, FLUSH, TOKENS = 1000, 1_000_000, 50_000, 1 << 17
+GROUP, BLOCK, FLUSH, TOKENS = 1000, 500_000, 50_000, 1 << 17
 _PLACE = np.uint64((1 << 18) - 1)
 CLASS = ["anchor", "d1", "d2"]
 
