@@ -1,181 +1,267 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-The model is of characters, in :data:`SYMBOLS` classes: white space, the letters a to z without accents, other letters, digits, marks
-of a sentence, other marks, and capitals after capitals. An n-gram has :data:`ORDER` symbols, so there are at most ``SYMBOLS ** ORDER`` (about a million)
-of them and the model that scoring looks up is of bounded size, while what is counted is all trusted text: n-grams are counted in each
-partition, the partial counts are shuffled by n-gram, and lower orders come from counting kinds of n-grams, shard by shard. A document's
-n-grams are never shuffled: with one row for each, they would take several times the space of the text.
-
-One trusted document in :data:`HELD_OUT` (by a hash of its id) is not trained on; thresholds come from those. A document is kept if its perplexity
-is between the lower and the upper quantile of them in its language, widened by ``slack`` and an allowance that shrinks with the root of
-the text's length. Text that is far too easy to tell, such as one symbol class over and over, is no better than noise. Quantiles come from a
-mergeable sketch. A language with under :data:`MIN_HELD` held-out documents, or a null one, has the quantiles of all; if those are fewer, all trusted documents serve.
-
-* Null text, or one without any symbol but white space: perplexity null, not kept.
-* Without trusted text nothing can be told apart: every n-gram is equally likely, thresholds are null, and documents with text are kept.
-* Very long texts are scored whole. Repeated rows count as often as they occur. An empty table gives an empty table.
+"""Quality classifier: perplexity of words under an interpolated modified Kneser-Ney model of trusted text.
+
+A word is a run of bytes other than white space. An n-gram of up to :data:`ORDER` words goes by a 64-bit key, so unlike n-grams of one key
+are taken for one; at ``n`` n-grams a key of another is met with a chance of ``n / 2 ** 62``. Nothing of the model is collected but the counts
+of counts, so it grows with the text, on all executors.
+
+* Counting: n-grams of trusted text are counted in each partition, the partial counts are shuffled by n-gram and summed. Lower orders
+  count how many different words stand before an n-gram. What a context gives away to lower orders follows from its n-grams.
+* Scoring: documents lie in chunks of about :data:`CHUNK` compressed bytes. A chunk asks for each of its n-grams once, whatever their frequency, one
+  join with the counts answers, and the answers meet the chunk's texts by its number. So no n-gram has more rows than there are chunks, and what a task holds at once is one chunk.
+* A trusted document is scored by the counts without its own: otherwise it would always seem well known. That is exact but for the discounts and the size of the vocabulary.
+
+Thresholds come from the trusted documents, each scored without its own counts. A document is kept if its perplexity
+is between the lower and the upper quantile of theirs in its language, all after an allowance that shrinks with the root of the
+number of words. Text that is far too easy to tell, such as one word over and over, is no better than noise. Quantiles come from a
+mergeable sketch. A language with under :data:`MIN_TRUSTED` trusted documents, or a null one, has the quantiles of all.
+
+* Null text, or one without any word: perplexity null, not kept.
+* Without trusted text nothing can be told apart: thresholds are null, and documents with text are kept.
+* Very long texts are scored whole, and are a chunk of their own. Repeated rows count as often as they occur. An empty table gives an empty table.
 * Extra columns don't matter; only id, text, language and the trusted ids are read. A null id is never trusted.
 """
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_map, join_by_hot_key, packed_texts, stored
-
-ORDER = 4
-SYMBOLS = 32
-OTHER_LETTER, DIGIT, SENTENCE, MARK, CAPITALS = 27, 28, 29, 30, 31
-QUANTILE, SLACK = 0.99, 1.08
-HELD_OUT = 5
-#: So many held-out documents a language needs for quantiles of its own.
-MIN_HELD = 100
-#: Short texts vary more: the threshold is this over the root of the number of symbols higher, as a share.
-ALLOWANCE = 3.0
+from newsloom.llm.common import batch_map, join_by_hot_key, mixed, quoted, stored
+from newsloom.llm.hashing import word_spans
+
+ORDER = 2
+QUANTILE = 0.995
+#: Compressed bytes of text in a chunk.
+CHUNK = 3 << 20
+#: Words whose n-grams are counted together before they leave a partition.
+TOGETHER = 2_000_000
+#: So many trusted documents a language needs for quantiles of its own.
+MIN_TRUSTED = 100
+#: Short texts vary more: logarithms of perplexities may be off by this over the root of the number of words.
+ALLOWANCE = 5.0
 #: Thresholds of so many languages are broadcast; if there are more, they are joined.
 MAX_LANGUAGES = 1000
-_state: dict[str, np.ndarray] = {}
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each code point, and whether it is a capital."""
-    if "classes" not in _state:
-        n = sys.maxunicode + 1
-        c = np.full(n, MARK, np.uint8)
-        upper = np.zeros(n, bool)
-        for k in range(n):
-            ch = chr(k)
-            if ch.isalpha():
-                base = unicodedata.normalize("NFKD", ch)[0].lower() if k < 0x3000 else ch
-                c[k] = ord(base) - 96 if "a" <= base <= "z" else OTHER_LETTER
-                upper[k] = ch.isupper()
-            elif ch.isspace():
-                c[k] = 0
-            elif ch.isdigit():
-                c[k] = DIGIT
-        for ch in ".,;:!?'\"()-–—‘’“”«»…¿¡":
-            c[ord(ch)] = SENTENCE
-        _state["classes"], _state["upper"] = c, upper
-    return _state["classes"], _state["upper"]
-
-
-def gram_numbers(text: str | None) -> np.ndarray:
-    """The number of the n-gram that ends at each symbol; runs of white space are one, and the text begins after one."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes, upper = _classes()
-    s, big = classes[points], upper[points]
-    s = np.where(big & np.concatenate([[False], big[:-1]]), CAPITALS, s)
-    s = np.concatenate([[0], s])
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    if not s.any():
-        return np.zeros(0, np.int32)
-    s = np.concatenate([np.zeros(ORDER - 2, s.dtype), s]).astype(np.int32)
-    out = np.zeros(len(s) - ORDER + 1, np.int32)
-    for k in range(ORDER):
-        out = out * SYMBOLS + s[k : k + len(out)]
-    return out
-
-
-def count_grams(trusted: DataFrame) -> DataFrame:
-    """gram, n over all ``trusted`` text (id and packed text), combined in each partition before the shuffle."""
+_START, _FACTOR = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_keys(raw: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the n-grams of 1 to ``order`` words that end at each word, and of 1 to ``order - 1`` that end before it."""
+    words = mixed(word_spans(raw)[0])
+    n = len(words)
+    words = np.concatenate([np.full(order - 1, _START), words])
+    keys = [words]
+    for k in range(1, order):
+        keys.append(mixed(keys[-1][:-1] * _FACTOR + words[k:]))
+    return [k[len(k) - n :] for k in keys], [k[len(k) - n - 1 : len(k) - 1] for k in keys[:-1]]
+
+
+def _columns(order: int) -> list[str]:
+    return [f"g{k}" for k in range(1, order + 1)] + [f"c{k}" for k in range(1, order)]
+
+
+def chunks(docs: DataFrame, trained: DataFrame, id_column: str, text: str, language: str) -> DataFrame:
+    """chunk, id, lang, trained and the packed text of each document that has a text; ``trained`` has the distinct ids to train on."""
+
+    def pack(batch: pa.RecordBatch) -> dict:
+        z = zstandard.ZstdCompressor(level=3)
+        return {"id": batch.column("id"), "lang": batch.column("lang"), "packed": [z.compress(t.encode()) for t in batch.column("text").to_pylist()]}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            numbers = []
+            for t in batch.column("packed").to_pylist():
+                if size and size + len(t) > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += len(t)
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], names=["chunk", *batch.schema.names])
+
+    columns = [F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(language)).cast("string").alias("lang"), F.col(quoted(text)).alias("text")]
+    given = docs.where(F.col(quoted(text)).isNotNull())
+    texts = lambda rows: batch_map(rows, columns, pack, "id long, lang string, packed binary")
+    # ids that are null match nothing and would all go to one task
+    known = texts(given.where(F.col(quoted(id_column)).isNotNull())).hint("merge").join(trained.withColumn("trained", F.lit(True)), "id", "left")
+    unknown = texts(given.where(F.col(quoted(id_column)).isNull())).withColumn("trained", F.lit(False))
+    both = known.unionByName(unknown).select("id", "lang", F.coalesce("trained", F.lit(False)).alias("trained"), "packed")
+    return both.mapInArrow(number, "chunk long, id long, lang string, trained boolean, packed binary")
+
+
+def count_grams(texts: DataFrame, order: int) -> DataFrame:
+    """Keys and count n of each n-gram of ``order`` words in the packed texts, combined before the shuffle."""
+    names = _columns(order)
+
+    def distinct(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        whole = [np.concatenate(p) for p in zip(*parts, strict=True)]
+        _, first, n = np.unique(whole[order - 1], return_index=True, return_counts=True)
+        for at in range(0, len(n), 200_000):
+            here = first[at : at + 200_000]
+            yield pa.RecordBatch.from_arrays([*[pa.array(w[here].view(np.int64)) for w in whole], pa.array(n[at : at + 200_000])], names=[*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unpack = np.zeros(SYMBOLS**ORDER, np.int64), zstandard.ZstdDecompressor()
+        parts, size, unpack = [], 0, zstandard.ZstdDecompressor()
         for batch in batches:
             for t in batch.column("packed").to_pylist():
-                g = gram_numbers(unpack.decompress(t).decode())
-                if len(g) > 100_000:
-                    total += np.bincount(g, minlength=len(total))
-                else:
-                    np.add.at(total, g, 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": found, "n": total[found]})
+                grams, contexts = gram_keys(unpack.decompress(t), order)
+                parts.append([*grams, *contexts])
+                size += len(grams[0])
+                if size > TOGETHER:
+                    yield from distinct(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from distinct(parts)
 
-    return trusted.select("packed").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = texts.select("packed").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return found.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def order_counts(grams: DataFrame) -> list[DataFrame]:
-    """gram, n for each order, lowest first: below the highest, n is how many different symbols stand before the gram."""
+def order_counts(grams: DataFrame, order: int) -> list[DataFrame]:
+    """Counts of each order, lowest first: below the highest, n is how many different words stand before the n-gram."""
     out = [grams]
-    for k in range(ORDER - 1, 0, -1):
-        out.append(out[-1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    for k in range(order - 1, 0, -1):
+        out.append(out[-1].groupBy(*_columns(k)).agg(F.count(F.lit(1)).alias("n")))
     return out[::-1]
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken from counts of 1, 2, and 3 or more, from how many grams have a count of 1 to 4."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in range(1, 5))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """What is taken from counts of 0, 1, 2, and 3 or more, from how many n-grams have a count of 1 to 4."""
     if not (n1 and n2 and n3 and n4):
-        return np.array([0.5, 0.75, 0.9])
+        return np.array([0, 0.5, 0.75, 0.9])
     y = n1 / (n1 + 2 * n2)
     d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0.05, 0.1, 0.1], [0.95, 1.9, 2.9])
+    return np.concatenate([[0], np.clip(d, [0.05, 0.1, 0.1], [0.95, 1.9, 2.9])])
 
 
-def log_probabilities(counts: list[np.ndarray]) -> np.ndarray:
-    """Natural logarithm of the last symbol's probability in each n-gram; ``counts`` has an array for each order, lowest first."""
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for k, own in enumerate(counts):
-        c = own.reshape(-1, SYMBOLS).astype(float)
-        d = discounts(own)
-        taken = np.where(c == 0, 0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
-        total = c.sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS if k else 1, 1))
-        p = np.where(total > 0, (c - taken + taken.sum(1, keepdims=True) * lower) / np.maximum(total, 1), lower)
-    return np.log(p).ravel()
+def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[np.ndarray], dict]:
+    """key, n, total and back of each n-gram: its count, and as a context the counts in it and what they give away; the discounts of each order; sums of the lowest."""
+    tables = order_counts(stored(count_grams(texts, order)), order)
+    kinds = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]
+    sums = [t.agg(*kinds, F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first() for t in tables]
+    taken = [discounts(*(s[f"n{k}"] for k in range(1, 5))) for s in sums]
 
+    def back(d: np.ndarray) -> Column:
+        return F.count_if(F.col("n") == 1) * float(d[1]) + F.count_if(F.col("n") == 2) * float(d[2]) + F.count_if(F.col("n") > 2) * float(d[3])
 
-def train(trusted: DataFrame) -> np.ndarray:
-    """Log probabilities of all n-grams; what is collected is at most ``SYMBOLS ** ORDER`` counts and their lower orders."""
-    arrays = []
-    for k, df in enumerate(order_counts(stored(count_grams(trusted))), 1):
-        a, found = np.zeros(SYMBOLS**k, np.int64), df.toPandas()
-        a[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-        arrays.append(a)
-    return log_probabilities(arrays)
+    rows = None
+    for k, (t, d) in enumerate(zip(tables, taken, strict=True), 1):
+        own = t.select(F.col(f"g{k}").alias("key"), "n", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("back"))
+        rows = own if rows is None else rows.unionByName(own)
+        if k > 1:
+            given = t.groupBy(F.col(f"c{k - 1}").alias("key")).agg(F.sum("n").alias("total"), back(d).alias("back"))
+            rows = rows.unionByName(given.select("key", F.lit(0).cast("long").alias("n"), "total", "back"))
+    model = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "total", "back")])
+    low, d = sums[0], taken[0]
+    more = low["types"] - low["n1"] - low["n2"]
+    return model, taken, {"types": low["types"], "total": low["total"], "back": float(d[1] * low["n1"] + d[2] * low["n2"] + d[3] * more)}
 
 
-def perplexities(docs: DataFrame, model: np.ndarray, id_column: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
-    """id, lang, n_symbols and perplexity (a symbol) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+def asked(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """chunk and key of each n-gram in a chunk; more than once only where tasks split a chunk."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        sizes, found = [], []
-        for t in batch.column("text").to_pylist():
-            g = gram_numbers(t)
-            sizes.append(len(g))
-            found.append(float(np.exp(-shared.value[g].mean(dtype=np.float64))) if len(g) else None)
-        return {"id": batch.column("id"), "lang": batch.column("lang"), "n_symbols": sizes, "perplexity": found}
-
-    columns = [F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), F.col(language).cast("string").alias("lang")]
-    return batch_map(docs, columns, run, "id long, lang string, n_symbols long, perplexity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, unpack = None, [], zstandard.ZstdDecompressor()
 
+        def distinct() -> Iterator[pa.RecordBatch]:
+            found = np.unique(np.concatenate(parts)).view(np.int64) if parts else ()
+            for at in range(0, len(found), 500_000):
+                here = found[at : at + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), now)), pa.array(here)], names=["chunk", "key"])
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+        for batch in batches:
+            for chunk, t in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if chunk != now:
+                    yield from distinct()
+                    now, parts = chunk, []
+                grams, contexts = gram_keys(unpack.decompress(t), order)
+                parts += [np.unique(g) for g in grams] + [c[:1] for c in contexts]
+        yield from distinct()
+
+    return texts.select("chunk", "packed").mapInArrow(run, "chunk long, key long")
+
+
+class Answers:
+    """Counts of n-grams by their keys; n-grams that are missing have none."""
+
+    def __init__(self, rows: pa.Table):
+        keys = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], {c: rows.column(c).to_numpy()[order].astype(float) for c in ("n", "total", "back")}
+
+    def find(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys)) for _ in names]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return [np.where(hit, self.values[c][at], 0.0) for c in names]
+
+
+def perplexity(raw: bytes, trained: bool, answers: Answers, taken: list[np.ndarray], low: dict) -> tuple[int, float | None]:
+    """Number of words and perplexity (a word) of a text; the counts of a text that was trained on are taken off first."""
+    order = len(taken)
+    grams, contexts = gram_keys(raw, order)
+    size = len(grams[0])
+    if not size:
+        return 0, None
+    off = lambda k, n: taken[k][np.minimum(n, 3).astype(int)]
+    levels, own_next = [], None
+    for k in range(order - 1, -1, -1):
+        keys, first, which, times = np.unique(grams[k], return_index=True, return_inverse=True, return_counts=True)
+        (n,) = answers.find(keys, "n")
+        own = np.zeros(len(keys))
+        if trained:
+            own = times.astype(float) if k == order - 1 else np.bincount(which[own_next], minlength=len(keys)).astype(float)
+        less = np.maximum(n - own, 0)
+        freed = off(k, n) - off(k, less)
+        if k:
+            places, of = np.unique(contexts[k - 1], return_inverse=True)
+            total, back = answers.find(places, "total", "back")
+            total = total - np.bincount(of[first], own, len(places))
+            back = (back - np.bincount(of[first], freed, len(places)))[of]
+            total = total[of]
+        else:
+            total, back = np.full(size, low["total"] - own.sum()), np.full(size, low["back"] - freed.sum())
+        levels.append(((less - off(k, less))[which], total, back))
+        own_next = first[(own > 0) & (less == 0)]
+    p = np.full(size, 1.0 / (low["types"] + 1))
+    for seen, total, back in reversed(levels):
+        p = np.where(total > 0, (seen + np.maximum(back, 0) * p) / np.maximum(total, 1), p)
+    return size, float(np.exp(-np.log(p).mean()))
+
+
+def perplexities(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """id, lang, n_words and perplexity of each row of :func:`chunks`, by a model of those to train on."""
+    model, taken, low = train(texts.where("trained"), order)
+    answers = asked(texts, order).join(model.hint("merge"), "key").select("chunk", "key", "n", "total", "back")
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        known, unpack = Answers(found), zstandard.ZstdDecompressor()
+        out = [perplexity(unpack.decompress(t), own, known, taken, low) for t, own in zip(docs.column("packed").to_pylist(), docs.column("trained").to_pylist(), strict=True)]
+        n, p = pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())
+        return pa.table({"id": docs.column("id"), "lang": docs.column("lang"), "n_words": n, "perplexity": p})
+
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "id long, lang string, n_words long, perplexity double")
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang", quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """id, perplexity, least, threshold and kept of each row; ``trusted_ids`` has the ids of trusted documents."""
-    ids = trusted_ids.select(F.col(id_column).cast("long").alias("id")).distinct()
-    held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    # labels grow with the documents, so they are joined in one way at every size, and texts are packed for it
-    trusted = packed_texts(docs, id_column, text).hint("merge").join(ids.where(~held), "id", "left_semi")
-    scored = stored(perplexities(docs, train(trusted), id_column, text, language))
+    ids = trusted_ids.select(F.col(id_column).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    texts = stored(chunks(docs, ids, id_column, text, language))
+    scored = perplexities(texts, order)
+    without = docs.where(F.col(quoted(text)).isNull()).select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(language)).cast("string").alias("lang"))
+    scored = stored(scored.unionByName(without.selectExpr("id", "lang", "0L AS n_words", "CAST(NULL AS DOUBLE) AS perplexity")))
     known = scored.where("perplexity IS NOT NULL").join(ids, "id", "left_semi")
-    tested = known.where(held)
-    bounds = (F.percentile_approx("perplexity", F.lit(1 - quantile), F.lit(10_000)) / slack**2, F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack)
+    room = F.exp(F.lit(ALLOWANCE) / F.sqrt(F.greatest("n_words", F.lit(1))))
+    bounds = (F.percentile_approx(F.col("perplexity") * room, F.lit(1 - quantile), F.lit(10_000)), F.percentile_approx(F.col("perplexity") / room, F.lit(quantile), F.lit(10_000)))
     named = lambda lo, hi: [b.alias(n) for b, n in zip(bounds, (lo, hi), strict=True)]
     count = F.count(F.lit(1)).alias("n")
-    own = tested.where("lang IS NOT NULL").groupBy("lang").agg(*named("own_least", "own"), count).where(F.col("n") >= MIN_HELD).drop("n")
-    rest = tested.agg(*named("lo", "hi"), count).first()
-    if rest["n"] < MIN_HELD:
-        rest = known.agg(*named("lo", "hi")).first()
-    room = 1 + F.lit(ALLOWANCE) / F.sqrt(F.greatest("n_symbols", F.lit(1)))
+    own = known.where("lang IS NOT NULL").groupBy("lang").agg(*named("own_least", "own"), count).where(F.col("n") >= MIN_TRUSTED).drop("n")
+    rest = known.agg(*named("lo", "hi")).first()
     out = _with_own(scored, own).withColumn("threshold", F.coalesce("own", F.lit(rest["hi"]).cast("double")) * room)
     out = out.withColumn("least", F.coalesce("own_least", F.lit(rest["lo"]).cast("double")) / room)
     p = F.col("perplexity")
