@@ -47,22 +47,35 @@ MIN_TRUSTED = 100
 ALLOWANCE = 5.0
 #: Thresholds of so many languages are broadcast; if there are more, they are joined.
 MAX_LANGUAGES = 1000
-_START, _FACTOR = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+#: The word before a text, and by how many bits the key of an n-gram is turned before the next word is added.
+_START, _TURN = np.uint64(1), 21
 
 
-def gram_keys(raw: bytes, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def words_before(raw: bytes, order: int) -> np.ndarray:
+    """64-bit hash of each word, after ``order - 1`` marks of the text's start."""
+    return np.concatenate([np.full(order - 1, _START), mixed(word_spans(raw)[0])])
+
+
+def gram_keys(words: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Keys of the n-grams of 1 to ``order`` words that end at each word, and of 1 to ``order - 1`` that end before it."""
-    words = mixed(word_spans(raw)[0])
-    n = len(words)
-    words = np.concatenate([np.full(order - 1, _START), words])
-    keys = [words]
+    n, keys = len(words) - order + 1, [words]
     for k in range(1, order):
-        keys.append(mixed(keys[-1][:-1] * _FACTOR + words[k:]))
+        last = keys[-1][:-1]
+        keys.append((last << np.uint64(_TURN) | last >> np.uint64(64 - _TURN)) ^ words[k:])
     return [k[len(k) - n :] for k in keys], [k[len(k) - n - 1 : len(k) - 1] for k in keys[:-1]]
 
 
-def _columns(order: int) -> list[str]:
-    return [f"g{k}" for k in range(1, order + 1)] + [f"c{k}" for k in range(1, order)]
+def gram_key(words: list[str]) -> Column:
+    """The same key from columns of words."""
+    key = F.col(words[0])
+    for w in words[1:]:
+        key = F.shiftleft(key, _TURN).bitwiseOR(F.shiftrightunsigned(key, 64 - _TURN)).bitwiseXOR(F.col(w))
+    return key
+
+
+def _words(order: int, of: int) -> list[str]:
+    """Columns of the last ``order`` words of ``of``."""
+    return [f"w{k}" for k in range(of - order, of)]
 
 
 def chunks(docs: DataFrame, trained: DataFrame, id_column: str, text: str, language: str) -> DataFrame:
@@ -94,12 +107,12 @@ def chunks(docs: DataFrame, trained: DataFrame, id_column: str, text: str, langu
 
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """Keys and count n of each n-gram of ``order`` words in the packed texts, combined before the shuffle."""
-    names = _columns(order)
+    """The words and count n of each n-gram of ``order`` words in the packed texts, combined before the shuffle."""
+    names = _words(order, order)
 
     def distinct(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         whole = [np.concatenate(p) for p in zip(*parts, strict=True)]
-        _, first, n = np.unique(whole[order - 1], return_index=True, return_counts=True)
+        _, first, n = np.unique(whole.pop(), return_index=True, return_counts=True)
         for at in range(0, len(n), 200_000):
             here = first[at : at + 200_000]
             yield pa.RecordBatch.from_arrays([*[pa.array(w[here].view(np.int64)) for w in whole], pa.array(n[at : at + 200_000])], names=[*names, "n"])
@@ -108,9 +121,10 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
         parts, size, unpack = [], 0, zstandard.ZstdDecompressor()
         for batch in batches:
             for t in batch.column("packed").to_pylist():
-                grams, contexts = gram_keys(unpack.decompress(t), order)
-                parts.append([*grams, *contexts])
-                size += len(grams[0])
+                words = words_before(unpack.decompress(t), order)
+                n = len(words) - order + 1
+                parts.append([*[words[k : k + n] for k in range(order)], gram_keys(words, order)[0][-1]])
+                size += n
                 if size > TOGETHER:
                     yield from distinct(parts)
                     parts, size = [], 0
@@ -125,7 +139,7 @@ def order_counts(grams: DataFrame, order: int) -> list[DataFrame]:
     """Counts of each order, lowest first: below the highest, n is how many different words stand before the n-gram."""
     out = [grams]
     for k in range(order - 1, 0, -1):
-        out.append(out[-1].groupBy(*_columns(k)).agg(F.count(F.lit(1)).alias("n")))
+        out.append(out[-1].groupBy(*_words(k, order)).agg(F.count(F.lit(1)).alias("n")))
     return out[::-1]
 
 
@@ -150,10 +164,11 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[np.ndar
 
     rows = None
     for k, (t, d) in enumerate(zip(tables, taken, strict=True), 1):
-        own = t.select(F.col(f"g{k}").alias("key"), "n", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("back"))
+        words = _words(k, order)
+        own = t.select(gram_key(words).alias("key"), "n", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("back"))
         rows = own if rows is None else rows.unionByName(own)
         if k > 1:
-            given = t.groupBy(F.col(f"c{k - 1}").alias("key")).agg(F.sum("n").alias("total"), back(d).alias("back"))
+            given = t.groupBy(gram_key(words[:-1]).alias("key")).agg(F.sum("n").alias("total"), back(d).alias("back"))
             rows = rows.unionByName(given.select("key", F.lit(0).cast("long").alias("n"), "total", "back"))
     model = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "total", "back")])
     low, d = sums[0], taken[0]
@@ -178,7 +193,7 @@ def asked(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 if chunk != now:
                     yield from distinct()
                     now, parts = chunk, []
-                grams, contexts = gram_keys(unpack.decompress(t), order)
+                grams, contexts = gram_keys(words_before(unpack.decompress(t), order), order)
                 parts += [np.unique(g) for g in grams] + [c[:1] for c in contexts]
         yield from distinct()
 
@@ -204,7 +219,7 @@ class Answers:
 def perplexity(raw: bytes, trained: bool, answers: Answers, taken: list[np.ndarray], low: dict) -> tuple[int, float | None]:
     """Number of words and perplexity (a word) of a text; the counts of a text that was trained on are taken off first."""
     order = len(taken)
-    grams, contexts = gram_keys(raw, order)
+    grams, contexts = gram_keys(words_before(raw, order), order)
     size = len(grams[0])
     if not size:
         return 0, None
