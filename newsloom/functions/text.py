@@ -123,6 +123,21 @@ def search_queries(ticker: Column, company: Column, sources: Sequence[str]) -> C
     return F.array(F.concat(base, F.lit(" stock")), *[F.concat(base, F.lit(f" site:{s}")) for s in sources])
 
 
+def query_url(base: str, query: Column) -> Column:
+    """``base`` with the query quoted for an address."""
+    return F.concat(F.lit(base), F.url_encode(query))
+
+
+def fixed(x: Column, places: int = 2) -> Column:
+    """A number with so many places, no grouping; none is 0."""
+    return F.format_string(f"%.{places}f", F.coalesce(x.cast("double"), F.lit(0.0)))
+
+
+def percent(x: Column, places: int = 2) -> Column:
+    """A share in per cent."""
+    return F.concat(fixed(F.coalesce(x.cast("double"), F.lit(0.0)) * 100, places), F.lit("%"))
+
+
 def _lexicon_engine(headline: Column, summary: Column) -> Column:
     return lexicon_compound(F.concat(F.coalesce(headline, F.lit("")), F.lit(". "), F.coalesce(summary, F.lit(""))))
 

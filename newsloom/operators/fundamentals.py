@@ -36,13 +36,18 @@ def near_earnings(articles: DataFrame, earnings: DataFrame) -> DataFrame:
 
 
 def tag_near_earnings(articles: DataFrame, earnings: DataFrame) -> DataFrame:
-    """``articles`` with near_earnings and earnings_date set in raw_payload where a report is near and no tag is there yet."""
-    near = near_earnings(articles, earnings).select(F.col("id").alias("_id"), F.date_format("report_date", "yyyy-MM-dd").alias("_day"))
-    fields = F.from_json(F.coalesce("raw_payload", F.lit("{}")), "map<string,string>")
-    tagged = F.to_json(F.map_concat(F.map_filter(F.coalesce(fields, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("near_earnings", "earnings_date")), F.create_map(F.lit("near_earnings"), F.lit("true"), F.lit("earnings_date"), F.col("_day"))))
-    has = F.get_json_object("raw_payload", "$.near_earnings").isNotNull()
-    x = articles.join(near, articles["id"] == near["_id"], "left")
-    return x.withColumn("raw_payload", F.when(F.col("_id").isNotNull() & ~has, tagged).otherwise(F.col("raw_payload"))).drop("_id", "_day")
+    """``articles`` with near_earnings and earnings_date set in raw_payload where a report is near and no tag is there yet, and whether the row was ``tagged`` now.
+
+    Other fields of the payload, nested ones and numbers too, stay as they are written; what isn't an object counts as an empty one.
+    """
+    near = near_earnings(articles, earnings).select(F.col("id").alias("_id"), F.col("ticker").alias("_ticker"), F.date_format("report_date", "yyyy-MM-dd").alias("_day"))
+    own = F.rtrim(F.regexp_extract(F.coalesce("raw_payload", F.lit("")), r"(?s)^\s*\{(.*)\}\s*$", 1))
+    body = F.when(F.json_object_keys("raw_payload").isNotNull(), own).otherwise("")
+    tag = F.concat(F.lit('"near_earnings":"true","earnings_date":"'), "_day", F.lit('"'))
+    tagged = F.concat(F.lit("{"), body, F.when(body != "", ",").otherwise(""), tag, F.lit("}"))
+    has = F.coalesce(F.array_contains(F.json_object_keys("raw_payload"), "near_earnings"), F.lit(False))
+    x = articles.join(near, (articles["id"] == near["_id"]) & (articles["ticker"] == near["_ticker"]), "left").withColumn("tagged", F.col("_id").isNotNull() & ~has)
+    return x.withColumn("raw_payload", F.when(F.col("tagged"), tagged).otherwise(F.col("raw_payload"))).drop("_id", "_ticker", "_day")
 
 
 def latest_earnings(earnings: DataFrame, ticker: str, limit: int = 40) -> DataFrame:
@@ -94,6 +99,11 @@ def filing_articles(filings: DataFrame, since: Column, forms: tuple[str, ...] |
     )
 
 
+def with_cik(tickers: DataFrame, ciks: DataFrame) -> DataFrame:
+    """Rows whose ticker has a cik, with it; others go."""
+    return tickers.withColumn("ticker", F.upper("ticker")).join(ciks.dropDuplicates(["ticker"]), "ticker")
+
+
 def link_filings(filings: DataFrame, articles: DataFrame, new_articles: DataFrame) -> DataFrame:
     """``filings`` with article_id: an existing article with that address, else the new one."""
     old = articles.select(F.col("url").alias("filing_url"), F.col("id").alias("_old"))

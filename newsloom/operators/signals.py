@@ -8,8 +8,8 @@ from pathlib import PurePosixPath
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,20 +119,35 @@ def top_features(df: DataFrame, importances: str = "feature_importances", key: s
     return x.withColumn("percent", F.round(F.abs("value") / largest * 100).cast("long"))
 
 
-def train_model(df: DataFrame, trees: int = 150, depth: int = 4, seed: int = 7) -> tuple[PipelineModel, dict]:
-    """A forest on the features of training and ``all`` rows of ``part``, and its metrics on the others."""
+def train_model(df: DataFrame, trees: int = 150, depth: int = 4, seed: int = 7, boosted: bool = False, step: float = 0.05) -> tuple[PipelineModel, dict]:
+    """A model on the features of training and ``all`` rows of ``part``, and its metrics on the others.
+
+    A forest, or with ``boosted`` a booster for each label against the rest, whose probabilities are scaled to a sum of 1.
+    """
     data = without_infinities(df)
+    names = [r["target"] for r in data.where("part <> 'validation'").select("target").distinct().where("target IS NOT NULL").orderBy("target").collect()]
+    data = data.withColumns({f"is_{k}": (F.col("target") == v).cast("double") for k, v in enumerate(names)})
     train, held = data.where("part <> 'validation'"), data.where("part <> 'train'")
-    stages = [
-        StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
-        VectorAssembler(inputCols=list(FEATURES), outputCol="features"),
-        RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.9, seed=seed),
-    ]
-    model = Pipeline(stages=stages).fit(train)
-    names = model.stages[0].labels
-    scored = model.transform(held).withColumn("p", vector_to_array("probability"))
-    row = calibration_metrics(scored, F.col("target"), {v: F.col("p")[k] for k, v in enumerate(names)}).first()
-    return model, {"labels": names, "accuracy": row["accuracy"], "brier": row["brier"], "ece": row["ece"], "rows": row["n"]}
+    stages = [StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"), VectorAssembler(inputCols=list(FEATURES), outputCol="features")]
+    if boosted:
+        for k in range(len(names)):
+            one = GBTClassifier(labelCol=f"is_{k}", predictionCol=f"said_{k}", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)
+            stages.append(one.setProbabilityCol(f"p_{k}").setRawPredictionCol(f"raw_{k}"))
+    else:
+        stages.append(RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=0.9, seed=seed))
+    model, info = Pipeline(stages=stages).fit(train), {"labels": names, "boosted": boosted}
+    scored = model.transform(held).withColumn("_p", _probabilities(info))
+    row = calibration_metrics(scored, F.col("target"), {v: F.col("_p")[k] for k, v in enumerate(names)}).first()
+    return model, info | {"accuracy": row["accuracy"], "brier": row["brier"], "ece": row["ece"], "rows": row["n"]}
+
+
+def _probabilities(info: dict) -> Column:
+    """The labels' probabilities as an array, of rows that the model has scored."""
+    if not info.get("boosted"):
+        return vector_to_array("probability")
+    own = [vector_to_array(f"p_{k}")[1] for k in range(len(info["labels"]))]
+    total = sum(own, F.lit(0.0))
+    return F.array(*[F.when(total > 0, p / total).otherwise(1.0 / len(own)) for p in own])
 
 
 def save_model(model: PipelineModel, info: dict, path: str) -> None:
@@ -160,10 +175,10 @@ def predict(model: PipelineModel, info: dict, rows: DataFrame) -> DataFrame:
     for stage in model.stages[1:]:
         x = stage.transform(x)
     names = info["labels"]
-    x = x.withColumn("_p", vector_to_array("probability"))
+    x = x.withColumn("_p", _probabilities(info))
     label, p = argmax_label({v: F.col("_p")[k] for k, v in enumerate(names)})
     x = x.withColumn("probabilities", F.map_from_arrays(F.array(*map(F.lit, names)), F.col("_p")))
-    return x.withColumn("recommendation", label).withColumn("confidence", calibrated_confidence(p, F.lit(info["ece"]))).drop("_p", "features", "rawPrediction", "probability", "prediction")
+    return x.withColumn("recommendation", label).withColumn("confidence", calibrated_confidence(p, F.lit(info["ece"]))).select(*rows.columns, "probabilities", "recommendation", "confidence")
 
 
 def shapley(model: PipelineModel, info: dict, rows: DataFrame, background: dict[str, float], key: str = "id") -> DataFrame:
@@ -177,7 +192,8 @@ def shapley(model: PipelineModel, info: dict, rows: DataFrame, background: dict[
     probed = masks.select(key, "recommendation", "mask", *[F.when(bit(i), F.col(c)).otherwise(F.lit(background[c])).alias(c) for i, c in enumerate(FEATURES)])
     for stage in model.stages[1:]:
         probed = stage.transform(probed)
-    p = F.coalesce(*[F.when(F.col("recommendation") == v, vector_to_array("probability")[j]) for j, v in enumerate(info["labels"])])
+    probed = probed.withColumn("_p", _probabilities(info))
+    p = F.coalesce(*[F.when(F.col("recommendation") == v, F.col("_p")[j]) for j, v in enumerate(info["labels"])])
     size = F.bit_count("mask")
     fact = lambda x: F.factorial(x.cast("int")).cast("double")
     total = float(np.prod(np.arange(1, k + 1)))
@@ -208,10 +224,6 @@ def prediction_by_id(predictions: DataFrame, number: int) -> DataFrame:
     return predictions.where(F.col("id") == number).limit(1)
 
 
-def index_to_label(labels: list[str], column: str, out: str) -> IndexToString:
-    return IndexToString(inputCol=column, outputCol=out, labels=labels)
-
-
 def latency_percentiles(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Median, and the value at place max(int(0.99 n), 1) in order, of each group."""
     w = Window.partitionBy(*by)

@@ -12,6 +12,9 @@ from newsloom.functions.text import or_default
 from newsloom.functions.times import parse_day, parse_epoch_or_iso, parse_iso, parse_rfc822
 from newsloom.operators.fundamentals import pad_cik, surprise_pct
 
+# Days of the earnings calendar before and after today.
+CALENDAR = (365, 90)
+
 
 def bars(spark: SparkSession, path: str, ticker: str) -> DataFrame:
     """``{"bars": [{t, o, h, l, c, v}]}`` as daily bars by time."""
@@ -29,6 +32,20 @@ def news_pages(spark: SparkSession, path: str, as_of: Column, ticker: str, limit
     return x.orderBy(F.desc("published_at"), "url").limit(max(1, min(limit, 1000)))
 
 
+def paged(pages: DataFrame, limit: int = 200, size: int = 50) -> DataFrame:
+    """Items of numbered pages (ticker, page, news, next_page_token) as a client takes them, for all tickers at once.
+
+    It asks for ``size`` items at a time, and stops after a page without token or items, or when ``limit`` (1 to 1000) items have come.
+    A ticker's window holds its pages' numbers and sizes, not their items.
+    """
+    limit, n = max(1, min(limit, 1000)), F.least(F.coalesce(F.size("news"), F.lit(0)), F.lit(size))
+    heads = pages.select("ticker", "page", n.alias("n"), (F.coalesce("next_page_token", F.lit("")) == "").alias("last"))
+    before = Window.partitionBy("ticker").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    taken = heads.withColumn("came", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("done", F.coalesce(F.max(F.col("last") | (F.col("n") == 0)).over(before), F.lit(False)))
+    taken = taken.where(~F.col("done") & (F.col("came") < limit)).select("ticker", "page", F.least("n", F.lit(limit) - F.col("came")).cast("int").alias("take"))
+    return pages.join(taken, ["ticker", "page"]).select("ticker", "page", F.inline(F.slice("news", F.lit(1), F.col("take"))))
+
+
 def company_news(spark: SparkSession, path: str, as_of: Column, limit: int = 100) -> DataFrame:
     """``[{headline, summary, url, source, datetime}]``: the first ``limit`` items of each file, then those without address or headline go."""
     x = spark.read.schema("headline STRING, summary STRING, url STRING, source STRING, datetime STRING").json(path, multiLine=True)
@@ -56,11 +73,14 @@ def rss(spark: SparkSession, path: str, as_of: Column, days: int = 30, limit: in
     return x.select(F.col("link").alias("url"), F.col("title").alias("headline"), F.lower(F.trim(or_default(F.col("source._VALUE"), "google-news"))).alias("source"), "published_at")
 
 
-def earnings_calendar(spark: SparkSession, path: str, ticker: str) -> DataFrame:
-    """``{"earningsCalendar": [{date, epsEstimate, epsActual, fiscalDateEnding}]}`` with the surprise."""
+def earnings_calendar(spark: SparkSession, path: str, ticker: str, as_of: Column | None = None) -> DataFrame:
+    """``{"earningsCalendar": [{date, epsEstimate, epsActual, fiscalDateEnding}]}`` with the surprise; with ``as_of``, from 365 days before it to 90 after."""
     item = "STRUCT<date: STRING, epsEstimate: DOUBLE, epsActual: DOUBLE, fiscalDateEnding: STRING>"
     x = spark.read.schema(f"earningsCalendar ARRAY<{item}>").json(path, multiLine=True).select(F.inline("earningsCalendar"))
     x = x.withColumn("report_date", parse_day(F.col("date"))).where("report_date IS NOT NULL")
+    if as_of is not None:
+        today = F.to_date(as_of)
+        x = x.where(F.to_date("report_date").between(F.date_sub(today, CALENDAR[0]), F.date_add(today, CALENDAR[1])))
     eps = lambda c: F.col(c).cast("decimal(12,4)")
     return x.select(F.lit(ticker.upper()).alias("ticker"), "report_date", F.col("fiscalDateEnding").alias("fiscal_date_ending"), eps("epsEstimate").alias("estimated_eps"), eps("epsActual").alias("actual_eps"), surprise_pct(F.col("epsEstimate"), F.col("epsActual")).cast("decimal(10,4)").alias("surprise_pct"))
 
@@ -88,3 +108,9 @@ def event_filter(payload: Column, event: Column | None = None) -> Column:
     if event is not None:
         said = said | event["headline"].isNotNull()
     return said | (payload.contains('"headline"') & F.coalesce(F.array_contains(F.json_object_keys(payload), "headline"), F.lit(False)))
+
+
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """Stored pages in folders ``ticker=.../page=...`` as rows for :func:`paged`."""
+    item = "STRUCT<id: STRING, url: STRING, headline: STRING, summary: STRING, source: STRING, created_at: STRING, symbols: ARRAY<STRING>>"
+    return spark.read.schema(f"news ARRAY<{item}>, next_page_token STRING, ticker STRING, page INT").json(path, multiLine=True)

@@ -44,6 +44,11 @@ def watched(articles: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return articles.join(wanted, "url", "left_semi")
 
 
+def subscribed(tickers: DataFrame) -> DataFrame:
+    """One row: the tickers in upper case, each once and in order."""
+    return tickers.agg(F.array_sort(F.collect_set(F.upper("ticker"))).alias("tickers"))
+
+
 def read_events(spark, path: str, max_files: int = BATCH) -> DataFrame:
     """A folder of text files as the stream; each line is a payload."""
     return spark.readStream.schema("value STRING").option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "payload")
