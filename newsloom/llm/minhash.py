@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -368,12 +368,20 @@ def _pairs_apart(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     spread = stored(known.select("a", "b", *facts, F.explode("rest").alias("r")).select("a", "b", *facts, "r.s", "r.w"))
     several = spread.groupBy("b", "s").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("b", "s", "size")
     several = stored(several)
-    x = stored(join_by_hot_key(spread, several.drop("size"), ["b", "s"], ["a"], sizes=several))
+    shared = join_by_hot_key(spread, several, ["b", "s"], ["a"], sizes=several)
+    x = stored(_with_rank(shared, threshold).where("early OR late OR heavy"))
     drop_stored(spread)
-    both = join_by_hot_key(x, other(x), ["b", "s"], ["a"], sizes=several).where("a < a_2 AND group <> group_2")
-    once = [F.first(c).alias(c) for f in facts[1:] for c in (f, f"{f}_2")]
-    sharing = both.groupBy("a", "a_2", "b").agg(*once, F.count(F.lit(1)).alias("same"), F.sum(F.least("w", "w_2")).alias("weight"))
-    sharing = sharing.where(can(F.col("same"), F.col("weight")))
+    y = other(x).withColumnsRenamed({"late": "late_2", "heavy": "heavy_2"}).drop("size", "early").where("late_2 OR heavy_2")
+    smaller = F.expr("n < n_2 OR (n = n_2 AND a < a_2)")
+    meet = (F.col("early") & F.col("late_2") & smaller) | (F.col("heavy") & F.col("heavy_2") & ~(F.col("plain") & F.col("plain_2")) & F.expr("a < a_2"))
+    both = join_by_hot_key(x.drop("late", "size").where("early OR heavy"), y, ["b", "s"], ["a"], sizes=several).where(F.expr("group <> group_2") & meet)
+    sharing = both.select("b", F.least("a", "a_2").alias("a"), F.greatest("a", "a_2").alias("a_2")).distinct()
+    own = known.select("a", "b", "common", "share", "n", "plain", "rest")
+    sharing = sharing.join(own, ["a", "b"]).join(own.select("b", *[F.col(c).alias(f"{c}_2") for c in own.columns if c != "b"]), ["a_2", "b"])
+    weights = lambda c: F.map_from_arrays(F.transform(c, lambda r: r["s"]), F.transform(c, lambda r: r["w"]))
+    sharing = sharing.withColumns({"_x": weights("rest"), "_y": weights("rest_2")}).withColumn("_both", F.array_intersect(F.map_keys("_x"), F.map_keys("_y")))
+    weight = F.aggregate("_both", F.lit(0.0), lambda total, k: total + F.least(F.element_at("_x", k), F.element_at("_y", k)))
+    sharing = sharing.where(can(F.size("_both"), weight))
 
     placed = stored(rows.where("id <> center").select("bucket", F.col("id").alias("a"), F.col("center").alias("b"), "size").join(known.drop("rest"), ["a", "b"]))
     bucket = stored(placed.groupBy("bucket").agg(F.min("n").alias("n_2"), F.max("common").alias("common_2"), F.max("share").alias("share_2"), F.min("plain").alias("plain_2"), F.first("size").alias("size")))
@@ -383,6 +391,25 @@ def _pairs_apart(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     return sharing.select("a", F.col("a_2").alias("b")).union(light.select("a", F.col("a_2").alias("b")))
 
 
+def _with_rank(shared: DataFrame, threshold: float) -> DataFrame:
+    """``shared`` (a, b, s, w, size, ...) with early, late and heavy: whether s is among the first shingles of its text, of which a similar text must have one too.
+
+    A text's shingles are put in one order for all members of a center: those that no other group has, then by number of members, then the center's. Two sets of which
+    at least o are in common share one of the first ``n - o + 1`` of each. Of similar sets, o is at least ``2 t / (1 + t)`` of the smaller (``early``) and t of
+    the larger (``late``). By weight, they share one of those before which no more than ``1 - t`` of the weight comes (``heavy``).
+    A pair that meets in the center's shingles alone has no other ones in common or has them among the first as well.
+    """
+    whole = Window.partitionBy("a", "b")
+    before = whole.orderBy("size", "s").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.col("n") - F.col("common") - F.count(F.lit(1)).over(whole)
+    place = alone + F.count(F.lit(1)).over(before)
+    lighter = F.lit(1.0) - F.col("share") - F.sum("w").over(whole) + F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    first = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-6) + 1
+    x = shared.withColumn("_place", place).withColumn("_lighter", lighter)
+    x = x.withColumn("early", F.col("_place") < first(2 * threshold / (1 + threshold))).withColumn("late", F.col("_place") < first(threshold))
+    return x.withColumn("heavy", F.col("_lighter") <= 1 - threshold + 1e-6).drop("_place", "_lighter")
+
+
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     both = tried.select("a", "b").union(tried.select("b", "a"))
     return pairs.distinct().join(both, ["a", "b"], "left_anti")
