@@ -11,8 +11,9 @@ at least 80 times what they have together, so at most a ninth of the sum of both
    band that may have a partner below take part there too.
 3. The segments of a task's documents go, sorted and delta-coded, to shards of the key space, each key once from a task however many documents have it. A shard
    answers with the keys that several nodes have: the buckets.
-4. Each bucket's heaviest member is compared with the members; links make components. Where a bucket still has several components, members are compared, in blocks,
-   by dense sketches; pairs whose sketches differ in no more bits than sets may be apart are compared by their sets. A pair is looked at in its first common bucket.
+4. Of buckets with the same nodes one is kept. Each bucket's node that is in most buckets is compared with the others; links make components. Where a bucket still has several
+   components, their nodes are compared: in small buckets all, in larger ones, block by block, those whose dense sketches differ in no more bits than sets may be apart,
+   each pair in its first common bucket.
    Nothing is capped: every pair that shares a segment is linked, of one component, or known not to link.
 
 * Null texts and texts without words have no shingles and link with nothing. Rows with a null id take part; the least id is that of rows that have one, and null if none has.
@@ -43,11 +44,11 @@ PERCENT = 80
 SPREAD = 4
 #: The most frequent shingles whose segments come last, at most so many, and how often one must be in a task's texts to be counted.
 COMMON, OFTEN = 100_000, 8
-#: Keys that a task gathers before it sends them, keys of a shard, members of a block, rows of a group of small buckets.
-GATHERED, SHARD, BLOCK, ROWS = 2_000_000, 3_000_000, 512, 50_000
+#: Keys that a task gathers before it sends them, keys of a shard, nodes of a block, and of a bucket that is joined without blocks.
+GATHERED, SHARD, BLOCK, SMALL = 2_000_000, 3_000_000, 512, 32
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
-_BITS = (512, 65_536)
+_BITS = (512, 4096)
 
 
 def apart(a, b):
@@ -264,53 +265,73 @@ def _in_order(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _near(x: str, y: str) -> Column:
+    """Whether sizes are near enough for a link."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+
+
+def _distinct_buckets(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n and the bucket's size; of buckets with the same nodes one is kept, told by 128 bits."""
+    hashed = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)])
+    kept = stored(hashed.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key", "size"))
+    return stored(join_by_hot_key(shared, kept, ["key"], ["node"], sizes=kept).join(nodes.select("node", "n"), "node"))
+
+
+def _with_centers(rows: DataFrame) -> DataFrame:
+    """Pairs of a node and its bucket's node that is in most buckets."""
+    weighed = stored(rows.join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "node"))
+    centers = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("top"), F.first("size").alias("size")))
+    found = join_by_hot_key(weighed.select("key", "node", "n"), centers.select("key", F.col("top.node").alias("center"), F.col("top.n").alias("m")), ["key"], ["node"], sizes=centers.select("key", "size"))
+    return found.where((F.col("node") != F.col("center")) & _near("n", "m")).select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+
+
 def _open(rows: DataFrame, label: DataFrame | None) -> DataFrame:
-    """``rows`` (key, node, n) with comp, of the keys whose nodes are of several components, and the number of these."""
+    """``rows`` with comp, of the keys whose nodes are of several components."""
     if label is not None:
-        rows = rows.join(label.select("node", "label"), "node", "left")
+        rows = rows.join(label, "node", "left")
     rows = stored(rows.select("key", "node", "n", F.coalesce("label", "node").alias("comp") if label is not None else F.col("node").alias("comp")))
-    sizes = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    sizes = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi AND size > 2").select("key", "size")
     sizes = stored(sizes)
-    found = stored(join_by_hot_key(rows, sizes, ["key"], ["node"], sizes=sizes))
-    drop_stored(rows)
-    drop_stored(sizes)
-    return found
+    return stored(join_by_hot_key(rows, sizes, ["key"], ["node"], sizes=sizes))
+
+
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most :data:`SMALL` nodes."""
+    x = rows.where(F.col("size") <= SMALL)
+    y = x.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("its"))
+    return x.join(y, (x["key"] == y["key"]) & F.expr("node < other AND comp <> its") & _near("n", "m")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def _block_pairs(rows: DataFrame, texts: DataFrame, keys: Keys) -> DataFrame:
-    """Pairs of different components that share a key and whose dense sketches differ in no more bits than their sets may be apart."""
+    """Pairs of different components in larger buckets whose dense sketches differ in no more bits than their sets may be apart."""
 
     def sketch(batch: pa.RecordBatch) -> dict:
         unpack = zstandard.ZstdDecompressor()
         return {"node": batch.column("id"), "sketch": [dense_sketch(shingle_sets([unpack.decompress(p.as_py())], keys)[0]) for p in batch.column("packed")]}
 
-    of = rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("mine"))  # at most the keys of one set
+    rows = rows.where(F.col("size") > SMALL)
+    of = stored(rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("mine")))  # at most the keys of one set
     sketches = batch_map(texts.join(of.select(F.col("node").alias("id")), "id", "left_semi"), ["id", "packed"], sketch, "node binary, sketch binary").join(of, "node")
-    total = rows.count()
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    placed = rows.withColumn("_blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    group = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(total // ROWS + 1))).otherwise(F.xxhash64("key", "lo", "hi"))
-    placed = placed.withColumn("g", group).select("g", "key", "lo", "hi", "block", "node", "n", "comp").join(sketches, "node")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (key, lo, hi), part in rows.groupby(["key", "lo", "hi"], sort=False):
-            raw = part["sketch"].tolist()
-            width = min(map(len, raw))
-            bits = np.stack([_folded(np.frombuffer(s, np.uint8), width) for s in raw]).view(np.uint64)
-            n, comp, block = part["n"].to_numpy(), pd.factorize(part["comp"])[0], part["block"].to_numpy()
-            nodes, mine = part["node"].tolist(), part["mine"].tolist()
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            for i in left:
-                j = right[right > i] if lo == hi else right
-                j = j[comp[j] != comp[i]]
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= apart(n[i], n[j])]
-                found += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j if np.intersect1d(mine[i], mine[k], assume_unique=True)[0] == key]
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "comp").join(sketches, "node")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        key, lo, hi = part[["key", "lo", "hi"]].iloc[0]
+        raw = [np.frombuffer(s, np.uint8) for s in part["sketch"]]
+        width = min(map(len, raw))
+        bits = np.stack([_folded(s, width) for s in raw]).view(np.uint64)
+        n, comp, block = part["n"].to_numpy(), pd.factorize(part["comp"])[0], part["block"].to_numpy()
+        nodes, mine, found = part["node"].tolist(), part["mine"].tolist(), []
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        for i in left:
+            j = right[right > i] if lo == hi else right
+            j = j[comp[j] != comp[i]]
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= apart(n[i], n[j])]
+            found += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j if np.intersect1d(mine[i], mine[k], assume_unique=True)[0] == key]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return placed.groupBy("g").applyInPandas(compare, "a binary, b binary")
+    return placed.groupBy("key", "lo", "hi").applyInPandas(compare, "a binary, b binary")
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -333,21 +354,16 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * SHARD))
     shared = stored(_buckets(whole, common, shards, keys))
-    members = shared.join(nodes.select("node", "n"), "node")
-    texts = stored(_packed(whole).join(shared.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
-
-    weight = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-    weighed = stored(members.join(weight, "node"))
-    sizes = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("size")))
-    centers = sizes.select("key", F.col("top.node").alias("center"))
-    pairs = join_by_hot_key(weighed.select("key", "node"), centers, ["key"], ["node"], sizes=sizes.select("key", "size")).where("node <> center")
-    tried = stored(pairs.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
+    rows_of = _distinct_buckets(shared, nodes)
+    tried = stored(_with_centers(rows_of))
+    texts = _packed(whole).join(rows_of.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    texts = stored(texts.dropDuplicates(["id"]))
     links = _links(tried, texts)
     label = None if links.isEmpty() else components(links)
-    left = _open(weighed.drop("weight"), label)
-    more = _block_pairs(left, texts, keys)
-    both = tried.select(*_in_order(F.col("a"), F.col("b"))).distinct()
-    found = _links(stored(more.join(both, ["a", "b"], "left_anti")), texts)
+    left = _open(rows_of, label)
+    before = tried.select(*_in_order(F.col("a"), F.col("b")))
+    more = stored(_small_pairs(left).union(_block_pairs(left, texts, keys)).distinct().join(before, ["a", "b"], "left_anti"))
+    found = _links(more, texts)
     if not found.isEmpty():
         links = links.union(found)
         label = components(links)
