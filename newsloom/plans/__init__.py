@@ -1,3 +1,3 @@
 """Queries over the driver's tables."""
 
-from newsloom.plans import catalog, catalog_files, catalog_jobs  # noqa: F401
+from newsloom.plans import catalog, catalog_files, catalog_jobs, catalog_live  # noqa: F401

@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 from newsloom.schemas import TABLES
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it doesn't exist."""
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    names = [n for n in folders(spark, path) if n.startswith("v") and n[1:].isdigit()]
+    return sorted(int(n[1:]) for n in names if (at := _at(spark, f"{path}/{n}/_SUCCESS"))[0].exists(at[1]))
 
 
 def create_all(spark: SparkSession, root: str) -> None:

@@ -191,14 +191,11 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     for f in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):  # as if the last batch had been written, but not committed
         f.unlink(missing_ok=True)
     live.start_ingest(live.read_events(spark, str(src)), str(root), str(tmp_path / "cp"), now()).awaitTermination()
-    got = spark.read.parquet(f"{root}/articles")
+    got = live.stored(spark, str(root), "articles")
     assert sorted((r["url"], r["headline"]) for r in got.collect()) == [("u1", "record growth"), ("u2", "loss")]
-    scores = spark.read.parquet(f"{root}/sentiment_scores")
+    scores = live.stored(spark, str(root), "sentiment_scores")
     assert sorted((r["ticker"], float(r["compound"]), r["label"]) for r in scores.collect()) == [("A", 1.0, "POSITIVE"), ("B", 1.0, "POSITIVE"), ("UNKNOWN", -1.0, "NEGATIVE")]
     assert got.where("url = 'u2'").first()["published_at"] == datetime(2024, 1, 31)
-    seen = []
-    top = live.push_feed(got, -(2**63), lambda r: seen.append(r["url"]))
-    assert sorted(seen) == ["u1", "u2"] and live.push_feed(got, top, seen.append) == top
 
 
 def test_stream_takes_late_articles_and_only_watched_ones(spark, tmp_path):
