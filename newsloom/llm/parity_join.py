@@ -12,8 +12,8 @@ at least 80 times what they have together, so at most a ninth of the sum of both
 3. The segments of a task's documents go, sorted and delta-coded, to shards of the key space, each key once from a task however many documents have it. A shard
    answers with the keys that several nodes have: the buckets.
 4. Of buckets with the same nodes one is kept. Each bucket's node that is in most buckets is compared with the others; links make components. Where a bucket still has several
-   components, their nodes are compared: in small buckets all, in larger ones, block by block, those whose dense sketches differ in no more bits than sets may be apart,
-   each pair in its first common bucket.
+   components, its nodes are compared with each other, in large buckets block by block. Before sets are compared, dense sketches are: they may differ in no more bits than
+   sets may be apart.
    Nothing is capped: every pair that shares a segment is linked, of one component, or known not to link.
 
 * Null texts and texts without words have no shingles and link with nothing. Rows with a null id take part; the least id is that of rows that have one, and null if none has.
@@ -44,11 +44,11 @@ PERCENT = 80
 SPREAD = 4
 #: The most frequent shingles whose segments come last, at most so many, and how often one must be in a task's texts to be counted.
 COMMON, OFTEN = 100_000, 8
-#: Keys that a task gathers before it sends them, keys of a shard, nodes of a block, and of a bucket that is joined without blocks.
-GATHERED, SHARD, BLOCK, SMALL = 2_000_000, 3_000_000, 512, 32
+#: Keys that a task gathers before it sends them, keys of a shard, nodes of a block, nodes of a small bucket, and rows of a group of small buckets.
+GATHERED, SHARD, BLOCK, SMALL, GROUP = 2_000_000, 3_000_000, 512, 64, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
-_BITS = (512, 4096)
+_BITS = (256, 8192)
 
 
 def apart(a, b):
@@ -114,8 +114,8 @@ def segment_keys(tokens: np.ndarray, owner: np.ndarray, common: np.ndarray, sets
 
 
 def dense_sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits of a set, four to eight for each shingle; folding it in two gives the sketch of half the size."""
-    bits = min(max(_BITS[0], 8 << max(len(tokens).bit_length() - 1, 0)), _BITS[1])
+    """Parity bits of a set, two to four for each shingle; folding it in two gives the sketch of half the size."""
+    bits = min(max(_BITS[0], 4 << max(len(tokens).bit_length() - 1, 0)), _BITS[1])
     return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -295,43 +295,83 @@ def _open(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return stored(join_by_hot_key(rows, sizes, ["key"], ["node"], sizes=sizes))
 
 
-def _small_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components in buckets of at most :data:`SMALL` nodes."""
-    x = rows.where(F.col("size") <= SMALL)
-    y = x.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("its"))
-    return x.join(y, (x["key"] == y["key"]) & F.expr("node < other AND comp <> its") & _near("n", "m")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+def _sketches(texts: DataFrame, keys: Keys) -> DataFrame:
+    """id (the node), n and the dense sketch."""
 
+    def run(batch: pa.RecordBatch) -> dict:
+        unpack, n, sketches = zstandard.ZstdDecompressor(), [], []
+        for group in _groups([unpack.decompress(p.as_py()).decode() for p in batch.column("packed")]):
+            tokens, owner = shingle_sets([t.encode() for t in group], keys)
+            for own in np.split(tokens, np.searchsorted(owner, np.arange(1, len(group)))):
+                n.append(len(own))
+                sketches.append(dense_sketch(own))
+        return {"id": batch.column("id"), "n": n, "sketch": sketches}
+
+    return batch_map(texts, ["id", "packed"], run, "id binary, n long, sketch binary")
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose dense sketches differ in no more bits than their sets may be apart. b may be hot."""
+    own = lambda side: sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    sizes = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
+    both = join_by_hot_key(pairs.join(own("a"), "a"), own("b").join(sizes.select("b"), "b"), ["b"], ["a"], sizes=sizes)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        kept = []
+        for k, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")), strict=True)):
+            x, y = _same_width([x, y])
+            if np.bitwise_count(x ^ y).sum() <= apart(n, m):
+                kept.append(k)
+        found = batch.take(pa.array(kept, pa.int32()))
+        return {"a": found.column("a"), "b": found.column("b")}
+
+    return stored(batch_map(both, ["a", "b", "n_a", "n_b", "s_a", "s_b"], run, "a binary, b binary"))
 
-def _block_pairs(rows: DataFrame, texts: DataFrame, keys: Keys) -> DataFrame:
-    """Pairs of different components in larger buckets whose dense sketches differ in no more bits than their sets may be apart."""
 
-    def sketch(batch: pa.RecordBatch) -> dict:
-        unpack = zstandard.ZstdDecompressor()
-        return {"node": batch.column("id"), "sketch": [dense_sketch(shingle_sets([unpack.decompress(p.as_py())], keys)[0]) for p in batch.column("packed")]}
+def _bucket_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket and whose dense sketches differ in no more bits than their sets may be apart.
 
-    rows = rows.where(F.col("size") > SMALL)
-    of = stored(rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("mine")))  # at most the keys of one set
-    sketches = batch_map(texts.join(of.select(F.col("node").alias("id")), "id", "left_semi"), ["id", "packed"], sketch, "node binary, sketch binary").join(of, "node")
+    A large bucket is compared block by block; many small ones make one group of rows. A pair of large buckets is taken in its first one only.
+    """
+    large = rows.where(F.col("size") > SMALL).groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("mine"))  # at most the keys of one set
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "comp").join(sketches, "node")
+    placed = placed.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    group = F.when(F.col("size") > SMALL, F.xxhash64("key", "lo", "hi")).otherwise(F.pmod(F.xxhash64("key"), F.lit(rows.count() // GROUP + 1)))
+    members = placed.select(group.alias("g"), "key", "size", "lo", "hi", "block", "node", "n", "comp")
+    members = members.join(sketches.select(F.col("id").alias("node"), "sketch"), "node").join(large, "node", "left")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        key, lo, hi = part[["key", "lo", "hi"]].iloc[0]
-        raw = [np.frombuffer(s, np.uint8) for s in part["sketch"]]
-        width = min(map(len, raw))
-        bits = np.stack([_folded(s, width) for s in raw]).view(np.uint64)
-        n, comp, block = part["n"].to_numpy(), pd.factorize(part["comp"])[0], part["block"].to_numpy()
-        nodes, mine, found = part["node"].tolist(), part["mine"].tolist(), []
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for i in left:
-            j = right[right > i] if lo == hi else right
-            j = j[comp[j] != comp[i]]
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= apart(n[i], n[j])]
-            found += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j if np.intersect1d(mine[i], mine[k], assume_unique=True)[0] == key]
+        columns = [part[c].to_numpy() for c in ("key", "lo", "hi")]
+        order = np.lexsort(columns[::-1])
+        key, lo, hi = (c[order] for c in columns)
+        new = (np.diff(key, prepend=key[0]) != 0) | (np.diff(lo, prepend=lo[0]) != 0) | (np.diff(hi, prepend=hi[0]) != 0)
+        edges = [0, *np.flatnonzero(new).tolist(), len(order)]
+        n, size, block, comp = (part[c].to_numpy()[order] for c in ("n", "size", "block", "comp"))
+        comp = pd.factorize(comp)[0]
+        (nodes, sketch, mine), found = (part[c].to_numpy()[order] for c in ("node", "sketch", "mine")), []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if comp[a] == comp[b - 1] and (comp[a:b] == comp[a]).all():
+                continue
+            bits = np.stack(_same_width(sketch[a:b]))
+            right = np.flatnonzero(block[a:b] == hi[a])
+            for i in np.flatnonzero(block[a:b] == lo[a]):
+                j = right[right > i] if lo[a] == hi[a] else right
+                j = j[(comp[a + j] != comp[a + i]) & (100 * np.minimum(n[a + j], n[a + i]) >= PERCENT * np.maximum(n[a + j], n[a + i]))]
+                if len(j):
+                    j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= apart(n[a + i], n[a + j])]
+                if len(j) and size[a] > SMALL:
+                    j = [k for k in j if np.intersect1d(mine[a + i], mine[a + k], assume_unique=True)[0] == key[a]]
+                found += [(min(nodes[a + i], nodes[a + k]), max(nodes[a + i], nodes[a + k])) for k in j]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return placed.groupBy("key", "lo", "hi").applyInPandas(compare, "a binary, b binary")
+    return members.groupBy("g").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def _same_width(sketches: list[bytes]) -> list[np.ndarray]:
+    """Sketches as words, folded to the narrowest one's width."""
+    width = min(map(len, sketches))
+    return [_folded(np.frombuffer(s, np.uint8), width).view(np.uint64) for s in sketches]
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -358,11 +398,12 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     tried = stored(_with_centers(rows_of))
     texts = _packed(whole).join(rows_of.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id"]))
-    links = _links(tried, texts)
+    sketches = stored(_sketches(texts, keys))
+    links = _links(_plausible(tried, sketches), texts)
     label = None if links.isEmpty() else components(links)
     left = _open(rows_of, label)
     before = tried.select(*_in_order(F.col("a"), F.col("b")))
-    more = stored(_small_pairs(left).union(_block_pairs(left, texts, keys)).distinct().join(before, ["a", "b"], "left_anti"))
+    more = stored(_bucket_pairs(left, sketches).join(before, ["a", "b"], "left_anti"))
     found = _links(more, texts)
     if not found.isEmpty():
         links = links.union(found)
