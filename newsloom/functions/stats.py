@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.functions.ranks import matched
+
 ALPHA = 0.3
 
 
@@ -26,26 +29,24 @@ def ewma(values: Column, alpha: float = ALPHA) -> Column:
     return F.when(F.size(values) > 0, fold).otherwise(F.lit(0.0))
 
 
-def ewma_by(df: DataFrame, keys: Sequence[str | Column], value: Column, time: Column, tie: Column, alpha: float = ALPHA, bucket: str = "day") -> DataFrame:
+def _felt(q: float) -> int:
+    """So many places back, q ** k is less than a double's precision beside 1."""
+    return math.ceil(math.log(2.0**-60) / math.log(q))
+
+
+def ewma_by(df: DataFrame, keys: Sequence[str | Column], value: Column, time: Column, tie: Column, alpha: float = ALPHA) -> DataFrame:
     """keys, ``ewma``, ``n``, ``total`` and ``squares`` of each group, its values ordered by time and ``tie``.
 
-    The fold is linear in what it begins with: n values scale that by (1 - alpha) ** n and add their own sum. So each day (or other
-    ``bucket`` of time) of a group is folded alone, and then the days in order; no array holds more than a day's values or a group's days.
+    What a value adds shrinks with every one that follows, so only the last ones of a group are folded, as many as a double can tell. Each task sends
+    no more than these of a group (Spark limits groups before the shuffle), and no array is longer.
     """
     k = [c if isinstance(c, Column) else F.col(c) for c in keys]
-    rows = df.select(*k, F.date_trunc(bucket, time).alias("_bucket"), F.struct(time.alias("t"), tie.alias("i"), value.alias("v")).alias("_r"))
-    names = [c for c in rows.columns if c not in ("_bucket", "_r")]
-    buckets = rows.groupBy(*names, "_bucket").agg(F.sort_array(F.collect_list("_r")).alias("_rs"))
-    fold = lambda rows, start: F.aggregate(rows, start, lambda acc, r: F.lit(alpha) * r["v"] + F.lit(1 - alpha) * acc)
-    begun = fold(F.slice("_rs", 2, F.greatest(F.size("_rs") - 1, F.lit(0))), F.element_at("_rs", 1)["v"])
-    total = lambda f: F.aggregate("_rs", F.lit(0.0), lambda acc, r: acc + f(r["v"]))
-    size = F.size("_rs")
-    part = F.struct("_bucket", begun.alias("begun"), F.pow(F.lit(1 - alpha), size).alias("scale"), fold("_rs", F.lit(0.0)).alias("own"))
-    folded = buckets.select(*names, part.alias("_p"), size.alias("_n"), total(lambda v: v).alias("_t"), total(lambda v: v * v).alias("_s"))
-    groups = folded.groupBy(*names).agg(F.sort_array(F.collect_list("_p")).alias("_ps"), F.sum("_n").alias("n"), F.sum("_t").alias("total"), F.sum("_s").alias("squares"))
-    later = F.slice("_ps", 2, F.greatest(F.size("_ps") - 1, F.lit(0)))
-    whole = F.aggregate(later, F.element_at("_ps", 1)["begun"], lambda acc, p: acc * p["scale"] + p["own"])
-    return groups.select(*names, whole.alias("ewma"), "n", "total", "squares")
+    rows = df.select(*k, time.alias("_t"), tie.alias("_i"), value.alias("_v"))
+    names = [c for c in rows.columns if c not in ("_t", "_i", "_v")]
+    last = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc_nulls_last("_t"), F.desc_nulls_last("_i")))
+    felt = rows.withColumn("_rn", last).where(F.col("_rn") <= _felt(1 - alpha)).groupBy(*names).agg(in_time_order(F.col("_v"), -F.col("_rn")).alias("_vs"))
+    sums = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("total"), F.sum(F.col("_v") * F.col("_v")).alias("squares"))
+    return matched(sums, felt.select(*names, ewma(F.col("_vs"), alpha).alias("ewma")), names).select(*names, "ewma", "n", "total", "squares")
 
 
 def in_time_order(value: Column, *order: Column) -> Column:
@@ -66,6 +67,18 @@ def ewm_adjusted(values: Column, span: int) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["out"])
 
 
+def ewm_adjusted_over(value: str, span: int, partition: Sequence[str], order: str) -> Column:
+    """:func:`ewm_adjusted` of a column over a row and those before it.
+
+    Rows so far back that a double can't tell what they add are left out.
+    """
+    q = 1 - 2 / (span + 1)
+    values = F.collect_list(value).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(-_felt(q), Window.currentRow))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+    step = lambda acc, v: F.struct((acc["n"] * F.lit(q) + v).alias("n"), (acc["d"] * F.lit(q) + F.lit(1.0)).alias("d"))
+    return F.aggregate(values, start, step, lambda acc: acc["n"] / acc["d"])
+
+
 def clip01(x: Column) -> Column:
     """Between 0 and 1; null stays null."""
     return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))

@@ -24,15 +24,17 @@ def near_earnings(articles: DataFrame, earnings: DataFrame) -> DataFrame:
     """id, ticker, report_date and day distance of the report nearest to each article, if it is near enough.
 
     Days are rounded down, so an article is near from three days before a report until just under four days after it;
-    of equally near reports the earliest is taken. The join's key is the ticker, with the range as a further condition.
+    of equally near reports the earliest is taken. Each report is there for each of its days, and ticker and day are the
+    join's keys, so an article meets only the reports that are near.
     """
-    e = earnings.select("ticker", "report_date")
-    pub, day = F.col("published_at"), F.col("report_date")
-    near = (pub >= day - F.make_interval(days=F.lit(NEAR_DAYS))) & (pub < day + F.make_interval(days=F.lit(NEAR_DAYS + 1)))
-    floored = F.floor((F.unix_timestamp(pub) - F.unix_timestamp(day)) / 86400)
-    pairs = articles.select("id", "ticker", "published_at").join(e, "ticker").where(near).withColumn("distance", F.abs(floored))
-    best = F.row_number().over(Window.partitionBy("ticker", "id").orderBy("distance", "report_date"))
-    return pairs.withColumn("_rn", best).where("_rn = 1").select("id", "ticker", "report_date", "distance")
+    pub, report = F.col("published_at"), F.col("report_date")
+    first, last = report - F.make_interval(days=F.lit(NEAR_DAYS)), report + F.make_interval(days=F.lit(NEAR_DAYS + 1))
+    days = F.sequence(F.to_date(first), F.to_date(last - F.expr("INTERVAL 1 MICROSECOND")))
+    e = earnings.where("report_date IS NOT NULL").select("ticker", "report_date", F.explode(days).alias("_day"))
+    pairs = articles.select("id", "ticker", "published_at", F.to_date(pub).alias("_day")).join(e, ["ticker", "_day"]).where((pub >= first) & (pub < last))
+    floored = F.floor((F.unix_timestamp(pub) - F.unix_timestamp(report)) / 86400)
+    best = pairs.groupBy("ticker", "id").agg(F.min(F.struct(F.abs(floored).alias("distance"), "report_date")).alias("b"))
+    return best.select("id", "ticker", "b.report_date", "b.distance")
 
 
 def tag_near_earnings(articles: DataFrame, earnings: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.stats import ewm_adjusted, ewma_by
+from newsloom.functions.ranks import order_statistics, with_rank, with_ranges
+from newsloom.functions.stats import ewm_adjusted_over, ewma_by
 from newsloom.operators.market import forward_labels, price_features, with_indicators
 from newsloom.operators.news import sentiment_summary, trailing_volatility, trailing_volume
 
@@ -33,10 +34,8 @@ def daily_features(scores: DataFrame) -> DataFrame:
 
 
 def with_week_average(daily: DataFrame) -> DataFrame:
-    """``daily`` with ewma_sentiment_7d: adjusted exponential weights over the daily means, by rows. One pass over a ticker's days."""
-    days = daily.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("news_day", "daily_mean"))).alias("d"))
-    averaged = days.select("ticker", F.inline(F.arrays_zip(F.transform("d", lambda s: s["news_day"]).alias("news_day"), ewm_adjusted(F.transform("d", lambda s: s["daily_mean"]), SPAN).alias("ewma_sentiment_7d"))))
-    return daily.join(averaged, ["ticker", "news_day"])
+    """``daily`` with ewma_sentiment_7d: adjusted exponential weights over the daily means, by rows."""
+    return daily.withColumn("ewma_sentiment_7d", ewm_adjusted_over("daily_mean", SPAN, ["ticker"], "news_day"))
 
 
 def training_dataset(scores: DataFrame, bars: DataFrame, labels: DataFrame | None = None, time: str = "timestamp") -> DataFrame:
@@ -65,10 +64,10 @@ def without_infinities(df: DataFrame, columns: tuple[str, ...] = FEATURES) -> Da
 
 
 def with_split(df: DataFrame, *order: str, partition: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """``df`` with ``part``: train for the first 80 %, validation for the rest; both (``all``) below 50 rows."""
-    w = Window.partitionBy(*partition)
-    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
-    return df.withColumn("part", F.when(n < SPLIT_FROM, "all").when(k <= F.floor(n * F.lit(0.8)), "train").otherwise("validation"))
+    """``df`` with ``part``: train for the first 80 %, validation for the rest; both (``all``) below 50 rows. The first order column is a number, date or time."""
+    x = with_rank(with_ranges(df, order[0], "_range"), partition, [F.col(c) for c in order], F.col("_range"))
+    part = F.when(F.col("_n") < SPLIT_FROM, "all").when(F.col("_rank") <= F.floor(F.col("_n") * F.lit(0.8)), "train").otherwise("validation")
+    return x.withColumn("part", part).drop("_n", "_rank", "_range")
 
 
 def argmax_label(probabilities: dict[str, Column]) -> tuple[Column, Column]:
@@ -226,10 +225,9 @@ def prediction_by_id(predictions: DataFrame, number: int) -> DataFrame:
 
 def latency_percentiles(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Median, and the value at place max(int(0.99 n), 1) in order, of each group."""
-    w = Window.partitionBy(*by)
-    x = df.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = F.greatest(F.floor(F.col("_n") * F.lit(0.99)), F.lit(1))
-    return x.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.max(F.when(F.col("_k") == at, F.col(value))).alias("p99"))
+    middle = {"lower": lambda n: F.floor((n + 1) / 2), "upper": lambda n: F.ceil((n + 1) / 2)}
+    found = order_statistics(df, value, by, middle | {"p99": lambda n: F.greatest(F.floor(n * F.lit(0.99)), F.lit(1))})
+    return found.select(*by, (F.col("lower") + (F.col("upper") - F.col("lower")) * 0.5).alias("p50"), "p99")
 
 
 def ticker_search(symbols: DataFrame, query: str, limit: int = 8) -> DataFrame:

@@ -30,7 +30,14 @@ def query(sql: str | None = None):
 
 
 def r6(*names: str):
-    return [F.round(c, 6).alias(c) for c in names]
+    """Rounded as DuckDB rounds: the double times a million to the next whole number, halves away from zero."""
+
+    def rounded(c: str):
+        x = F.col(c).cast("double")
+        plain = F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6 + F.lit(0.0)
+        return F.when(F.isnan(x) | (F.abs(x) >= 1e12), x).otherwise(plain).alias(c)
+
+    return [rounded(c) for c in names]
 
 
 def day(c: str):

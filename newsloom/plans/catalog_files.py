@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.plans import views
-from newsloom.plans.catalog import BARS, HISTORY, NEWS, day, query, stamp
+from newsloom.plans.catalog import BARS, HISTORY, NEWS, day, query, r6, stamp
 from newsloom.sources import feeds, tables
 
 LANGS = "coalesce(lang, 'und')"
@@ -37,7 +37,7 @@ def file_bars(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct("t", F.col("close").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
     root = _files(spark, b.groupBy("ticker").agg(F.to_json(F.struct(F.collect_list(item).alias("bars"))).alias("value")), "ticker")
     read = [feeds.bars(spark, f"{root}/ticker={t}", t.lower()) for t in ("A", "N", "R")]
-    return read[0].union(read[1]).union(read[2]).select("ticker", F.to_date("timestamp").alias("bar_day"), F.round("close", 6).alias("close"), F.round("volume", 6).alias("volume"))
+    return read[0].union(read[1]).union(read[2]).select("ticker", F.to_date("timestamp").alias("bar_day"), *r6("close", "volume"))
 
 
 @query("""WITH d AS (SELECT coalesce(lang, 'und') AS ticker, doc_id // 50 AS page, doc_id, row_number() OVER (PARTITION BY coalesce(lang, 'und'), doc_id // 50 ORDER BY doc_id) AS k FROM documents),

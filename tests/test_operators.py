@@ -212,7 +212,7 @@ def test_ewma_by_buckets_is_the_fold(spark):
     rng = np.random.default_rng(4)
     rows = [(str(k % 3), T0 + timedelta(minutes=int(m)), k, float(v)) for k, (m, v) in enumerate(zip(rng.integers(0, 900, 200), rng.normal(0, 1, 200), strict=True))]
     df = spark.createDataFrame(rows, "ticker STRING, t TIMESTAMP, id LONG, v DOUBLE")
-    got = {r["ticker"]: r for r in stats.ewma_by(df, ["ticker"], F.col("v"), F.col("t"), F.col("id"), bucket="hour").collect()}
+    got = {r["ticker"]: r for r in stats.ewma_by(df, ["ticker"], F.col("v"), F.col("t"), F.col("id")).collect()}
     for ticker, r in got.items():
         own = sorted((t, i, v) for k, t, i, v in rows if k == ticker)
         acc = own[0][2]
@@ -260,3 +260,37 @@ def test_plan_pushes_filters(spark):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in plan
     b = market.with_indicators(views.bars(spark, "/root/testdata/sf0.001"), "bar_day")._jdf.queryExecution().executedPlan().toString()
     assert b.count("Exchange hashpartitioning(ticker") == 1
+
+
+def test_ranks_and_order_statistics(spark):
+    from newsloom.functions import ranks
+
+    rng = np.random.default_rng(5)
+    groups = {"a": np.concatenate([np.full(300, 7.0), rng.normal(0, 5, 400)]), "b": rng.integers(0, 9, 90).astype(float), None: np.array([3.0]), "c": np.full(50, 1.0)}
+    rows = [(g, k, float(v)) for g, vs in groups.items() for k, v in enumerate(vs)] + [("a", 999, None)]
+    df = spark.createDataFrame(rows, "g STRING, k INT, v DOUBLE")
+    places = {"first": lambda n: F.lit(1), "mid": lambda n: F.floor((n + 1) / 2), "last": lambda n: n}
+    for small in (10, 100_000):
+        got = {r["g"]: (r["first"], r["mid"], r["last"]) for r in ranks.order_statistics(df, "v", ["g"], places, small=small).collect()}
+        assert got == {g: (min(v), sorted(v)[(len(v) + 1) // 2 - 1], max(v)) for g, v in groups.items()}
+    x = ranks.with_rank(ranks.with_ranges(df.where("v IS NOT NULL"), "v", "r"), ["g"], [F.col("v"), F.col("k")], F.col("r"))
+    for g, v in groups.items():
+        own = sorted((r["v"], r["k"], r["_rank"], r["_n"]) for r in x.where(F.col("g").eqNullSafe(F.lit(g))).collect())
+        assert [r[2] for r in own] == list(range(1, len(v) + 1)) and {r[3] for r in own} == {len(v)}
+    p = signals.latency_percentiles(df, "v", ("g",)).where("g = 'a'").first()
+    assert p["p50"] == pytest.approx(np.median(groups["a"])) and p["p99"] == sorted(groups["a"])[max(int(700 * 0.99), 1) - 1]
+
+
+def test_plans_have_no_window_over_a_whole_group(spark):
+    from newsloom.plans import views
+
+    events = views.read(spark, "/root/testdata/sf0.001", "events")
+    plan = signals.latency_percentiles(events, "value", ("event_type",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rows" not in plan.lower().split("window")[0] and "row_number" not in plan
+    plan = stats.ewma_by(events, ["event_type"], F.col("value"), F.col("ts"), F.col("event_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in next(line for line in plan.splitlines() if "WindowGroupLimit" in line and "Exchange" not in line and "Final" not in line)
+    plan = signals.with_split(events.select("event_type", "ts"), "ts", partition=("event_type",))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_bucket" in line for line in plan.splitlines() if "row_number" in line) and "row_number" in plan
+    n, e = views.reports(spark, "/root/testdata/sf0.001")
+    plan = fundamentals.near_earnings(n, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_day" in next(line for line in plan.splitlines() if "Join Inner" in line)
