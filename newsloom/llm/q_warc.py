@@ -13,17 +13,14 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(pages, path)
     rows = stored(read_warc(spark, path).drop("payload"))
     delete_path(spark, path)
-    page, kind = page_of(F.col("record_id")), F.col("record_type")
-    # as in the SQL, whose comparison with a null id never holds, a page without an id is called a revisit and refers to nothing
-    kind = F.when(page.isNull(), "revisit").otherwise(kind).alias("record_type")
-    refers = F.when(page.isNotNull(), page_of(F.col("refers_to"))).alias("refers_to")
-    return resolve_revisits(rows).select(page.alias("page_id"), "payload_bytes", "payload_digest", kind, refers)
+    page, refers = page_of(F.col("record_id")).alias("page_id"), page_of(F.col("refers_to")).alias("refers_to")
+    return resolve_revisits(rows).select(page, "payload_bytes", "payload_digest", "record_type", refers)
 
 
 SQL = """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS top FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM q
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to FROM q
 """
 
 QUERIES = {"op9_warc_segments": op9_warc_segments}

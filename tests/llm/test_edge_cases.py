@@ -380,6 +380,14 @@ def test_warc_of_repeated_and_null_ids(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     same_rows(q_warc.op9_warc_segments(spark, str(tmp_path)), con, q_warc.SQL)
+    want = []
+    for i, _, p in rows:
+        equal = [j for j, _, q in rows if (q or "") == (p or "") and len((p or "").encode()) >= 1000]
+        top = max((j for j in equal if j is not None), default=None)
+        want.append((str(i), len((p or "").encode()), "revisit" if equal and top != i else "response", str(top if equal and top != i else None)))
+    got = q_warc.op9_warc_segments(spark, str(tmp_path)).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in got) == sorted(want)
+    assert ("None", 0, "response", "None") in want and ("None", 40_000, "revisit", "3") in want
 
 
 def test_stages(spark, docs, crowded, none, tmp_path):
