@@ -68,14 +68,59 @@ def main_text(html: str | None) -> str:
     return ""
 
 
+#: What Python's ``str.split`` takes for white space.
+_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_TAG = r"""<[a-zA-Z/!][^<>"']*(?:"[^"<>]*"[^<>"']*|'[^'<>]*'[^<>"']*)*>"""
+
+
+def _without_dropped(html: Column) -> Column:
+    """A page without plain comments and dropped elements, none of which may hold its own kind."""
+    x = F.regexp_replace(html, r"<!--[^<>-]*(?:-[^<>-]+)*-->", " ")
+    for tag in DROPPED:
+        x = F.regexp_replace(x, rf"(?is)<{tag}(?:\s[^<>]*)?>(?:(?!<{tag}\b).)*?</{tag}\s*>", " ")
+    return x
+
+
+def _is_simple(html: Column, rest: Column) -> Column:
+    """Whether regular expressions read a page as a parser does. ``rest`` is the page without dropped elements.
+
+    Every tag is whole, no dropped element is left open or lies across another, places are elements that occur once and are closed, not classes or roles, nothing but
+    known entities is to be decoded, and there are no elements whose content is not markup.
+    """
+    once = [F.regexp_count(rest, F.lit(rf"(?i)<{t}\b")) for t in ("article", "main")]
+    closed = [F.regexp_count(rest, F.lit(rf"(?is)<{t}(?:\s[^<>]*)?>.*</{t}\s*>")) for t in ("article", "main")]
+    ended = [F.regexp_count(rest, F.lit(rf"(?i)</{t}\b")) for t in ("article", "main")]
+    kinds, classes = "|".join(DROPPED), "|".join(p[1:] for p in PLACES if p[0] == ".")
+    odd = [
+        rest.contains("<!--"), rest.rlike(rf"(?i)</?(?:{kinds})\b"), F.regexp_replace(rest, _TAG, "").contains("<"), rest.rlike(rf"(?i)\brole\b|{classes}"),
+        rest.rlike(r"&(?!(?:lt|gt|quot|copy|middot|amp);)[#a-zA-Z]"), html.rlike(r"(?i)<(?:title|textarea)\b[^<>]*>[^<]*<(?!/(?:title|textarea)\s*>)"),
+        html.rlike(r"(?i)<(?:xmp|plaintext|noembed|noframes|textarea|svg|math|template|\?|!\[)|/\s*>|<(?:article|main)[^a-z\s>]|\x00"),
+        *[(o > 1) | (o != c) | (o != e) for o, c, e in zip(once, closed, ended, strict=True)],
+    ]
+    return ~F.greatest(*odd)
+
+
+def _text_of(markup: Column) -> Column:
+    x = F.regexp_replace(markup, r"<[^<>]*>", " ")
+    for name, char in _ENTITIES:
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(x, _SPACE, " "))
+
+
 def body_text(html: Column) -> Column:
-    """:func:`main_text` as a pandas UDF."""
+    """The main text of a page as :func:`main_text` gives it: by regular expressions on the JVM where a page is simple, else by the parser in a pandas UDF, which gets only those."""
 
     @F.pandas_udf("string")
-    def extract(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text)
+    def parsed(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: None if p is None or p != p else main_text(p))
 
-    return extract(html)
+    page = F.coalesce(html, F.lit(""))
+    rest = _without_dropped(page)
+    simple = _is_simple(page, rest)
+    found = [F.regexp_extract(rest, rf"(?is)<{t}(?:\s[^<>]*)?>(.*)</{t}\s*>", 1) for t in ("article", "main")]
+    texts = F.filter(F.transform(F.array(*found, rest), _text_of), lambda t: F.length(t) >= LEAST)
+    return F.when(simple, F.coalesce(F.substring(F.get(texts, F.lit(0)), 1, MOST), F.lit(""))).otherwise(parsed(F.when(~simple, page)))
 
 
 def plain_text(html: Column) -> Column:
@@ -84,6 +129,6 @@ def plain_text(html: Column) -> Column:
     for tag in DROPPED:
         x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for name, char in _ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(x, r"\s+", " "))

@@ -491,7 +491,17 @@ def html_plain_text(spark: SparkSession, sf: str) -> DataFrame:
     return views.read(spark, sf, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
 
 
-@query()
+_DROP = "coalesce(html, '')"
+for _tag in html.DROPPED:
+    _DROP = f"regexp_replace({_DROP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'g')"
+_BODY = "regexp_replace(x, '<[^>]*>', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _BODY = f"replace({_BODY}, '{_name}', '{_char}')"
+
+
+@query(f"""WITH d AS (SELECT page_id, regexp_replace({_DROP}, '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
+t AS (SELECT page_id, list_filter(list_transform([regexp_extract(h, '(?is)<article\\b[^>]*>(.*)</article\\s*>', 1), regexp_extract(h, '(?is)<main\\b[^>]*>(.*)</main\\s*>', 1), h], lambda x: trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'))), lambda x: length(x) >= 120) AS texts FROM d)
+SELECT page_id, coalesce(texts[1][:4000], '') AS body FROM t""")
 def html_body(spark: SparkSession, sf: str) -> DataFrame:
     return views.read(spark, sf, "pages").select("page_id", html.body_text(F.col("html")).alias("body"))
 

@@ -3,6 +3,7 @@
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -153,3 +154,20 @@ def test_return_label(spark):
 def test_engines(spark):
     text.register_engine("Shout", lambda h, s: F.when(h == F.upper(h), 1.0).otherwise(0.0))
     assert [one(spark, text.engine(n)(F.lit("UP"), F.lit("weak"))) for n in ("shout", "lexicon", "none")] == [1.0, -1.0, -1.0]
+
+
+def test_body_text_on_the_jvm_and_by_the_parser_agree(spark):
+    rng = np.random.default_rng(0)
+    long = "word and more, " * 12
+    parts = ["<article>", "</article>", "<main>", "</main>", "<nav>", "</nav>", "<header class='x'>", "</header>", "<script>if (a < b) x='</p>'</script>", "<style>p{}</style>", "<p>", "</p>", "<br>", "<br/>", "<b>", "<div class='story-body'>", "</div>", '<div role="main">',
+             "<!-- ad 1 -->", "<!-- <nav> -->", "<!--", "&amp;lt; ", "&nbsp;", "&copy; ", "&bogus ", "<", ">", " a > b ", '<img alt="a > b">', "<aside>side</aside>", long, long + "\xa0 é ", "tiny", "<title>t</title>", "<form>", "</form>", "<ARTICLE id=1>", "</Article >", "<figure><figcaption>f</figcaption></figure>"]
+    pages = ["".join(rng.choice(parts, int(rng.integers(1, 14)))) for _ in range(600)]
+    whole = ["<nav><ul><li>x</li></ul></nav>", "<header><nav>n</nav></header>", "<script>a < b</script>", "<p>one", "<br>", "<!-- ad -->", "&amp;lt; &copy;", long, "<div class='ad'>ad</div>", "<b>b", "<aside>x</aside>", "<title>t</title>"]
+    inside = lambda: "".join(rng.choice(whole, int(rng.integers(0, 7))))
+    pages += [f"{inside()}<article>{inside()}</article>{inside()}" if k % 3 else f"{inside()}<main a='b'>{inside()}</main>{inside()}" for k in range(200)] + [None, "", long * 30, f"<html><body><article>{long * 40}</article><footer>f</footer></body></html>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "k INT, html STRING")
+    rest = html._without_dropped(F.coalesce("html", F.lit("")))
+    got = df.select("k", html.body_text(F.col("html")).alias("body"), html._is_simple(F.coalesce("html", F.lit("")), rest).alias("simple")).collect()
+    wrong = [(pages[r["k"]], r["body"], r["simple"]) for r in got if r["body"] != html.main_text(pages[r["k"]])]
+    assert not wrong, wrong[:3]
+    assert 150 < sum(r["simple"] for r in got) < 700
