@@ -54,24 +54,30 @@ def explode_symbols(items: DataFrame, default: str = "UNKNOWN") -> DataFrame:
     return items.withColumn("ticker", F.explode(symbols))
 
 
-def upsert_labels(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Labels by ticker and date: existing rows get the new return, label and time but keep their close; others come in."""
+def _came(old: Column, new: Column, flags: bool) -> list[Column]:
+    """Whether a row of a merge came in or was found, if that is wanted."""
+    old, new = F.coalesce(old, F.lit(False)), F.coalesce(new, F.lit(False))
+    return [(new & ~old).alias("inserted"), (new & old).alias("updated")] if flags else []
+
+
+def upsert_labels(stored: DataFrame, fresh: DataFrame, flags: bool = False) -> DataFrame:
+    """Labels by ticker and date: existing rows get the new return, label and time but keep their close; others come in. ``flags``: with inserted and updated."""
     f = fresh.select("ticker", "date", *[F.col(c).alias(f"_{c}") for c in ("close_price", "forward_return_5d", "label", "fetched_at")])
     x = stored.withColumn("_old", F.lit(True)).join(f.withColumn("_new", F.lit(True)), ["ticker", "date"], "full")
     pick = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-    return x.select("ticker", "date", F.when(F.col("_old"), F.col("close_price")).otherwise(F.col("_close_price")).alias("close_price"), pick("forward_return_5d"), pick("label"), pick("fetched_at"))
+    return x.select("ticker", "date", F.when(F.col("_old"), F.col("close_price")).otherwise(F.col("_close_price")).alias("close_price"), pick("forward_return_5d"), pick("label"), pick("fetched_at"), *_came(F.col("_old"), F.col("_new"), flags))
 
 
-def upsert_earnings(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Reports by ticker and date: an actual value and its surprise fill in where none was stored; others come in."""
-    f = fresh.where("report_date IS NOT NULL").select("ticker", "report_date", F.col("estimated_eps").alias("_est"), F.col("actual_eps").alias("_act"), F.col("fiscal_date_ending").alias("_fiscal"))
+def upsert_earnings(stored: DataFrame, fresh: DataFrame, flags: bool = False) -> DataFrame:
+    """Reports by ticker and date: an actual value and its surprise fill in where none was stored; others come in. ``flags``: with inserted and updated."""
+    f = fresh.where("report_date IS NOT NULL").select(F.lit(True).alias("_new"), "ticker", "report_date", F.col("estimated_eps").alias("_est"), F.col("actual_eps").alias("_act"), F.col("fiscal_date_ending").alias("_fiscal"))
     x = stored.withColumn("_old", F.lit(True)).join(f, ["ticker", "report_date"], "full")
     s = surprise_pct(F.col("_est"), F.col("_act")).cast("decimal(10,4)")
     old, fill = F.coalesce("_old", F.lit(False)), F.col("_act").isNotNull() & F.col("actual_eps").isNull()
     return x.select(
         "ticker", "report_date", F.when(old, F.col("fiscal_date_ending")).otherwise(F.col("_fiscal")).alias("fiscal_date_ending"),
         F.when(old, F.col("estimated_eps")).otherwise(F.col("_est")).alias("estimated_eps"),
-        F.when(old & ~fill, F.col("actual_eps")).otherwise(F.col("_act")).alias("actual_eps"), F.when(old & ~fill, F.col("surprise_pct")).otherwise(s).alias("surprise_pct"),
+        F.when(old & ~fill, F.col("actual_eps")).otherwise(F.col("_act")).alias("actual_eps"), F.when(old & ~fill, F.col("surprise_pct")).otherwise(s).alias("surprise_pct"), *_came(old, F.col("_new"), flags),
     )
 
 

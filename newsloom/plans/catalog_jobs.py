@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import fundamentals, jobs, signals
+from newsloom.operators import fundamentals, ingest, jobs, market, signals
 from newsloom.plans import views
 from newsloom.plans.catalog import BARS, FILED, HISTORY, LABELS, NEWS, REPORTS, TRAIN, _training, day, query, r6
+from newsloom.schemas import PRICE_LABELS
+from newsloom.sources import tables
 from newsloom.streaming import events as live
 
 # --- backfill and labels -----------------------------------------------------------------------------------------------
@@ -52,6 +54,23 @@ def label_refresh_report(spark: SparkSession, sf: str) -> DataFrame:
     return _refreshed(spark, sf)[1].select("ticker", "state", F.col("upserted").cast("long").alias("upserted"))
 
 
+_HALVES = f"{BARS.replace('bars AS', 'raw AS')}, bars AS (SELECT * REPLACE (round(close * 100) / 100 AS close) FROM raw), {LABELS}, old AS (SELECT * FROM labels5 WHERE day(bar_day) % 2 = 0), new AS (SELECT * FROM labels5 WHERE bar_day >= DATE '1995-01-01')"
+
+
+@query(f"""WITH {_HALVES}, c AS (SELECT count(*) FILTER (o.ticker IS NULL) AS inserted, count(*) FILTER (o.ticker IS NOT NULL) AS updated FROM new n LEFT JOIN old o USING (ticker, bar_day))
+SELECT ticker, bar_day AS date, round(CASE WHEN o.ticker IS NOT NULL THEN o.close + 1 ELSE n.close END, 2) AS close_price, CASE WHEN n.ticker IS NULL THEN 'old' ELSE n.label END AS label, inserted, updated FROM old o FULL JOIN new n USING (ticker, bar_day), c""")
+def label_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels kept by month: those of even days are stored, those of 1995 and later come in; with the numbers of rows that came in and were found."""
+    root = tables.work_dir(spark)
+    x = market.forward_labels(views.bars(spark, sf).withColumn("close", F.round(F.col("close") * 100) / 100), "bar_day").withColumnRenamed("bar_day", "date")
+    cut = lambda df, more, label: df.select("ticker", "date", (F.col("close") + more).cast("decimal(12,4)").alias("close_price"), F.col("forward_return").cast("decimal(10,6)").alias("forward_return_5d"), label, views.as_of().alias("fetched_at"))
+    merge = lambda stored, fresh: ingest.upsert_labels(stored, fresh, flags=True)
+    tables.merge_months(cut(x.where("day(date) % 2 = 0"), 1, F.lit("old").alias("label")), f"{root}/labels", PRICE_LABELS, "date", merge)
+    counts = tables.merge_months(cut(x.where("date >= DATE '1995-01-01'"), 0, F.col("label")), f"{root}/labels", PRICE_LABELS, "date", merge)
+    out = tables.by_month(spark, f"{root}/labels", PRICE_LABELS).select("ticker", "date", F.col("close_price").cast("double").alias("close_price"), "label")
+    return out.withColumns({k: F.lit(v).cast("long") for k, v in counts.items()})
+
+
 # --- training rows and predictions -------------------------------------------------------------------------------------
 @query(f"WITH {TRAIN} SELECT ticker, news_day, CASE WHEN ticker = 'PURCHASE' THEN target WHEN day(news_day) % 2 = 0 THEN 'RISE' ELSE 'FALL' END AS target FROM train")
 def training_stored_labels(spark: SparkSession, sf: str) -> DataFrame:

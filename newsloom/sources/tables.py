@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.schemas import TABLES
@@ -60,6 +61,53 @@ def _conformed(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
+# --- tables by month: a merge rewrites only the months that it touches ---------------------------------------------------
+def by_month(spark: SparkSession, path: str, schema: str, months: list[str] | None = None) -> DataFrame:
+    """A table that :func:`merge_months` writes, or some months of it, which are all that is read."""
+    x = spark.read.schema(f"{schema}, month STRING").parquet(path) if any(n.startswith("month=") for n in folders(spark, path)) else spark.createDataFrame([], f"{schema}, month STRING")
+    return (x if months is None else x.where(F.col("month").isin(months))).drop("month")
+
+
+def _put_months(spark: SparkSession, staged: str, path: str, schema: str) -> None:
+    """The staged months in place of those of the table; may be repeated."""
+    rows = spark.read.schema(f"{schema}, month STRING").parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    delete(spark, staged)
+
+
+def finish_merge(spark: SparkSession, path: str, schema: str) -> None:
+    """Ends a merge that was cut short: what was staged whole is put in place, anything else goes."""
+    for name in [n for n in folders(spark, path) if n.startswith("_staged-")]:
+        fs, done = _at(spark, f"{path}/{name}/_SUCCESS")
+        if fs.exists(done):
+            _put_months(spark, f"{path}/{name}", path, schema)
+        else:
+            delete(spark, f"{path}/{name}")
+
+
+def merge_months(fresh: DataFrame, path: str, schema: str, date: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> dict[str, int]:
+    """Merges rows into a table that is kept by month of ``date``; how many were inserted and updated.
+
+    ``merge(stored, fresh)`` gives the new rows with the flags ``inserted`` and ``updated``. Only months that ``fresh`` has are read and rewritten, files of others stay.
+    The new months are staged whole before the table changes, so a merge that is cut short loses nothing (:func:`finish_merge`). Rows without a date are not taken.
+    The counts come from the pass that writes.
+    """
+    spark = fresh.sparkSession
+    finish_merge(spark, path, schema)
+    month = F.date_format(date, "yyyy-MM")
+    fresh = fresh.where(F.col(date).isNotNull())
+    months = [r["month"] for r in fresh.select(month.alias("month")).distinct().collect()]  # months, not rows
+    if not months:
+        return {"inserted": 0, "updated": 0}
+    seen, staged = Observation(), f"{path}/_staged-{uuid.uuid4().hex}"
+    merged = merge(by_month(spark, path, schema, months), fresh)
+    merged = merged.observe(seen, F.count_if("inserted").alias("inserted"), F.count_if("updated").alias("updated"))
+    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema.fields if f.name in merged.columns]
+    merged.select(*fields, month.alias("month")).write.partitionBy("month").parquet(staged)
+    _put_months(spark, staged, path, schema)
+    return seen.get
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as a JSON object."""
     return df.select(F.to_json(F.struct("*")).alias("value"))

@@ -107,3 +107,34 @@ def test_predictions_are_appended_once(spark):
     once = jobs.append_predictions(fresh.limit(0), fresh)
     twice = jobs.append_predictions(once, fresh)
     assert twice.count() == 2 and signals.prediction_by_id(twice, once.where("ticker = 'A'").first()["id"]).first()["ticker"] == "A"
+
+
+def test_a_merge_rewrites_only_its_months(spark, tmp_path):
+    from newsloom.operators import ingest
+    from newsloom.schemas import PRICE_LABELS
+    from newsloom.sources import tables
+
+    path, merge = str(tmp_path / "labels"), lambda stored, fresh: ingest.upsert_labels(stored, fresh, flags=True)
+
+    def rows(*items):
+        df = spark.createDataFrame([(t, d, c, label) for t, d, c, label in items], "ticker STRING, date STRING, close DOUBLE, label STRING")
+        return df.select("ticker", F.to_date("date").alias("date"), F.col("close").cast("decimal(12,4)").alias("close_price"), F.lit(0.5).cast("decimal(10,6)").alias("forward_return_5d"), "label", F.lit("2024-01-31").cast("timestamp").alias("fetched_at"))
+
+    def state():
+        return sorted((r["ticker"], str(r["date"]), float(r["close_price"]), r["label"]) for r in tables.by_month(spark, path, PRICE_LABELS).collect())
+
+    assert tables.merge_months(rows(("A", "2024-01-05", 1.0, "x"), ("A", "2024-02-05", 2.0, "x"), ("B", "2024-03-01", 3.0, "x"), ("B", None, 9.0, "x")), path, PRICE_LABELS, "date", merge) == {"inserted": 3, "updated": 0}
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "labels").glob("month=2024-0[13]/*.parquet")}
+    assert len(before) == 2
+    assert tables.merge_months(rows(("A", "2024-02-05", 7.0, "y"), ("A", "2024-02-06", 4.0, "y")), path, PRICE_LABELS, "date", merge) == {"inserted": 1, "updated": 1}
+    want = [("A", "2024-01-05", 1.0, "x"), ("A", "2024-02-05", 2.0, "y"), ("A", "2024-02-06", 4.0, "y"), ("B", "2024-03-01", 3.0, "x")]
+    assert state() == want and {f: f.stat().st_mtime_ns for f in before} == before
+    assert tables.merge_months(rows(), path, PRICE_LABELS, "date", merge) == {"inserted": 0, "updated": 0}
+    # cut short after staging: the next merge puts it in place; what was not staged whole goes
+    staged = spark.read.schema(f"{PRICE_LABELS}, month STRING").parquet(path).where("month = '2024-03'").withColumn("label", F.lit("late"))
+    staged.write.partitionBy("month").parquet(f"{path}/_staged-1")
+    staged.withColumn("label", F.lit("never")).write.partitionBy("month").parquet(f"{path}/_staged-2")
+    (tmp_path / "labels" / "_staged-2" / "_SUCCESS").unlink()
+    tables.merge_months(rows(("C", "2024-04-01", 1.0, "z")), path, PRICE_LABELS, "date", merge)
+    assert state() == [*want[:3], ("B", "2024-03-01", 3.0, "late"), ("C", "2024-04-01", 1.0, "z")]
+    assert not list((tmp_path / "labels").glob("_staged-*"))
