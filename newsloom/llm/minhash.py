@@ -23,7 +23,7 @@ are similar may share none and is then not linked.
 Rows of a hot bucket or of a hot least id are dealt to many tasks. Tables that are read again are written to the shared folder.
 
 * Null texts are never compared: each row is a class of its own. Empty and blank texts have no shingles and match equal texts only.
-* Very long texts are shingled whole. Equal rows and ties: the least id stands for a group. Rows of one id count as one document's copies.
+* Very long texts are shingled whole. Equal rows and ties: the least id stands for a group. Unlike texts with one id are documents of their own.
 * Rows with a null id are not compared and have a null class.
 * An empty table gives an empty table. Only id and text columns are read; others don't matter.
 """
@@ -282,6 +282,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """id and class_id, the least id of the row's group, for each row of ``docs``."""
     usable = F.col(quoted(id_column)).isNotNull() & F.col(quoted(text)).isNotNull()
     signed = stored(signatures(docs.where(usable), id_column, text))
+    nulls = docs.where(~usable).select(F.col(quoted(id_column)).cast("long").alias("id"))
+    nulls = nulls.select("id", F.col("id").alias("class_id")).withColumnRenamed("id", id_column)
+    if not signed.groupBy("id").agg(F.min("copy").alias("lo"), F.max("copy").alias("hi")).where("lo <> hi").isEmpty():
+        return _classes_by_text(docs.where(usable), signed, id_column, text, threshold).union(nulls)
     ones = signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("m"), F.count(F.lit(1)).alias("copies"))
     ones = stored(ones.select("copy", "copies", "m.*"))
     placed = _placed(ones)
@@ -313,8 +317,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     drop_stored(groups)
     several = class_of.where("copies > 1")
     out = join_by_hot_key(signed.select("id", "copy"), class_of.drop("copies"), ["copy"], ["id"], sizes=several.select("copy", F.col("copies").alias("size")))
-    nulls = docs.where(~usable).select(F.col(quoted(id_column)).cast("long").alias("id"))
-    return out.select("id", "class_id").union(nulls.select("id", F.col("id").alias("class_id"))).withColumnRenamed("id", id_column)
+    return out.select("id", "class_id").withColumnRenamed("id", id_column).union(nulls)
+
+
+def _classes_by_text(docs: DataFrame, signed: DataFrame, id_column: str, text: str, threshold: float) -> DataFrame:
+    """Classes where unlike texts share an id: distinct texts are numbered and grouped, and each row gets the least id of its text's class."""
+    t = F.col(quoted(text))
+    once = docs.select(t.alias("text"), F.unhex(F.md5(F.encode(t, "utf-8"))).alias("copy")).dropDuplicates(["copy"])
+    once = stored(once.withColumn("number", F.monotonically_increasing_id()))
+    of = stored(near_duplicates(once, "number", "text", threshold).join(once.select("number", "copy"), "number").select("copy", "class_id"))
+    rows = stored(join_by_hot_key(signed.select("id", "copy"), of, ["copy"], ["id"]))
+    least = rows.groupBy("class_id").agg(F.min("id").alias("least"))
+    out = join_by_hot_key(rows.select("id", "class_id"), least, ["class_id"], ["id"])
+    return out.select(F.col("id").alias(id_column), F.col("least").alias("class_id"))
 
 
 def _open_buckets(placed: DataFrame, groups: DataFrame) -> DataFrame:
