@@ -418,3 +418,12 @@ def test_hot_keys_are_split(spark):
     joined = join_by_hot_key(left, right, ["k"], ["id"])
     assert "_salt" in joined._jdf.queryExecution().toString()
     assert joined.where("v = k * 2").count() == 6000 and joined.columns == ["k", "id", "v"]
+
+
+def test_near_duplicates_with_one_id_for_unlike_texts(spark):
+    a, b = sentence(21), sentence(22)
+    near = lambda s: s.replace(s.split()[50], "other")
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (7, sentence(23)), (1, None), (None, a)]
+    for some in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id LONG, text STRING").coalesce(1)).collect()
+        assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
