@@ -294,3 +294,44 @@ def test_plans_have_no_window_over_a_whole_group(spark):
     n, e = views.reports(spark, "/root/testdata/sf0.001")
     plan = fundamentals.near_earnings(n, e)._jdf.queryExecution().optimizedPlan().toString()
     assert "_day" in next(line for line in plan.splitlines() if "Join Inner" in line)
+
+
+@pytest.mark.parametrize("boosted", [False, True])
+def test_path_shapley_is_the_sum_over_sets(spark, boosted):
+    from itertools import combinations
+    from math import factorial
+
+    from newsloom.operators import attribution
+
+    rng = np.random.default_rng(8)
+    rows = [(k, "T", *map(float, x), "RISE" if x[0] + x[3] > 0.3 else "FALL" if x[0] * x[5] < -0.3 else "STABLE") for k, x in enumerate(rng.normal(0, 1, (150, 8)))]
+    df = spark.createDataFrame(rows, "id INT, ticker STRING, " + ", ".join(f"{c} DOUBLE" for c in signals.FEATURES) + ", target STRING")
+    model, info = signals.train_model(signals.with_split(df, "id"), trees=4, depth=3, boosted=boosted)
+    some = signals.predict(model, info, df.limit(6))
+
+    def expected(node, x, known):
+        """A tree's output where only some features are known: both sides, by their shares, at splits of others."""
+        if "Leaf" in node.getClass().getSimpleName():
+            stats = np.array(list(node.impurityStats().stats()))
+            return np.array([node.prediction()]) if boosted else stats / stats.sum()
+        k, sides = node.split().featureIndex(), (node.leftChild(), node.rightChild())
+        if k in known:
+            return expected(sides[int(x[k] > node.split().threshold())], x, known)
+        return sum(s.impurityStats().count() / node.impurityStats().count() * expected(s, x, known) for s in sides)
+
+    def output(x, label, known):
+        stage = model.stages[2 + label] if boosted else model.stages[2]
+        total = sum(w * expected(t._java_obj.rootNode(), x, known) for t, w in zip(stage.trees, stage.treeWeights, strict=True))
+        return total[0] if boosted else total[label] / len(stage.trees)
+
+    got = {r["id"]: r for r in attribution.path_shapley(model, info, some).collect()}
+    for r in some.collect():
+        x, label = [r[c] for c in signals.FEATURES], info["labels"].index(r["recommendation"])
+        known = {s: output(x, label, set(s)) for n in range(9) for s in combinations(range(8), n)}
+        for j, c in enumerate(signals.FEATURES):
+            others = [s for s in known if j not in s]
+            want = sum(factorial(len(s)) * factorial(7 - len(s)) / factorial(8) * (known[tuple(sorted((*s, j)))] - known[s]) for s in others)
+            assert got[r["id"]][c] == pytest.approx(want, abs=1e-9)
+        assert got[r["id"]]["base"] == pytest.approx(known[()], abs=1e-9)
+        if not boosted:
+            assert got[r["id"]]["base"] + sum(got[r["id"]][c] for c in signals.FEATURES) == pytest.approx(r["probabilities"][r["recommendation"]], abs=1e-9)
