@@ -9,8 +9,8 @@ at least 80 times what they have together, so at most a ninth of the sum of both
    bits the XOR of a random value of each bit. Sets with d shingles apart have at most d unlike segments (the pigeonhole principle). So of their segments with bits, put in
    one order for all sets, one of the first d + 1 is the same in both. Segments of frequent shingles come last in that order. Sets of the next
    band that may have a partner below take part there too.
-3. The segments of a task's documents go, sorted and delta-coded, to shards of the key space, each key once from a task however many documents have it. A shard
-   answers with the keys that several nodes have: the buckets.
+3. The segments of a task's documents go, sorted and delta-coded, to shards of the key space; a key that many of them have goes there twice only, and the rest by itself.
+   A shard answers with the keys that several nodes have: the buckets, or a pair where there are two.
 4. Of buckets with the same nodes one is kept. Each bucket's node that is in most buckets is compared with the others; links make components. Where a bucket still has several
    components, its nodes are compared with each other, in large buckets block by block. Before sets are compared, dense sketches are: they may differ in no more bits than
    sets may be apart.
@@ -44,8 +44,8 @@ PERCENT = 80
 SPREAD = 4
 #: The most frequent shingles whose segments come last, at most so many, and how often one must be in a task's texts to be counted.
 COMMON, OFTEN = 100_000, 8
-#: Keys that a task gathers before it sends them, keys of a shard, nodes of a block, nodes of a small bucket, and rows of a group of small buckets.
-GATHERED, SHARD, BLOCK, SMALL, GROUP = 2_000_000, 3_000_000, 512, 64, 20_000
+#: Keys that a task gathers before it sends them, nodes of a key that it sends to the key's shard, keys of a shard, nodes of a block, nodes of a small bucket, and rows of a group of small buckets.
+GATHERED, LOCAL, SHARD, BLOCK, SMALL, GROUP = 2_000_000, 32, 3_000_000, 512, 64, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _BITS = (256, 8192)
@@ -137,16 +137,16 @@ _SENT = "shard int, keys binary, who binary, nodes binary"
 
 
 def _to_shards(key: np.ndarray, who: np.ndarray, nodes: np.ndarray, shards: int) -> Iterator[dict]:
-    """Each key with one of its nodes for the key's shard; and, for a shard below 0, all nodes of keys that several of these nodes have."""
+    """The keys of a task's nodes for the keys' shards. Of a key that more than :data:`LOCAL` of these nodes have, two go there, and all to a shard below 0."""
     order = np.lexsort((who, key))
     key, who = key[order], who[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    several = ~first
-    several[:-1] |= ~first[1:]
-    if several.any():
-        yield _sent(-1 - int(key[0] % np.uint64(shards)), key[several], who[several], nodes)
-    key, who = key[first], who[first]
+    edges = np.flatnonzero(np.append(np.concatenate([[True], key[1:] != key[:-1]]), True))
+    size = np.repeat(np.diff(edges), np.diff(edges))
+    place = np.arange(len(key)) - np.repeat(edges[:-1], np.diff(edges))
+    many = size > LOCAL
+    if many.any():
+        yield _sent(-1 - int(key[0] % np.uint64(shards)), key[many], who[many], nodes)
+    key, who = key[~many | (place < 2)], who[~many | (place < 2)]
     shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(shard, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(key)], strict=True):
@@ -165,7 +165,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch], keys: Keys) -> Iterator[tup
 
 
 def _buckets(docs: DataFrame, common: np.ndarray, shards: int, keys: Keys) -> DataFrame:
-    """key and node, for the keys that several nodes have."""
+    """key and node, for the keys that several nodes have; and where two nodes have a key and no others do, node and ``other`` without a key."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, nodes, known, size = [], [], {}, 0
@@ -206,12 +206,19 @@ def _buckets(docs: DataFrame, common: np.ndarray, shards: int, keys: Keys) -> Da
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
         key, who = key[new], who[new]
-        first = np.ones(len(key) + 1, bool)
-        first[1:-1] = key[1:] != key[:-1]
-        several = ~(first[:-1] & first[1:])
-        return pd.DataFrame({"key": key[several].view(np.int64), "node": [x.tobytes() for x in distinct[who[several]]]})
+        edges = np.flatnonzero(np.append(np.concatenate([[True], key[1:] != key[:-1]]), True))
+        size = np.repeat(np.diff(edges), np.diff(edges))
+        two = np.flatnonzero((size == 2) & (rows["shard"].iloc[0] >= 0))[::2]
+        pairs = np.unique(np.stack([who[two], who[two + 1]], 1), axis=0)
+        more = size > (2 if rows["shard"].iloc[0] >= 0 else 1)
+        names = [x.tobytes() for x in distinct]
+        node = [names[k] for k in who[more]] + [names[k] for k in pairs[:, 0]]
+        other = [None] * int(more.sum()) + [names[k] for k in pairs[:, 1]]
+        keyed = pd.array(np.concatenate([key[more].view(np.int64), np.zeros(len(pairs), np.int64)]), dtype="Int64")
+        keyed[int(more.sum()) :] = pd.NA
+        return pd.DataFrame({"key": keyed, "node": pd.Series(node, dtype=object), "other": pd.Series(other, dtype=object)})
 
-    return docs.mapInArrow(send, _SENT).groupBy("shard").applyInPandas(meet, "key long, node binary").distinct()
+    return docs.mapInArrow(send, _SENT).groupBy("shard").applyInPandas(meet, "key long, node binary, other binary").distinct()
 
 
 def _summaries(docs: DataFrame, keys: Keys) -> DataFrame:
@@ -311,7 +318,7 @@ def _sketches(texts: DataFrame, keys: Keys) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose dense sketches differ in no more bits than their sets may be apart. b may be hot."""
+    """Pairs (a, b) whose sizes are near enough and whose dense sketches differ in no more bits than their sets may be apart. b may be hot."""
     own = lambda side: sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     sizes = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
     both = join_by_hot_key(pairs.join(own("a"), "a"), own("b").join(sizes.select("b"), "b"), ["b"], ["a"], sizes=sizes)
@@ -320,7 +327,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         kept = []
         for k, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")), strict=True)):
             x, y = _same_width([x, y])
-            if np.bitwise_count(x ^ y).sum() <= apart(n, m):
+            if 100 * min(n, m) >= PERCENT * max(n, m) and np.bitwise_count(x ^ y).sum() <= apart(n, m):
                 kept.append(k)
         found = batch.take(pa.array(kept, pa.int32()))
         return {"a": found.column("a"), "b": found.column("b")}
@@ -393,10 +400,12 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     spark = docs.sparkSession
     total = nodes.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * SHARD))
-    shared = stored(_buckets(whole, common, shards, keys))
-    rows_of = _distinct_buckets(shared, nodes)
-    tried = stored(_with_centers(rows_of))
-    texts = _packed(whole).join(rows_of.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    met = stored(_buckets(whole, common, shards, keys))
+    twos = met.where("key IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    rows_of = _distinct_buckets(met.where("key IS NOT NULL").select("key", "node"), nodes)
+    tried = stored(_with_centers(rows_of).union(twos).distinct())
+    wanted = rows_of.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
+    texts = _packed(whole).join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id"]))
     sketches = stored(_sketches(texts, keys))
     links = _links(_plausible(tried, sketches), texts)

@@ -142,7 +142,7 @@ def family(rng, words, n, changes):
 @pytest.mark.parametrize("small", [False, True])
 def test_links_equal_all_pairs(spark, small, monkeypatch):
     if small:
-        for name, value in (("GATHERED", 300), ("SHARD", 50), ("BLOCK", 3), ("SMALL", 4), ("GROUP", 20), ("OFTEN", 2)):
+        for name, value in (("GATHERED", 300), ("LOCAL", 3), ("SHARD", 50), ("BLOCK", 3), ("SMALL", 4), ("GROUP", 20), ("OFTEN", 2)):
             monkeypatch.setattr(parity_join, name, value)
     rng = np.random.default_rng(7)
     texts = []
