@@ -6,11 +6,14 @@ What a loop over tickers would log for each of them comes back as a DataFrame of
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.bounds import check_bound
 from newsloom.operators import signals
 from newsloom.operators.ingest import insert_new, upsert_labels
 from newsloom.operators.market import HORIZON, forward_labels
@@ -30,18 +33,39 @@ def readable(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, Dat
     return frames, errors
 
 
+def fetched(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], root: str, threads: int = 10) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Sources read to their ends, several at a time, each written to a folder of its own; and the error of each that broke on the way, which doesn't hinder the rest."""
+    frames, errors = {}, {}
+
+    def one(name: str) -> None:
+        try:
+            df = readers[name]()
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            frames[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        except Exception as e:  # whatever a source does, the others go on
+            errors[name] = (e.getCondition() if isinstance(e, PySparkException) else None) or type(e).__name__
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        list(pool.map(inheritable_thread_target(spark)(one), readers))
+    return frames, errors
+
+
 def or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
     """What ``read`` opens, or no rows of ``schema`` where it fails."""
     frames, _ = readable({"source": read})
     return frames.get("source", spark.createDataFrame([], schema))
 
 
-def backfill(sources: dict[str, DataFrame], articles: DataFrame, as_of: Column, ticker: Column, company: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def backfill(sources: dict[str, DataFrame], articles: DataFrame, as_of: Column, ticker: Column, company: Column | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The new articles of several sources, and each source's counts: fetched, failed, skipped, inserted, tagged.
 
     An item without address or headline failed; one without a signal, of a known story or address, or beside a newer or lower-numbered one of its story
-    is skipped; the rest is inserted, with a tag for each symbol. Items have an id that is theirs in all sources.
+    is skipped; the rest is inserted, with a tag for each symbol. Items have an id that is theirs in all sources. ``ticker`` and ``company`` may be columns of the items, so
+    that one call serves many tickers. ``limit``: of each source only so many of the newest items.
     """
+    if limit is not None:
+        check_bound("backfill_limit", limit, "limit")
+        sources = {name: df.orderBy(F.desc("published_at"), "id").limit(limit) for name, df in sources.items()}
     items = None
     for name, df in sources.items():
         df = df.withColumn("feed", F.lit(name))

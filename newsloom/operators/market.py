@@ -62,8 +62,12 @@ def with_drawdown(bars: DataFrame, time: str = "timestamp") -> DataFrame:
     return bars.withColumn("running_max", top).withColumn("drawdown", F.try_divide(F.col("close"), F.col("running_max")) - 1.0)
 
 
-def risk_metrics(bars: DataFrame, benchmark: DataFrame, time: str = "timestamp") -> DataFrame:
-    """Annual volatility and beta from returns on days of both, drawdown and return from all prices; zeros with too few bars."""
+def risk_metrics(bars: DataFrame, benchmark: DataFrame, time: str = "timestamp", days: int | None = None, as_of: Column | None = None) -> DataFrame:
+    """Annual volatility and beta from returns on days of both, drawdown and return from all prices; zeros with too few bars. ``days``: of bars since so many days before ``as_of``."""
+    if days is not None:
+        check_bound("risk_days", days, "days")
+        since = F.col(time) >= as_of - F.make_interval(days=F.lit(days))
+        bars, benchmark = bars.where(since), benchmark.where(since)
     w = b = Window.partitionBy("ticker").orderBy(time)
     own = with_drawdown(bars, time).withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1.0)
     bench = benchmark.withColumn("ticker", F.lit("benchmark")).withColumn("bench_ret", F.try_divide(F.col("close"), F.lag("close").over(b)) - 1.0)

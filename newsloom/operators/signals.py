@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.ranks import order_statistics, with_rank, with_ranges
 from newsloom.functions.stats import ewm_adjusted_over, ewma_by
+from newsloom.functions.text import lexicon_compound, sentiment_label, sentiment_parts, three_class
 from newsloom.operators.market import forward_labels, price_features, with_indicators
 from newsloom.operators.news import sentiment_summary, trailing_volatility, trailing_volume
 
@@ -243,11 +245,41 @@ def ticker_search(symbols: DataFrame, query: str, limit: int = 8) -> DataFrame:
     return symbols.withColumn("search_rank", rank).where("search_rank IS NOT NULL").orderBy("search_rank", "symbol").limit(limit)
 
 
-def sentiment_udf(analyser):
-    """A pandas UDF (headline, summary) -> compound around any function of a list of texts; batches go in as they come."""
+# Characters of a text that a transformer gets, and texts of a batch.
+CHARACTERS, TEXTS = 512, 32
 
-    @F.pandas_udf("double")
-    def score(headline: pd.Series, summary: pd.Series) -> pd.Series:
-        return pd.Series(analyser((headline.fillna("") + ". " + summary.fillna("")).str.strip().str.slice(0, 512).tolist()), dtype=float)
+
+def engine_input(headline: Column, summary: Column) -> Column:
+    """Headline and summary as one text, cut to what a transformer takes."""
+    return F.substring(F.concat(F.coalesce(headline, F.lit("")), F.lit(". "), F.coalesce(summary, F.lit(""))), 1, CHARACTERS)
+
+
+def sentiment_udf(load, texts: int = TEXTS):
+    """A pandas UDF (text) -> positive, negative and neutral score; null where there is no engine.
+
+    ``load`` gives a function of a list of texts to a list of such triples. It is called once in each task, and so imports and reads its model there; if it
+    fails, all scores of the task are null. Texts go in ``texts`` at a time.
+    """
+
+    @F.pandas_udf("positive double, negative double, neutral double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            engine = load()
+        except Exception:  # no engine here
+            engine = None
+        for batch in batches:
+            rows = [r for k in range(0, len(batch), texts) for r in engine(batch.iloc[k : k + texts].tolist())] if engine else [(None, None, None)] * len(batch)
+            yield pd.DataFrame(rows, columns=["positive", "negative", "neutral"], dtype=float)
 
     return score
+
+
+def engine_scores(articles: DataFrame, load, model: str = "finbert") -> DataFrame:
+    """``articles`` with model, compound, label and the three scores: by an engine, or by the lexicon where it has none."""
+    text = F.concat(F.coalesce("headline", F.lit("")), F.lit(". "), F.coalesce("summary", F.lit("")))
+    x = articles.withColumn("_e", sentiment_udf(load)(engine_input(F.col("headline"), F.col("summary")))).withColumn("_c", lexicon_compound(text))
+    said, plain = F.col("_e.positive").isNotNull(), sentiment_parts(F.col("_c"))
+    parts = {k: F.when(said, F.col(f"_e.{k.removeprefix('score_')}")).otherwise(v) for k, v in plain.items()}
+    compound, label = three_class(*[F.col(f"_e.{k}") for k in ("positive", "negative", "neutral")])
+    x = x.withColumns({"model": F.when(said, model).otherwise("lexicon"), "compound": F.when(said, compound).otherwise(F.col("_c")), "label": F.when(said, label).otherwise(sentiment_label(F.col("_c"))), **parts})
+    return x.drop("_e", "_c")

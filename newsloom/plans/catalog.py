@@ -136,11 +136,15 @@ def search_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- feed --------------------------------------------------------------------------------------------------------------
 @query(f"""WITH {NEWS}, {TAGS}, {SCORES}, page AS (SELECT news.*, t.ticker, s.label, CAST(s.compound AS DOUBLE) AS compound FROM news JOIN tags t ON t.article_id = id LEFT JOIN scores s ON s.article_id = id AND s.ticker = 'DE'
- WHERE t.ticker = 'DE' AND (source IS NULL OR source <> 'mock') AND published_at >= {ASOF} - INTERVAL 30 DAY ORDER BY published_at DESC, id LIMIT 400), f AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, id) AS rn FROM page)
-SELECT id, url, headline, source, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, array_to_string(symbols, ',') AS symbols, round({REL_SQL}, 4) AS relevance, label, round(compound, 4) AS compound FROM f JOIN symbols ON article_id = id WHERE rn = 1 AND {REL_SQL} >= {REL} ORDER BY f.published_at DESC, id LIMIT 50""")
+ WHERE t.ticker = 'DE' AND (source IS NULL OR source <> 'mock') AND published_at >= {ASOF} - INTERVAL 30 DAY ORDER BY published_at DESC, id LIMIT 400 OFFSET 5), f AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, id) AS rn FROM page)
+SELECT id, url, headline, source, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, array_to_string(symbols, ',') AS symbols, round({REL_SQL}, 4) AS relevance, label, round(compound, 4) AS compound, CASE WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN false END AS near_earnings, CASE WHEN id % 3 = 0 THEN strftime(f.published_at, '%Y-%m-%d') END AS earnings_date FROM f JOIN symbols ON article_id = id WHERE rn = 1 AND {REL_SQL} >= {REL} ORDER BY f.published_at DESC, id LIMIT 50""")
 def articles_feed(spark: SparkSession, sf: str) -> DataFrame:
-    out = news.articles_feed(*views.feed(spark, sf), "de", views.as_of(), limit=50, days=30, min_relevance=REL)
-    return out.select("id", "url", "headline", "source", stamp("published_at"), F.array_join("symbols", ",").alias("symbols"), "relevance", "label", "compound")
+    """The page after the first five rows; every third article is near a report, another third says that it isn't, and the rest has no payload."""
+    n, t, s = views.feed(spark, sf)
+    near = F.struct(F.when(F.col("id") % 3 == 0, "true").otherwise("no").alias("near_earnings"), F.when(F.col("id") % 3 == 0, F.date_format("published_at", "yyyy-MM-dd")).alias("earnings_date"))
+    n = n.withColumn("raw_payload", F.when(F.col("id") % 3 < 2, F.to_json(near)))
+    out = news.articles_feed(n, t, s, "de", views.as_of(), limit=50, offset=5, days=30, min_relevance=REL)
+    return out.select("id", "url", "headline", "source", stamp("published_at"), F.array_join("symbols", ",").alias("symbols"), "relevance", "label", "compound", "near_earnings", "earnings_date")
 
 
 @query(f"""WITH {NEWS}, {TAGS}, {SCORES}, {stories('scored_at', 30)}
@@ -212,10 +216,10 @@ def merged_pages(spark: SparkSession, sf: str) -> DataFrame:
     return news.merge_pages(n, n.where("id % 2 = 0")).select("id", stamp("published_at"))
 
 
-@query("WITH w AS (SELECT user_id, list_sort(list_distinct(list(upper(event_type)))) AS s FROM events GROUP BY ALL) SELECT user_id, len(CASE WHEN list_contains(s, 'CLICK') THEN list_filter(s, lambda x: x <> 'CLICK') ELSE list_append(s, 'CLICK') END) AS n, list_contains(s, 'CLICK') AS had FROM w")
+@query("WITH w AS (SELECT user_id, list_sort(list_distinct(list(upper(event_type)))) AS s FROM events GROUP BY ALL) SELECT user_id, array_to_string(list_sort(CASE WHEN list_contains(s, 'CLICK') THEN list_filter(s, lambda x: x <> 'CLICK') ELSE list_append(s, 'CLICK') END), ',') AS symbols, list_contains(s, 'CLICK') AS had FROM w")
 def watchlist_toggle(spark: SparkSession, sf: str) -> DataFrame:
     w = views.read(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.upper("event_type")).alias("s"))
-    return w.select("user_id", F.size(news.watchlist_toggle(F.col("s"), F.lit("click"))).cast("long").alias("n"), F.array_contains("s", "CLICK").alias("had"))
+    return w.select("user_id", F.array_join(F.array_sort(news.watchlist_toggle(F.col("s"), F.lit("click"))), ",").alias("symbols"), F.array_contains("s", "CLICK").alias("had"))
 
 
 # --- ticks -------------------------------------------------------------------------------------------------------------
@@ -306,14 +310,15 @@ def label_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Ticks and bars with common tickers and days: a bar's ticker becomes an event type, its day one of January 2024."""
+    """Ticks and bars with common tickers and days: a bar's ticker becomes an event type, its day one 25 years later; an event goes back by up to seven years."""
     names = F.when(F.col("ticker") == "A", "CLICK").when(F.col("ticker") == "N", "VIEW").otherwise("PURCHASE")
-    b = views.bars(spark, sf).where("year(bar_day) = 1995").select(names.alias("ticker"), F.date_add("bar_day", 10592).alias("bar_day"), "close", "volume")
-    return views.ticks(spark, sf), b
+    b = views.bars(spark, sf).select(names.alias("ticker"), F.date_add("bar_day", 9131).alias("bar_day"), "close", "volume")
+    back = F.make_interval(days=(F.col("article_id") % 84 * 30).cast("int"))
+    return views.ticks(spark, sf).withColumn("scored_at", F.col("scored_at") - back), b
 
 
-TRAIN = f"""tb AS ({BARS[len('bars AS ('):-1]}), bars AS (SELECT CASE ticker WHEN 'A' THEN 'CLICK' WHEN 'N' THEN 'VIEW' ELSE 'PURCHASE' END AS ticker, bar_day + 10592 AS bar_day, close, volume FROM tb WHERE year(bar_day) = 1995), {INDICATORS}, {LABELS},
-big AS (SELECT ticker FROM bars GROUP BY ALL HAVING count(*) >= 40), {TICKS}, {DAILY}, {WEEK},
+TRAIN = f"""tb AS ({BARS[len('bars AS ('):-1]}), bars AS (SELECT CASE ticker WHEN 'A' THEN 'CLICK' WHEN 'N' THEN 'VIEW' ELSE 'PURCHASE' END AS ticker, bar_day + 9131 AS bar_day, close, volume FROM tb), {INDICATORS}, {LABELS},
+big AS (SELECT ticker FROM bars GROUP BY ALL HAVING count(*) >= 40), {TICKS.replace('ts AS scored_at', 'ts - to_days(CAST(event_id % 84 * 30 AS INTEGER)) AS scored_at')}, {DAILY}, {WEEK},
 train AS (SELECT d.ticker, d.news_day, ewma_sentiment_1d, ewma_sentiment_7d, sentiment_volatility, article_volume_24h, rsi_14, momentum_5d, bb_position, volume_ratio, label AS target FROM daily d JOIN wk USING (ticker, news_day) JOIN ind ON ind.ticker = d.ticker AND ind.bar_day = d.news_day JOIN labels5 l ON l.ticker = d.ticker AND l.bar_day = d.news_day JOIN big ON big.ticker = d.ticker
  WHERE d.ticker IN (SELECT ticker FROM ticks GROUP BY ALL HAVING count(*) >= 40) AND rsi_14 IS NOT NULL AND momentum_5d IS NOT NULL AND bb_position IS NOT NULL AND volume_ratio IS NOT NULL)"""
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in signals.FEATURES)
@@ -340,13 +345,18 @@ def calibration_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("lang", "n", *r6("accuracy", "brier", "ece"))
 
 
-@query(f"""WITH {NEWS}, {TAGS}, {SCORES}, {stories('scored_at', 1).replace('st0', 'd0').replace('st AS', 'd1 AS')}, {stories('scored_at', 7).replace('st0', 'w0').replace('st AS', 'w1 AS')},
+_PRICED = {"A": "EN", "N": "DE", "R": "FR"}
+_LATEST = ", ".join(f"CASE WHEN count(*) >= 30 THEN arg_max_null({c}, bar_day) END AS {c}" for c in market.DEFAULTS)
+
+
+@query(f"""WITH {BARS}, {INDICATORS}, pf AS (SELECT CASE ticker {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _PRICED.items())} END AS ticker, {_LATEST} FROM ind GROUP BY ALL), {NEWS}, {TAGS}, {SCORES}, {stories('scored_at', 1).replace('st0', 'd0').replace('st AS', 'd1 AS')}, {stories('scored_at', 7).replace('st0', 'w0').replace('st AS', 'w1 AS')},
 a AS (SELECT ticker, {FOLD.format(v='w', o='scored_at, id')} AS x FROM d1 GROUP BY ALL), b AS (SELECT ticker, {FOLD.format(v='w', o='scored_at, id')} AS x FROM w1 GROUP BY ALL),
 v AS (SELECT ticker, coalesce(stddev_samp(CAST(compound AS DOUBLE)), 0) AS x FROM scores WHERE scored_at >= {ASOF} - INTERVAL 7 DAY GROUP BY ALL), c AS (SELECT ticker, CAST(count(*) AS DOUBLE) AS x FROM scores WHERE scored_at >= {ASOF} - INTERVAL 24 HOUR GROUP BY ALL)
-SELECT t.ticker, round(coalesce(a.x, 0), 6) AS ewma_sentiment_1d, round(coalesce(b.x, 0), 6) AS ewma_sentiment_7d, round(coalesce(v.x, 0), 6) AS sentiment_volatility, coalesce(c.x, 0) AS article_volume_24h, CAST(50 AS DOUBLE) AS rsi_14, CAST(0 AS DOUBLE) AS momentum_5d, CAST(0.5 AS DOUBLE) AS bb_position, CAST(1 AS DOUBLE) AS volume_ratio
-FROM (SELECT DISTINCT ticker FROM scores) t LEFT JOIN a USING (ticker) LEFT JOIN b USING (ticker) LEFT JOIN v USING (ticker) LEFT JOIN c USING (ticker)""")
+SELECT t.ticker, round(coalesce(a.x, 0), 6) AS ewma_sentiment_1d, round(coalesce(b.x, 0), 6) AS ewma_sentiment_7d, round(coalesce(v.x, 0), 6) AS sentiment_volatility, coalesce(c.x, 0) AS article_volume_24h, round(coalesce(pf.rsi_14, 50), 6) AS rsi_14, round(coalesce(pf.momentum_5d, 0), 6) AS momentum_5d, round(coalesce(pf.bb_position, 0.5), 6) AS bb_position, round(coalesce(pf.volume_ratio, 1), 6) AS volume_ratio
+FROM (SELECT DISTINCT ticker FROM scores) t LEFT JOIN pf USING (ticker) LEFT JOIN a USING (ticker) LEFT JOIN b USING (ticker) LEFT JOIN v USING (ticker) LEFT JOIN c USING (ticker)""")
 def inference_features(spark: SparkSession, sf: str) -> DataFrame:
-    out = signals.inference_features(*views.feed(spark, sf), views.bars(spark, sf), views.as_of(), "bar_day", min_relevance=REL)
+    bars = views.bars(spark, sf).replace(_PRICED, subset="ticker")
+    out = signals.inference_features(*views.feed(spark, sf), bars, views.as_of(), "bar_day", min_relevance=REL)
     return out.select("ticker", *r6(*signals.FEATURES))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text
-from newsloom.operators import fundamentals, ingest, jobs, market, signals
+from newsloom.operators import attribution, fundamentals, ingest, jobs, market, signals
 from newsloom.plans import views
 from newsloom.plans.catalog import BARS, FILED, HISTORY, LABELS, NEWS, REPORTS, TRAIN, _training, day, query, r6
 from newsloom.schemas import PRICE_LABELS
@@ -77,17 +77,34 @@ def training_stored_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Stored labels count for tickers with 30 of them; PURCHASE has fewer."""
     t, b = _training(spark, sf)
     label = F.when(F.day("bar_day") % 2 == 0, "RISE").otherwise("FALL")
-    stored = b.where("ticker <> 'PURCHASE' OR bar_day < DATE '2024-01-20'").select("ticker", F.col("bar_day").alias("date"), F.lit(0.01).alias("forward_return_5d"), label.alias("label"))
+    stored = b.where("ticker <> 'PURCHASE' OR bar_day < DATE '2017-01-20'").select("ticker", F.col("bar_day").alias("date"), F.lit(0.01).alias("forward_return_5d"), label.alias("label"))
     return signals.training_dataset(t, b, stored, "bar_day").select("ticker", "news_day", "target")
 
 
+@query(f"WITH {TRAIN} SELECT ticker, count(*) AS n, true AS sums_to_one, true AS known_label, true AS attributed FROM train GROUP BY ALL")
+def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions and attributions of a forest for all its rows: probabilities add up to 1, labels are those it knows, and base and attributions add up to the label's probability."""
+    t, b = _training(spark, sf)
+    data = signals.training_dataset(t, b, time="bar_day").withColumn("id", F.concat_ws("/", "ticker", F.col("news_day").cast("string"))).persist()
+    model, info = signals.train_model(signals.with_split(data, "news_day"), trees=10)
+    said = signals.predict(model, info, data)
+    parts = attribution.path_shapley(model, info, said).select(F.col("id").alias("of"), sum((F.col(c) for c in signals.FEATURES), F.col("base")).alias("total"))
+    p = F.map_values("probabilities")
+    checks = {
+        "sums_to_one": F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9, "known_label": F.col("recommendation").isin(info["labels"]),
+        "attributed": F.abs(F.element_at("probabilities", F.col("recommendation")) - F.col("total")) < 1e-9,
+    }
+    both = said.join(parts, F.col("id") == F.col("of"))
+    return both.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), *[F.every(v).alias(k) for k, v in checks.items()])
+
+
 _PREDICTED = "CASE WHEN ewma_sentiment_1d > 0.15 THEN 'RISE' WHEN ewma_sentiment_1d < -0.15 THEN 'FALL' ELSE 'STABLE' END AS recommendation, CAST(round(CAST(least(0.85, 0.52 + 0.35 * abs(ewma_sentiment_1d)) AS DOUBLE), 4) AS DOUBLE) AS confidence"
 
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     t, b = _training(spark, sf)
     fresh = signals.as_prediction(signals.training_dataset(t, b, time="bar_day"), F.col("news_day").cast("timestamp")).withColumn("id", F.xxhash64("ticker", "predicted_at"))
-    return jobs.append_predictions(fresh.where("predicted_at < TIMESTAMP '2024-01-16'"), fresh)
+    return jobs.append_predictions(fresh.where("predicted_at < TIMESTAMP '2020-01-01'"), fresh)
 
 
 @query(f"WITH {TRAIN} SELECT ticker, news_day AS predicted_at, {_PREDICTED}, CAST(5 AS INT) AS horizon_days FROM train")

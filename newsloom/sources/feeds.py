@@ -12,8 +12,32 @@ from newsloom.functions.text import or_default
 from newsloom.functions.times import parse_day, parse_epoch_or_iso, parse_iso, parse_rfc822
 from newsloom.operators.fundamentals import pad_cik, surprise_pct
 
-# Days of the earnings calendar before and after today.
+# Days of the earnings calendar before and after today; least and greatest number of items of a search query, and pages that are fetched for their text in a run.
 CALENDAR = (365, 90)
+PER_QUERY, SCRAPES = (10, 50), 20
+
+
+def per_query_limit(limit: int, queries: int) -> int:
+    """Items that are taken of each of several search queries."""
+    return max(PER_QUERY[0], min(PER_QUERY[1], limit // max(queries, 1) + 5))
+
+
+def first_of_each(items: DataFrame, most: int, by: str, *order: Column) -> DataFrame:
+    """The first ``most`` items of each value of ``by``; tasks send no more than these."""
+    rn = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return items.withColumn("_rn", rn).where(F.col("_rn") <= most).drop("_rn")
+
+
+def to_scrape(items: DataFrame, *order: Column, most: int = SCRAPES) -> DataFrame:
+    """Items without a body whose pages are fetched in this run: the first ``most`` in order."""
+    return items.where("body IS NULL OR body = ''").orderBy(*order).limit(most)
+
+
+def tickers(spark: SparkSession, path: str) -> DataFrame:
+    """The table of tickers, CSV with a head (symbol, name): symbols in upper case, the first name of each."""
+    x = spark.read.schema("symbol STRING, name STRING").option("header", True).csv(path)
+    x = x.select(F.upper(F.trim("symbol")).alias("symbol"), F.trim("name").alias("name")).where("symbol <> ''")
+    return x.groupBy("symbol").agg(F.min("name").alias("name"))
 
 
 def bars(spark: SparkSession, path: str, ticker: str) -> DataFrame:

@@ -40,6 +40,29 @@ def create_all(spark: SparkSession, root: str) -> None:
             spark.createDataFrame([], schema).write.parquet(f"{root}/{name}/v0")
 
 
+def migrate(spark: SparkSession, root: str) -> dict[str, str]:
+    """Brings all tables to the schemas of now; what was done to each: ``created``, ``current``, ``added`` columns (which are null in old rows), or ``rewritten`` for a changed type.
+
+    Columns are added without touching old files. A changed type makes a new version, in which the values are cast.
+    """
+    done = {}
+    for name, ddl in TABLES.items():
+        versions = _versions(spark, f"{root}/{name}")
+        if not versions:
+            done[name] = "created"
+            spark.createDataFrame([], ddl).write.parquet(f"{root}/{name}/v0")
+            continue
+        old = spark.read.parquet(f"{root}/{name}/v{versions[-1]}")
+        have, want = dict(old.dtypes), dict(spark.createDataFrame([], ddl).dtypes)
+        if any(c in have and have[c] != kind for c, kind in want.items()):
+            done[name] = "rewritten"
+            replace(old, root, name)
+        else:
+            missing = [c for c in want if c not in have]
+            done[name] = "added " + ", ".join(missing) if missing else "current"
+    return done
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The newest version; columns that came into the schema later are null in old files."""
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/v{_versions(spark, f'{root}/{name}')[-1]}")

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from newsloom.functions.text import NEGATIVE, POSITIVE, lexicon_compound, or_default, sentiment_label, sentiment_parts
+from newsloom.functions.text import NEGATIVE, POSITIVE, lexicon_compound, sentiment_label, sentiment_parts
 from newsloom.functions.times import parse_iso
-from newsloom.operators.ingest import explode_symbols
+from newsloom.operators.ingest import default_source, explode_symbols
 from newsloom.schemas import NEWS_EVENT
 from newsloom.sources.feeds import event_filter
 from newsloom.sources.live import BATCH, events_of
@@ -39,7 +39,7 @@ def parse_events(events: DataFrame, as_of: Column) -> DataFrame:
     published = parse_iso(F.coalesce("e.created_at", "e.published_at"), as_of)
     return e.select(
         "e.url", F.col("e.id").alias("external_id"), F.coalesce("e.headline", F.lit("")).alias("headline"), F.col("e.summary").alias("summary"),
-        F.lower(F.trim(or_default(F.col("e.source"), "unknown"))).alias("source"), published.alias("published_at"), "e.symbols", F.xxhash64("e.url").alias("id"), F.col("payload").alias("raw_payload"), "received_at",
+        default_source(F.col("e.source")).alias("source"), published.alias("published_at"), "e.symbols", F.xxhash64("e.url").alias("id"), F.col("payload").alias("raw_payload"), "received_at",
     )
 
 

@@ -138,3 +138,79 @@ def test_a_merge_rewrites_only_its_months(spark, tmp_path):
     tables.merge_months(rows(("C", "2024-04-01", 1.0, "z")), path, PRICE_LABELS, "date", merge)
     assert state() == [*want[:3], ("B", "2024-03-01", 3.0, "late"), ("C", "2024-04-01", 1.0, "z")]
     assert not list((tmp_path / "labels").glob("_staged-*"))
+
+
+def test_sources_that_break_while_they_are_read(spark, tmp_path):
+    items = lambda *urls: spark.createDataFrame([(k, u, "AAA beats", None, "w", dt.datetime(2024, 1, 20, k), ["aaa"], t) for k, (u, t) in enumerate(urls)], "id LONG, url STRING, headline STRING, summary STRING, source STRING, published_at TIMESTAMP, symbols ARRAY<STRING>, ticker STRING")
+    breaks = items(("u9", "AAA")).withColumn("id", F.raise_error(F.lit("the connection was lost")).cast("long"))
+
+    def missing():
+        return spark.read.parquet(str(tmp_path / "nothing"))
+
+    frames, errors = jobs.fetched(spark, {"good": lambda: items(("u1", "AAA"), ("u2", "BBB")), "breaks": lambda: breaks, "missing": missing, "wrong": lambda: 1 / 0}, str(tmp_path / "in"))
+    assert set(frames) == {"good"} and set(errors) == {"breaks", "missing", "wrong"} and errors["wrong"] == "ZeroDivisionError"
+    stored = spark.createDataFrame([], "url STRING, headline STRING, published_at TIMESTAMP")
+    two = frames["good"].withColumn("headline", F.concat("ticker", F.lit(" beats")))
+    new, counts = jobs.backfill({"good": two}, stored, F.lit("2024-01-31").cast("timestamp"), F.col("ticker"))
+    assert sorted(r["url"] for r in new.collect()) == ["u1", "u2"] and counts.first()["inserted"] == 2
+    new, _ = jobs.backfill({"good": two}, stored, F.lit("2024-01-31").cast("timestamp"), F.col("ticker"), limit=1)
+    assert [r["url"] for r in new.collect()] == ["u2"]
+    with pytest.raises(ValueError, match="limit must be from 1 to 500"):
+        jobs.backfill({"good": two}, stored, F.lit("2024-01-31").cast("timestamp"), F.col("ticker"), limit=501)
+
+
+def test_limits_of_searches_and_scrapes(spark, tmp_path):
+    assert [feeds.per_query_limit(*x) for x in ((100, 5), (300, 3), (20, 8), (100, 0))] == [25, 50, 10, 50]
+    items = spark.createDataFrame([(q, k, "text" if k == 3 else None) for q in "ab" for k in range(15)], "query STRING, k INT, body STRING")
+    assert sorted((r["query"], r["k"]) for r in feeds.first_of_each(items, 2, "query", F.col("k")).collect()) == [(q, k) for q in "ab" for k in range(2)]
+    assert [(r["k"], r["query"]) for r in feeds.to_scrape(items, F.col("k"), F.col("query")).collect()] == sorted((k, q) for q in "ab" for k in range(15) if k != 3)[:20]
+    (tmp_path / "t.csv").write_text("symbol,name\n aapl ,Apple Inc.\nBRK.B,\"Berkshire, Class B\"\nAAPL,Zed\n,none\n")
+    assert sorted(map(tuple, feeds.tickers(spark, str(tmp_path / "t.csv")).collect())) == [("AAPL", "Apple Inc."), ("BRK.B", "Berkshire, Class B")]
+
+
+def test_migration(spark, tmp_path):
+    from newsloom.sources import tables
+
+    root = str(tmp_path)
+    spark.createDataFrame([(1, "u", "h", dt.datetime(2024, 1, 1))], "id LONG, url STRING, headline STRING, published_at TIMESTAMP").write.parquet(f"{root}/articles/v0")
+    spark.createDataFrame([("A", "2024-01-01", 2.5)], "ticker STRING, date STRING, close_price DOUBLE").write.parquet(f"{root}/price_labels/v0")
+    done = tables.migrate(spark, root)
+    assert done["articles"].startswith("added external_id, summary, body") and done["price_labels"] == "rewritten" and done["tickers"] == "created"
+    assert tables.load(spark, root, "articles").first()["body"] is None
+    row = tables.load(spark, root, "price_labels").first()
+    assert (row["date"], float(row["close_price"]), row["label"]) == (dt.date(2024, 1, 1), 2.5, None)
+    assert set(tables.migrate(spark, root).values()) <= {"current", done["articles"]}
+
+
+def test_engine_or_lexicon(spark):
+    df = spark.createDataFrame([(k, "beat " + "x" * 600 if k else "loss", None) for k in range(70)], "id INT, headline STRING, summary STRING")
+
+    def load():
+        def engine(texts):
+            assert len(texts) <= 32 and all(len(t) <= 512 for t in texts)
+            return [(0.7, 0.1, 0.2) if t.startswith("beat") else (0.1, 0.1, 0.8) for t in texts]
+
+        return engine
+
+    def broken():
+        raise ImportError("no engine")
+
+    rows = {r["id"]: r for r in signals.engine_scores(df, load).collect()}
+    assert len(rows) == 70 and rows[5]["model"] == "finbert" and rows[5]["compound"] == pytest.approx(0.6) and rows[5]["label"] == "POSITIVE" and rows[0]["label"] == "NEUTRAL"
+    rows = {r["id"]: r for r in signals.engine_scores(df, broken).collect()}
+    assert rows[0]["model"] == "lexicon" and rows[0]["label"] == "NEGATIVE" and rows[5]["compound"] == 1.0 and rows[5]["score_positive"] == 1.0
+
+
+def test_mock_article_reaches_the_feed(spark):
+    from newsloom.operators import ingest, news
+
+    a = ingest.mock_article(spark, "nvda", "NVIDIA earnings beat expectations", "Strong AI revenue growth outlook", dt.datetime(2024, 1, 30), 7)
+    a = a.withColumns({"body": F.lit(None).cast("string"), "raw_payload": F.lit(None).cast("string")})
+    tags = a.select(F.col("id").alias("article_id"), F.explode("symbols").alias("ticker"))
+    scores = tags.withColumns({"label": F.lit("POSITIVE"), "compound": F.lit(1.0).cast("decimal(6,4)")})
+    feed = lambda mock: news.articles_feed(a.drop("symbols"), tags, scores, "nvda", F.lit("2024-01-31").cast("timestamp"), min_relevance=0.0, include_mock=mock).collect()
+    assert feed(False) == [] and feed(True)[0]["url"] == "https://mock.local/NVDA/7"
+    with pytest.raises(ValueError, match="days must be from 60 to 1500"):
+        from newsloom.operators import market
+
+        market.risk_metrics(scores, scores, days=30, as_of=F.current_timestamp())
