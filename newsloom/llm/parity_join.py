@@ -45,7 +45,7 @@ SPREAD = 4
 #: The most frequent shingles whose segments come last, at most so many, and how often one must be in a task's texts to be counted.
 COMMON, OFTEN = 100_000, 8
 #: Keys that a task gathers before it sends them, nodes of a key that it sends to the key's shard, keys of a shard, nodes of a block, nodes of a small bucket, and rows of a group of small buckets.
-GATHERED, LOCAL, SHARD, BLOCK, SMALL, GROUP = 2_000_000, 32, 3_000_000, 512, 64, 20_000
+GATHERED, LOCAL, SHARD, BLOCK, SMALL, GROUP = 500_000, 32, 3_000_000, 512, 64, 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _BITS = (256, 8192)
@@ -238,7 +238,7 @@ def _summaries(docs: DataFrame, keys: Keys) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([d if k else None for d, k in zip(digests, n, strict=True)], pa.binary()), pa.array(n), *(pa.nulls(len(ids), pa.int64()) for _ in range(2))], schema=schema)
             held.append(tokens)
             size += len(tokens)
-            if size > GATHERED:
+            if size > 2 * GATHERED:
                 yield counts()
                 held, size = [], 0
         if size:
