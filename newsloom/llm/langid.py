@@ -6,11 +6,12 @@ mean direction of its training texts. A text gets the language whose prototype h
 
 Text is lower-cased; everything but letters is a space, and spaces count once. Training adds, in each partition, the unit vectors
 of each language's texts, and Spark adds these over partitions and dimensions: what reaches the driver is one vector a
-language (at most :data:`MAX_LANGUAGES`), however large the corpus is. All texts are used whole, in training and prediction.
+language, however large the corpus is, and no more than :data:`BLOCK` of them at once. More languages than that stay a table; texts are then compared with a block of them
+after another, and the best of all blocks counts. All texts are used whole, in training and prediction.
 
 * Null text, or one without a letter: ``und``, score 0. Texts with a null language are not trained on.
 * Nothing to train on: every text is ``und`` with score 0.
-* Ties go to the language that is first in alphabetical order. Repeated rows are judged alike. An empty table gives an empty table.
+* Ties, cosines that agree to five places, go to the language that is first in alphabetical order. Repeated rows are judged alike. An empty table gives an empty table.
 * Only id, text and language columns are read; others don't matter, and no prediction sees the language or the id.
 """
 
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch_map, mixed
+from newsloom.llm.common import batch_map, mixed, stored
 
 DIMENSIONS = 1024
-MAX_LANGUAGES = 1000
+BLOCK = 1000
 UNDETERMINED = "und"
 #: Trigram vectors that a Python worker remembers.
 REMEMBERED = 60_000
@@ -93,8 +94,8 @@ def text_vector(text: str | None) -> np.ndarray | None:
     return total / size if size else total
 
 
-def train_prototypes(docs: DataFrame, text: str = "text", language: str = "lang") -> dict[str, list[float]]:
-    """The prototype, of length 1, of each language in ``docs``."""
+def train_prototypes(docs: DataFrame, text: str = "text", language: str = "lang") -> dict[str, list[float]] | DataFrame:
+    """The prototype, of length 1, of each language in ``docs``: a dict, or for more than :data:`BLOCK` languages a table (lang, v, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(DIMENSIONS))
@@ -109,18 +110,43 @@ def train_prototypes(docs: DataFrame, text: str = "text", language: str = "lang"
 
     trained = docs.where(F.col(language).isNotNull()).select(F.col(text).alias("text"), F.col(language).alias("lang"))
     parts = trained.mapInArrow(run, "lang string, dim long, x long")
-    rows = parts.groupBy("lang", "dim").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sums = parts.groupBy("lang", "dim").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("v"))
+    sums = stored(sums)
+    languages = sums.count()
+    if languages > BLOCK:
+        return stored(sums.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(2 * languages // BLOCK + 1)).cast("int")))
+    return _prototypes(sums)
+
+
+def _prototypes(sums: DataFrame) -> dict[str, list[float]]:
+    """The sums of some languages at length 1, in alphabetical order."""
     out = {}
-    for r in sorted(rows, key=lambda r: r["lang"]):
-        v = np.array([x["x"] for x in r["v"]], float)
+    for r in sorted(sums.collect(), key=lambda r: r["lang"]):
+        v = np.array(r["v"], float)
         out[r["lang"]] = (v / (np.linalg.norm(v) or 1)).tolist()
     return out
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def _by_blocks(docs: DataFrame, prototypes: DataFrame, id_column: str, text: str) -> DataFrame:
+    """:func:`predict_language` with a table of prototypes: each block's best languages, and of these the best for each row."""
+    rows = stored(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    best = None
+    for b in sorted(r["block"] for r in prototypes.select("block").distinct().collect()):
+        found = _predicted(rows, _prototypes(prototypes.where(F.col("block") == b)), "row", "text", least=-2.0)
+        best = stored(found if best is None else best.union(found).groupBy("doc_id").agg(F.min(F.struct((-F.round("score", 5)).alias("s"), "lang_pred", "score")).alias("b")).select("doc_id", "b.lang_pred", "b.score"))
+    shown = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score")
+    return rows.select("row", F.col("doc_id").alias("of")).join(best, F.col("row") == F.col("doc_id")).select(F.col("of").alias("doc_id"), "lang_pred", shown)
+
+
+def predict_language(docs: DataFrame, prototypes: dict[str, list[float]] | DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the cosine, 0 if negative) of each row."""
+    if isinstance(prototypes, DataFrame):
+        return _by_blocks(docs, prototypes, id_column, text)
+    return _predicted(docs, prototypes, id_column, text)
+
+
+def _predicted(docs: DataFrame, prototypes: dict[str, list[float]], id_column: str, text: str, least: float = 0.0) -> DataFrame:
+    """The best language and its cosine, which is shown as ``least`` if it is below that."""
     names = list(prototypes)
     shared = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[n] for n in names], np.float32).reshape(-1, DIMENSIONS))
 
@@ -133,9 +159,9 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], id_col
                 scores.append(0.0)
                 continue
             cosines = shared.value @ v
-            k = int(cosines.argmax())
+            k = int(np.round(cosines, 5).argmax())
             found.append(names[k])
-            scores.append(min(1.0, max(0.0, float(cosines[k]))))
+            scores.append(min(1.0, max(least, float(cosines[k]))))
         return {"doc_id": batch.column("doc_id"), "lang_pred": found, "score": scores}
 
     return batch_map(docs, [F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")], run, "doc_id long, lang_pred string, score double")
