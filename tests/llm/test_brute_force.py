@@ -307,3 +307,36 @@ def overlaps_plainly(words, item):
             if seen and any(q - p + 1 >= least and q - p + 1 >= decontam.MIN_SHARE * (part[q] - part[p] + 1) - 1e-9 for p in range(len(part)) for q in range(p, len(part))):
                 return True
     return False
+
+
+def test_language_profiles_in_plain_python(spark, monkeypatch):
+    """Predictions and scores from trigrams bound and bundled one by one; also where languages are compared block by block, and with ties."""
+    from newsloom.llm import langid
+
+    texts = [("the cat sat on the mat", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("THE end, of it!", "en"), ("der Hund und die Katze", "xx"), ("日本語 の テキスト", "ja"), (None, "en"), ("42 -- 7", "en"), ("ein kleines Haus", None), ("the thing", None), ("", None)]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate(texts)] + [(1, "the dog", None), (1, "la maison", None)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+
+    def bundle(t):
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split()) + " "
+        total = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            total += np.roll(langid.letter_vector(ord(a)).astype(float), 2) * np.roll(langid.letter_vector(ord(b)), 1) * langid.letter_vector(ord(c))
+        return total / np.linalg.norm(total) if s.strip() else None
+
+    sums = {}
+    for _, t, lang in rows:
+        if lang and (v := bundle(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    known = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    want = []
+    for i, t, _ in rows:
+        v = bundle(t)
+        best = max(known, key=lambda k: round(float(known[k] @ v), 5)) if v is not None else "und"  # the first of equal ones
+        want.append((i, best, max(0.0, float(known[best] @ v)) if v is not None else 0.0))
+    for block in (1000, 2):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = sorted(map(tuple, langid.predict_language(docs, langid.train_prototypes(docs)).collect()))
+        assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in sorted(want)], abs=1e-4)
+    assert {r[1] for r in want} >= {"de", "und", "en"} and "xx" not in {r[1] for r in want}
