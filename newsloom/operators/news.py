@@ -37,7 +37,10 @@ def first_of_story(df: DataFrame, *order: Column, partition: tuple[str, ...] = (
     return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_key")
 
 
-def with_relevance(df: DataFrame, tickers: DataFrame) -> DataFrame:
+def with_relevance(df: DataFrame, tickers: DataFrame, ticker: str | None = None) -> DataFrame:
+    """``df`` with each article's symbols and its relevance; of a named ticker's articles only, so that no other's tags are grouped."""
+    if ticker is not None:
+        tickers = tickers.join(tickers.where(F.col("ticker") == ticker.upper()).select("article_id"), "article_id", "left_semi")
     joined = df.join(symbol_map(tickers), df["id"] == F.col("article_id"), "left").drop("article_id")
     joined = joined.withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
     return joined.withColumn("relevance", relevance(F.col("ticker"), F.col("headline"), F.col("summary"), F.col("symbols")))
@@ -63,7 +66,7 @@ def articles_feed(articles: DataFrame, tickers: DataFrame, scores: DataFrame, ti
     joined = rows.join(s, (rows["id"] == s["article_id"]) & (rows["ticker"] == s["score_ticker"]), "left").drop("article_id", "score_ticker")
     newest = [F.col("published_at").desc(), F.col("id")]
     page = joined.orderBy(*newest).offset(offset).limit(window or max(limit * 4, 400))
-    found = with_relevance(first_of_story(page, *newest), tickers).where(F.col("relevance") >= min_relevance)
+    found = with_relevance(first_of_story(page, *newest), tickers, ticker).where(F.col("relevance") >= min_relevance)
     flag = lambda k: or_default(F.get_json_object("raw_payload", f"$.{k}"), F.lit(None).cast("string"))
     out = found.select("id", "url", "headline", "summary", "body", "source", "published_at", "symbols", F.round("relevance", 4).alias("relevance"), "label", F.round("compound", 4).alias("compound"), (flag("near_earnings") == "true").alias("near_earnings"), flag("earnings_date").alias("earnings_date"))
     return out.orderBy(*newest).limit(limit)
@@ -75,7 +78,7 @@ def scored_stories(articles: DataFrame, tickers: DataFrame, scores: DataFrame, t
     s = scores if ticker is None else scores.where(F.col("ticker") == ticker.upper())
     s = s.select("article_id", "ticker", F.col("compound").cast("double").alias("compound"), "label", "scored_at")
     rows = without_mock(s.join(articles, s["article_id"] == articles["id"]).drop("article_id"), include_mock).where(F.col(time) >= since)
-    found = with_relevance(first_of_story(rows, F.col(time), F.col("id")), tickers).where(F.col("relevance") >= min_relevance)
+    found = with_relevance(first_of_story(rows, F.col(time), F.col("id")), tickers, ticker).where(F.col("relevance") >= min_relevance)
     return found.withColumn("weighted", F.col("compound") * source_weight(F.col("source")))
 
 

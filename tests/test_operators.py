@@ -335,3 +335,13 @@ def test_path_shapley_is_the_sum_over_sets(spark, boosted):
         assert got[r["id"]]["base"] == pytest.approx(known[()], abs=1e-9)
         if not boosted:
             assert got[r["id"]]["base"] + sum(got[r["id"]][c] for c in signals.FEATURES) == pytest.approx(r["probabilities"][r["recommendation"]], abs=1e-9)
+
+
+def test_stories_and_tags_are_cut_before_they_are_shuffled(spark):
+    from newsloom.plans import views
+
+    n, t, s = views.feed(spark, "/root/testdata/sf0.001")
+    plan = ingest.keepers(n.withColumn("ingested_at", now()))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")  # each task sends one row of a story
+    plan = news.articles_feed(n, t, s, "de", now())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
