@@ -124,8 +124,8 @@ def search_queries(ticker: Column, company: Column, sources: Sequence[str]) -> C
 
 
 def query_url(base: str, query: Column) -> Column:
-    """``base`` with the query quoted for an address."""
-    return F.concat(F.lit(base), F.url_encode(query))
+    """``base`` with the query quoted for an address: letters, digits and ``_.-~`` stay, a space is a plus."""
+    return F.concat(F.lit(base), F.replace(F.replace(F.url_encode(query), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")))
 
 
 def fixed(x: Column, places: int = 2) -> Column:

@@ -198,10 +198,10 @@ def source_diversity_cap(spark: SparkSession, sf: str) -> DataFrame:
     return news.diversity_cap(news._tagged(n, t, None), 50, ("ticker",)).select("ticker", "id", "source")
 
 
-@query(f"WITH {NEWS}, u AS (SELECT id, headline, story, published_at, 0 AS priority, lang AS ticker FROM news WHERE id % 2 = 0 UNION ALL SELECT id, headline, story, published_at, 1, lang FROM news WHERE id % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, story ORDER BY priority, published_at DESC, id) AS rn FROM u) SELECT ticker, id, priority FROM r WHERE rn = 1")
+@query(f"WITH {NEWS}, u AS (SELECT id, headline, story, published_at, 0 AS priority, lang AS ticker FROM news WHERE id % 2 = 0 UNION ALL SELECT id, headline, story, published_at, 1, lang FROM news), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, story ORDER BY priority, published_at DESC, id) AS rn FROM u) SELECT ticker, id, priority FROM r WHERE rn = 1")
 def multi_source_union(spark: SparkSession, sf: str) -> DataFrame:
     n = views.news(spark, sf).withColumn("ticker", F.col("lang"))
-    return news.union_sources(n.where("id % 2 = 0"), n.where("id % 3 <> 0").drop("summary")).select("ticker", "id", "priority")
+    return news.union_sources(n.where("id % 2 = 0"), n.drop("summary")).select("ticker", "id", "priority")
 
 
 @query(f"WITH {NEWS}, {TAGS}, p AS (SELECT id, headline FROM news JOIN tags ON article_id = id WHERE ticker = 'EN' ORDER BY published_at DESC, id LIMIT 20) SELECT id, headline FROM p WHERE id > 300")
@@ -360,10 +360,10 @@ def inference_features(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("ticker", *r6(*signals.FEATURES))
 
 
-@query(f"WITH {BARS}, {NEWS}, {TAGS}, {SCORES}, {stories('published_at', 30)}, b2 AS (SELECT CASE ticker WHEN 'A' THEN 'EN' WHEN 'N' THEN 'DE' ELSE 'XX' END AS ticker, bar_day + 10592 AS bar_day, close FROM bars WHERE year(bar_day) >= 1995), tr AS (SELECT ticker, CAST(published_at AS DATE) AS bar_day, avg(w) AS mc FROM st GROUP BY ALL), f AS (SELECT ticker, min(bar_day) AS d FROM tr GROUP BY ALL) SELECT b2.ticker, b2.bar_day, round(close, 2) AS price, round(mc, 3) AS sentiment FROM b2 LEFT JOIN f USING (ticker) LEFT JOIN tr ON tr.ticker = b2.ticker AND tr.bar_day = b2.bar_day WHERE d IS NULL OR b2.bar_day >= d")
+@query(f"WITH {BARS}, {NEWS}, {TAGS}, {SCORES}, {stories('published_at', 30)}, b2 AS (SELECT CASE ticker WHEN 'A' THEN 'EN' WHEN 'N' THEN 'DE' ELSE 'XX' END AS ticker, bar_day + 10592 AS bar_day, close FROM bars), tr AS (SELECT ticker, CAST(published_at AS DATE) AS bar_day, avg(w) AS mc FROM st GROUP BY ALL), f AS (SELECT ticker, min(bar_day) AS d FROM tr GROUP BY ALL) SELECT b2.ticker, b2.bar_day, round(close, 2) AS price, round(mc, 3) AS sentiment FROM b2 LEFT JOIN f USING (ticker) LEFT JOIN tr ON tr.ticker = b2.ticker AND tr.bar_day = b2.bar_day WHERE d IS NULL OR b2.bar_day >= d")
 def price_sentiment_overlay(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(F.col("ticker") == "A", "EN").when(F.col("ticker") == "N", "DE").otherwise("XX")
-    b = views.bars(spark, sf).where("year(bar_day) >= 1995").select(name.alias("ticker"), F.date_add("bar_day", 10592).alias("bar_day"), "close")
+    b = views.bars(spark, sf).select(name.alias("ticker"), F.date_add("bar_day", 10592).alias("bar_day"), "close")
     return market.overlay(b, news.sentiment_trend(*views.feed(spark, sf), views.as_of(), hours=720, min_relevance=REL))
 
 
@@ -419,16 +419,16 @@ def url_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.url_anti_join(p, p.where("page_id % 3 = 0")).select("page_id", "url")
 
 
-@query(f"WITH {NEWS} SELECT id FROM news WHERE id % 2 = 1 AND story NOT IN (SELECT story FROM news WHERE id % 2 = 0 AND published_at >= {ASOF} - INTERVAL 20 DAY)")
+@query(f"WITH {NEWS} SELECT id FROM news WHERE story NOT IN (SELECT story FROM news WHERE id % 2 = 0 AND published_at >= {ASOF} - INTERVAL 20 DAY)")
 def signature_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     n = views.news(spark, sf)
-    return ingest.signature_anti_join(n.where("id % 2 = 1"), n.where("id % 2 = 0"), views.as_of(), 20).select("id")
+    return ingest.signature_anti_join(n, n.where("id % 2 = 0"), views.as_of(), 20).select("id")
 
 
-@query(f"WITH {NEWS}, b AS (SELECT * FROM news WHERE id % 2 = 1 AND headline <> '' AND contains(lower(headline || ' ' || summary), 'th')), r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, id) AS rn FROM b) SELECT id FROM r WHERE rn = 1 AND story NOT IN (SELECT story FROM news WHERE id % 2 = 0)")
+@query(f"WITH {NEWS}, b AS (SELECT * FROM news WHERE headline <> '' AND contains(lower(headline || ' ' || summary), 'th')), r AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC, id) AS rn FROM b) SELECT id FROM r WHERE rn = 1 AND story NOT IN (SELECT story FROM news WHERE id % 2 = 0)")
 def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     n = views.news(spark, sf)
-    return ingest.insert_new(n.where("id % 2 = 1"), n.where("id % 2 = 0"), views.as_of(), F.lit("TH")).select("id")
+    return ingest.insert_new(n, n.where("id % 2 = 0"), views.as_of(), F.lit("TH")).select("id")
 
 
 _KEEP = f"{NEWS}, {TAGS}, {SCORES}, kp AS (SELECT id, row_number() OVER (PARTITION BY story ORDER BY 3 * length(coalesce(body, '')) + length(summary) DESC, published_at, id) AS rn FROM news), k AS (SELECT id FROM kp WHERE rn = 1)"

@@ -159,9 +159,9 @@ def _filings(spark: SparkSession, sf: str) -> DataFrame:
     return fundamentals.filing_articles(fundamentals.unnest_filings(views.filing_history(spark, sf)), F.lit("1900-01-01").cast("timestamp"), None)
 
 
-@query(f"WITH {HISTORY} SELECT ticker, accession_number, d AS filed_at FROM f WHERE ticker = 'C7' AND form = '10-K' ORDER BY d DESC, accession_number LIMIT 30")
+@query(f"WITH {HISTORY} SELECT ticker, accession_number, d AS filed_at FROM f WHERE ticker = 'C7' ORDER BY d DESC, accession_number LIMIT 30")
 def latest_filings(spark: SparkSession, sf: str) -> DataFrame:
-    return fundamentals.latest_filings(_filings(spark, sf), "c7", "10-K").select("ticker", "accession_number", day("filed_at"))
+    return fundamentals.latest_filings(_filings(spark, sf), "c7").select("ticker", "accession_number", day("filed_at"))
 
 
 @query(f"WITH {HISTORY} SELECT accession_number, {FILED} AS filing_url, CASE WHEN d < DATE '1995-01-01' THEN o_orderkey ELSE o_orderkey + 1000000000 END AS article_id FROM f")

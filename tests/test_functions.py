@@ -171,3 +171,10 @@ def test_body_text_on_the_jvm_and_by_the_parser_agree(spark):
     wrong = [(pages[r["k"]], r["body"], r["simple"]) for r in got if r["body"] != html.main_text(pages[r["k"]])]
     assert not wrong, wrong[:3]
     assert 150 < sum(r["simple"] for r in got) < 700
+
+
+def test_query_url_quotes_like_a_form(spark):
+    from urllib.parse import quote_plus
+
+    for q in ("a b & c*d~e_f.g-h", "é/ü?=%+", ""):
+        assert one(spark, text.query_url("https://s.example/?q=", F.lit(q))) == "https://s.example/?q=" + quote_plus(q)
