@@ -98,7 +98,7 @@ def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), *[F.every(v).alias(k) for k, v in checks.items()])
 
 
-_PREDICTED = "CASE WHEN ewma_sentiment_1d > 0.15 THEN 'RISE' WHEN ewma_sentiment_1d < -0.15 THEN 'FALL' ELSE 'STABLE' END AS recommendation, CAST(round(CAST(least(0.85, 0.52 + 0.35 * abs(ewma_sentiment_1d)) AS DOUBLE), 4) AS DOUBLE) AS confidence"
+_PREDICTED = "CASE WHEN ewma_sentiment_1d > 0.15 THEN 'RISE' WHEN ewma_sentiment_1d < -0.15 THEN 'FALL' ELSE 'STABLE' END AS recommendation, CAST(CAST(CAST(least(CAST(0.85 AS DOUBLE), CAST(0.52 AS DOUBLE) + CAST(0.35 AS DOUBLE) * abs(ewma_sentiment_1d)) AS VARCHAR) AS DECIMAL(5,4)) AS DOUBLE) AS confidence"
 
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
