@@ -199,9 +199,10 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 def _compared(pairs: DataFrame, docs: DataFrame, judge: Callable[[tuple, tuple], tuple | None], schema: str) -> DataFrame:
     """What ``judge`` gives for the shingles of both texts of each pair (a, b), where that isn't None; ``docs`` has id and packed text. b may be hot."""
     keys = Keys.drawn()
-    left = pairs.join(docs.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
+    # texts are shuffled at every size: a plan that broadcasts some of them on small tables says nothing about large ones
+    left = pairs.hint("merge").join(docs.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
     wanted = stored(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")))
-    right = wanted.drop("size").join(docs.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
+    right = wanted.drop("size").hint("merge").join(docs.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
     both = join_by_hot_key(left, right, ["b"], ["a"], sizes=wanted)
     names = T._parse_datatype_string(schema).names
 
@@ -289,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ones = signed.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("m"), F.count(F.lit(1)).alias("copies"))
     ones = stored(ones.select("copy", "copies", "m.*"))
     placed = _placed(ones)
-    texts = packed_texts(docs.where(usable), id_column, text).join(placed.select("id").distinct(), "id", "left_semi")
+    texts = packed_texts(docs.where(usable), id_column, text).join(placed.select("id").distinct().hint("merge"), "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id"]))
     best = F.max(F.struct("center_weight", (-F.col("center")).alias("k"))).alias("best")
     pairs = placed.where("id <> center").groupBy("id").agg(best).select(F.col("id").alias("a"), (-F.col("best.k")).alias("b"))
