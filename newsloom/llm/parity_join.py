@@ -265,7 +265,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         shared = len(np.intersect1d(x[0], y[0], assume_unique=True))
         return () if 100 * shared >= PERCENT * (len(x[0]) + len(y[0]) - shared) else None
 
-    return _compared(pairs, texts, judge, "a binary, b binary")
+    # texts are large and pairs few, so texts are shuffled once, at every size, and only those of the pairs go on
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    some = stored(texts.join(ids.hint("merge"), "id", "left_semi"))
+    return _compared(pairs, some, judge, "a binary, b binary")
 
 
 def _in_order(x: Column, y: Column) -> list[Column]:
@@ -405,7 +408,7 @@ def shingle_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     rows_of = _distinct_buckets(met.where("key IS NOT NULL").select("key", "node"), nodes)
     tried = stored(_with_centers(rows_of).union(twos).distinct())
     wanted = rows_of.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
-    texts = _packed(whole).join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
+    texts = _packed(whole).join(wanted.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi")
     texts = stored(texts.dropDuplicates(["id"]))
     sketches = stored(_sketches(texts, keys))
     links = _links(_plausible(tried, sketches), texts)
