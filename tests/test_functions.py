@@ -178,3 +178,18 @@ def test_query_url_quotes_like_a_form(spark):
 
     for q in ("a b & c*d~e_f.g-h", "é/ü?=%+", ""):
         assert one(spark, text.query_url("https://s.example/?q=", F.lit(q))) == "https://s.example/?q=" + quote_plus(q)
+
+
+def test_body_text_leaves_cut_entities_as_its_sql_does(spark, tmp_path):
+    import duckdb
+    from conftest import same_rows
+
+    from newsloom.plans import catalog
+
+    long = "word and more, " * 12
+    pages = [f"<h1>t&amp;&amp</h1><p>{long}</p>", f"<main>{long} a & b &lt</main>", f"<div class='content-body'>{long}&quot;&copy &am</div>", f"<article>{long}&amp;amp;</article>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id LONG, html STRING").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(catalog.QUERIES["html_body"](spark, str(tmp_path)), con, catalog.SQL["html_body"])
+    assert one(spark, html.body_text(F.lit(pages[0]))) == html.main_text(pages[0]) == f"t&& {long}".strip()
