@@ -1,8 +1,9 @@
 """A live feed as a Spark streaming source: a log of events in a shared folder, read from an offset and a bounded number at a time.
 
 A publication is a folder of Parquet files below the log, one or more for each symbol, and counts once Spark has finished it. An offset is a file of the log and a row in it;
-files are in the order of their paths, so later publications come later. A micro-batch ends after ``maxEvents`` events at most, and each task of it reads rows of one
-symbol's file. Spark keeps the offsets in the checkpoint; a query without one starts at the ``earliest`` or the ``latest`` event.
+files are in the order of their paths, so later publications come later. The log is cut into numbered batches of ``maxEvents`` events at most, and a micro-batch takes
+``maxBatches`` of them (one, if not told otherwise), so what a micro-batch costs besides its events can be shared by many. Each task reads rows of one symbol's file, which
+holds a bounded number. Spark keeps the offsets in the checkpoint; a query without one starts at the ``earliest`` or the ``latest`` event.
 
 Files are read with pyarrow, so the path is one that pyarrow's file systems know (local, hdfs, s3, gs).
 """
@@ -10,9 +11,10 @@ Files are read with pyarrow, so the path is one that pyarrow's file systems know
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -27,8 +29,10 @@ from newsloom.sources.tables import delete, folders
 
 # Events of a batch, and events that the log keeps at least.
 BATCH, RETAINED = 100, 100_000
+#: Events of a file at most: what a task reads, and what it may have to pass over.
+FILE = 50_000
 EVENT = "payload STRING, symbol STRING, received_at TIMESTAMP"
-_ARROW = pa.schema([("payload", pa.string()), ("symbol", pa.string()), ("received_at", pa.timestamp("us", tz="UTC"))])
+_ARROW = pa.schema([("payload", pa.string()), ("symbol", pa.string()), ("received_at", pa.timestamp("us", tz="UTC")), ("batch", pa.int64())])
 
 
 def events_of(payload: Column) -> Column:
@@ -43,7 +47,7 @@ def publish(frames: DataFrame, path: str, received_at: Column) -> None:
     first = F.upper(or_default(F.get("e.symbols", F.lit(0)), "unknown"))
     spark = frames.sparkSession
     number = max([int(n.partition("=")[2]) for n in folders(spark, path) if n.startswith("publication=")], default=-1) + 1
-    events.select("payload", "received_at", first.alias("symbol")).write.partitionBy("symbol").parquet(f"{path}/publication={number:012d}")
+    events.select("payload", "received_at", first.alias("symbol")).write.option("maxRecordsPerFile", FILE).partitionBy("symbol").parquet(f"{path}/publication={number:012d}")
 
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
@@ -65,18 +69,21 @@ def trim(spark: SparkSession, path: str, keep: int = RETAINED) -> int:
 
 @dataclass
 class Rows(InputPartition):
-    """Rows of one file."""
+    """Rows of one file; ``before``: rows of the micro-batch that come before them. ``batch``: the number of its first batch."""
 
     file: str
     start: int
     end: int
+    before: int = 0
+    batch: int = 0
+    most: int = BATCH
 
 
 class EventReader(DataSourceStreamReader):
     """Plans batches on the driver from names and footers of files; tasks read the rows."""
 
-    def __init__(self, path: str, most: int, latest: bool):
-        self.uri, self.most, self.latest = path, most, latest
+    def __init__(self, path: str, most: int, latest: bool, batches: int = 1):
+        self.uri, self.most, self.latest, self.batches = path, most, latest, batches
         self._at: dict | None = None
         self._rows: dict[str, int] = {}
 
@@ -85,17 +92,16 @@ class EventReader(DataSourceStreamReader):
             self.uri = self.uri.removeprefix("file:")
         return pafs.FileSystem.from_uri(self.uri)
 
-    def _files(self, since: str) -> list[str]:
-        """The files of finished publications, from that of the file ``since`` on, in order; paths are relative to the log."""
+    def _files(self, since: str) -> Iterator[str]:
+        """The files of finished publications, from that of the file ``since`` on, in order; paths are relative to the log. Publications are listed as they are asked for."""
         system, base = self._system()
-        out, first = [], since.partition("/")[0]
+        first = since.partition("/")[0]
         tops = system.get_file_info(pafs.FileSelector(base, allow_not_found=True))
         for top in sorted(t.base_name for t in tops if t.type == pafs.FileType.Directory and t.base_name.startswith("publication=")):
             if top >= first:
                 inside = [f.path for f in system.get_file_info(pafs.FileSelector(f"{base}/{top}", recursive=True)) if f.is_file]
                 if any(f.endswith("/_SUCCESS") for f in inside):
-                    out += sorted(f.removeprefix(f"{base}/") for f in inside if f.endswith(".parquet"))
-        return out
+                    yield from sorted(f.removeprefix(f"{base}/") for f in inside if f.endswith(".parquet"))
 
     def _size(self, file: str) -> int:
         if file not in self._rows:
@@ -104,34 +110,40 @@ class EventReader(DataSourceStreamReader):
                 self._rows[file] = pq.ParquetFile(f).metadata.num_rows
         return self._rows[file]
 
-    def _after(self, at: dict, most: int | None) -> list[Rows]:
-        """The rows after an offset, ``most`` at most (None: all)."""
-        out = []
+    def _after(self, at: dict, most: int | None, upto: dict | None = None) -> list[Rows]:
+        """The rows after an offset, ``most`` at most (None: all), and none after the offset ``upto``."""
+        out, n = [], 0
         for file in self._files(at["file"]):
-            if file < at["file"] or most == 0:
+            if n == most or (upto and file > upto["file"]):
+                break
+            if file < at["file"]:
                 continue
             start = at["row"] if file == at["file"] else 0
-            end = self._size(file) if most is None else min(self._size(file), start + most)
+            end = upto["row"] if upto and file == upto["file"] else self._size(file)
+            end = end if most is None else min(end, start + most - n)
             if end > start:
-                out.append(Rows(file, start, end))
-                most = None if most is None else most - (end - start)
+                out.append(Rows(file, start, end, n))
+                n += end - start
         return out
 
     def initialOffset(self) -> dict:
-        self._at = {"file": "", "row": 0}
+        self._at = {"file": "", "row": 0, "batch": 0}
         if self.latest and (rows := self._after(self._at, None)):
-            self._at = {"file": rows[-1].file, "row": rows[-1].end}
+            self._at |= {"file": rows[-1].file, "row": rows[-1].end}
         return self._at
 
     def latestOffset(self) -> dict:
-        rows = self._after(self._at or self.initialOffset(), self.most)
-        return {"file": rows[-1].file, "row": rows[-1].end} if rows else self._at
+        at = self._at or self.initialOffset()
+        rows = self._after(at, self.most * self.batches)
+        if not rows:
+            return at
+        n = rows[-1].before + rows[-1].end - rows[-1].start
+        return {"file": rows[-1].file, "row": rows[-1].end, "batch": at.get("batch", 0) + -(-n // self.most), "most": self.most}
 
     def partitions(self, start: dict, end: dict) -> list[Rows]:
         self._at = end  # after a restart, Spark asks for nothing from the last offset on
-        last = (end["file"], end["row"])
-        rows = self._after(start, None) if (start["file"], start["row"]) < last else []
-        return [Rows(r.file, r.start, min(r.end, end["row"]) if r.file == end["file"] else r.end) for r in rows if (r.file, r.start) < last]
+        rows = self._after(start, None, end) if (start["file"], start["row"]) < (end["file"], end["row"]) else []
+        return [replace(r, batch=start.get("batch", 0), most=end.get("most", self.most)) for r in rows]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         system, base = self._system()
@@ -142,8 +154,11 @@ class EventReader(DataSourceStreamReader):
                 if rows.num_rows:
                     when = rows.column("received_at")
                     when = when.cast(pa.timestamp("us")).cast(_ARROW.field("received_at").type) if when.type.tz is None else when.cast(_ARROW.field("received_at").type)
-                    yield pa.RecordBatch.from_arrays([rows.column("payload"), pa.array([symbol] * rows.num_rows), when], schema=_ARROW)
+                    place = partition.before + max(at - partition.start, 0) + np.arange(rows.num_rows)  # in the micro-batch
+                    yield pa.RecordBatch.from_arrays([rows.column("payload"), pa.array([symbol] * rows.num_rows), when, pa.array(partition.batch + place // partition.most)], schema=_ARROW)
                 at += batch.num_rows
+                if at >= partition.end:
+                    break
 
     def commit(self, end: dict) -> None:
         """Files before the offset's are not looked at again."""
@@ -151,23 +166,23 @@ class EventReader(DataSourceStreamReader):
 
 
 class EventSource(DataSource):
-    """Format ``newsloom_events``; options ``path``, ``maxEvents`` (100) and ``startingOffset`` (``latest`` or ``earliest``)."""
+    """Format ``newsloom_events``; options ``path``, ``maxEvents`` (100) of a batch, ``maxBatches`` (1) of a micro-batch, and ``startingOffset`` (``latest`` or ``earliest``)."""
 
     @classmethod
     def name(cls) -> str:
         return "newsloom_events"
 
     def schema(self) -> str:
-        return EVENT
+        return f"{EVENT}, batch LONG"
 
     def streamReader(self, schema) -> EventReader:
         start = self.options.get("startingOffset", "latest")
         if start not in ("latest", "earliest"):
             raise ValueError("startingOffset is latest or earliest")
-        return EventReader(self.options["path"], int(self.options.get("maxEvents", BATCH)), start == "latest")
+        return EventReader(self.options["path"], int(self.options.get("maxEvents", BATCH)), start == "latest", int(self.options.get("maxBatches", 1)))
 
 
-def read_live(spark: SparkSession, path: str, start: str = "latest", most: int = BATCH) -> DataFrame:
-    """The log as a stream of :data:`EVENT`, ``most`` events a batch at most."""
+def read_live(spark: SparkSession, path: str, start: str = "latest", most: int = BATCH, batches: int = 1) -> DataFrame:
+    """The log as a stream of :data:`EVENT` and the number of its ``batch``: ``most`` events a batch at most, and so many batches a micro-batch."""
     spark.dataSource.register(EventSource)
-    return spark.readStream.format("newsloom_events").option("path", path).option("startingOffset", start).option("maxEvents", most).load()
+    return spark.readStream.format("newsloom_events").option("path", path).option("startingOffset", start).option("maxEvents", most).option("maxBatches", batches).load()

@@ -141,3 +141,23 @@ def test_push_is_a_loop_over_the_newest(spark, tmp_path):
         live.start_push(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), page=5).awaitTermination()
     got = spark.read.schema("ticker STRING, id LONG, published_at TIMESTAMP, poll INT").parquet(str(tmp_path / "out"))
     assert sorted((r["poll"], r["ticker"], r["id"], r["published_at"]) for r in got.collect()) == sorted(want)
+
+
+def test_a_micro_batch_takes_several_batches(spark, tmp_path, monkeypatch):
+    log, cp, out = str(tmp_path / "log"), str(tmp_path / "cp"), []
+    monkeypatch.setattr(feed, "FILE", 5)
+
+    def read():
+        stream = feed.read_live(spark, log, "earliest", most=4, batches=3)
+        take = lambda b, k: out.append([(r["batch"], json.loads(r["payload"])["url"]) for r in b.collect()])
+        live.drain(stream.writeStream.foreachBatch(take).option("checkpointLocation", cp).trigger(processingTime="0 seconds").start())
+
+    for k, n in enumerate((17, 13, 2)):
+        feed.publish(frames(spark, *[event(f"u{k}-{j}", [f"s{j % 2}"]) for j in range(n)]).coalesce(1), log, now())
+        if k:
+            read()
+    assert sorted(u for micro in out for _, u in micro) == sorted(f"u{k}-{j}" for k, n in enumerate((17, 13, 2)) for j in range(n))
+    assert [len(micro) for micro in out if micro] == [12, 12, 6, 2]
+    sizes = [[sum(b == k for b, _ in micro) for k in sorted({b for b, _ in micro})] for micro in out if micro]
+    assert sizes == [[4, 4, 4], [4, 4, 4], [4, 2], [2]] and sorted({b for micro in out for b, _ in micro}) == list(range(9))
+    assert len(list((tmp_path / "log" / "publication=000000000000" / "symbol=S0").glob("*.parquet"))) == 2
