@@ -57,7 +57,7 @@ def watched(articles: DataFrame, subscriptions: DataFrame) -> DataFrame:
     wanted = subscriptions.select(F.upper("ticker").alias("ticker"), since.cast("timestamp").alias("_since"))
     mine = explode_symbols(articles).select("url", "received_at", "ticker").alias("m")
     on = (F.col("m.ticker") == F.col("w.ticker")) & (F.col("_since").isNull() | (F.col("_since") <= F.col("m.received_at")))
-    some = mine.join(wanted.alias("w"), on, "left_semi").select("url", "received_at").distinct()
+    some = mine.join(wanted.alias("w"), on, "left_semi").select("url", "received_at")
     return articles.join(some, ["url", "received_at"], "left_semi")
 
 
@@ -92,19 +92,19 @@ def _part(url: str = "url") -> Column:
 
 def remember(articles: DataFrame, root: str, run: str, batch: int = 0) -> None:
     """Puts the addresses of stored articles into the index, as those of a batch of a run; anew if they are there already."""
-    part = articles.select("url", _part().alias("part")).distinct().repartition("part")
+    part = articles.select("url", _part().alias("part")).repartition("part").distinct()  # one shuffle
     part.write.mode("overwrite").partitionBy("part").parquet(f"{root}/known/run={run}/batch={batch}")
 
 
-def unknown(articles: DataFrame, root: str, run: str = "", batch: int = -1) -> DataFrame:
-    """Articles whose address isn't in the index, but for what this batch of this run has put there itself."""
+def unknown(articles: DataFrame, root: str, run: str = "", batch: int = -1, few: bool = True) -> DataFrame:
+    """Articles whose address isn't in the index, but for what this batch of this run has put there itself. ``few``: only the parts that they fall into are read."""
     spark = articles.sparkSession
     if not folders(spark, f"{root}/known"):
         return articles
-    x = articles.withColumn("part", _part())
-    parts = [r["part"] for r in x.select("part").distinct().collect()]  # at most PARTS
-    known = spark.read.schema(_KNOWN).parquet(f"{root}/known").where(F.col("part").isin(parts) & ~((F.col("run") == run) & (F.col("batch") == batch)))
-    return x.join(known.select("part", "url"), ["part", "url"], "left_anti").drop("part")
+    known = spark.read.schema(_KNOWN).parquet(f"{root}/known").where(~((F.col("run") == run) & (F.col("batch") == batch)))
+    if few:
+        known = known.where(F.col("part").isin([r["part"] for r in articles.select(_part().alias("part")).distinct().collect()]))  # at most PARTS
+    return articles.join(known.select("url"), "url", "left_anti")
 
 
 def compact_index(spark: SparkSession, root: str, run: str) -> None:
@@ -139,10 +139,11 @@ def start_ingest(stream: DataFrame, root: str, checkpoint: str, as_of: Column, s
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         run = run_name(spark, checkpoint)
+        few = batch.limit(4 * PARTS).count() < 4 * PARTS  # else nearly all parts are met
         some = batch if subscriptions is None else watched(batch, spark.read.parquet(subscriptions))
         first = F.min_by(F.struct(*some.columns), F.struct("received_at", "published_at", "raw_payload"))
         once_each = some.groupBy("url").agg(first.alias("e")).select("e.*")
-        fresh = unknown(once_each, root, run, number).persist()
+        fresh = unknown(once_each, root, run, number, few).persist()
         scored = score(fresh, **lexicon)
         for name, df in zip(
             TABLES, (

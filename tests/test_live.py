@@ -161,3 +161,24 @@ def test_a_micro_batch_takes_several_batches(spark, tmp_path, monkeypatch):
     sizes = [[sum(b == k for b, _ in micro) for k in sorted({b for b, _ in micro})] for micro in out if micro]
     assert sizes == [[4, 4, 4], [4, 4, 4], [4, 2], [2]] and sorted({b for micro in out for b, _ in micro}) == list(range(9))
     assert len(list((tmp_path / "log" / "publication=000000000000" / "symbol=S0").glob("*.parquet"))) == 2
+
+
+def test_a_batch_is_shuffled_once_for_its_addresses(spark, tmp_path):
+    root, before = str(tmp_path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    live.remember(spark.createDataFrame([("u1",), ("u1",), ("u3",)], "url STRING"), root, "backfill")
+    assert spark.read.parquet(f"{root}/known").count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        x = spark.createDataFrame([("u1", 1), ("u2", 2), ("u2", 3)], "url STRING, v INT").groupBy("url").agg(F.min("v").alias("v"))
+        got = live.unknown(x, root, few=False)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and [tuple(r) for r in got.collect()] == [("u2", 2)]
+        assert [tuple(r) for r in live.unknown(x, root).collect()] == [("u2", 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_article_with_two_watched_symbols_is_there_once(spark):
+    a = live.parse_events(frames(spark, event("u1", ["a", "b"]), event("u2", ["c"])), now())
+    got = live.watched(a, spark.createDataFrame([("A",), ("b",), ("B",)], "ticker STRING"))
+    assert [r["url"] for r in got.collect()] == ["u1"]
