@@ -345,3 +345,25 @@ def test_stories_and_tags_are_cut_before_they_are_shuffled(spark):
     assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Partial")  # each task sends one row of a story
     plan = news.articles_feed(n, t, s, "de", now())._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_texts_are_shuffled_once_for_an_overlay(spark):
+    from newsloom.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = catalog.QUERIES["price_sentiment_overlay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("FileScan" in line and "source#" in line and "text#" in line for line in lines) == 1
+    windows = [line for line in lines if "Window [row_number()" in line]
+    below = [lines[k + 1] for k, line in enumerate(lines) if "Exchange hashpartitioning(ticker" in line and "_key" in line]
+    assert len(windows) == 1 and len(below) == 1 and any("relevance" in line or "Contains(lower" in line for line in lines[[k for k, x in enumerate(lines) if x == below[0]][0] :])
+
+
+def test_overlay_has_each_days_sentiment(spark):
+    bars = spark.createDataFrame([("A", "2024-01-01", 1.0), ("A", "2024-01-02", 1.234), ("A", "2024-01-03", 2.0), ("B", "2024-01-01", 3.0)], "ticker STRING, d STRING, close DOUBLE").withColumn("bar_day", F.to_date("d"))
+    trend = spark.createDataFrame([("A", "2024-01-02", 0.12345), ("A", "2024-01-04", 1.0)], "ticker STRING, d STRING, mean_compound DOUBLE").withColumn("news_day", F.to_date("d"))
+    got = market.overlay(bars, trend).orderBy("ticker", "bar_day").collect()
+    assert [(r["ticker"], str(r["bar_day"]), r["price"], r["sentiment"]) for r in got] == [("A", "2024-01-02", 1.23, 0.123), ("A", "2024-01-03", 2.0, None), ("B", "2024-01-01", 3.0, None)]
