@@ -13,7 +13,7 @@ LANGS = "coalesce(lang, 'und')"
 
 
 def _files(spark: SparkSession, groups: DataFrame, *keys: str) -> str:
-    """Writes ``value`` of each row to a file in a folder of its keys."""
+    """Writes ``value`` of each row as a line of a file in a folder of its keys."""
     root = f"{tables.work_dir(spark)}/feed"
     groups.write.partitionBy(*keys).text(root)
     return root
@@ -44,13 +44,13 @@ def file_bars(spark: SparkSession, sf: str) -> DataFrame:
 h AS (SELECT ticker, page, count(*) AS n, page % 7 = 6 AS last FROM d GROUP BY ALL), t AS (SELECT *, coalesce(sum(n) OVER w, 0) AS came, coalesce(bool_or(last) OVER w, false) AS done FROM h WINDOW w AS (PARTITION BY ticker ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT ticker, CAST(page AS INT) AS page, CAST(doc_id AS VARCHAR) AS id FROM d JOIN t USING (ticker, page) WHERE NOT done AND came < 120 AND k <= 120 - came""")
 def file_paged_news(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of fifty; some have no token for a next one, so some tickers end there and some at the limit."""
+    """Pages of fifty, a line each of a ticker's files; some have no token for a next one, so some tickers end there and some at the limit."""
     n = views.news(spark, sf).withColumn("ticker", F.expr(LANGS)).withColumn("page", F.floor(F.col("id") / 50).cast("int"))
     item = F.struct(F.col("id").alias("k"), F.col("id").cast("string").alias("id"), "url", "headline")
     items = F.transform(F.array_sort(F.collect_list(item)), lambda s: s.dropFields("k"))
     page = n.groupBy("ticker", "page").agg(items.alias("news")).withColumn("next_page_token", F.when(F.col("page") % 7 != 6, F.col("page").cast("string")))
-    root = _files(spark, page.select("ticker", "page", F.to_json(F.struct("news", "next_page_token")).alias("value")), "ticker", "page")
-    return feeds.paged(feeds.pages(spark, root), 120).select("ticker", "page", "id")
+    root = _files(spark, page.select("ticker", F.to_json(F.struct("page", "news", "next_page_token")).alias("value")), "ticker")
+    return feeds.paged(feeds.pages(spark, root, lines=True), 120).select("ticker", "page", "id")
 
 
 @query(f"WITH {NEWS} SELECT url, headline, lower(trim(coalesce(source, 'finnhub'))) AS source, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM news WHERE headline <> ''")

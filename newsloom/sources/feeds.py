@@ -134,7 +134,7 @@ def event_filter(payload: Column, event: Column | None = None) -> Column:
     return said | (payload.contains('"headline"') & F.coalesce(F.array_contains(F.json_object_keys(payload), "headline"), F.lit(False)))
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages in folders ``ticker=.../page=...`` as rows for :func:`paged`."""
+def pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stored pages in folders ``ticker=.../page=...`` as rows for :func:`paged`; with ``lines``, many to a file in folders ``ticker=...``, each a line that has its ``page``."""
     item = "STRUCT<id: STRING, url: STRING, headline: STRING, summary: STRING, source: STRING, created_at: STRING, symbols: ARRAY<STRING>>"
-    return spark.read.schema(f"news ARRAY<{item}>, next_page_token STRING, ticker STRING, page INT").json(path, multiLine=True)
+    return spark.read.schema(f"news ARRAY<{item}>, next_page_token STRING, ticker STRING, page INT").json(path, multiLine=not lines)

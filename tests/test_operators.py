@@ -367,3 +367,15 @@ def test_overlay_has_each_days_sentiment(spark):
     trend = spark.createDataFrame([("A", "2024-01-02", 0.12345), ("A", "2024-01-04", 1.0)], "ticker STRING, d STRING, mean_compound DOUBLE").withColumn("news_day", F.to_date("d"))
     got = market.overlay(bars, trend).orderBy("ticker", "bar_day").collect()
     assert [(r["ticker"], str(r["bar_day"]), r["price"], r["sentiment"]) for r in got] == [("A", "2024-01-02", 1.23, 0.123), ("A", "2024-01-03", 2.0, None), ("B", "2024-01-01", 3.0, None)]
+
+
+def test_pages_lie_many_to_a_file(spark, tmp_path, monkeypatch):
+    from newsloom.plans import catalog
+
+    monkeypatch.setattr(tables, "work_dir", lambda s: str(tmp_path))
+    got = {(r["ticker"], r["page"], r["id"]) for r in catalog.QUERIES["file_paged_news"](spark, "/root/testdata/sf0.01").collect()}
+    files = [f for f in (tmp_path / "feed").rglob("*.txt")]
+    assert len(files) <= 5 * 4 and sum(len(f.read_text().splitlines()) for f in files) > len(files)  # at most one for each ticker and task
+    one_each = spark.read.text(str(tmp_path / "feed")).select("ticker", F.get_json_object("value", "$.page").alias("page"), "value")
+    one_each.write.partitionBy("ticker", "page").text(str(tmp_path / "apart"))
+    assert {(r["ticker"], r["page"], r["id"]) for r in feeds.paged(feeds.pages(spark, str(tmp_path / "apart")), 120).collect()} == got
