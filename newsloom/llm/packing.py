@@ -48,7 +48,7 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         _known.clear()
-        _known[path] = Tokenizer.from_file(path), {}
+        _known[path] = Tokenizer.from_file(path), {}, set()
     return _known[path]
 
 
@@ -61,12 +61,15 @@ def _slices(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def _learn(words: set[bytes], tokenizer, known: dict[bytes, bytes]) -> dict[bytes, bytes]:
-    """Ids of words that aren't known yet; they are remembered unless they are long."""
+def _learn(words: set[bytes], tokenizer, known: dict[bytes, bytes], again: set[bytes]) -> dict[bytes, bytes]:
+    """Ids of words that aren't known yet; they are remembered unless they are long. When there are too many, those that were met ``again`` stay, if they are less than half."""
     order = [w for w in words if w not in known]
+    again.update(known.keys() & words)
     if len(known) + len(order) > REMEMBERED:
+        kept = {w: known[w] for w in (again if len(again) <= REMEMBERED // 2 else known.keys() & words)}
         known.clear()
-        order = list(words)
+        known.update(kept)
+        again.clear()
     encoded = tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
     found = {w: _pack(e.ids) for w, e in zip(order, encoded, strict=True)}
     known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
@@ -83,12 +86,12 @@ def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     The tokenizer lower-cases, drops white space and never joins across it, nor a letter or digit with a mark after it, so
     a text's ids are those of its words and closing marks in turn. The ids of usual words are remembered.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, known, again = _encoder(path)
     held: list[list[list[bytes]]] = []
     size = 0
 
     def flush() -> Iterator[bytes]:
-        long = _learn({w for parts in held for words in parts for w in words}, tokenizer, known)
+        long = _learn(set().union(*(words for parts in held for words in parts)), tokenizer, known, again)
         for parts in held:
             if long:
                 yield b"".join(known[w] if w in known else long[w] for words in parts for w in words)

@@ -427,3 +427,20 @@ def test_near_duplicates_with_one_id_for_unlike_texts(spark):
     for some in (rows, rows[::-1]):
         got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id LONG, text STRING").coalesce(1)).collect()
         assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
+
+
+def test_usual_words_stay_remembered(monkeypatch):
+    class Tokenizer:
+        asked: list = []
+
+        def encode_batch_fast(self, words, add_special_tokens):
+            self.asked += words
+            return [type("E", (), {"ids": [len(w)]}) for w in words]
+
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    tokenizer, known, again = Tokenizer(), {}, set()
+    for k in range(40):
+        words = {b"the", b"of", f"rare{k}".encode(), f"{k}odd".encode()}
+        assert packing._learn(words, tokenizer, known, again) == {} and words <= set(known) and len(known) <= 10
+        assert all(packing._pack([len(w)]) == x for w, x in known.items())
+    assert tokenizer.asked.count("the") == tokenizer.asked.count("of") == 1 and len(tokenizer.asked) == 82
