@@ -4,10 +4,13 @@ A word is a run of bytes other than white space. An n-gram of up to :data:`ORDER
 are taken for one; at ``n`` n-grams a key of another is met with a chance of ``n / 2 ** 62``. Nothing of the model is collected but the counts
 of counts, so it grows with the text, on all executors.
 
-* Counting: n-grams of trusted text are counted in each partition, the partial counts are shuffled by n-gram and summed. Lower orders
-  count how many different words stand before an n-gram. What a context gives away to lower orders follows from its n-grams.
-* Scoring: documents lie in chunks of about :data:`CHUNK` compressed bytes. A chunk asks for each of its n-grams once, whatever their frequency, one
-  join with the counts answers, and the answers meet the chunk's texts by its number. So no n-gram has more rows than there are chunks, and what a task holds at once is one chunk.
+* Documents lie in chunks of about :data:`CHUNK` bytes: a chunk is one row with the hashes of its words and the order they come in, packed.
+* Each order of n-grams, the highest first, is counted and asked for in one exchange: a chunk sends each of its distinct n-grams once, whatever their frequency, with
+  its own trusted count, cell by cell of the key space; a cell adds up, and sends each chunk the sums in the order of its keys, without the keys. So no
+  n-gram has more rows than there are chunks, and what a task holds at once is one chunk or one cell.
+* Lower orders count how many different words stand before an n-gram: the sums mark one chunk as an n-gram's owner, and owners send the next order's counts,
+  with what the n-gram adds to its context.
+* Only a share of the keys (one of :data:`SLICES`), or of the chunks (one of :data:`TURNS`), is shuffled at a time, and its shuffle files go when it is done. On disk are the chunks, the sums and one share.
 * A trusted document is scored by the counts without its own: otherwise it would always seem well known. That is exact but for the discounts and the size of the vocabulary.
 
 Thresholds come from the trusted documents, each scored without its own counts. A document is kept if its perplexity
@@ -23,7 +26,7 @@ mergeable sketch. A language with under :data:`MIN_TRUSTED` trusted documents, o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +34,24 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm.common import batch_map, join_by_hot_key, mixed, quoted, stored
+from newsloom.llm.common import batch_map, drop_stored, join_by_hot_key, mixed, quoted, stored, stored_parts, tidy_shuffles
 from newsloom.llm.hashing import word_spans
 
 ORDER = 2
 QUANTILE = 0.995
-#: Compressed bytes of text in a chunk.
-CHUNK = 3 << 20
-#: Words whose n-grams are counted together before they leave a partition.
-TOGETHER = 2_000_000
+#: Bytes of text in a chunk, and words whose n-grams are a cell's.
+CHUNK, CELL = 10 << 20, 1_000_000
+#: Texts are read in so many shares when they meet the trusted ids, n-grams are counted in so many, and chunks meet their answers in so many.
+READS, SLICES, TURNS = 2, 4, 8
+#: Words whose probabilities are worked out together.
+BLOCK = 1 << 18
+#: Chunks of a task are numbered by steps of this.
+_BITS = 40
+_NEXT = 1 << _BITS
 #: So many trusted documents a language needs for quantiles of its own.
 MIN_TRUSTED = 100
 #: Short texts vary more: logarithms of perplexities may be off by this over the root of the number of words.
@@ -51,11 +62,6 @@ MAX_LANGUAGES = 1000
 _START, _TURN = np.uint64(1), 21
 
 
-def words_before(raw: bytes, order: int) -> np.ndarray:
-    """64-bit hash of each word, after ``order - 1`` marks of the text's start."""
-    return np.concatenate([np.full(order - 1, _START), mixed(word_spans(raw)[0])])
-
-
 def gram_keys(words: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Keys of the n-grams of 1 to ``order`` words that end at each word, and of 1 to ``order - 1`` that end before it."""
     n, keys = len(words) - order + 1, [words]
@@ -65,82 +71,214 @@ def gram_keys(words: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.
     return [k[len(k) - n :] for k in keys], [k[len(k) - n - 1 : len(k) - 1] for k in keys[:-1]]
 
 
-def gram_key(words: list[str]) -> Column:
-    """The same key from columns of words."""
-    key = F.col(words[0])
-    for w in words[1:]:
-        key = F.shiftleft(key, _TURN).bitwiseOR(F.shiftrightunsigned(key, 64 - _TURN)).bitwiseXOR(F.col(w))
-    return key
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of ``values``, first ones first, which compresses small numbers well."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    found = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(found.T).reshape(-1).view(kind)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """The same for ascending keys, by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, np.uint64), dtype=np.uint64)
+
+
+def runs(ascending: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts."""
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """``np.unique``, which is slower on 64-bit keys."""
+    keys = np.sort(keys)
+    return keys[runs(keys)]
+
+
+def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct value, ascending by value; the number of each value among these; how often each occurs."""
+    order = np.argsort(values, kind="stable")
+    starts = runs(values[order])
+    times = np.diff(starts, append=len(values))
+    which = np.empty(len(values), np.int64)
+    which[order] = np.repeat(np.arange(len(starts)), times)
+    return order[starts], which, times
+
+
+def cell_of(keys: np.ndarray, cells: int) -> np.ndarray:
+    """Cells are ranges of keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+
+
+_CHUNK = "chunk long, n long, ids array<long>, langs array<string>, trained array<boolean>, sizes array<long>, words binary, often binary, codes binary"
+
+
+def _packed_chunk(chunk: int, docs: list[tuple]) -> dict:
+    found = [word_spans(raw)[0] for *_, raw in docs]
+    hashes = mixed(np.concatenate(found))
+    first, which, often = groups(hashes)
+    rank = np.empty(len(often), np.uint32)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often), dtype=np.uint32)
+    ids, langs, trained, _ = zip(*docs, strict=True)
+    packs = {"words": packed_keys(hashes[first]), "often": packed(often.astype(np.uint32)), "codes": packed(rank[which])}
+    return {"chunk": chunk, "n": len(hashes), "ids": ids, "langs": langs, "trained": trained, "sizes": [len(f) for f in found]} | packs
+
+
+class Chunk:
+    """Keys of the n-grams that end at each word of a row of :func:`chunks`, and of those that end before it."""
+
+    def __init__(self, row: dict, order: int):
+        self.chunk, self.ids, self.langs, self.sizes = row["chunk"], row["ids"], row["langs"], np.array(row["sizes"], np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.trained = np.array(row["trained"], bool)[self.doc]
+        often = unpacked(row["often"], np.uint32).astype(np.int64)
+        words = unpacked_keys(row["words"])[np.argsort(-often, kind="stable")][unpacked(row["codes"], np.uint32)]
+        at = np.arange(len(words)) + self.doc * (order - 1)  # before each text are ``order - 1`` marks of its start
+        given = np.full(len(words) + len(self.sizes) * (order - 1), _START)
+        given[at + order - 1] = words
+        self.grams, self.contexts = ([k[at] for k in keys] for keys in gram_keys(given, order))
+
+    def asked(self, order: int) -> np.ndarray:
+        """Ascending keys of the n-grams of ``order`` words whose sums the chunk needs."""
+        keys = self.grams[order - 1]
+        return distinct(np.concatenate([keys, self.contexts[order - 1]]) if order <= len(self.contexts) else keys)
+
 
+_NOTHING = np.zeros(0, np.uint64), np.zeros((5, 0), np.int64)
+_ASKED = "chunk long, cell long, keys binary, own binary"
+_SUMS = ["n1", "n2", "n3", "n4", "types", "total"]
+_ANSWER = "chunk long, cell long, sums binary, owned binary, " + ", ".join(f"{c} long" for c in _SUMS)
 
-def _words(order: int, of: int) -> list[str]:
-    """Columns of the last ``order`` words of ``of``."""
-    return [f"w{k}" for k in range(of - order, of)]
+
+def _cells(chunk: int, keys: np.ndarray, own: np.ndarray, cells: int) -> pa.Table:
+    """Rows for the cells of ascending ``keys``; ``own`` has a row for each kind of count."""
+    cell = cell_of(keys, cells)
+    starts = runs(cell)
+    spans = list(zip(starts, np.append(starts, len(keys))[1:], strict=True))
+    found = [cell[starts].astype(np.int64), [packed_keys(keys[a:b]) for a, b in spans], [packed(np.ascontiguousarray(own[:, a:b]).reshape(-1)) for a, b in spans]]
+    return pa.table([pa.array([chunk] * len(spans), pa.int64()), pa.array(found[0], pa.int64()), *[pa.array(f, pa.binary()) for f in found[1:]]], names=["chunk", "cell", "keys", "own"])
+
+
+def _ask_highest(texts: DataFrame, order: int, cells: int, turn: int) -> DataFrame:
+    """Rows to be asked of the cells of a share of the key space: the chunks' n-grams of ``order`` words and their trusted counts."""
+    share = cells // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row, order)
+                keys = chunk.grams[-1]
+                inside = cell_of(keys, cells) // np.uint64(share) == turn
+                keys, own = distinct(keys[inside]), np.sort(keys[inside & chunk.trained])
+                starts, counts = runs(own), np.zeros(len(keys), np.int64)
+                counts[np.searchsorted(keys, own[starts])] = np.diff(starts, append=len(own))
+                yield from _cells(chunk.chunk, keys, counts[None], cells).to_batches()
+
+    return texts.mapInArrow(run, _ASKED)
+
+
+def _ask_lower(order: int, k: int, cells: int) -> Callable:
+    """Makes the rows to be asked for n-grams of ``k`` words from a chunk and the answers to those of ``k + 1``."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [_cells(0, *_NOTHING, cells)]
+        for row in rows.to_pylist():
+            chunk = Chunk(row, order)
+            above, keys = chunk.asked(k + 1), chunk.asked(k)
+            sums, owned = _aligned(answers, len(above), 1 if k + 1 == order else 5)
+            at = groups(chunk.grams[k])[0]
+            place = np.searchsorted(above, chunk.grams[k][at])
+            at, n = at[owned[place]], sums[0][place][owned[place]]
+            gram, context = (np.searchsorted(keys, of[k - 1][at]) for of in (chunk.grams, chunk.contexts))
+            own = [np.bincount(gram, minlength=len(keys)), *[np.bincount(context, w, len(keys)) for w in (n, n == 1, n == 2, n > 2)]]
+            out.append(_cells(chunk.chunk, keys, np.array(own).astype(np.int64), cells))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """The sums of a cell, for each chunk in the order of its keys; owned: whether a chunk is the one that counts an n-gram for the order below."""
+    keys = [unpacked_keys(k) for k in rows.column("keys").to_pylist()]
+    sizes = [len(k) for k in keys]
+    own = np.concatenate([unpacked(o, np.int64).reshape(-1, n) for o, n in zip(rows.column("own").to_pylist(), sizes, strict=True)], axis=1)
+    keys = np.concatenate(keys)
+    counted = np.flatnonzero(own.any(axis=0))
+    counted = counted[np.argsort(keys[counted], kind="stable")]
+    starts = runs(keys[counted])
+    known = keys[counted[starts]]
+    sums = np.add.reduceat(own[:, counted], starts, axis=1) if len(starts) else np.zeros((len(own), 0), np.int64)
+    seen = counted[own[0, counted] > 0]
+    owned = np.zeros(len(keys), bool)
+    owned[seen[runs(keys[seen])]] = True
+    place = np.searchsorted(known, keys)
+    sums = np.concatenate([sums, np.zeros((len(own), 1), np.int64)], axis=1)  # of keys that are unknown
+    place[np.append(known, np.uint64(0))[place] != keys] = len(known)
+    n = sums[0][sums[0] > 0]
+    whole = [*[int((n == k).sum()) for k in range(1, 5)], len(n), int(n.sum())]
+    ends = np.cumsum(sizes)
+    spans = list(zip(ends - sizes, ends, strict=True))
+    found = [[packed(np.ascontiguousarray(sums[:, place[a:b]]).reshape(-1)) for a, b in spans], [np.packbits(owned[a:b]).tobytes() for a, b in spans]]
+    columns = [rows.column("chunk"), rows.column("cell"), *[pa.array(f, pa.binary()) for f in found], *[pa.array([x] + [0] * (len(spans) - 1), pa.int64()) for x in whole]]
+    return pa.table(columns, names=["chunk", "cell", "sums", "owned", *_SUMS])
+
+
+def _aligned(answers: pa.Table, size: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums (a row for each kind of count) and owned of all ``size`` keys that a chunk asked for, from its cells in turn."""
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("cell", "sums", "owned")), strict=True), key=lambda r: r[0])
+    sums = [np.zeros((kinds, 0), np.int64), *[unpacked(s, np.int64).reshape(kinds, -1) for _, s, _ in rows]]
+    owned = [np.unpackbits(np.frombuffer(o, np.uint8), count=s.shape[1]).astype(bool) for (_, _, o), s in zip(rows, sums[1:], strict=True)]
+    sums = np.concatenate(sums, axis=1)
+    if sums.shape[1] != size:
+        raise ValueError(f"{sums.shape[1]} answers to {size} n-grams")
+    return sums, np.concatenate([np.zeros(0, bool), *owned])
 
 
 def chunks(docs: DataFrame, trained: DataFrame, id_column: str, text: str, language: str) -> DataFrame:
-    """chunk, id, lang, trained and the packed text of each document that has a text; ``trained`` has the distinct ids to train on."""
+    """Rows of a chunk each: ids, languages and sizes of its documents that have a text, and their words; ``trained`` has the distinct ids to train on."""
+    most, kind = CHUNK, T._parse_datatype_string(_CHUNK)
 
     def pack(batch: pa.RecordBatch) -> dict:
         z = zstandard.ZstdCompressor(level=3)
         return {"id": batch.column("id"), "lang": batch.column("lang"), "packed": [z.compress(t.encode()) for t in batch.column("text").to_pylist()]}
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
-            numbers = []
-            for t in batch.column("packed").to_pylist():
-                if size and size + len(t) > CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += len(t)
-                numbers.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], names=["chunk", *batch.schema.names])
+    def number(turn: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, held, size, unpack, arrow = TaskContext.get().partitionId() * (READS + 1) + turn, [], 0, zstandard.ZstdDecompressor(), to_arrow_schema(kind)
+            for batch in batches:
+                for *doc, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "trained")), map(unpack.decompress, batch.column("packed").to_pylist()), strict=True):
+                    if held and size + len(raw) > most:
+                        yield pa.RecordBatch.from_pylist([_packed_chunk(chunk, held)], schema=arrow)
+                        chunk, held, size = chunk + _NEXT, [], 0
+                    held.append((*doc, raw))
+                    size += len(raw)
+            if held:
+                yield pa.RecordBatch.from_pylist([_packed_chunk(chunk, held)], schema=arrow)
+
+        return run
 
     columns = [F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(language)).cast("string").alias("lang"), F.col(quoted(text)).alias("text")]
     given = docs.where(F.col(quoted(text)).isNotNull())
     texts = lambda rows: batch_map(rows, columns, pack, "id long, lang string, packed binary")
+    turn_of = lambda c: F.pmod(F.xxhash64(c), F.lit(READS))
+    shares = []
+    for turn in range(READS):  # a share at a time is shuffled; a null id is in none
+        own = trained.withColumn("trained", F.lit(True)).where(turn_of(F.col("id")) == turn)
+        known = texts(given.where(turn_of(F.col(quoted(id_column)).cast("long")) == turn).where(F.col(quoted(id_column)).cast("long").isNotNull())).hint("merge").join(own, "id", "left")
+        shares.append(known.select("id", "lang", F.coalesce("trained", F.lit(False)).alias("trained"), "packed").mapInArrow(number(turn), kind))
     # ids that are null match nothing and would all go to one task
-    known = texts(given.where(F.col(quoted(id_column)).isNotNull())).hint("merge").join(trained.withColumn("trained", F.lit(True)), "id", "left")
-    unknown = texts(given.where(F.col(quoted(id_column)).isNull())).withColumn("trained", F.lit(False))
-    both = known.unionByName(unknown).select("id", "lang", F.coalesce("trained", F.lit(False)).alias("trained"), "packed")
-    return both.mapInArrow(number, "chunk long, id long, lang string, trained boolean, packed binary")
-
-
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """The words and count n of each n-gram of ``order`` words in the packed texts, combined before the shuffle."""
-    names = _words(order, order)
-
-    def distinct(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        whole = [np.concatenate(p) for p in zip(*parts, strict=True)]
-        _, first, n = np.unique(whole.pop(), return_index=True, return_counts=True)
-        for at in range(0, len(n), 200_000):
-            here = first[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([*[pa.array(w[here].view(np.int64)) for w in whole], pa.array(n[at : at + 200_000])], names=[*names, "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, unpack = [], 0, zstandard.ZstdDecompressor()
-        for batch in batches:
-            for t in batch.column("packed").to_pylist():
-                words = words_before(unpack.decompress(t), order)
-                n = len(words) - order + 1
-                parts.append([*[words[k : k + n] for k in range(order)], gram_keys(words, order)[0][-1]])
-                size += n
-                if size > TOGETHER:
-                    yield from distinct(parts)
-                    parts, size = [], 0
-        if parts:
-            yield from distinct(parts)
-
-    found = texts.select("packed").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return found.groupBy(*names).agg(F.sum("n").alias("n"))
-
-
-def order_counts(grams: DataFrame, order: int) -> list[DataFrame]:
-    """Counts of each order, lowest first: below the highest, n is how many different words stand before the n-gram."""
-    out = [grams]
-    for k in range(order - 1, 0, -1):
-        out.append(out[-1].groupBy(*_words(k, order)).agg(F.count(F.lit(1)).alias("n")))
-    return out[::-1]
+    unknown = texts(given.where(F.col(quoted(id_column)).cast("long").isNull())).select("id", "lang", F.lit(False).alias("trained"), "packed")
+    shares.append(unknown.mapInArrow(number(READS), kind))
+    with tidy_shuffles(docs.sparkSession):
+        return stored_parts(shares)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -152,122 +290,111 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.concatenate([[0], np.clip(d, [0.05, 0.1, 0.1], [0.95, 1.9, 2.9])])
 
 
-def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[np.ndarray], dict]:
-    """key, n, total and back of each n-gram: its count, and as a context the counts in it and what they give away; the discounts of each order; sums of the lowest."""
-    tables = order_counts(stored(count_grams(texts, order)), order)
-    kinds = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]
-    sums = [t.agg(*kinds, F.count(F.lit(1)).alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first() for t in tables]
-    taken = [discounts(*(s[f"n{k}"] for k in range(1, 5))) for s in sums]
+def _answers(asked: Iterable[DataFrame]) -> DataFrame:
+    """What the cells answer, a share of the key space at a time."""
+    return stored_parts(rows.groupBy("cell").applyInArrow(_answer, _ANSWER) for rows in asked)
+
 
-    def back(d: np.ndarray) -> Column:
-        return F.count_if(F.col("n") == 1) * float(d[1]) + F.count_if(F.col("n") == 2) * float(d[2]) + F.count_if(F.col("n") > 2) * float(d[3])
-
-    rows = None
-    for k, (t, d) in enumerate(zip(tables, taken, strict=True), 1):
-        words = _words(k, order)
-        own = t.select(gram_key(words).alias("key"), "n", F.lit(0).cast("long").alias("total"), F.lit(0.0).alias("back"))
-        rows = own if rows is None else rows.unionByName(own)
-        if k > 1:
-            given = t.groupBy(gram_key(words[:-1]).alias("key")).agg(F.sum("n").alias("total"), back(d).alias("back"))
-            rows = rows.unionByName(given.select("key", F.lit(0).cast("long").alias("n"), "total", "back"))
-    model = rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "total", "back")])
+def _in_turn(rows: DataFrame, turn: int) -> DataFrame:
+    """A share of the chunks."""
+    return rows.where(F.pmod(F.col("chunk") % _NEXT + F.shiftright("chunk", _BITS), F.lit(TURNS)) == turn)
+
+
+def train(texts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[np.ndarray], dict]:
+    """The answers to the chunks for each order, lowest first; the discounts of each order; sums of the lowest."""
+    words = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(1, -(-words // (CELL * SLICES)))
+    cells = share * SLICES
+    answers = [_answers(_ask_highest(texts, order, cells, turn) for turn in range(SLICES))]
+    for k in range(order - 1, 0, -1):
+        asked = stored_parts(_met(texts, answers[0], turn).applyInArrow(_ask_lower(order, k, cells), _ASKED) for turn in range(TURNS))
+        answers.insert(0, _answers(asked.where((F.col("cell") >= turn * share) & (F.col("cell") < (turn + 1) * share)) for turn in range(SLICES)))
+        drop_stored(asked)
+    sums = [a.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).first() for a in answers]
+    taken = [discounts(*(s[f"n{k}"] for k in range(1, 5))) for s in sums]
     low, d = sums[0], taken[0]
     more = low["types"] - low["n1"] - low["n2"]
-    return model, taken, {"types": low["types"], "total": low["total"], "back": float(d[1] * low["n1"] + d[2] * low["n2"] + d[3] * more)}
+    return answers, taken, {"types": low["types"], "total": low["total"], "back": float(d[1] * low["n1"] + d[2] * low["n2"] + d[3] * more)}
 
 
-def asked(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """chunk and key of each n-gram in a chunk; more than once only where tasks split a chunk."""
+def _met(texts: DataFrame, answers: DataFrame, turn: int) -> PandasCogroupedOps:
+    """Chunks of a share with their answers."""
+    return _in_turn(texts, turn).groupBy("chunk").cogroup(_in_turn(answers, turn).groupBy("chunk"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, unpack = None, [], zstandard.ZstdDecompressor()
 
-        def distinct() -> Iterator[pa.RecordBatch]:
-            found = np.unique(np.concatenate(parts)).view(np.int64) if parts else ()
-            for at in range(0, len(found), 500_000):
-                here = found[at : at + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), now)), pa.array(here)], names=["chunk", "key"])
+def chunk_perplexities(chunk: Chunk, sums: list[np.ndarray], taken: list[np.ndarray], low: dict) -> np.ndarray:
+    """Perplexity (a word) of each text of a chunk, from the sums of its n-grams of each order; the counts of a text that was trained on are taken off first."""
+    keys = [chunk.asked(k) for k in range(1, len(taken) + 1)]
+    ends = np.cumsum(chunk.sizes)
+    starts, out = runs(ends // BLOCK), []  # of blocks of texts
+    for a, b in zip(starts, np.append(starts, len(ends))[1:], strict=True):
+        out.append(_block(chunk, slice(a, b), slice(ends[a] - chunk.sizes[a], ends[b - 1]), keys, sums, taken, low))
+    return np.concatenate(out)
 
-        for batch in batches:
-            for chunk, t in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                if chunk != now:
-                    yield from distinct()
-                    now, parts = chunk, []
-                grams, contexts = gram_keys(words_before(unpack.decompress(t), order), order)
-                parts += [np.unique(g) for g in grams] + [c[:1] for c in contexts]
-        yield from distinct()
-
-    return texts.select("chunk", "packed").mapInArrow(run, "chunk long, key long")
-
-
-class Answers:
-    """Counts of n-grams by their keys; n-grams that are missing have none."""
-
-    def __init__(self, rows: pa.Table):
-        keys = rows.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], {c: rows.column(c).to_numpy()[order].astype(float) for c in ("n", "total", "back")}
-
-    def find(self, keys: np.ndarray, *names: str) -> list[np.ndarray]:
-        if not len(self.keys):
-            return [np.zeros(len(keys)) for _ in names]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return [np.where(hit, self.values[c][at], 0.0) for c in names]
-
-
-def perplexity(raw: bytes, trained: bool, answers: Answers, taken: list[np.ndarray], low: dict) -> tuple[int, float | None]:
-    """Number of words and perplexity (a word) of a text; the counts of a text that was trained on are taken off first."""
-    order = len(taken)
-    grams, contexts = gram_keys(words_before(raw, order), order)
-    size = len(grams[0])
-    if not size:
-        return 0, None
-    off = lambda k, n: taken[k][np.minimum(n, 3).astype(int)]
+
+def _block(chunk: Chunk, texts: slice, words: slice, keys: list[np.ndarray], sums: list[np.ndarray], taken: list[np.ndarray], low: dict) -> np.ndarray:
+    """The same for some of its texts."""
+    doc, sizes, trained = chunk.doc[words] - texts.start, chunk.sizes[texts], chunk.trained[words]
+    off = lambda k, n: taken[k][np.minimum(n, 3)]
     levels, own_next = [], None
-    for k in range(order - 1, -1, -1):
-        keys, first, which, times = np.unique(grams[k], return_index=True, return_inverse=True, return_counts=True)
-        (n,) = answers.find(keys, "n")
-        own = np.zeros(len(keys))
-        if trained:
-            own = times.astype(float) if k == order - 1 else np.bincount(which[own_next], minlength=len(keys)).astype(float)
+    for k in range(len(taken) - 1, -1, -1):
+        at = np.searchsorted(keys[k], chunk.grams[k][words])
+        first, which, times = groups(doc * len(keys[k]) + at)  # distinct n-grams of each text
+        n = sums[k][0][at[first]]
+        own = np.where(trained[first], times if own_next is None else np.bincount(which[own_next], minlength=len(first)), 0)
         less = np.maximum(n - own, 0)
         freed = off(k, n) - off(k, less)
         if k:
-            places, of = np.unique(contexts[k - 1], return_inverse=True)
-            total, back = answers.find(places, "total", "back")
-            total = total - np.bincount(of[first], own, len(places))
-            back = (back - np.bincount(of[first], freed, len(places)))[of]
+            at = np.searchsorted(keys[k - 1], chunk.contexts[k - 1][words])
+            place, of, _ = groups(doc * len(keys[k - 1]) + at)
+            _, total, *kinds = (s[at[place]] for s in sums[k - 1])
+            total = total - np.bincount(of[first], own, len(place))
+            back = (np.dot(taken[k][1:], kinds) - np.bincount(of[first], freed, len(place)))[of]
             total = total[of]
         else:
-            total, back = np.full(size, low["total"] - own.sum()), np.full(size, low["back"] - freed.sum())
+            total, back = ((low[c] - np.bincount(doc[first], x, len(sizes)))[doc] for c, x in (("total", own), ("back", freed)))
         levels.append(((less - off(k, less))[which], total, back))
         own_next = first[(own > 0) & (less == 0)]
-    p = np.full(size, 1.0 / (low["types"] + 1))
+    p = np.full(len(doc), 1.0 / (low["types"] + 1))
     for seen, total, back in reversed(levels):
         p = np.where(total > 0, (seen + np.maximum(back, 0) * p) / np.maximum(total, 1), p)
-    return size, float(np.exp(-np.log(p).mean()))
+    return np.exp(-np.bincount(doc, np.log(p), len(sizes)) / np.maximum(sizes, 1))
 
 
-def perplexities(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """id, lang, n_words and perplexity of each row of :func:`chunks`, by a model of those to train on."""
-    model, taken, low = train(texts.where("trained"), order)
-    answers = asked(texts, order).join(model.hint("merge"), "key").select("chunk", "key", "n", "total", "back")
+_SCORED = "id long, lang string, n_words long, perplexity double"
 
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        known, unpack = Answers(found), zstandard.ZstdDecompressor()
-        out = [perplexity(unpack.decompress(t), own, known, taken, low) for t, own in zip(docs.column("packed").to_pylist(), docs.column("trained").to_pylist(), strict=True)]
-        n, p = pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())
-        return pa.table({"id": docs.column("id"), "lang": docs.column("lang"), "n_words": n, "perplexity": p})
 
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "id long, lang string, n_words long, perplexity double")
+def perplexities(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """id, lang, n_words and perplexity of each document of :func:`chunks`, by a model of those to train on."""
+    schema = to_arrow_schema(T._parse_datatype_string(_SCORED))
+    with tidy_shuffles(texts.sparkSession):
+        answers, taken, low = train(texts, order)
+
+        def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+            out, level = [schema.empty_table()], found.column("level").to_numpy()
+            for row in rows.to_pylist():
+                chunk = Chunk(row, order)
+                sums = [_aligned(found.filter(pa.array(level == k)), len(chunk.asked(k)), 1 if k == order else 5)[0] for k in range(1, order + 1)]
+                p = pa.array(chunk_perplexities(chunk, sums, taken, low), mask=chunk.sizes == 0)
+                out.append(pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.langs, pa.string()), pa.array(chunk.sizes), p], schema=schema))
+            return pa.concat_tables(out)
+
+        every = None
+        for k, a in enumerate(answers, 1):
+            rows = a.select(F.lit(k).alias("level"), "chunk", "cell", "sums", "owned")
+            every = rows if every is None else every.unionByName(rows)
+        scored = stored_parts(_met(texts, every, turn).applyInArrow(score, _SCORED) for turn in range(TURNS))
+    for a in answers:
+        drop_stored(a)
+    return scored
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang", quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """id, perplexity, least, threshold and kept of each row; ``trusted_ids`` has the ids of trusted documents."""
     ids = trusted_ids.select(F.col(id_column).cast("long").alias("id")).where("id IS NOT NULL").distinct()
-    texts = stored(chunks(docs, ids, id_column, text, language))
+    texts = chunks(docs, ids, id_column, text, language)
     scored = perplexities(texts, order)
+    drop_stored(texts)
     without = docs.where(F.col(quoted(text)).isNull()).select(F.col(quoted(id_column)).cast("long").alias("id"), F.col(quoted(language)).cast("string").alias("lang"))
     scored = stored(scored.unionByName(without.selectExpr("id", "lang", "0L AS n_words", "CAST(NULL AS DOUBLE) AS perplexity")))
     known = scored.where("perplexity IS NOT NULL").join(ids, "id", "left_semi")

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import os
+import time
 
 import numpy as np
 import public_tokenizers
@@ -228,6 +229,31 @@ def test_kneser_ney_chunks(spark, docs, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == docs.where("text IS NOT NULL").count()
 
 
+def test_kneser_ney_leaves_no_shuffle_files(spark, docs):
+    """What was shuffled and stored on the way is gone when documents are scored; only chunks and scores stay."""
+    base = shared_dir(spark).rsplit("/", 1)[0].removeprefix("file:")
+    dirs = [base, *[str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]]
+    files = lambda: {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for d in dirs for at, _, names in os.walk(d) for f in names if f.endswith((".data", ".parquet"))}
+    many = docs.crossJoin(spark.range(40).toDF("copy")).select((F.col("doc_id") * 100 + F.col("copy")).alias("doc_id"), F.concat_ws(" ", "text", "copy").alias("text"), "lang")
+    before = files()
+    kneser_ney.perplexities(kneser_ney.chunks(many, many.select(F.col("doc_id").alias("id")).distinct(), "doc_id", "text", "lang"))
+    time.sleep(1)
+    left = [f for f, n in files().items() if f not in before and n]
+    assert not [f for f in left if f.endswith(".data")] and len({os.path.dirname(f) for f in left}) == 2
+
+
+def test_kneser_ney_blocks(spark, docs, monkeypatch):
+    """Results don't depend on how many cells and shares of the key space there are, nor on blocks of texts."""
+    ids = spark.createDataFrame([(1,), (4,), (9,)], "id LONG")
+    found = []
+    for cell, block in ((1_000_000, 1 << 18), (10, 100)):
+        monkeypatch.setattr(kneser_ney, "CELL", cell)
+        monkeypatch.setattr(kneser_ney, "BLOCK", block)
+        texts = kneser_ney.chunks(docs, ids, "doc_id", "text", "lang")
+        found.append(sorted(map(str, kneser_ney.perplexities(texts, 3).collect())))
+    assert found[0] == found[1]
+
+
 def test_language(spark, docs, crowded, none):
     train = spark.createDataFrame([("en", "the cat sat on the mat with the other cats"), ("de", "der Hund und die Katze waren nicht im Haus"), (None, "x"), ("en", None)], "lang STRING, text STRING")
     prototypes = langid.train_prototypes(train)
