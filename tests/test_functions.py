@@ -193,3 +193,25 @@ def test_body_text_leaves_cut_entities_as_its_sql_does(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     same_rows(catalog.QUERIES["html_body"](spark, str(tmp_path)), con, catalog.SQL["html_body"])
     assert one(spark, html.body_text(F.lit(pages[0]))) == html.main_text(pages[0]) == f"t&& {long}".strip()
+
+
+def test_body_text_returns_whole_texts_if_asked(spark, tmp_path):
+    import duckdb
+    from conftest import same_rows
+
+    from newsloom.plans import catalog
+
+    long = "".join(f"word {k} and more, " for k in range(900))
+    pages = [f"<article>{long}end</article>", f"<main><p>{long}é &amp;amp; end</p></main><footer>f</footer>", f"<div class='ad'><p>{long}</p></div><aside>a</aside>end", f"<main>{long}<div class='page-content'>end</div></main>", "<p>short</p>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id LONG, html STRING").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df = spark.read.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    whole = catalog.SQL["html_body"].replace("[:4000]", "")
+    assert whole != catalog.SQL["html_body"]
+    same_rows(df.select("page_id", html.body_text(F.col("html"), ended=True, most=None).alias("body")), con, whole)
+    simple = [r["x"] for r in df.orderBy("page_id").select(html._is_simple(F.coalesce("html", F.lit("")), html._without_dropped(F.coalesce("html", F.lit("")))).alias("x")).collect()]
+    assert simple[:4] == [True, True, True, False]
+    for page in pages[:4]:
+        got = html.main_text(page, None)
+        assert got.endswith("end") and len(got) > 15000 and got[: html.MOST] == html.main_text(page)
